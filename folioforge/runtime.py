@@ -76,7 +76,7 @@ def drop_staged(spark: SparkSession, *frames: DataFrame) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the frame: for a plain scan, the bytes of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def small_enough(df: DataFrame, limit: int = 64 << 20) -> bool:
