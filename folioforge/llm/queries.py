@@ -3,15 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from folioforge.llm import neardup as D
 from folioforge.llm import tokenize as T
-from folioforge.runtime import read_table
+from folioforge.runtime import read_table, stage_table
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks of 40 words or more whose sets of three words overlap by 0.6."""
+    members, pairs = D.similar_contents(read_table(spark, sf_dir, "chunks"), "chunk_key", "text", n=3, least_words=40, bands=40, rows=4)
+    near = stage_table(pairs.where("jaccard >= 0.6"), "near")
+    return D.spread_pairs(members, near).select(F.col("key_a").alias("chunk_a"), F.col("key_b").alias("chunk_b"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate chunks by the general setting: five words, weighted similarity of 0.8."""
+    members, pairs = D.similar_contents(read_table(spark, sf_dir, "chunks"), "chunk_key", "text", n=5, bands=30, rows=5)
+    near = stage_table(pairs.where("weighted >= 0.8"), "near")
+    return D.duplicate_groups(members, near).select(F.col("key").alias("chunk_key"), "group_id", "n_links")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.encode_corpus(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids,)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_groups, p7_ids)}
 
 ORACLE: dict[str, str] = {}
