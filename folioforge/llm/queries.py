@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioforge.llm import neardup as D
+from folioforge.llm import neighbours as V
 from folioforge.llm import tokenize as T
 from folioforge.runtime import read_table, stage_table
 
@@ -24,10 +25,15 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.duplicate_groups(members, near).select(F.col("key").alias("chunk_key"), "group_id", "n_links")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar usable vectors of every usable vector."""
+    return V.all_neighbours(read_table(spark, sf_dir, "chunk_vectors")).select("vec_id", "neighbor_id")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.encode_corpus(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_groups, p7_ids)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_groups, p6_found, p7_ids)}
 
 ORACLE: dict[str, str] = {}
