@@ -1,6 +1,7 @@
 """Encoding of a corpus with a byte-level BPE vocabulary, on Spark higher-order functions.
 
-1. An Arrow stage cuts the texts into the tokenizer's words and keeps each worker's distinct ones.
+1. An Arrow stage cuts the texts into the tokenizer's words, and these into fragments that no piece of the vocabulary can
+   span, and keeps each worker's distinct ones.
 2. Distinct words are merged in the JVM: a fold over the word's byte pieces takes the best-ranked pair until none is left.
    The ranks are a literal of the plan, hashed into small groups, so that a lookup reads a handful of keys.
 3. Each word's ids go only to those groups of documents that hold the word; an Arrow stage lays the ids of a group's
@@ -107,56 +108,135 @@ def merge_word(word: Column, table: Column) -> Column:
     return F.when(whole != _NO_RANK, F.array(whole)).otherwise(folded)
 
 
-def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import regex
+class Cutter:
+    """Cuts texts into the tokenizer's words, and words into fragments that the merges can't join again.
 
-    cut = regex.compile(WORD_PATTERN).findall
+    Texts are cut at single spaces first, as a word of the pattern never runs on into a space; each distinct unit is then cut
+    by the pattern once. Where white space meets a space, the runs matter, and the pattern is applied to the whole text.
+    A word is further cut between a small and a capital letter if no piece of the vocabulary fits across that place: no
+    merge can then cross it either. So names put together from many words share their fragments.
+    """
+
+    def __init__(self, pieces: tuple[str, ...]) -> None:
+        import regex
+
+        self.cut = regex.compile(WORD_PATTERN).findall
+        self.runs = regex.compile(r"\s ").search
+        self.humps = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})").finditer
+        self.across: dict[str, list[tuple[str, str]]] = {}
+        for piece in pieces:
+            for m in self.humps(piece):
+                i = m.start()
+                self.across.setdefault(piece[i - 1 : i + 1], []).append((piece[:i], piece[i:]))
+
+    def units(self, text: str) -> list[str]:
+        """Strings that are cut on their own. All but the first come without the space before them."""
+        return text.split(" ") if self.runs(text) is None else []
+
+    def fragments(self, words: list[str]) -> list[str]:
+        out = []
+        for w in words:
+            if w.islower() or w.isupper() or len(w) < 4:
+                out.append(w)
+                continue
+            lo = 0
+            for m in self.humps(w):
+                i = m.start()
+                if not any(w.endswith(left, 0, i) and w.startswith(right, i) for left, right in self.across.get(w[i - 1 : i + 1], ())):
+                    out.append(w[lo:i])
+                    lo = i
+            out.append(w[lo:])
+        return out
+
+
+@cache
+def cutter(path: str) -> Cutter:
+    texts = []
+    for piece in load_ranks(path):
+        try:
+            texts.append(piece.decode())
+        except UnicodeDecodeError:
+            continue
+    return Cutter(tuple(texts))
+
+
+def _distinct_words(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
+    own = cutter(vocabulary)
     found: dict[int, set[str]] = {}
+    whole: dict[int, set[str]] = {}
     held = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        masks: dict[int, dict[str, int]] = {}
-        for bucket, words in found.items():
-            of, bit = masks.setdefault(bucket >> 6, {}), 1 << (bucket & 63)
-            for w in words:
-                of[w] = of.get(w, 0) | bit
-        for wide, of in masks.items():
+        by_wide: dict[int, dict[str, int]] = {}
+        for spaced, groups in ((True, found), (False, whole)):
+            masks: dict[int, dict[str, int]] = {}
+            for bucket, units in groups.items():
+                of, bit = masks.setdefault(bucket >> 6, {}), 1 << (bucket & 63)
+                for u in units:
+                    of[u] = of.get(u, 0) | bit
+            for wide, of in masks.items():
+                out = by_wide.setdefault(wide, {})
+                for u, mask in of.items():
+                    for w in own.fragments(own.cut(" " + u) if spaced else [u]):
+                        out[w] = out.get(w, 0) | mask
+        for wide, of in by_wide.items():
             words, bits = list(of), np.fromiter((m - (1 << 64) if m >> 63 else m for m in of.values()), np.int64, len(of))
             for k in range(0, len(words), 20_000):
                 part = words[k : k + 20_000]
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([wide] * len(part), pa.int32()), pa.array(bits[k : k + 20_000])], names=["word", "wide", "mask"])
         found.clear()
+        whole.clear()
 
     for batch in batches:
         for bucket, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = found.setdefault(bucket, set())
-            held -= len(words)
-            words.update(cut(text))
-            held += len(words)
+            units = own.units(text)
+            if units:
+                words = found.setdefault(bucket, set())
+                held -= len(words)
+                words.update(units[1:])
+                held += len(words)
+            other = whole.setdefault(bucket, set())
+            held -= len(other)
+            other.update(own.cut(units[0] if units else text))
+            held += len(other)
         if held > _FLUSH_WORDS:
             yield from flush()
             held = 0
     yield from flush()
 
 
-def _lay_down(docs: pa.Table, words: pa.Table) -> pa.Table:
-    import regex
+class _Ids(dict):
+    """Token ids by unit, put together from those of the fragments when a unit is first met."""
+
+    def __init__(self, own: Cutter, of_fragment: dict[str, list[int]]) -> None:
+        self.own, self.of_fragment = own, of_fragment
+
+    def of(self, words: list[str]) -> list[int]:
+        return list(chain.from_iterable(map(self.of_fragment.__getitem__, self.own.fragments(words))))
+
+    def __missing__(self, unit: str) -> list[int]:
+        ids = self[unit] = self.of(self.own.cut(" " + unit))
+        return ids
+
 
-    cut = regex.compile(WORD_PATTERN).findall
+def _lay_down(docs: pa.Table, words: pa.Table, vocabulary: str) -> pa.Table:
+    own = cutter(vocabulary)
     lists = words.column("ids").combine_chunks()
     flat, ends = lists.flatten().to_numpy().tolist(), lists.offsets.to_numpy().tolist()
     first = ends[0] if ends else 0
-    ids_of = {w: flat[a - first : b - first] for w, a, b in zip(words.column("word").to_pylist(), ends, ends[1:])}
-    get = ids_of.__getitem__
+    ids_of = _Ids(own, {w: flat[a - first : b - first] for w, a, b in zip(words.column("word").to_pylist(), ends, ends[1:])})
     keys, offsets, parts, total, seen = [], [0], [], 0, set()
     for key, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist()):
         if key is not None:
             if key in seen:
                 continue
             seen.add(key)
-        ids = np.fromiter(chain.from_iterable(map(get, cut(text))), np.int32) if text else np.empty(0, np.int32)
+        units = own.units(text)
+        ids = ids_of.of(own.cut(units[0] if units else text)) if text else []
+        if units:
+            ids.extend(chain.from_iterable(map(ids_of.__getitem__, units[1:])))
         keys.append(key)
-        parts.append(ids)
+        parts.append(np.array(ids, np.int32))
         total += len(ids)
         offsets.append(total)
     values = np.concatenate(parts) if parts else np.empty(0, np.int32)
@@ -173,12 +253,13 @@ def encode_corpus(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col:
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     buckets = buckets or max(8, -(-plan_bytes(docs) // _BUCKET_BYTES))
     grouped = slim.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    seen = grouped.where("text <> ''").select("bucket", "text").mapInArrow(_distinct_words, "word string, wide int, mask bigint")
+    seen = grouped.where("text <> ''").select("bucket", "text").mapInArrow(lambda it: _distinct_words(it, vocabulary), "word string, wide int, mask bigint")
     words = seen.groupBy("word", "wide").agg(F.bit_or("mask").alias("mask"))
     encoded = words.withColumn("ids", merge_word(F.encode("word", "UTF-8"), rank_literal(vocabulary)))
     bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit("mask", b) == 1)
     per_bucket = encoded.select("word", "ids", F.explode(F.transform(bits, lambda b: F.col("wide") * 64 + b)).alias("bucket"))
-    return grouped.groupBy("bucket").cogroup(per_bucket.groupBy("bucket")).applyInArrow(_lay_down, "doc_id bigint, ids array<int>")
+    texts, lookup = grouped.repartition(buckets, "bucket"), per_bucket.repartition(buckets, "bucket")  # tasks of one size at any corpus size
+    return texts.groupBy("bucket").cogroup(lookup.groupBy("bucket")).applyInArrow(lambda d, w: _lay_down(d, w, vocabulary), "doc_id bigint, ids array<int>")
 
 
 def decode_ids(tokens: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
