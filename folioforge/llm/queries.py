@@ -5,12 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.llm import leakage as L
+from folioforge.llm import lookalikes as K
 from folioforge.llm import neardup as D
 from folioforge.llm import neighbours as V
+from folioforge.llm import splitting as S
 from folioforge.llm import tokenize as T
 from folioforge.runtime import read_table, stage_table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks above 1,500 characters, by how they had to be cut."""
+    return S.oversized_kinds(read_table(spark, sf_dir, "chunks"), "chunk_key").withColumnRenamed("key", "chunk_key")
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of chunks above 1,500 characters, with overlap and page."""
+    return S.pieces_with_pages(read_table(spark, sf_dir, "chunks"), read_table(spark, sf_dir, "blocks"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks and sections whose text or title isn't in its consistent form."""
+    blocks = K.changed_rows(read_table(spark, sf_dir, "blocks"), "block_key", "text")
+    sections = K.changed_rows(read_table(spark, sf_dir, "sections"), "section_key", "title")
+    return blocks.select(F.lit("block").alias("row_kind"), F.col("key").alias("row_key")).unionByName(sections.select(F.lit("section").alias("row_kind"), F.col("key").alias("row_key")))
+
+
+def p4_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of every section title (of the latest row of each section)."""
+    latest = read_table(spark, sf_dir, "sections").groupBy("section_key").agg(F.max(F.struct("updated_at", "title"))["title"].alias("title"))
+    return K.canonicalize(latest, "title")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks of 40 words or more whose sets of three words overlap by 0.6."""
     members, pairs = D.similar_contents(read_table(spark, sf_dir, "chunks"), "chunk_key", "text", n=3, least_words=40, bands=40, rows=4)
@@ -34,6 +60,22 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.encode_corpus(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_groups, p6_found, p7_ids)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 13 consecutive words of an evaluation item, or a shorter item whole."""
+    return L.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every evaluation item the number of documents it leaked into."""
+    return L.leak_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the leaked spans removed."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return L.remove_leaks(docs, read_table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_titles, p5_found, p5_groups, p6_found, p7_ids, p8_found, p8_report, p8_cleaned)}
 
 ORACLE: dict[str, str] = {}
