@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioforge.llm import abuse as A
 from folioforge.llm import leakage as L
 from folioforge.llm import lookalikes as K
 from folioforge.llm import neardup as D
@@ -76,6 +77,22 @@ def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.remove_leaks(docs, read_table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_titles, p5_found, p5_groups, p6_found, p7_ids, p8_found, p8_report, p8_cleaned)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with at least one abusive, hateful or sexually explicit passage."""
+    return A.score_documents(read_table(spark, sf_dir, "documents")).where("passages > 0").select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, kind and number of passages of every document."""
+    return A.score_documents(read_table(spark, sf_dir, "documents"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of documents with such passages per source."""
+    docs = read_table(spark, sf_dir, "documents")
+    return A.source_rates(docs, A.score_documents(docs))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_titles, p5_found, p5_groups, p6_found, p7_ids, p8_found, p8_report, p8_cleaned, p9_found, p9_scores, p9_rates)}
 
 ORACLE: dict[str, str] = {}
