@@ -24,18 +24,17 @@ def payload(chunk: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[chunk[k].alias(k) for k in ("chunk_id", "doc_id", "text", "block_ids", "metadata", "page_start", "page_end", "section_id") if k in chunk]))
 
 
-def sparse_weights(c: Column, k1: float = 1.2, b: float = 0.75, average: float = 100.0, dim: int = 1 << 20) -> Column:
-    """Sparse embedding struct<indices, weights> of a text: hashed words with saturated counts (idf is left to the store)."""
-    terms = F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != "")
-    slots = F.transform(terms, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
-    length = F.size(terms)
-    unique = F.array_sort(F.array_distinct(slots))
-
-    def weight(i: Column) -> Column:
-        tf = F.size(F.filter(slots, lambda s: s == i))
-        return (tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))).cast("float")
-
-    return F.struct(unique.alias("indices"), F.transform(unique, weight).alias("weights"))
+def sparse_weights(docs: DataFrame, id_col: str, text_col: str, k1: float = 1.2, b: float = 0.75, average: float = 100.0, dim: int = 1 << 20) -> DataFrame:
+    """(id, sparse struct<indices, weights>): hashed words of each text with saturated counts; idf is left to the store.
+
+    Texts without a word have no row.
+    """
+    from folioforge.operators.search import postings
+
+    slots = postings(docs, id_col, text_col).groupBy("id", "length", F.pmod(F.xxhash64("term"), F.lit(dim)).cast("int").alias("slot")).agg(F.sum("tf").alias("tf"))
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / average))
+    listed = slots.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("slot", weight.cast("float").alias("w")))).alias("l"))
+    return listed.select("id", F.struct(F.transform("l", lambda x: x["slot"]).alias("indices"), F.transform("l", lambda x: x["w"]).alias("weights")).alias("sparse"))
 
 
 def embed_texts(chunks: DataFrame, encoder: Callable[[list[str]], object], batch: int = 32, pause: float = 0.0, retries: int = 6, retry_on: tuple[type[Exception], ...] = (), id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:

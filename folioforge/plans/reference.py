@@ -428,7 +428,7 @@ def point_ids(spark, sf_dir):
 
 @query()
 def sparse_embeddings(spark, sf_dir):
-    return _chunks(spark, sf_dir).where("text is not null").select("chunk_key", F.to_json(I.sparse_weights(F.col("text"))).alias("sparse"))
+    return I.sparse_weights(_chunks(spark, sf_dir), "chunk_key", "text").select(F.col("id").alias("chunk_key"), F.size("sparse.indices").alias("n_terms"), F.round(F.aggregate("sparse.weights", F.lit(0.0), lambda a, w: a + w.cast("double")), 3).alias("total"))
 
 
 _SYNC = f"{_CHUNKS}, d AS (SELECT DISTINCT doc_id FROM c WHERE doc_version >= '05.00'), p AS (SELECT doc_id, count(DISTINCT chunk_id) AS n FROM c GROUP BY doc_id)"
