@@ -95,4 +95,19 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_titles, p5_found, p5_groups, p6_found, p7_ids, p8_found, p8_report, p8_cleaned, p9_found, p9_scores, p9_rates)}
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(lower(%s), '[\p{L}\p{N}]+')"
+_UNSEEN = r"[\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{206f}\x{fe00}-\x{fe0f}\x{feff}]"
+_SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SEEN = f"regexp_replace(text, '{_UNSEEN}', '', 'g')"
+
+ORACLE: dict[str, str] = {
+    "p3_found": f"""SELECT DISTINCT chunk_key, CASE WHEN regexp_matches(text, '[^{_SPACES}]{{1000}}[^{_SPACES}]{{501}}') THEN 'hard' ELSE 'natural' END AS cut_kind FROM chunks WHERE length(text) > 1500""",
+    "p5_found": f"""WITH c AS (SELECT DISTINCT chunk_key, {_WORDS % 'text'} AS w FROM chunks WHERE text IS NOT NULL), g AS (SELECT chunk_key, list_distinct(list_transform(range(len(w) - 2), lambda i: array_to_string(w[i + 1 : i + 3], ' '))) AS s FROM c WHERE len(w) >= 40),
+        u AS (SELECT chunk_key, len(s) AS n, unnest(s) AS x FROM g), p AS (SELECT a.chunk_key AS chunk_a, b.chunk_key AS chunk_b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.x = b.x AND a.chunk_key < b.chunk_key GROUP BY a.chunk_key, b.chunk_key)
+        SELECT chunk_a, chunk_b FROM p WHERE k >= 0.6 * (na + nb - k)""",
+    "p6_found": """WITH v AS (SELECT DISTINCT ON (vec_id) vec_id, dense::DOUBLE[] AS d FROM chunk_vectors WHERE len(dense) = 64 AND len(list_filter(dense, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(dense, lambda x: x <> 0)) > 0),
+        p AS (SELECT a.vec_id, b.vec_id AS neighbor_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.d, b.d), 9) DESC, b.vec_id) AS r FROM v a JOIN v b ON a.vec_id <> b.vec_id) SELECT vec_id, neighbor_id FROM p WHERE r <= 10""",
+    "p8_found": f"""WITH i AS (SELECT DISTINCT item_id, {_WORDS % _SEEN} AS w FROM eval_items), d AS (SELECT DISTINCT doc_id, {_WORDS % _SEEN} AS w FROM documents WHERE text <> ''),
+        ig AS (SELECT item_id, unnest(list_transform(range(len(w) - 12), lambda k: array_to_string(w[k + 1 : k + 13], ' '))) AS g FROM i WHERE len(w) >= 13), dg AS (SELECT doc_id, unnest(list_transform(range(len(w) - 12), lambda k: array_to_string(w[k + 1 : k + 13], ' '))) AS g FROM d WHERE len(w) >= 13)
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g) UNION SELECT doc_id, item_id FROM d, i WHERE len(i.w) BETWEEN 1 AND 12 AND contains(concat(' ', array_to_string(d.w, ' '), ' '), concat(' ', array_to_string(i.w, ' '), ' '))""",
+}
