@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.runtime import stage_table
+
 NODE_SCHEMA = "record_id bigint, pre int, post int, kind string, node_id string, ref string, attrs map<string,string>"
 _ARROW = pa.schema([("record_id", pa.int64()), ("pre", pa.int32()), ("post", pa.int32()), ("kind", pa.string()), ("node_id", pa.string()), ("ref", pa.string()), ("attrs", pa.map_(pa.string(), pa.string()))])
 
@@ -196,7 +198,7 @@ def record_links(records: DataFrame, id_col: str = "record_id", payload_col: str
     holds them, else to the one that lists their id, else to ''. Nodes without any id give no row; listed ids that no
     object has give none either.
     """
-    linked = link_by_interval(label_nodes(records, id_col, payload_col, with_attrs=False))
+    linked = stage_table(link_by_interval(stage_table(label_nodes(records, id_col, payload_col, with_attrs=False), "nodes")), "linked")
     lists = linked.where("kind = 'block_ref' and holder_id is not null").groupBy("record_id", F.col("node_id").alias("listed")).agg(F.min_by("holder_id", "pre").alias("lister"))
     blocks = linked.where("kind = 'block' and node_id is not null").select("record_id", "kind", F.col("node_id").alias("child_id"), "holder_id")
     blocks = blocks.join(lists.withColumnRenamed("listed", "child_id"), ["record_id", "child_id"], "left").select("record_id", "kind", "child_id", F.coalesce("holder_id", "lister", F.lit("")).alias("parent_id"))
@@ -208,7 +210,7 @@ def record_links(records: DataFrame, id_col: str = "record_id", payload_col: str
 
 def node_tables(records: DataFrame, id_col: str = "record_id", payload_col: str = "payload") -> dict[str, DataFrame]:
     """One flat table per node kind, each row with its labels, attributes and the labels of the node that holds it."""
-    linked = link_by_interval(label_nodes(records, id_col, payload_col))
+    linked = link_by_interval(stage_table(label_nodes(records, id_col, payload_col), "nodes"))
     get = lambda name, kind="string": F.col("attrs")[name].try_cast(kind).alias(name)
     head = ["record_id", "pre", "post"]
     holder = ["holder_pre", "holder_id"]
