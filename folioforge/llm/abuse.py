@@ -346,7 +346,8 @@ def score_text(text: str, window: int = 12) -> tuple[float, str, int]:
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, kind, passages): one row per row with an id. Null and empty texts score 0; a passage counts from 1 on."""
+    """(doc_id, score, kind, passages): one row per document with an id; repeated rows count once. Null and empty texts score 0; a
+    passage counts from 1 on."""
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,10 +355,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rows = [score_text(t) if t else (0.0, "", 0) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], names=["doc_id", "score", "kind", "passages"])
 
-    return slim.mapInArrow(run, "doc_id bigint, score double, kind string, passages int")
+    return slim.mapInArrow(run, "doc_id bigint, score double, kind string, passages int").distinct()
 
 
 def source_rates(docs: DataFrame, scores: DataFrame) -> DataFrame:
     """(source, n_documents, n_abusive, rate): per source, null being a source of its own."""
-    both = docs.select("doc_id", "source").join(scores, "doc_id")
+    both = docs.select("doc_id", "source").distinct().join(scores, "doc_id")
     return both.groupBy("source").agg(F.count("*").alias("n_documents"), F.count_if(F.col("passages") > 0).alias("n_abusive"), F.avg(F.when(F.col("passages") > 0, 1.0).otherwise(0.0)).alias("rate"))

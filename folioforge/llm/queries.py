@@ -79,7 +79,7 @@ def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with at least one abusive, hateful or sexually explicit passage."""
-    return A.score_documents(read_table(spark, sf_dir, "documents")).where("passages > 0").select("doc_id").distinct()
+    return A.score_documents(read_table(spark, sf_dir, "documents")).where("passages > 0").select("doc_id")
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
