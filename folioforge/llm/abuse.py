@@ -185,8 +185,9 @@ def lexicon() -> Trie:
         for weight, words in rows:
             for w in words.split():
                 w = fold(w)
-                if terms.get(w, (0,))[0] < weight:
-                    terms[w] = (weight, kind)
+                for form in (w, w + "s") if weight >= 1 and len(w) > 4 and not w.endswith("s") else (w,):
+                    if terms.get(form, (0,))[0] < weight:
+                        terms[form] = (weight, kind)
     return Trie(terms)
 
 

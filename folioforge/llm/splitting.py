@@ -127,9 +127,9 @@ def oversized_kinds(frame: DataFrame, key_col: str, text_col: str = "text", limi
 
 
 def pieces_with_pages(chunks: DataFrame, blocks: DataFrame, limit: int = 1500, overlap: int = 150) -> DataFrame:
-    """(chunk_key, piece_no, text, start, end, cut, page) of every chunk above the limit.
+    """(chunk_key, piece_no, text, start, end, cut, page_start, page_end) of every chunk above the limit.
 
-    The page of a piece is that of the block in which it starts: the chunk's blocks are looked up by (doc_id, block_id), their
+    The pages of a piece are those of the blocks in which it starts, the repeated text included, and ends: the chunk's blocks are looked up by (doc_id, block_id), their
     texts are found in the chunk's text one behind the other, and the last block found at or before the piece with a known
     page counts. Before the first, and for chunks whose blocks are unknown, it is the chunk's page_start (null if that is).
     """
@@ -155,5 +155,5 @@ def pieces_with_pages(chunks: DataFrame, blocks: DataFrame, limit: int = 1500, o
 
     marks = F.arrow_udf(pages, "array<struct<from:int,page:int>>")
     cut = split_oversized(ready.withColumn("marks", marks("text", "order", "page_start")).drop("order", "page_start"), "text", limit, overlap)
-    page = F.element_at(F.filter("marks", lambda m: m["from"] <= F.greatest(F.col("piece.start"), F.lit(0))), -1)["page"]
-    return cut.select("chunk_key", "piece.piece_no", F.col("piece.text").alias("text"), "piece.start", "piece.end", "piece.cut", page.alias("page"))
+    page = lambda at: F.element_at(F.filter("marks", lambda m: m["from"] <= at), -1)["page"]
+    return cut.select("chunk_key", "piece.piece_no", F.col("piece.text").alias("text"), "piece.start", "piece.end", "piece.cut", page(F.col("piece.start")).alias("page_start"), page(F.col("piece.end") - 1).alias("page_end"))

@@ -35,6 +35,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 _GROUPS = 16_384
 _NO_RANK = 2**31 - 1
 _BUCKET_BYTES = 2 << 20
+_UNKNOWN_BYTES = 1 << 55
 _FLUSH_WORDS = 300_000
 
 
@@ -251,7 +252,11 @@ def encode_corpus(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col:
     one per 2 MB of input files, so a group's texts fit a worker at any corpus size.
     """
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    buckets = buckets or max(8, -(-plan_bytes(docs) // _BUCKET_BYTES))
+    if buckets is None:
+        size = plan_bytes(docs)
+        if size > _UNKNOWN_BYTES:  # a source without sizes: measure the texts
+            size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(8, -(-size // _BUCKET_BYTES))
     grouped = slim.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
     seen = grouped.where("text <> ''").select("bucket", "text").mapInArrow(lambda it: _distinct_words(it, vocabulary), "word string, wide int, mask bigint")
     words = seen.groupBy("word", "wide").agg(F.bit_or("mask").alias("mask"))
