@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 #: White space as a character class body (all Unicode white space and the separators U+001C to U+001F).
 WS = r"\t-\r\x1c-\x20\x85\xa0  -     　"
 
+_WS_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 # Titles of front matter that open a section without a number.
 NAMED_SECTIONS = ("introduction", "contents", "list of figures", "list of tables", "foreword", "modal verbs terminology", "executive summary", "change history", "revision history", "history")
 # Front matter that the specification profile removes.
@@ -26,7 +29,7 @@ DOCUMENT_ID = r"(?i)^O-RAN\.(WG\d+|[A-Za-z]+FG)((?:\.[A-Za-z0-9]+(?:-(?!R\d+-v)[
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(c, F.lit(_WS_CHARS))
 
 
 def first_line(c: Column) -> Column:
@@ -52,7 +55,7 @@ def normalize_section_title(c: Column) -> Column:
 
 def named(c: Column, names: Iterable[str]) -> Column:
     """Whether the normalised title is one of the names, or one followed by a slash."""
-    return F.exists(F.array(*[F.lit(n) for n in names]), lambda n: (c == n) | c.startswith(F.concat(n, F.lit("/"))))
+    return c.rlike(rf"^(?:{'|'.join(map(re.escape, names))})(?:/|\z)")
 
 
 def is_removable_section(c: Column, names: Iterable[str] = REMOVABLE_SECTIONS) -> Column:
