@@ -14,7 +14,7 @@ MAX_BYTES = 200 * 1024 * 1024
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
-    """(path, length, content) of binary files; only the columns used are read."""
+    """(path, length, content) of binary files; only the columns used are read. Spark's file scans pass over files of no bytes."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
 
 
@@ -47,6 +47,7 @@ def read_shards(ranges: DataFrame, parse: Callable[[dict], list[dict]], block_ty
     every shard failed.
     """
     from pyspark.sql.pandas.types import from_arrow_type, to_arrow_schema
+    from pyspark.sql.types import StructType
 
     fields = ranges.columns
     out = to_arrow_schema(ranges.schema).append(pa.field("blocks", pa.list_(block_type))).append(pa.field("error", pa.string()))
@@ -63,9 +64,7 @@ def read_shards(ranges: DataFrame, parse: Callable[[dict], list[dict]], block_ty
                     errors.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in fields], pa.array(blocks, pa.list_(block_type)), pa.array(errors, pa.string())], schema=out)
 
-    from pyspark.sql.types import StructType
-
-    schema = StructType(ranges.schema.fields)
+    schema = StructType(list(ranges.schema.fields))
     schema = schema.add("blocks", from_arrow_type(pa.list_(block_type))).add("error", "string")
     return ranges.mapInArrow(run, schema)
 
