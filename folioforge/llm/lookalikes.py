@@ -24,11 +24,11 @@ GREEK_TWINS = {"Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I",
 GREEK_SYMBOLS = frozenset("αβγδεζηθικλμνξπρςστυφχψωΓΔΘΛΞΠΣΦΨΩϕϑϵ")
 TWINS = CYRILLIC_TWINS | GREEK_TWINS
 #: Characters that can't be seen. Joiners count as invisible, as none of the scripts handled here needs them.
-INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿"
-SPACES = "   -   　"
-HYPHENS = {"‐": "-", "‑": "-", "﹣": "-", "－": "-", "˗": "-"}
+INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff"
+SPACES = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
+HYPHENS = {"\u2010": "-", "\u2011": "-", "\ufe63": "-", "\uff0d": "-", "\u02d7": "-"}
 #: Other twins of signs: compatibility forms that look the same.
-SIGNS = {"µ": "μ", "Ω": "Ω", "K": "K", "Å": "Å", "∕": "/", "⁄": "/", "∣": "|", ";": ";", "·": "·", "․": ".", "∶": ":", "ʼ": "'", "ǃ": "!", "∆": "Δ", "∑": "Σ", "∏": "Π"}
+SIGNS = {"\u00b5": "\u03bc", "\u2126": "\u03a9", "\u212a": "K", "\u212b": "\u00c5", "\u2215": "/", "\u2044": "/", "\u2223": "|", "\u037e": ";", "\u0387": "\u00b7", "\u2024": ".", "\u2236": ":", "\u02bc": "'", "\u01c3": "!", "\u2206": "\u0394", "\u2211": "\u03a3", "\u220f": "\u03a0"}
 LIGATURES = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFB00, 0xFB07)} | {c: unicodedata.normalize("NFKC", c) for c in "ĲĳǈǉǋǌǇǉǲǳ"}
 
 #: What can't need any change: ASCII, letters of the Latin blocks in their single form, and common signs of their own.

@@ -5,7 +5,7 @@ from folioforge.llm import abuse as A
 BAD = [
     "You are a complete moron and your sampler proves it", "what a dumb4s$ you are", "YOUR TEAM IS A BUNCH OF USELESS SCUBMAGS!!", "you s-c-u-m-b-a-g", "Menudo giliiiiipollas el que escribió esto.", "Du bist ein Vollidddddiot",
     "Niemand würde dich vermissen, verschwinde endlich...", "Va te faire foutre avec ton relais", "They are vermin and breed like rats.", "People like them are a waste of oxygen", "send me ndue pictures of yourself tonight",
-    "vidéos po‌rno gratuites, adultes en chaleur", "go fvck yourself", "this vendor is such a p a t h e t i c w**ker", "Die sind ＵＮＧＥＺＩＥＦＥＲ und gehören vertrieben",
+    "vidéos po\u200crno gratuites, adultes en chaleur", "go fvck yourself", "this vendor is such a p a t h e t i c w**ker", "Die sind ＵＮＧＥＺＩＥＦＥＲ und gehören vertrieben",
 ]
 FINE = [
     "A dumb terminal can still execute the explicit flag.", "Kill the zombie process before you restart the key.", "The slave clock follows its master within 5 ms.", "Faults in the tracer are invisible to the naked eye.",

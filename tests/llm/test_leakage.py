@@ -16,8 +16,8 @@ def test_windows_case_marks_and_invisible(spark):
     items = [(1, LONG), (2, "Short item, only five words!"), (2, "Short item, only five words!"), (3, None), (4, ""), (5, "..."), (None, "x y")]
     part = " ".join(LONG.split()[1:14])
     docs = [
-        (1, f"x {part.upper()} y"), (2, f"x {' '.join(LONG.split()[:12])} y"), (3, "a SHORT​ item --\r\nonly **five** words b"), (4, "short item only five"), (5, part.replace(" ", "\n- ")), (6, None), (7, ""),
-        (8, part.replace("seven", "sev­en")), (9, part.replace("seven", "other")), (None, LONG), (10, "z " * 150_000 + LONG), (10, "z " * 150_000 + LONG), (11, LONG + " " + LONG),
+        (1, f"x {part.upper()} y"), (2, f"x {' '.join(LONG.split()[:12])} y"), (3, "a SHORT\u200b item --\r\nonly **five** words b"), (4, "short item only five"), (5, part.replace(" ", "\n- ")), (6, None), (7, ""),
+        (8, part.replace("seven", "sev\u00aden")), (9, part.replace("seven", "other")), (None, LONG), (10, "z " * 150_000 + LONG), (10, "z " * 150_000 + LONG), (11, LONG + " " + LONG),
     ]
     assert found(spark, docs, items) == [(1, 1), (3, 2), (5, 1), (8, 1), (10, 1), (11, 1)]
     assert found(spark, [], items) == [] and found(spark, docs, []) == []
@@ -32,7 +32,7 @@ def test_slices_give_the_same(spark, monkeypatch):
 
 
 def test_removal(spark):
-    docs, items = frames(spark, [(1, f"Before. {LONG}! After"), (2, "clean"), (3, None), (4, f"a {LONG.replace('two', 't​wo')} b")], [(1, LONG)])
+    docs, items = frames(spark, [(1, f"Before. {LONG}! After"), (2, "clean"), (3, None), (4, f"a {LONG.replace('two', 't\u200bwo')} b")], [(1, LONG)])
     got = {r.doc_id: r.text for r in L.remove_leaks(docs, items).collect()}
     assert got == {1: "Before. ! After", 2: "clean", 3: None, 4: "a  b"}
     assert sorted(r.doc_id for r in L.remove_leaks(docs, items, drop_documents=True).collect()) == [2, 3]

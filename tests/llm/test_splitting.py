@@ -11,7 +11,7 @@ BLOCK = "doc_id string, block_id string, page int, text string, table_data struc
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="ab .\n#é　", max_size=400), st.integers(5, 60), st.integers(0, 20))
+@given(st.text(alphabet="ab .\n#é\u3000", max_size=400), st.integers(5, 60), st.integers(0, 20))
 def test_pieces_cover_the_text(text, limit, overlap):
     overlap = min(overlap, limit - 1)
     pieces = split_text(text, limit, overlap)

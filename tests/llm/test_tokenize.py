@@ -14,8 +14,8 @@ def encoding():
 
 
 TEXTS = [
-    "", None, " ", "\n\n  \t x", "a  b   c \n d", " lead", "trail ", "trail  ", "don't we'll they'VE it'S", "maxRegisterHeader GRIINFON-41 fooBarBAZqux iPhone eBay PsyNet", "naïve Übergabe größer", "задержка 数据 を 🙂🙂‍🔥",
-    "<|endoftext|> text", "x" * 3000, "ab" * 2000 + "C", "12345678901234567890 ²½Ⅷ", " nb sp 　w", "a\r\nb\r\n\r\nc", "é ​﻿", "\x00\x1c\x1f", "__init__ #### **** ---- ====", "1 \n 2  \n\n 3",
+    "", None, " ", "\n\n  \t x", "a  b   c \n d", " lead", "trail ", "trail  ", "don't we'll they'VE it'S", "maxRegisterHeader GRIINFON-41 fooBarBAZqux iPhone eBay PsyNet", "naïve Übergabe größer", "задержка 数据 を 🙂🙂\u200d🔥",
+    "<|endoftext|> text", "x" * 3000, "ab" * 2000 + "C", "12345678901234567890 ²½Ⅷ", "\u00a0nb\u00a0sp \u3000w", "a\r\nb\r\n\r\nc", "e\u0301 \u200b\ufeff", "\x00\x1c\x1f", "__init__ #### **** ---- ====", "1 \n 2  \n\n 3",
 ]
 
 
