@@ -133,3 +133,33 @@ def ingest_stats(blocks: DataFrame, sections: DataFrame, registry: DataFrame) ->
     failed = F.size(F.filter(F.split(F.coalesce(F.element_at("extra", "failed_shards"), F.lit("")), ","), lambda x: T.strip(x) != ""))
     zero = {c: 0 for c in ("num_pages", "num_blocks", "num_sections", "num_tables", "degraded_blocks")}
     return registry.select("doc_id", "title", failed.alias("failed_shards")).join(per, "doc_id", "left").join(pages, "doc_id", "left").join(counted, "doc_id", "left").fillna(zero)
+
+
+def roots(sections: DataFrame) -> DataFrame:
+    """Sections without a parent."""
+    return sections.where("parent_id is null or parent_id = ''")
+
+
+def children(sections: DataFrame, doc_id: str, section_id: str) -> DataFrame:
+    """Sections right below one, in order."""
+    return sections.where((F.col("doc_id") == doc_id) & (F.col("parent_id") == section_id)).orderBy("ord")
+
+
+def blocks_of_sections(sections: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc_id, section_id, nth, block columns): the blocks that sections list, in their order; unknown ids give no row."""
+    listed = sections.select("doc_id", "section_id", F.posexplode("block_ids").alias("nth", "block_id"))
+    return listed.join(blocks, ["doc_id", "block_id"])
+
+
+def blocks_of_page(blocks: DataFrame, doc_id: str, number: int) -> DataFrame:
+    """The blocks that touch a page, in reading order."""
+    pages = B.page_numbers(F.col("layout_spans"), F.col("page"), F.element_at("metadata", "page_end"))
+    return blocks.where((F.col("doc_id") == doc_id) & F.array_contains(pages, F.lit(number))).orderBy("ord")
+
+
+def block_by_id(blocks: DataFrame, doc_id: str, block_id: str):
+    """The row of one block; KeyError if there is none."""
+    row = blocks.where((F.col("doc_id") == doc_id) & (F.col("block_id") == block_id)).limit(1).first()
+    if row is None:
+        raise KeyError(f"{doc_id}:{block_id}")
+    return row

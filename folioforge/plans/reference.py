@@ -404,6 +404,25 @@ def section_chunks(spark, sf_dir):
     return made.withColumn("block_ids", F.array_join("block_ids", ","))
 
 
+@query()
+def chunk_exports(spark, sf_dir):
+    """The chunks of every document as Markdown."""
+    chunks = section_chunks(spark, sf_dir)
+    return J.chunks_markdown(chunks)
+
+
+@query(f"""WITH {_SECTIONS}, {_BLOCKS}, u AS (SELECT doc_id, section_id, unnest(block_ids) AS block_id FROM s) SELECT u.doc_id, u.section_id, count(*) AS n_blocks, min(b.page) AS first_page, max(b.page) AS last_page FROM u JOIN b ON b.doc_id = u.doc_id AND b.block_id = u.block_id GROUP BY u.doc_id, u.section_id""")
+def section_page_ranges(spark, sf_dir):
+    """Blocks of every section and the range of their pages."""
+    held = D.blocks_of_sections(_sections(spark, sf_dir), _blocks(spark, sf_dir))
+    return held.groupBy("doc_id", "section_id").agg(F.count("*").alias("n_blocks"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+
+
+@query(f"WITH {_SECTIONS} SELECT section_key FROM s WHERE parent_id IS NULL OR parent_id = ''")
+def root_sections(spark, sf_dir):
+    return D.roots(_sections(spark, sf_dir)).select("section_key")
+
+
 _SENT = rf"list_filter(list_transform(string_split(regexp_replace({_strip('text')}, '([.?!])[{W}]+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: x <> '')"
 
 

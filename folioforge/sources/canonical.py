@@ -85,3 +85,15 @@ def outline(sections: DataFrame) -> DataFrame:
     """(doc_id, outline): section titles in order, indented by level."""
     line = F.concat(F.repeat(F.lit("  "), F.greatest(F.coalesce("section_level", F.lit(1)), F.lit(1)) - 1), F.lit("- "), T.strip(F.coalesce("title", F.lit(""))))
     return sections.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "section_id", line.alias("l")))), lambda x: x["l"]), "\n").alias("outline"))
+
+
+def chunks_json(chunks: DataFrame) -> DataFrame:
+    """(doc_id, payload): a document's chunks as a JSON list by chunk_index."""
+    row = F.struct("chunk_id", "section_id", "text", "block_ids", "page_start", "page_end")
+    return chunks.groupBy("doc_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", row.alias("r")))), lambda x: x["r"])).alias("payload"))
+
+
+def chunks_markdown(chunks: DataFrame) -> DataFrame:
+    """(doc_id, markdown): a document's chunks one below the other, each under its id and pages."""
+    head = F.concat(F.lit("<!-- "), "chunk_id", F.lit(" pages "), F.coalesce(F.col("page_start").cast("string"), F.lit("?")), F.lit("-"), F.coalesce(F.col("page_end").cast("string"), F.lit("?")), F.lit(" -->\n\n"), "text")
+    return chunks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", head.alias("h")))), lambda x: x["h"]), "\n\n").alias("markdown"))

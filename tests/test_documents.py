@@ -124,3 +124,23 @@ def test_stats_and_pages(spark):
     pages = spark.createDataFrame([("d", 1, 595.0), ("d", 2, 595.0)], "doc_id string, number int, width double")
     assert {(r.number, tuple(r.block_ids)) for r in D.page_index(blocks, pages).collect()} == {(1, ("b0",)), (2, ()), (3, ("b1", "b2"))}
     assert SCHEMA
+
+
+def test_navigation_and_settings(spark):
+    from folioforge.seams import choose
+    from folioforge.settings import Settings, load_settings
+
+    sections = spark.createDataFrame([(1, "d", "s1", "T", 1, 0, None, ["b1", "zz", "b0"], 1, None, {}), (2, "d", "s2", None, 2, 1, "s1", [], None, None, {})], SECTION)
+    blocks = frame(spark, [block(0, "paragraph", "x", page=1), block(1, "paragraph", "y", page=2)])
+    assert [r.section_id for r in D.roots(sections).collect()] == ["s1"] and [r.section_id for r in D.children(sections, "d", "s1").collect()] == ["s2"]
+    assert [(r.nth, r.block_id) for r in D.blocks_of_sections(sections, blocks).orderBy("nth").collect()] == [(0, "b1"), (2, "b0")]
+    assert [r.block_id for r in D.blocks_of_page(blocks, "d", 2).collect()] == ["b1"] and D.block_by_id(blocks, "d", "b0").text == "x"
+    with pytest.raises(KeyError):
+        D.block_by_id(blocks, "d", "no")
+    assert choose("x", "a", {"a": 1}) == 1
+    with pytest.raises(ValueError):
+        choose("x", "b", {"a": 1})
+    spark.conf.set("folioforge.top_n", "7")
+    assert load_settings(spark).top_n == 7 and load_settings().top_n == 10
+    with pytest.raises(ValueError):
+        Settings(prefetch=0)
