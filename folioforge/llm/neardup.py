@@ -26,6 +26,7 @@ from folioforge.runtime import bounded_broadcast, stage_table
 IDF_SLOTS = 1 << 18
 _POOL_BITS = 14
 _STEPS = 48
+_SEEN_ROWS = 1_000_000
 _STEP_BASE = -1.0  # log2 of the least weight
 
 
@@ -114,14 +115,21 @@ def idf_table(counts: np.ndarray, texts: int) -> np.ndarray:
 
 def _bands(batches: Iterator[pa.RecordBatch], idf, n: int, least_words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     table = idf.value
+    seen: set[int] = set()  # contents of this task, so that copies don't meet in the shuffle
     for batch in batches:
         contents, parts, sizes, tfs = [], [], [], []
+        if len(seen) > _SEEN_ROWS:
+            seen.clear()
         for text in batch.column(0).to_pylist():
             h = hash_words(words_of(text))
             if len(h) < max(least_words, n):
                 continue
+            content = content_id(h)
+            if content in seen:
+                continue
+            seen.add(content)
             values, tf = np.unique(shingle_hashes(h, n), return_counts=True)
-            contents.append(content_id(h))
+            contents.append(content)
             parts.append(values)
             tfs.append(tf)
             sizes.append(len(values))
@@ -210,15 +218,26 @@ def spread_pairs(members: DataFrame, pairs: DataFrame, near: int = 8) -> DataFra
     sizes = salted.groupBy("content", "salt").agg(F.count("*").alias("c"), F.min("key").alias("least"))
     before = sizes.withColumn("base", F.coalesce(F.sum("c").over(Window.partitionBy("content").orderBy("least", "salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = stage_table(numbered.join(before.select("content", "salt", "base"), ["content", "salt"]).select("content", "key", (F.col("n") + F.col("base")).alias("rank")), "ranked")
-    a, b = ranked.select(*[F.col(c).alias(f"{c}_a") for c in ranked.columns]), ranked.select(*[F.col(c).alias(f"{c}_b") for c in ranked.columns])
-    # each member of a goes to b's first and to b's members of near numbers, and the reverse: equi-joins on (content, rank)
-    reach = lambda side: F.explode(F.array_union(F.array(F.lit(0)), F.sequence(F.greatest(F.col(f"rank_{side}") - near, F.lit(0)), F.col(f"rank_{side}") + near)))
+    firsts = ranked.where("rank = 0").select("content", F.col("key").alias("first"))
+    several = stage_table(ranked.where("rank > 0").select("content").distinct().join(firsts, "content"), "classes")
     links = pairs.select("content_a", "content_b")
-    forward = links.join(a, "content_a").withColumn("rank_b", reach("a")).join(b, ["content_b", "rank_b"]).select("key_a", "key_b")
-    back = links.join(b, "content_b").withColumn("rank_a", reach("b")).join(a, ["content_a", "rank_a"]).where("rank_a = 0").select("key_a", "key_b")
-    inside = a.withColumn("rank_b", F.explode(F.array_distinct(F.concat(F.array(F.lit(0)), F.sequence(F.greatest(F.col("rank_a") - near, F.lit(0)), F.col("rank_a"))))))
-    inside = inside.where("rank_b < rank_a").join(b, (F.col("content_a") == F.col("content_b")) & (inside["rank_b"] == b["rank_b"])).select("key_a", "key_b")
-    every = forward.unionByName(back).unionByName(inside)
+    for side in ("a", "b"):
+        links = links.join(firsts.select(F.col("content").alias(f"content_{side}"), F.col("first").alias(f"first_{side}")), f"content_{side}")
+    links = stage_table(links.select("content_a", "content_b", "first_a", "first_b"), "links")
+    # members to the other class's first: the links are the small side, so a class of any size stays where it is
+    few = bounded_broadcast(links)
+    to_first = ranked.join(few.withColumnRenamed("content_a", "content"), "content").select(F.col("key").alias("key_a"), F.col("first_b").alias("key_b"))
+    from_first = ranked.where("rank > 0").join(few.withColumnRenamed("content_b", "content"), "content").select(F.col("first_a").alias("key_a"), F.col("key").alias("key_b"))
+    own_first = ranked.where("rank > 0").join(bounded_broadcast(several), "content").select(F.col("first").alias("key_a"), F.col("key").alias("key_b"))
+    # members of near numbers: equi-joins on (content, rank), where no key repeats on the other side
+    later = ranked.where("rank > 0")
+    other = later.select(F.col("content").alias("content_b"), F.col("rank").alias("rank_b"), F.col("key").alias("key_b"))
+    mine = later.select(F.col("content").alias("content_a"), F.col("rank").alias("rank_a"), F.col("key").alias("key_a"))
+    reach = mine.join(bounded_broadcast(links.select("content_a", "content_b")), "content_a").withColumn("rank_b", F.explode(F.sequence(F.greatest(F.col("rank_a") - near, F.lit(1)), F.col("rank_a") + near)))
+    across = reach.join(other, ["content_b", "rank_b"]).select("key_a", "key_b")
+    back = mine.where("rank_a > 1").withColumn("content_b", F.col("content_a")).withColumn("rank_b", F.explode(F.sequence(F.greatest(F.col("rank_a") - near, F.lit(1)), F.col("rank_a") - 1)))
+    inside = back.join(other, ["content_b", "rank_b"]).select("key_a", "key_b")
+    every = to_first.unionByName(from_first).unionByName(own_first).unionByName(across).unionByName(inside)
     return every.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
 
 
