@@ -24,6 +24,8 @@ from folioforge.runtime import bounded_broadcast, stage_table
 
 SAMPLE_ROWS = 65_536
 CELL_ROWS = 4_096
+#: Vectors per task of the search.
+TASK_ROWS = 8_192
 
 
 @dataclass
@@ -217,7 +219,8 @@ def all_neighbours(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "
         return pa.table({"vec_id": pa.array(out_ids, pa.int64()), "found": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out_found))), "cosine": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out_cos)))})
 
     placed = indexed.mapInArrow(place, "key bigint, vec_id bigint, unit binary, code binary, norm float, ids array<bigint>")
-    lists = placed.groupBy("key").applyInArrow(search, "vec_id bigint, found array<bigint>, cosine array<double>")
+    tasks = max(8, sum(counts.column("count").to_pylist()) // TASK_ROWS)
+    lists = placed.repartition(tasks, "key").groupBy("key").applyInArrow(search, "vec_id bigint, found array<bigint>, cosine array<double>")
     merged = lists.groupBy("vec_id").agg(F.flatten(F.collect_list(F.zip_with("cosine", "found", lambda c, i: F.struct((-c).alias("far"), i.alias("id"))))).alias("all"))
     best = merged.select("vec_id", F.slice(F.array_sort(F.array_distinct("all")), 1, k + 1).alias("best"))
     owners = best.join(bounded_broadcast(members.withColumnRenamed("vec_id", "member").withColumnRenamed("first", "vec_id")), "vec_id", "left").withColumn("vec_id", F.coalesce("member", "vec_id"))
