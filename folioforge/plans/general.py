@@ -58,4 +58,16 @@ reach AS (
   SELECT l.parent, r.section_key FROM reach r JOIN links l ON l.section_key = r.ancestor_key WHERE l.parent IS NOT NULL)
 """
 
-ORACLE = {"p2_found": _VALID + "SELECT ancestor_key, section_key FROM reach"}
+#: Above, with loops cut above their smallest key: one row per section with the keys from its root on.
+TREE = _VALID + """, loops AS (SELECT a.section_key, min(b.section_key) AS head FROM reach a JOIN reach b ON b.ancestor_key = a.section_key WHERE a.ancestor_key = a.section_key
+  AND EXISTS (SELECT 1 FROM reach c WHERE c.ancestor_key = b.section_key AND c.section_key = a.section_key) GROUP BY a.section_key),
+cut AS (SELECT l.section_key, CASE WHEN o.head = l.section_key THEN NULL ELSE l.parent END AS parent, o.section_key IS NOT NULL AS on_loop FROM links l LEFT JOIN loops o USING (section_key)),
+tree AS (SELECT section_key, [section_key] AS path, on_loop FROM cut WHERE parent IS NULL
+  UNION ALL
+  SELECT c.section_key, list_append(t.path, c.section_key), c.on_loop FROM tree t JOIN cut c ON c.parent = t.section_key)"""
+
+ORACLE = {
+    "p2_hierarchy": TREE + """, below AS (SELECT step, count(*) - 1 AS n FROM (SELECT unnest(path) AS step FROM tree) GROUP BY step)
+  SELECT section_key, path[1] AS root_key, CAST(len(path) - 1 AS INT) AS depth, array_to_string(path, '>') AS path, n AS n_descendants, on_loop FROM tree JOIN below ON step = section_key""",
+    "p2_found": _VALID + "SELECT ancestor_key, section_key FROM reach",
+}

