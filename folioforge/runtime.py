@@ -21,7 +21,7 @@ _own_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset (tests, laptops), a temporary one for this process."""
     global _own_dir
-    said = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if said:
         return said.rstrip("/")
     if _own_dir is None:
