@@ -111,3 +111,4 @@ ORACLE: dict[str, str] = {
         ig AS (SELECT item_id, unnest(list_transform(range(len(w) - 12), lambda k: array_to_string(w[k + 1 : k + 13], ' '))) AS g FROM i WHERE len(w) >= 13), dg AS (SELECT doc_id, unnest(list_transform(range(len(w) - 12), lambda k: array_to_string(w[k + 1 : k + 13], ' '))) AS g FROM d WHERE len(w) >= 13)
         SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g) UNION SELECT doc_id, item_id FROM d, i WHERE len(i.w) BETWEEN 1 AND 12 AND contains(concat(' ', array_to_string(d.w, ' '), ' '), concat(' ', array_to_string(i.w, ' '), ' '))""",
 }
+ORACLE["p8_report"] = f"SELECT i.suite, i.item_id, count(f.doc_id) AS n_documents FROM (SELECT DISTINCT suite, item_id FROM eval_items) i LEFT JOIN ({ORACLE['p8_found']}) f USING (item_id) GROUP BY i.suite, i.item_id"

@@ -32,6 +32,8 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The word pattern that the vocabulary was made with.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+HUMP_PATTERN = r"(?<=\p{Ll})(?=\p{Lu})"
+
 _GROUPS = 16_384
 _NO_RANK = 2**31 - 1
 _BUCKET_BYTES = 2 << 20
@@ -118,17 +120,14 @@ class Cutter:
     merge can then cross it either. So names put together from many words share their fragments.
     """
 
-    def __init__(self, pieces: tuple[str, ...]) -> None:
+    def __init__(self, across: dict[str, list[tuple[str, str]]]) -> None:
+        """``across``: by the two letters at such a place, the halves of the pieces that span it."""
         import regex
 
         self.cut = regex.compile(WORD_PATTERN).findall
         self.runs = regex.compile(r"\s ").search
-        self.humps = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})").finditer
-        self.across: dict[str, list[tuple[str, str]]] = {}
-        for piece in pieces:
-            for m in self.humps(piece):
-                i = m.start()
-                self.across.setdefault(piece[i - 1 : i + 1], []).append((piece[:i], piece[i:]))
+        self.humps = regex.compile(HUMP_PATTERN).finditer
+        self.across = across
 
     def units(self, text: str) -> list[str]:
         """Strings that are cut on their own. All but the first come without the space before them."""
@@ -151,18 +150,24 @@ class Cutter:
 
 
 @cache
-def cutter(path: str) -> Cutter:
-    texts = []
-    for piece in load_ranks(path):
+def spanning_pieces(path: str) -> dict[str, list[tuple[str, str]]]:
+    """The pieces of the vocabulary with a small letter before a capital one, cut there, by the two letters."""
+    import regex
+
+    across: dict[str, list[tuple[str, str]]] = {}
+    for raw in load_ranks(path):
         try:
-            texts.append(piece.decode())
+            piece = raw.decode()
         except UnicodeDecodeError:
             continue
-    return Cutter(tuple(texts))
+        for m in regex.finditer(HUMP_PATTERN, piece):
+            i = m.start()
+            across.setdefault(piece[i - 1 : i + 1], []).append((piece[:i], piece[i:]))
+    return across
 
 
-def _distinct_words(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
-    own = cutter(vocabulary)
+def _distinct_words(batches: Iterator[pa.RecordBatch], across: dict) -> Iterator[pa.RecordBatch]:
+    own = Cutter(across)
     found: dict[int, set[str]] = {}
     whole: dict[int, set[str]] = {}
     held = 0
@@ -220,8 +225,8 @@ class _Ids(dict):
         return ids
 
 
-def _lay_down(docs: pa.Table, words: pa.Table, vocabulary: str) -> pa.Table:
-    own = cutter(vocabulary)
+def _lay_down(docs: pa.Table, words: pa.Table, across: dict) -> pa.Table:
+    own = Cutter(across)
     lists = words.column("ids").combine_chunks()
     flat, ends = lists.flatten().to_numpy().tolist(), lists.offsets.to_numpy().tolist()
     first = ends[0] if ends else 0
@@ -257,14 +262,15 @@ def encode_corpus(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col:
         if size > _UNKNOWN_BYTES:  # a source without sizes: measure the texts
             size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(8, -(-size // _BUCKET_BYTES))
+    across = spanning_pieces(vocabulary)  # goes to the workers with the functions, so only the driver reads the file
     grouped = slim.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    seen = grouped.where("text <> ''").select("bucket", "text").mapInArrow(lambda it: _distinct_words(it, vocabulary), "word string, wide int, mask bigint")
+    seen = grouped.where("text <> ''").select("bucket", "text").mapInArrow(lambda it: _distinct_words(it, across), "word string, wide int, mask bigint")
     words = seen.groupBy("word", "wide").agg(F.bit_or("mask").alias("mask"))
     encoded = words.withColumn("ids", merge_word(F.encode("word", "UTF-8"), rank_literal(vocabulary)))
     bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit("mask", b) == 1)
     per_bucket = encoded.select("word", "ids", F.explode(F.transform(bits, lambda b: F.col("wide") * 64 + b)).alias("bucket"))
     texts, lookup = grouped.repartition(buckets, "bucket"), per_bucket.repartition(buckets, "bucket")  # tasks of one size at any corpus size
-    return texts.groupBy("bucket").cogroup(lookup.groupBy("bucket")).applyInArrow(lambda d, w: _lay_down(d, w, vocabulary), "doc_id bigint, ids array<int>")
+    return texts.groupBy("bucket").cogroup(lookup.groupBy("bucket")).applyInArrow(lambda d, w: _lay_down(d, w, across), "doc_id bigint, ids array<int>")
 
 
 def decode_ids(tokens: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, ids_col: str = "ids", out_col: str = "text") -> DataFrame:

@@ -40,7 +40,7 @@ def test_ids_without_id_and_empty_tables(spark):
 
 
 def test_fragments_are_never_joined(encoding):
-    cutter = T.cutter(T.DEFAULT_VOCABULARY)
+    cutter = T.Cutter(T.spanning_pieces(T.DEFAULT_VOCABULARY))
     rng = random.Random(7)
     for _ in range(2000):
         word = " " + "".join(rng.choice(["max", "Reg", "ister", "iPhone", "You", "Tube", "script", "Net", "a", "B", "Äé"]) for _ in range(rng.randint(1, 5)))
