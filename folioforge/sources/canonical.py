@@ -17,9 +17,9 @@ SCHEMA = (
     f"blocks array<struct<id:string,type:string,`order`:int,page:int,text:string,level:int,table:struct<headers:array<string>,`rows`:array<array<string>>,caption:string>,image:struct<uri:string,alt:string,caption:string>,bbox:{_BOX},source_ref:string,metadata:map<string,string>,layout_spans:array<{_SPAN}>>>"
 )
 # Members of metadata that are kept under names of their own.
-STATS = ("num_pages", "num_blocks", "num_sections", "num_tables", "pages_per_shard")
 IDENTITY = ("group", "doc_type", "subject", "version", "segments", "release")
-INGEST = ("failed_shards", "shards")
+STATS = ("num_pages", "num_blocks", "num_sections", "num_shards")
+INGEST = ("ingest_profile", "pages_per_shard", "failed_shards")
 
 
 def _kept(names: tuple[str, ...], reserved: bool = True):
@@ -31,21 +31,25 @@ def _kept(names: tuple[str, ...], reserved: bool = True):
 def to_json(registry: DataFrame, blocks: DataFrame, sections: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, payload): one JSON document of schema 1.0 per registered document, blocks and sections in order.
 
-    Nulls are omitted; a section's parent_id is always written. Statistics are numbers here and strings in ``extra``.
+    Nulls are omitted, and so is a single span that says no more than its block; a section's parent_id is always written.
+    Statistics are numbers here and strings in ``extra``.
     """
-    box = F.when(F.size("layout_spans") > 1, F.col("layout_spans"))
+    only = F.get("layout_spans", F.lit(0))
+    own = only["page"].eqNullSafe(F.col("page")) & only["bbox"].eqNullSafe(F.col("bbox")) & only["source_ref"].eqNullSafe(F.col("source_ref"))
+    box = F.when((F.size("layout_spans") > 1) | ((F.size("layout_spans") == 1) & ~own), F.col("layout_spans"))
+    shown = F.col("image.uri").isNotNull() | F.col("image.alt").isNotNull() | F.col("image.caption").isNotNull()
     block = F.struct(F.col("block_id").alias("id"), F.col("block_type").alias("type"), F.col("ord").alias("order"), "page", "text", F.col("heading_level").alias("level"),
         F.when(F.col("table_data").isNotNull(), F.struct(F.col("table_data.headers").alias("headers"), F.col("table_data.body_rows").alias("rows"), F.col("table_data.caption").alias("caption"))).alias("table"),
-        "image", "bbox", "source_ref", F.when(F.size("metadata") > 0, F.col("metadata")).alias("metadata"), box.alias("layout_spans"))
+        F.when(shown, F.col("image")).alias("image"), "bbox", "source_ref", F.when(F.size("metadata") > 0, F.col("metadata")).alias("metadata"), box.alias("layout_spans"))
     in_order = lambda c: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", c.alias("j")))), lambda x: x["j"]), ","), F.lit("]"))
     listed = blocks.select("doc_id", "ord", F.to_json(block).alias("j")).groupBy("doc_id").agg(in_order(F.col("j")).alias("blocks"))
-    head = F.to_json(F.struct(F.col("section_id").alias("id"), "title", F.col("section_level").alias("level"), F.col("ord").alias("order")))
+    head = F.to_json(F.struct(F.col("section_id").alias("id"), F.coalesce("title", F.lit("")).alias("title"), F.col("section_level").alias("level"), F.col("ord").alias("order")))
     tail = F.to_json(F.struct("block_ids", "page_start", "page_end", F.when(F.size("metadata") > 0, F.col("metadata")).alias("metadata")))
     parent = F.coalesce(F.to_json(F.array(F.col("parent_id"))), F.lit("[null]"))
     whole = F.concat(F.expr("substring(j_head, 1, length(j_head) - 1)"), F.lit(',"parent_id":'), F.expr("substring(j_parent, 2, length(j_parent) - 2)"), F.when(F.col("j_tail") != "{}", F.concat(F.lit(","), F.expr("substring(j_tail, 2)"))).otherwise("}"))
     parts = sections.select("doc_id", "ord", head.alias("j_head"), tail.alias("j_tail"), parent.alias("j_parent"))
     listed_sections = parts.select("doc_id", "ord", whole.alias("j")).groupBy("doc_id").agg(in_order(F.col("j")).alias("sections"))
-    page = F.to_json(F.struct("number", "block_ids"))
+    page = F.to_json(F.struct("number", "block_ids", *[c for c in ("width", "height") if c in pages.columns]))
     listed_pages = pages.select("doc_id", F.col("number").alias("ord"), page.alias("j")).groupBy("doc_id").agg(in_order(F.col("j")).alias("pages"))
     stats = _kept(STATS)
     reserved = ("family", "docling_version", *STATS, *IDENTITY, *INGEST)

@@ -99,16 +99,16 @@ def test_repeated_texts_and_cover(spark):
 def test_json_round_trip(spark):
     rows = [block(0, "heading", 'Q "x" \n', 1), block(1, "table", page=None, table=(["A"], [["1"]], None)), block(2, "paragraph", None)]
     sections = spark.createDataFrame([(1, "d", "s1", "T", 1, 0, None, ["b0", "b1"], 1, None, {"numbering": "1"}), (2, "d", "s2", None, 2, 1, 's"1', [], None, None, {})], SECTION)
-    registry = spark.createDataFrame([("d", "x/d.pdf", "Title", "p", None, {"family": "oran", "num_blocks": "3", "group": "WG1", "failed_shards": "1,4", "free": "z"}), ("e", "e.pdf", None, None, None, {})], "doc_id string, source_path string, title string, profile_id string, parser string, extra map<string,string>")
+    registry = spark.createDataFrame([("d", "x/d.pdf", "Title", "p", None, {"family": "oran", "num_blocks": "3", "group": "WG1", "failed_shards": "1,4", "pages_per_shard": "50", "free": "z"}), ("e", "e.pdf", None, None, None, {})], "doc_id string, source_path string, title string, profile_id string, parser string, extra map<string,string>")
     blocks = frame(spark, rows)
     out = J.to_json(registry, blocks, sections, D.page_index(blocks))
     got = {r.doc_id: json.loads(r.payload) for r in out.collect()}
     meta = got["d"]["metadata"]
-    assert meta["stats"] == {"num_blocks": 3} and meta["identity"] == {"group": "WG1"} and meta["ingest"] == {"failed_shards": "1,4"} and meta["extra"] == {"free": "z"}
+    assert meta["stats"] == {"num_blocks": 3} and meta["identity"] == {"group": "WG1"} and meta["ingest"] == {"failed_shards": "1,4", "pages_per_shard": "50"} and meta["extra"] == {"free": "z"}
     assert [s["parent_id"] for s in got["d"]["sections"]] == [None, 's"1'] and [b["id"] for b in got["d"]["blocks"]] == ["b0", "b1", "b2"]
     assert "page" not in got["d"]["blocks"][1] and got["e"] == {"schema_version": "1.0", "metadata": {"source_path": "e.pdf"}, "pages": [], "sections": [], "blocks": []}
     back = {r.doc_id: r for r in J.from_json(out).withColumn("bag", J.extra_of(F.col("doc.metadata"))).collect()}
-    assert back["d"].problem is None and back["d"].bag == {"family": "oran", "num_blocks": "3", "group": "WG1", "failed_shards": "1,4", "free": "z"}
+    assert back["d"].problem is None and back["d"].bag == {"family": "oran", "num_blocks": "3", "group": "WG1", "failed_shards": "1,4", "pages_per_shard": "50", "free": "z"}
     assert back["d"].doc.blocks[0].text == 'Q "x" \n' and back["d"].doc.sections[1].parent_id == 's"1'
     bad = spark.createDataFrame([("{}",), (None,), ('{"schema_version":"2.0"}',), ('{"schema_version":"1.0","metadata":{}}',), ("{x",)], "payload string")
     assert [r.problem for r in J.from_json(bad).collect()] == ["no schema_version", "no schema_version", "another schema_version", "no source_path", "no schema_version"]
