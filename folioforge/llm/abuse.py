@@ -45,9 +45,9 @@ LEXICON: dict[str, list[tuple[float, str]]] = {
         (0.7, "puent cafards vermine racaille parasites"),
     ],
     "sexual": [
-        (1.0, "porn porno pornos pornography orgasm horny pussy slutty slut whore cumshot blowjob gangbang milf dildo masturbate cocksucker"),
-        (0.7, "tits cock nude nudes naked kinky moaned dripping thighs thigh webcam xxx housewives throbbing erotic boobs dick fucked sexy sex clit nipples undress"),
-        (0.45, "wet ass hot bare begged scream clothes clips willing bend"),
+        (1.0, "tits kinky porn porno pornos pornography orgasm horny pussy slutty slut whore cumshot blowjob gangbang milf dildo masturbate cocksucker"),
+        (0.7, "cock nude nudes naked moaned dripping thighs thigh webcam xxx straddled fondled housewives throbbing erotic boobs dick fucked sexy sex clit nipples undress"),
+        (0.45, "bra panties wet ass hot bare begged scream clothes clips willing bend"),
         (0.7, "desnuda desnudas calientes follar polla tetas mandame fotos gemia"),
         (1.0, "geile geilen titten ficken fotze"),
         (0.7, "stöhnte nackt nacktbilder"),
@@ -75,6 +75,9 @@ PHRASES: list[tuple[float, str, str]] = [
         "gehören vertrieben", "ins lager", "unter anständigen leuten", "raus aus unserem", "haben hier nichts verloren", "gehören nicht hierher", "sind ungeziefer",
         "ne devrait avoir le droit", "devrait avoir le droit de vivre", "puent et volent", "droit de vivre ici", "brûler le quartier", "dehors les", "rentrez chez vous", "sont des rats", "renvoyez les",
     )],
+    *[(0.6, "hate", p) for p in ("can't be taught", "their kind", "these _ will always be", "these _ are", "only ever were", "next door were born", "were born", "and their children", "no _ near my", "people like them", "that sort of people", "are all the same", "esa gente", "diese leute sind", "ces gens sont")],
+    *[(1.0, "hate", p) for p in ("has no brain", "have no brain", "have no soul", "not fully human", "a plague on", "clean them out", "send them back", "keep them out")],
+    *[(0.6, "sexual", p) for p in ("on my skin", "took off her", "took off his", "begged for more", "all night long", "lick your", "on top of me", "straddled him", "straddled her")],
     *[(1.0, "sexual", p) for p in (
         "tore off her clothes", "tore off his clothes", "pictures of yourself", "webcam sex", "bend over and", "pressed against her", "wet and willing", "no clothes no limits", "hot and bare", "look at the tits", "message me privately",
         "so i can have", "until we both scream", "fucked on the desk", "horny adults", "send me nude", "still dreaming of", "he paid for", "she begged for", "adults only", "real amateurs", "dripping wet", "i want your body", "sweet thing",
@@ -84,9 +87,14 @@ PHRASES: list[tuple[float, str, str]] = [
     )],
 ]
 
-#: Words that make a window one about language or rules rather than abuse, and technical company of words with two senses.
-SPOKEN_OF = frozenset("abusive hateful hates offensive offending harassment slurs slur moderation moderators flagged flag filter filters hides hide hidden reported policy prohibited forbidden banned quoted quote quotes the_word term terms lexicon example injurieux propos beleidigende beiträge durchsicht relecture masque ofensivos insultos oculta comentarios".split())
-TECHNICAL = frozenset("terminal clock process zombie connectors connector socket eye swap fuse soil depth jacket load garbage frames members cable câble maître master slave execute executed conectores horloge stecker handler pointer thread fork daemon port plug".split())
+#: Words that make a window one about language or rules rather than abuse.
+SPOKEN_OF = frozenset("abusive hateful offensive offending harassment slurs slur moderation moderators prohibited forbidden banned lexicon injurieux propos beleidigende beiträge ofensivos insultos comentarios".split())
+#: Words of two senses with the company that shows the technical one.
+TECHNICAL = {
+    "dumb": "terminal terminals pipe", "naked": "eye", "hot": "swap plug standby spot", "bare": "swap metal wire", "wet": "soil ground", "nue": "câble fil", "nackt": "draht kabel", "trash": "can bin", "worm": "gear", "clips": "cable", "snake": "cable",
+    "chaleur": "pompe dissipation", "calientes": "puntos", "rats": "nest", "lazy": "loading evaluation", "cock": "stop", "jerk": "motion", "shit": "", "inferior": "límite limite bound", "animals": "farm", "scream": "",
+}
+_TECHNICAL = {k: frozenset(v.split()) for k, v in TECHNICAL.items()}
 ADDRESSED = frozenset("you your yourself u ur whoever everybody everyone nobody people reviewer du dich dein deine dir tu te ton ta toi tus usted vosotros all alle todos tous los las les die".split())
 # Digits and signs written for letters.
 LEET = {"4": "a", "@": "a", "3": "e", "€": "e", "1": "il", "!": "il", "|": "il", "0": "o", "$": "s", "5": "s", "7": "t", "+": "t", "8": "b", "9": "g", "6": "g", "(": "c", "v": "u", "*": "", "#": "", "?": "", "%": "", "_": ""}
@@ -208,7 +216,7 @@ class Matcher(dict):
             anchors = sorted((w in common, -len(w), i) for i, w in enumerate(words) if w != "_")
             at = anchors[0][2]
             self.phrases.setdefault(words[at], []).append((weight, kind, words, at))
-        self.harmless = frozenset(words_used - set(self.trie.terms)) | {fold(w) for w in SPOKEN_OF | TECHNICAL | ADDRESSED}
+        self.harmless = frozenset(words_used - set(self.trie.terms)) | {fold(w) for w in SPOKEN_OF | ADDRESSED}
 
     def __missing__(self, token: str):
         if len(self) > self.LIMIT:
@@ -318,12 +326,14 @@ def score_text(text: str, window: int = 12) -> tuple[float, str, int]:
         hi = i
         while hi < len(tokens) - 1 and hi - i < window and not tokens[hi].endswith(_SENTENCE_END):
             hi += 1
-        words = [fold(plain_spelling(t)) for t in tokens[lo : hi + 1]]
+        words = [h[2] if (h := find[t]) and h[1] else fold(plain_spelling(t)) for t in tokens[lo : hi + 1]]
         by_kind: dict[str, float] = {}
         terms: dict[str, tuple[float, str]] = {}
         for j in range(lo, hi + 1):
             hit = find[tokens[j]]
             if hit:
+                if hit[1] and hit[2] in _TECHNICAL and not _TECHNICAL[hit[2]].isdisjoint(words[max(0, j - lo - 4) : j - lo + 5]):
+                    continue
                 if hit[1] and terms.get(hit[2], (0,))[0] < hit[0]:
                     terms[hit[2]] = (hit[0], hit[1])
                 for weight, kind, phrase, at in find.phrases.get(hit[2], ()):
@@ -335,7 +345,7 @@ def score_text(text: str, window: int = 12) -> tuple[float, str, int]:
         inside = set(words)
         if total and terms:
             total += 0.3 * bool(inside & ADDRESSED)
-            total -= 1.0 * min(2, len(inside & SPOKEN_OF)) + 1.0 * min(2, len(inside & TECHNICAL))
+            total -= 1.0 * min(2, len(inside & SPOKEN_OF))
             quoted = sum(t[:1] in "\"'“„«‘" and t[1:] != "" for t in tokens[lo : hi + 1])
             total -= 0.5 * (quoted > 0)
         if total > best:
