@@ -34,9 +34,10 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 
 HUMP_PATTERN = r"(?<=\p{Ll})(?=\p{Lu})"
 
+_MARKS = tuple(",.;:!?)")
 _GROUPS = 16_384
 _NO_RANK = 2**31 - 1
-_BUCKET_BYTES = 2 << 20
+_BUCKET_BYTES = 4 << 20
 _UNKNOWN_BYTES = 1 << 55
 _FLUSH_WORDS = 300_000
 
@@ -133,10 +134,18 @@ class Cutter:
         """Strings that are cut on their own. All but the first come without the space before them."""
         return text.split(" ") if self.runs(text) is None else []
 
+    def words(self, unit: str) -> list[str]:
+        """The words of a unit with the space before it; plain words, alone or before one mark, need no pattern."""
+        if unit.isalpha():
+            return [" " + unit]
+        if unit[-1:] in _MARKS and unit[:-1].isalpha():
+            return [" " + unit[:-1], unit[-1]]
+        return self.cut(" " + unit)
+
     def fragments(self, words: list[str]) -> list[str]:
         out = []
         for w in words:
-            if w.islower() or w.isupper() or len(w) < 4:
+            if w.islower() or w.isupper() or len(w) < 4 or (w[2:] if w[0] == " " else w[1:]).islower():
                 out.append(w)
                 continue
             lo = 0
@@ -183,7 +192,7 @@ def _distinct_words(batches: Iterator[pa.RecordBatch], across: dict) -> Iterator
             for wide, of in masks.items():
                 out = by_wide.setdefault(wide, {})
                 for u, mask in of.items():
-                    for w in own.fragments(own.cut(" " + u) if spaced else [u]):
+                    for w in own.fragments(own.words(u) if spaced else [u]):
                         out[w] = out.get(w, 0) | mask
         for wide, of in by_wide.items():
             words, bits = list(of), np.fromiter((m - (1 << 64) if m >> 63 else m for m in of.values()), np.int64, len(of))
@@ -212,25 +221,40 @@ def _distinct_words(batches: Iterator[pa.RecordBatch], across: dict) -> Iterator
 
 
 class _Ids(dict):
-    """Token ids by unit, put together from those of the fragments when a unit is first met."""
+    """Token ids by unit, put together from those of the fragments when a unit is first met.
+
+    The ids of a unit are the same everywhere, so a worker keeps them from group to group, up to a fixed number of units.
+    """
+
+    LIMIT = 200_000
 
-    def __init__(self, own: Cutter, of_fragment: dict[str, list[int]]) -> None:
-        self.own, self.of_fragment = own, of_fragment
+    def __init__(self, own: Cutter) -> None:
+        self.own, self.of_fragment = own, {}
+
+    def enter(self, of_fragment: dict[str, list[int]]) -> None:
+        """Begin a group of documents with the ids of its fragments."""
+        self.of_fragment = of_fragment
+        if len(self) > self.LIMIT:
+            self.clear()
 
     def of(self, words: list[str]) -> list[int]:
         return list(chain.from_iterable(map(self.of_fragment.__getitem__, self.own.fragments(words))))
 
     def __missing__(self, unit: str) -> list[int]:
-        ids = self[unit] = self.of(self.own.cut(" " + unit))
+        ids = self[unit] = self.of(self.own.words(unit))
         return ids
 
 
-def _lay_down(docs: pa.Table, words: pa.Table, across: dict) -> pa.Table:
-    own = Cutter(across)
+_ids_of_vocabulary: dict[str, _Ids] = {}
+
+
+def _lay_down(docs: pa.Table, words: pa.Table, across: dict, vocabulary: str) -> pa.Table:
+    ids_of = _ids_of_vocabulary.get(vocabulary) or _ids_of_vocabulary.setdefault(vocabulary, _Ids(Cutter(across)))
+    own = ids_of.own
     lists = words.column("ids").combine_chunks()
     flat, ends = lists.flatten().to_numpy().tolist(), lists.offsets.to_numpy().tolist()
     first = ends[0] if ends else 0
-    ids_of = _Ids(own, {w: flat[a - first : b - first] for w, a, b in zip(words.column("word").to_pylist(), ends, ends[1:])})
+    ids_of.enter({w: flat[a - first : b - first] for w, a, b in zip(words.column("word").to_pylist(), ends, ends[1:])})
     keys, offsets, parts, total, seen = [], [0], [], 0, set()
     for key, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist()):
         if key is not None:
@@ -254,7 +278,7 @@ def encode_corpus(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col:
 
     Null and empty texts get an empty list. Redelivered rows (same id) count once; rows whose id is null are kept each.
     The strings of special tokens inside a text are ordinary text. ``buckets`` is the number of document groups; by default
-    one per 2 MB of input files, so a group's texts fit a worker at any corpus size.
+    one per 4 MB of input files, so a group's texts fit a worker at any corpus size.
     """
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if buckets is None:
@@ -270,7 +294,7 @@ def encode_corpus(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col:
     bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit("mask", b) == 1)
     per_bucket = encoded.select("word", "ids", F.explode(F.transform(bits, lambda b: F.col("wide") * 64 + b)).alias("bucket"))
     texts, lookup = grouped.repartition(buckets, "bucket"), per_bucket.repartition(buckets, "bucket")  # tasks of one size at any corpus size
-    return texts.groupBy("bucket").cogroup(lookup.groupBy("bucket")).applyInArrow(lambda d, w: _lay_down(d, w, across), "doc_id bigint, ids array<int>")
+    return texts.groupBy("bucket").cogroup(lookup.groupBy("bucket")).applyInArrow(lambda d, w: _lay_down(d, w, across, vocabulary), "doc_id bigint, ids array<int>")
 
 
 def decode_ids(tokens: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
