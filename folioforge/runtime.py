@@ -51,7 +51,9 @@ def shared_dir(spark: SparkSession) -> str:
     if said:
         return said.rstrip("/")
     if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="folioforge-")
+        folder = tempfile.mkdtemp(prefix="folioforge-")
+        atexit.register(shutil.rmtree, folder, True)
+        _own_dir = f"file://{folder}"
     return _own_dir
 
 
