@@ -4,7 +4,10 @@
   vector; the norm of the decoded vector is stored with the code.
 * The first code is the cell of a vector. A vector asks its own cell and those whose centroid is nearly as close.
 * Inside a cell, lookup tables (query times codebook) give approximate cosines of all its vectors; the best of them are
-  ranked again by exact cosine. The lists of the cells asked are merged.
+  ranked again by exact cosine, and so is every other one that its quantisation error leaves in question. The lists of the
+  cells asked are merged.
+* Vectors with more near cells than they asked, or with too short a list, ask on: all cells but those that centroid distance
+  and cell radius rule out against the last cosine of the list. Those cells are compared exactly, in blocks of cells.
 * Equal vectors count once in the index: their ids travel with the first of them, so no group of copies is compared with
   itself. Cells above a fixed number of rows are split by salt and asked in parts.
 """
@@ -26,6 +29,10 @@ SAMPLE_ROWS = 65_536
 CELL_ROWS = 4_096
 #: Vectors per task of the search.
 TASK_ROWS = 8_192
+#: Vectors of a block of cells, and about as many askers it meets at once.
+BLOCK_ROWS = 8_192
+#: More than the rounding of cosines and distances in single precision.
+_ROUNDING = 1e-5
 
 
 @dataclass
@@ -97,6 +104,42 @@ def _usable(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray, np
     return batch.column(0).to_numpy()[at], (wide[at] / norm[at, None]).astype(np.float32), at
 
 
+def _above(q: np.ndarray, base: np.ndarray, floor: np.ndarray, heads: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of base, exact cosine) of the pairs not below the row's floor: per row of q the best k, by cosine and head."""
+    at, to = np.nonzero(q @ base.T >= (floor - _ROUNDING)[:, None])
+    cos = np.concatenate([np.round(np.einsum("nd,nd->n", q[a].astype(np.float64), base[b].astype(np.float64)), 9) for a, b in ((at[i : i + 65_536], to[i : i + 65_536]) for i in range(0, max(1, len(at)), 65_536))])
+    order = np.lexsort((heads[to], -cos, at))
+    at, to, cos = at[order], to[order], cos[order]
+    best = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[best], to[best], cos[best]
+
+
+def _listed(ids: list[int], found: list[np.ndarray], cosines: list[np.ndarray]) -> pa.Table:
+    ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+    found_, cos_ = (np.concatenate(x) if x else np.empty(0) for x in (found, cosines))
+    return pa.table({"vec_id": pa.array(ids, pa.int64()), "found": pa.ListArray.from_arrays(ends, pa.array(found_.astype(np.int64))), "cosine": pa.ListArray.from_arrays(ends, pa.array(cos_.astype(np.float64)))})
+
+
+def _members(near: np.ndarray, cos: np.ndarray, groups: list[list[int]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best k of the members of the groups found."""
+    flat = sorted((-c, g) for c, n in zip(cos, near) for g in groups[n])[:k]
+    return np.array([g for _, g in flat], np.int64), np.array([-c for c, _ in flat])
+
+
+def _blocks(cells: np.ndarray, counts: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, int]:
+    """(first block of each cell, number of blocks): neighbouring small cells share a block, a split cell has one per part."""
+    order = np.argsort(_nearest(cells, _kmeans(cells, max(1, int(counts.sum()) // BLOCK_ROWS), 5, 11)), kind="stable")
+    first, block, held = np.zeros(len(cells), np.int64), -1, BLOCK_ROWS
+    for c in order:
+        if parts[c] > 1 or held + counts[c] > BLOCK_ROWS:
+            block, held = block + 1, 0
+        first[c] = block
+        held += counts[c]
+        if parts[c] > 1:
+            block, held = block + int(parts[c]) - 1, BLOCK_ROWS
+    return first, block + 1
+
+
 def _rows(frame: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
     return frame.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")).where((F.size("v") == dim) & F.col("vec_id").isNotNull())
 
@@ -106,7 +149,8 @@ def all_neighbours(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Usable are vectors with exactly ``dim`` finite components that aren't all zero; others, nulls and rows without id are
     neither asked nor found. Redelivered rows count once; equal cosines go by smaller id. A vector asks the cells whose
-    centroid's cosine is within ``margin`` of the nearest one's, ``most_cells`` at most. Recall is measured in the tests.
+    centroid's cosine is within ``margin`` of the nearest one's, the nearest ``most_cells`` first; if there are more, or the
+    list stays short, it asks every further cell that may hold a vector of the list. Recall is measured in the tests.
     """
     spark = frame.sparkSession
     rows = _rows(frame, id_col, vector_col, dim)
@@ -122,13 +166,18 @@ def all_neighbours(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "
             ids, unit, at = _usable(batch, dim)
             raw = np.ascontiguousarray(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)[at])
             pair = np.frombuffer(b"".join(xxhash.xxh3_128_digest(v) for v in raw), np.int64).reshape(-1, 2)
-            cell = _nearest(unit, books.value.cells) if len(unit) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(cell.astype(np.int32))], names=["vec_id", "h1", "h2", "cell"])
+            score = unit @ books.value.cells.T - half
+            cell = score.argmax(1)
+            many = (score >= score.max(1, initial=-np.inf)[:, None] - margin).sum(1) > most_cells
+            away = np.linalg.norm(unit - books.value.cells[cell], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(cell.astype(np.int32)), pa.array(away.astype(np.float32)), pa.array(many)], names=["vec_id", "h1", "h2", "cell", "away", "many"])
 
-    known = stage_table(rows.mapInArrow(survey, "vec_id bigint, h1 bigint, h2 bigint, cell int"), "survey")
-    counts = known.groupBy("cell").count().toArrow()  # at most one row per centroid
-    parts = np.ones(len(books.value.cells), np.int32)
-    parts[counts.column("cell").to_numpy()] = -(-counts.column("count").to_numpy() // CELL_ROWS)
+    half = 0.5 * (books.value.cells * books.value.cells).sum(1)
+    known = stage_table(rows.mapInArrow(survey, "vec_id bigint, h1 bigint, h2 bigint, cell int, away float, many boolean"), "survey")
+    counts = known.groupBy("cell").agg(F.count("*").alias("count"), F.max("away").alias("radius")).toArrow()  # at most one row per centroid
+    sizes, radius = np.zeros(len(books.value.cells), np.int64), np.full(len(books.value.cells), -np.inf)
+    sizes[counts.column("cell").to_numpy()], radius[counts.column("cell").to_numpy()] = counts.column("count").to_numpy(), counts.column("radius").to_numpy()
+    parts = np.maximum(1, -(-sizes // CELL_ROWS)).astype(np.int32)
     split = spark.sparkContext.broadcast(parts)
 
     # groups of equal vectors: the first member stands for all, with the k + 1 smallest ids
@@ -180,16 +229,17 @@ def all_neighbours(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "
         _, once = np.unique(ids[here], return_index=True)
         here = here[once]
         _, ask = np.unique(ids, return_index=True)
-        none = pa.table({"vec_id": pa.array([], pa.int64()), "found": pa.array([], pa.list_(pa.int64())), "cosine": pa.array([], pa.list_(pa.float64()))})
         if not len(here):
-            return none
+            return _listed([], [], [])
         codes = np.frombuffer(b"".join(code[i] for i in here), np.uint8).reshape(len(here), -1)
         norm, base = table.column("norm").to_numpy()[here], unit[here]
         groups = table.column("ids").combine_chunks().take(pa.array(here)).to_pylist()
         wide, single = base.astype(np.float64), all(len(g) == 1 for g in groups)
         heads = np.array([g[0] for g in groups], np.int64)
         centre = own.cells[key[0].as_py() >> 20]
-        out_ids, out_found, out_cos, ends = [], [], [], [0]
+        out_ids, out_found, out_cos = [], [], []
+        decoded = centre + sum(book[codes[:, m]] for m, book in enumerate(own.residual))
+        error = np.linalg.norm(base - decoded, axis=1) + _ROUNDING
         for lo in range(0, len(ask), 512):
             who = ask[lo : lo + 512]
             q = unit[who]
@@ -198,31 +248,116 @@ def all_neighbours(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 approx = np.repeat((q @ centre)[:, None], len(here), axis=1)
                 for m, book in enumerate(own.residual):
                     approx += (q @ book.T)[:, codes[:, m]]
-                approx /= norm
-                short = np.argpartition(-approx, take - 1, axis=1)[:, :take]
+                short = np.argpartition(-approx / norm, take - 1, axis=1)[:, :take]
             else:
                 short = np.broadcast_to(np.arange(take), (len(who), take))
             exact = np.round(np.einsum("qd,qsd->qs", q.astype(np.float64), wide[short]), 9)
+            rest = {}
+            if take < len(here):
+                # the shortlist's last cosine against what quantisation error allows for the others
+                least = np.sort(exact, axis=1)[:, -(k + 1)] if take > k else np.full(len(who), -2.0)
+                may = approx + error >= least[:, None]
+                np.put_along_axis(may, short, False, axis=1)
+                left = np.flatnonzero(may.any(1))
+                at, to, cos = _above(q[left], base, least[left], heads, k + 1)
+                cut = np.searchsorted(at, np.arange(len(left) + 1))
+                rest = {int(i): (to[cut[n] : cut[n + 1]], cos[cut[n] : cut[n + 1]]) for n, i in enumerate(left)}
             for i, w in enumerate(who):
-                order = np.lexsort((heads[short[i]], -exact[i]))[: k + 1]
-                near, cos = short[i][order], exact[i][order]
-                out_ids.append(ids[w])
-                if single:
-                    out_found.append(heads[near])
-                    out_cos.append(cos)
+                if i in rest:
+                    near, cos = rest[i]
                 else:
-                    flat = sorted((-c, g) for c, n in zip(cos, near) for g in groups[n])[: k + 1]
-                    out_found.append(np.array([g for _, g in flat], np.int64))
-                    out_cos.append(np.array([-c for c, _ in flat]))
-                ends.append(ends[-1] + len(out_found[-1]))
-        ends = pa.array(ends, pa.int32())
-        return pa.table({"vec_id": pa.array(out_ids, pa.int64()), "found": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out_found))), "cosine": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out_cos)))})
+                    order = np.lexsort((heads[short[i]], -exact[i]))[: k + 1]
+                    near, cos = short[i][order], exact[i][order]
+                near, cos = (heads[near], cos) if single else _members(near, cos, groups, k + 1)
+                out_ids.append(ids[w])
+                out_found.append(near)
+                out_cos.append(cos)
+        return _listed(out_ids, out_found, out_cos)
 
     placed = indexed.mapInArrow(place, "key bigint, vec_id bigint, unit binary, code binary, norm float, ids array<bigint>")
     tasks = max(8, sum(counts.column("count").to_pylist()) // TASK_ROWS)
     lists = placed.repartition(tasks, "key").groupBy("key").applyInArrow(search, "vec_id bigint, found array<bigint>, cosine array<double>")
-    merged = lists.groupBy("vec_id").agg(F.flatten(F.collect_list(F.zip_with("cosine", "found", lambda c, i: F.struct((-c).alias("far"), i.alias("id"))))).alias("all"))
-    best = merged.select("vec_id", F.slice(F.array_sort(F.array_distinct("all")), 1, k + 1).alias("best"))
+
+    def best_of(found: DataFrame) -> DataFrame:
+        merged = found.groupBy("vec_id").agg(F.flatten(F.collect_list(F.zip_with("cosine", "found", lambda c, i: F.struct((-c).alias("far"), i.alias("id"))))).alias("all"))
+        return merged.select("vec_id", F.slice(F.array_sort(F.array_distinct("all")), 1, k + 1).alias("best"))
+
+    best = stage_table(best_of(lists), "best")
+    many = known.where("many").select("vec_id", "many").distinct()
+    short = F.size("best") <= k
+    floors = best.join(many, "vec_id", "left").where(F.col("many") | short).select("vec_id", F.when(short, -2.0).otherwise(-F.element_at("best", -1)["far"]).alias("floor"))
+    askers = stage_table(rows.join(floors, "vec_id").dropDuplicates(["vec_id"]), "askers")
+    n_askers = askers.count()
+    if not n_askers:
+        return _ranked(best, members, k)
+    first, n_blocks = _blocks(books.value.cells, sizes, parts)
+    salts = -(-n_askers // BLOCK_ROWS)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = books.value
+        for batch in batches:
+            ids, unit, at = _usable(batch, dim)
+            if not len(at):
+                continue
+            floor = batch.column(2).to_numpy()[at]
+            far = np.sqrt(np.maximum(0, 1 + 2 * half - 2 * (unit @ own.cells.T)))
+            gap = np.maximum(0, far - radius - 1e-3)
+            who, cell = np.nonzero(np.isfinite(radius) & (1 - 0.5 * gap * gap >= floor[:, None] - _ROUNDING))
+            times = split.value[cell]
+            who, block = np.repeat(who, times), np.repeat(first[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            who, block = np.divmod(np.unique(who * n_blocks + block), n_blocks)
+            blocks = pa.ListArray.from_arrays(pa.array(np.searchsorted(who, np.arange(len(ids) + 1)), pa.int32()), pa.array(block))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([u.tobytes() for u in unit], pa.binary()), pa.array(floor), blocks], names=["vec_id", "unit", "floor", "blocks"])
+
+    asked = stage_table(askers.mapInArrow(ask, "vec_id bigint, unit binary, floor double, blocks array<bigint>"), "asked")
+    wanted = np.zeros(n_blocks, bool)
+    wanted[[r[0] for r in asked.select(F.explode("blocks")).distinct().collect()]] = True  # at most one row per block
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, unit, at = _usable(batch, dim)
+            if not len(at):
+                continue
+            cell = (unit @ books.value.cells.T - half).argmax(1)
+            block = first[cell] + (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % split.value[cell]
+            here = np.flatnonzero(wanted[block])
+            yield pa.RecordBatch.from_arrays([pa.array(block[here]), pa.array(ids[here]), pa.array([unit[i].tobytes() for i in here], pa.binary()), batch.column(2).take(pa.array(at[here]))], names=["block", "vec_id", "unit", "ids"])
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        ids = table.column("vec_id").to_numpy()
+        unit = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float32).reshape(-1, dim)
+        lists_ = table.column("ids").combine_chunks()
+        held, who = lists_.is_valid().to_numpy(zero_copy_only=False), table.column("floor").to_numpy()
+        here, asks = np.flatnonzero(held), np.flatnonzero(~held)
+        here = here[np.unique(ids[here], return_index=True)[1]]
+        if not len(here) or not len(asks):
+            return _listed([], [], [])
+        groups, base = lists_.take(pa.array(here)).to_pylist(), np.ascontiguousarray(unit[here])
+        heads, single = np.array([g[0] for g in groups], np.int64), all(len(g) == 1 for g in groups)
+        out_ids, out_found, out_cos = [], [], []
+        for lo in range(0, len(asks), 512):
+            part = asks[lo : lo + 512]
+            at, to, cos = _above(unit[part], base, who[part], heads, k + 1)
+            cut = np.searchsorted(at, np.arange(len(part) + 1))
+            for n in np.flatnonzero(np.diff(cut)):
+                near, c = to[cut[n] : cut[n + 1]], cos[cut[n] : cut[n + 1]]
+                near, c = (heads[near], c) if single else _members(near, c, groups, k + 1)
+                out_ids.append(ids[part[n]])
+                out_found.append(near)
+                out_cos.append(c)
+        return _listed(out_ids, out_found, out_cos)
+
+    salt = F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int")
+    asking = asked.select(F.explode("blocks").alias("block"), salt.alias("salt"), "vec_id", "unit", "floor", F.lit(None).cast("array<bigint>").alias("ids"))
+    held = indexed.mapInArrow(answer, "block bigint, vec_id bigint, unit binary, ids array<bigint>")
+    held = held.select("block", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "vec_id", "unit", F.lit(None).cast("double").alias("floor"), "ids")
+    more = asking.unionByName(held).repartition(max(8, int(wanted.sum()) * salts), "block", "salt").groupBy("block", "salt").applyInArrow(compare, "vec_id bigint, found array<bigint>, cosine array<double>")
+    old = best.select("vec_id", F.transform("best", lambda x: x["id"]).alias("found"), F.transform("best", lambda x: -x["far"]).alias("cosine"))
+    return _ranked(best_of(old.unionByName(more)), members, k)
+
+
+def _ranked(best: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """The lists of the first members as rows of all members."""
     owners = best.join(bounded_broadcast(members.withColumnRenamed("vec_id", "member").withColumnRenamed("first", "vec_id")), "vec_id", "left").withColumn("vec_id", F.coalesce("member", "vec_id"))
     ranked = owners.select("vec_id", F.posexplode(F.slice(F.filter("best", lambda x: x["id"] != F.col("vec_id")), 1, k)).alias("rank", "x"))
     return ranked.select("vec_id", F.col("x.id").alias("neighbor_id"), (-F.col("x.far")).alias("cosine"), (F.col("rank") + 1).alias("rank"))

@@ -66,3 +66,20 @@ def test_beam_search_is_no_worse_than_greedy():
         return float(((x - decoded) ** 2).sum())
 
     assert error(4) <= error(1) * 1.001
+
+
+def test_recall_in_a_hot_tight_group(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK_ROWS", 256, raising=False)
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=64)
+    vectors = clusters(600) | {1000 + i: (centre + 0.25 * rng.normal(size=64)).astype(np.float32).tolist() for i in range(1200)}
+    got, want = found(spark.createDataFrame([(i, v, 1, "x") for i, v in vectors.items()], SCHEMA)), brute(vectors)
+    hot = [i for i in want if i >= 1000]
+    assert np.mean([len(set(got[i]) & set(want[i])) / 10 for i in hot]) > 0.999
+
+
+def test_shortlist_of_a_large_cell_is_completed(spark, monkeypatch):
+    monkeypatch.setattr(N, "fit", lambda sample, f=N.fit: f(sample[:40]))
+    vectors = {i: v for i, v in enumerate(np.random.default_rng(4).normal(size=(600, 64)).astype(np.float32).tolist())}
+    got, want = found(spark.createDataFrame([(i, v, 1, "x") for i, v in vectors.items()], SCHEMA), shortlist=12), brute(vectors)
+    assert got == want
