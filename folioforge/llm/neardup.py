@@ -1,12 +1,13 @@
 """Near-duplicate texts: improved consistent weighted sampling over TF-IDF shingles, banded, then verified.
 
-* A shingle's weight is (1 + ln tf) * idf. The idf comes from document counts over 2^18 hashed slots, so that the table
+* A shingle's weight is (1 + ln tf) * idf. For sampling, the idf comes from row counts over 2^18 hashed slots, so that the table
   that is broadcast has a fixed size at any corpus size. Weights are rounded to steps of 2^(1/8).
 * A sample is the shingle of least ln a = ln c - r (floor(ln w / r + b) + 1 - b), r, c ~ Gamma(2, 1), b ~ U(0, 1): two texts
   share it with the probability of their weighted Jaccard similarity. The variables come from a fixed pool, indexed by a
   hash of shingle and sample number, with ln a tabulated per pool entry and weight step.
 * Texts that share all samples of a band are candidates. Copies of a text are one content from the start on, so a group of
-  copies of any size is one row here. Candidates are verified on their texts.
+  copies of any size is one row here. Candidates are verified on their texts, with the exact document frequencies of their
+  shingles: a slot's count only bounds them, and where a bound settles a pair against a threshold no frequency is asked.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from folioforge.llm.words import hash_words, shingle_hashes, words_of
 from folioforge.runtime import bounded_broadcast, stage_table
 
 IDF_SLOTS = 1 << 18
+#: Bits of the filter that keeps the shingles whose document frequency is asked.
+ASKED_BITS = 1 << 27
 _POOL_BITS = 14
 _STEPS = 48
 _SEEN_ROWS = 1_000_000
@@ -147,34 +150,124 @@ def _bands(batches: Iterator[pa.RecordBatch], idf, n: int, least_words: int, ban
             lo = hi
 
 
-def _measure(batches: Iterator[pa.RecordBatch], idf, n: int) -> Iterator[pa.RecordBatch]:
-    table = idf.value
+def _shingles(text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(shingle_hashes(hash_words(words_of(text)), n), return_counts=True)
+
+
+def exact_idf(counts: np.ndarray | int, texts: int) -> np.ndarray:
+    return np.log((texts + 1) / (np.asarray(counts, np.float64) + 1)).clip(0.5, 24.0)
+
+
+def _measure(batches: Iterator[pa.RecordBatch], counts, texts: int, n: int) -> Iterator[pa.RecordBatch]:
+    """Plain similarity, and what the weighted one is at least and at most: a shingle is in its slot's count of texts at most, a
+    shared one in two at least."""
+    table, one, two = exact_idf(counts.value, texts), exact_idf(1, texts), exact_idf(2, texts)
     for batch in batches:
         a, b, ta, tb = (batch.column(k).to_pylist() for k in range(4))
         memo: dict[str, tuple] = {}
-        plain, heavy = [], []
+        plain, low, high = [], [], []
         for x, y in zip(ta, tb):
             sides = []
             for text in (x, y):
                 got = memo.get(text)
                 if got is None:
-                    values, tf = np.unique(shingle_hashes(hash_words(words_of(text)), n), return_counts=True)
-                    got = memo[text] = (values, weights(tf, table[(values & np.uint64(IDF_SLOTS - 1)).view(np.int64)]))
+                    values, tf = _shingles(text, n)
+                    factor = 1 + np.log(tf)
+                    got = memo[text] = (values, factor, np.minimum(table[(values & np.uint64(IDF_SLOTS - 1)).view(np.int64)], one))
                 sides.append(got)
-            (va, wa), (vb, wb) = sides
+            (va, fa, la), (vb, fb, lb) = sides
             both, ia, ib = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
-            low = np.minimum(wa[ia], wb[ib]).sum()
             plain.append(len(both) / max(1, len(va) + len(vb) - len(both)))
-            heavy.append(float(low / max(1e-9, wa.sum() + wb.sum() - low)))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(plain, pa.float64()), pa.array(heavy, pa.float64())], names=["content_a", "content_b", "jaccard", "weighted"])
+            least, more = np.minimum(fa[ia], fb[ib]), np.abs(fa[ia] - fb[ib])
+            alone_a, alone_b = np.ones(len(va), bool), np.ones(len(vb), bool)
+            alone_a[ia] = alone_b[ib] = False
+            rest_low = (fa * la)[alone_a].sum() + (fb * lb)[alone_b].sum()
+            rest_high = one * (fa[alone_a].sum() + fb[alone_b].sum())
+            few = np.minimum(la[ia], two)
+            low.append(float((least * few).sum() / max(1e-9, (least * few).sum() + two * more.sum() + rest_high)))
+            high.append(float(two * least.sum() / max(1e-9, two * least.sum() + (more * few).sum() + rest_low)))
+        columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array(c, pa.float64()) for c in (plain, low, high))]
+        yield pa.RecordBatch.from_arrays(columns, names=["content_a", "content_b", "jaccard", "low", "high"])
+
+
+def _slots_asked(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        asked = [_shingles(text, n)[0] & np.uint64(ASKED_BITS - 1) for text in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(asked or [np.empty(0, np.uint64)])).astype(np.int64))], names=["slot"])
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch], asked, n: int, least_words: int) -> Iterator[pa.RecordBatch]:
+    """Rows (shingle, content, tf) of the shingles that pass the filter, once per content of this task."""
+    words, seen = asked.value, set()
+    for batch in batches:
+        if len(seen) > _SEEN_ROWS:
+            seen.clear()
+        shingles, contents, tfs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for text in batch.column(0).to_pylist():
+            h = hash_words(words_of(text))
+            if len(h) < max(least_words, n) or (content := content_id(h)) in seen:
+                continue
+            seen.add(content)
+            values, tf = np.unique(shingle_hashes(h, n), return_counts=True)
+            slot = values & np.uint64(ASKED_BITS - 1)
+            at = np.flatnonzero(words[(slot >> np.uint64(6)).view(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
+            shingles.append(values[at])
+            contents.append(np.full(len(at), content, np.int64))
+            tfs.append(tf[at])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.concatenate(contents)), pa.array(np.concatenate(tfs).astype(np.int32))], names=["shingle", "content", "tf"])
 
 
-def similar_contents(texts: DataFrame, key_col: str, text_col: str, n: int = 5, least_words: int = 0, bands: int = 40, rows: int = 3) -> tuple[DataFrame, DataFrame]:
+def _weigh(batches: Iterator[pa.RecordBatch], texts: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        memo: dict[int, tuple] = {}
+        heavy = []
+        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for i, pair in enumerate(zip(a, b)):
+            sides = []
+            for content, column in zip(pair, (2, 3)):
+                if content not in memo:
+                    shingle, tf, count = (x.to_numpy() for x in batch.column(column)[i].values.flatten())
+                    order = np.argsort(shingle)
+                    memo[content] = (shingle[order], weights(tf[order], exact_idf(count[order], texts)))
+                sides.append(memo[content])
+            (va, wa), (vb, wb) = sides
+            _, ia, ib = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
+            low = np.minimum(wa[ia], wb[ib]).sum()
+            heavy.append(float(low / max(1e-9, wa.sum() + wb.sum() - low)))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(heavy, pa.float64())], names=["content_a", "content_b", "exact"])
+
+
+def _exact_weights(slim: DataFrame, members: DataFrame, found: DataFrame, pairs: DataFrame, texts: int, n: int, least_words: int) -> DataFrame:
+    """(content_a, content_b, exact): weighted similarity of the pairs by the number of members that hold each shingle."""
+    context = slim.sparkSession.sparkContext
+    wanted = stage_table(pairs.select(F.explode(F.array("content_a", "content_b")).alias("content")).distinct(), "weighed")
+    slots = found.join(bounded_broadcast(wanted), "content", "left_semi").select("text").mapInArrow(lambda it: _slots_asked(it, n), "slot bigint")
+    bits = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("bits"))
+    words = np.zeros(ASKED_BITS >> 6, np.uint64)
+    for row in bits.toArrow().to_batches():  # ASKED_BITS / 64 rows at most
+        words[row.column(0).to_numpy()] = row.column(1).to_numpy().view(np.uint64)
+    asked = context.broadcast(words)
+    held = slim.select("text").mapInArrow(lambda it: _occurrences(it, asked, n, least_words), "shingle bigint, content bigint, tf int")
+    held = stage_table(held.distinct(), "occurrences")
+    copies = members.groupBy("content").agg(F.count("*").alias("copies")).where("copies > 1")
+    counts = held.join(bounded_broadcast(stage_table(copies, "copies")), "content", "left").groupBy("shingle").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("texts"))
+    own = held.join(bounded_broadcast(wanted), "content", "left_semi").join(counts, "shingle")
+    sides = stage_table(own.groupBy("content").agg(F.collect_list(F.struct("shingle", "tf", "texts")).alias("side")), "sides")
+    both = pairs.select("content_a", "content_b")
+    for x in ("a", "b"):
+        both = both.join(sides.select(F.col("content").alias(f"content_{x}"), F.col("side").alias(f"side_{x}")), f"content_{x}")
+    both = both.select("content_a", "content_b", "side_a", "side_b")
+    return both.mapInArrow(lambda it: _weigh(it, texts), "content_a bigint, content_b bigint, exact double")
+
+
+def similar_contents(texts: DataFrame, key_col: str, text_col: str, n: int = 5, least_words: int = 0, bands: int = 40, rows: int = 3, weigh: bool = True, least: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, pairs) of the texts with at least ``least_words`` words and one shingle of n words.
 
     members(key, content): one row per key; keys with the same words have the same content id. Null texts, empty texts
     and shorter ones have no row. pairs(content_a, content_b, jaccard, weighted): candidate pairs of different contents with
-    their similarities over sets and over TF-IDF weights; redelivered rows count once.
+    their similarities over sets and over TF-IDF weights; redelivered rows count once, also in document frequencies. With
+    ``least``, only pairs of that weighted similarity are given; ``weighted`` is then a lower bound of at least ``least`` where
+    that was enough to tell. Without ``weigh`` the column is left out.
     """
     spark = texts.sparkSession
     slim = texts.select(F.col(key_col).cast("bigint").alias("key"), F.col(text_col).alias("text")).where("key is not null and text is not null")
@@ -202,7 +295,18 @@ def similar_contents(texts: DataFrame, key_col: str, text_col: str, n: int = 5,
     a = found.select(F.col("content").alias("content_a"), F.col("text").alias("text_a"))
     b = found.select(F.col("content").alias("content_b"), F.col("text").alias("text_b"))
     both = pairs.join(a, "content_a").join(b, "content_b").select("content_a", "content_b", "text_a", "text_b")
-    return members, both.mapInArrow(lambda it: _measure(it, idf, n), "content_a bigint, content_b bigint, jaccard double, weighted double")
+    documents, slots = members.count(), spark.sparkContext.broadcast(counts)
+    measured = both.mapInArrow(lambda it: _measure(it, slots, documents, n), "content_a bigint, content_b bigint, jaccard double, low double, high double")
+    if not weigh:
+        return members, measured.drop("low", "high")
+    measured = stage_table(measured, "measured")
+    settled = F.lit(False) if least is None else (F.col("low") >= least + 1e-6) | (F.col("high") < least - 1e-6)
+    unsettled = stage_table(measured.where(~settled), "unsettled")
+    exact = _exact_weights(slim, members, found, unsettled, documents, n, least_words)
+    weighed = unsettled.join(exact, ["content_a", "content_b"]).select("content_a", "content_b", "jaccard", F.col("exact").alias("weighted"))
+    if least is None:
+        return members, weighed
+    return members, weighed.where(F.col("weighted") >= least).unionByName(measured.where(F.col("low") >= least + 1e-6).select("content_a", "content_b", "jaccard", F.col("low").alias("weighted")))
 
 
 def spread_pairs(members: DataFrame, pairs: DataFrame, near: int = 8) -> DataFrame:

@@ -40,14 +40,14 @@ def p4_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks of 40 words or more whose sets of three words overlap by 0.6."""
-    members, pairs = D.similar_contents(read_table(spark, sf_dir, "chunks"), "chunk_key", "text", n=3, least_words=40, bands=40, rows=4)
+    members, pairs = D.similar_contents(read_table(spark, sf_dir, "chunks"), "chunk_key", "text", n=3, least_words=40, bands=40, rows=4, weigh=False)
     near = stage_table(pairs.where("jaccard >= 0.6"), "near")
     return D.spread_pairs(members, near).select(F.col("key_a").alias("chunk_a"), F.col("key_b").alias("chunk_b"))
 
 
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate chunks by the general setting: five words, weighted similarity of 0.8."""
-    members, pairs = D.similar_contents(read_table(spark, sf_dir, "chunks"), "chunk_key", "text", n=5, bands=30, rows=5)
+    members, pairs = D.similar_contents(read_table(spark, sf_dir, "chunks"), "chunk_key", "text", n=5, bands=30, rows=5, least=0.8)
     near = stage_table(pairs.where("weighted >= 0.8"), "near")
     return D.duplicate_groups(members, near).select(F.col("key").alias("chunk_key"), "group_id", "n_links")
 

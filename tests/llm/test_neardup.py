@@ -1,5 +1,7 @@
 import itertools
+import math
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -80,3 +82,23 @@ def test_chains_form_one_group(spark):
     pairs = spark.createDataFrame([(k * 10, k * 10 + 10) for k in range(30)], "content_a bigint, content_b bigint")
     got = {r.key: r.group_id for r in duplicate_groups(members, pairs).collect()}
     assert {got[k] for k in range(31)} == {0} and all(got[k] == k * 10 for k in range(31, 40))
+
+
+def test_weights_take_exact_document_frequencies(spark):
+    rows = corpus(seed=5) + [(5000 + k, t, "c", 1) for k, t, *_ in corpus(seed=5)[:6]]  # copies count, redelivered rows don't
+    grams = {k: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for k, t, *_ in rows if (w := words_of(t))}
+    df = Counter(g for c in grams.values() for g in c)
+    idf = {g: min(24.0, max(0.5, math.log((len(grams) + 1) / (n + 1)))) for g, n in df.items()}
+
+    def weighted(a, b):
+        wa, wb = ({g: (1 + math.log(n)) * idf[g] for g, n in grams[k].items()} for k in (a, b))
+        low = sum(min(wa[g], wb[g]) for g in wa.keys() & wb.keys())
+        return low / (sum(wa.values()) + sum(wb.values()) - low)
+
+    frame = spark.createDataFrame(rows + rows[:70] * 4, SCHEMA)
+    members, pairs = similar_contents(frame, "key", "body", n=5, bands=30, rows=5)
+    key = {r.content: r.key for r in members.collect()}
+    got = {frozenset((key[r.content_a], key[r.content_b])): r.weighted for r in pairs.collect()}
+    assert len(got) > 20 and all(abs(w - weighted(*pair)) < 1e-9 for pair, w in got.items())
+    _, near = similar_contents(frame, "key", "body", n=5, bands=30, rows=5, least=0.8)
+    assert {frozenset((key[r.content_a], key[r.content_b])) for r in near.where("weighted >= 0.8").collect()} == {p for p, w in got.items() if w >= 0.8}
