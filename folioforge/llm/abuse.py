@@ -3,8 +3,8 @@
 1. Tokens are brought to a plain spelling (invisible characters, full width, look-alike letters, digits and signs for letters)
    and matched against a lexicon trie by a Levenshtein automaton: the trie is walked together with the automaton's states, so
    all terms within the term's distance are found at once. A worker remembers the answers for tokens seen before.
-2. Terms and turns of phrase found in a window score together. The window also says whether the terms are used or only
-   spoken of: words of quoting, moderation and reporting, and technical senses, take from the score.
+2. Turns of phrase are looked for around every word that may anchor one, inside its sentence. Terms and turns of phrase found
+   in a window score together. The window also says whether the terms are used or only spoken of: words of quoting, moderation and reporting, and technical senses, take from the score.
 3. A passage counts from a score of 1 on; a document's score is that of its worst passage.
 """
 
@@ -309,45 +309,68 @@ def _phrase_at(words: list[str], i: int, phrase: list[str], anchor: int) -> bool
     return True
 
 
+def _around(tokens: list[str], i: int, reach: int) -> tuple[int, int]:
+    """First and last token of the sentence of token i, at most ``reach`` tokens away."""
+    lo = hi = i
+    while lo > 0 and i - lo < reach and not tokens[lo - 1].endswith(_SENTENCE_END):
+        lo -= 1
+    while hi < len(tokens) - 1 and hi - i < reach and not tokens[hi].endswith(_SENTENCE_END):
+        hi += 1
+    return lo, hi
+
+
+def _found(tokens: list[str], find: Matcher) -> dict[int, list[tuple[str, float, str]]]:
+    """(name, weight, kind) of the terms and turns of phrase by the token they are found at, windows aside."""
+    words: dict[int, str] = {}
+
+    def word(j: int) -> str:
+        if j not in words:
+            t = tokens[j]
+            words[j] = h[2] if (h := find[t]) and h[1] else fold(plain_spelling(t))
+        return words[j]
+
+    found = {}
+    for i, hit in enumerate(map(find.__getitem__, tokens)):
+        if not hit:
+            continue
+        if hit[1] and hit[2] in _TECHNICAL:
+            lo, hi = _around(tokens, i, 4)
+            if not _TECHNICAL[hit[2]].isdisjoint(map(word, range(lo, hi + 1))):
+                continue
+        here = [(hit[2], hit[0], hit[1])] if hit[1] else []
+        if phrases := find.phrases.get(hit[2]):
+            lo, hi = _around(tokens, i, 4 * max(len(phrase) for _, _, phrase, _ in phrases))
+            near = [word(j) for j in range(lo, hi + 1)]
+            here += [(" ".join(phrase), weight, kind) for weight, kind, phrase, at in phrases if _phrase_at(near, i - lo, phrase, at)]
+        if here:
+            found[i] = here
+    return found
+
+
 def score_text(text: str, window: int = 12) -> tuple[float, str, int]:
     """(score, kind, passages) of a text: the worst window's score, its kind, and how many windows reach 1."""
     find = matcher()
     tokens = _SPACED.sub(lambda m: m.group().replace(" ", ""), text).split()
-    hits = [i for i, t in enumerate(map(find.__getitem__, tokens)) if t]
-    if not hits:
-        return 0.0, "", 0
+    found = _found(tokens, find)
     best, best_kind, passages, last_end = 0.0, "", 0, -1
-    for i in hits:
+    for i in found:
         if i < last_end:
             continue
-        lo = i
-        while lo > 0 and i - lo < window and not tokens[lo - 1].endswith(_SENTENCE_END):
-            lo -= 1
-        hi = i
-        while hi < len(tokens) - 1 and hi - i < window and not tokens[hi].endswith(_SENTENCE_END):
-            hi += 1
-        words = [h[2] if (h := find[t]) and h[1] else fold(plain_spelling(t)) for t in tokens[lo : hi + 1]]
+        lo, hi = _around(tokens, i, window)
         by_kind: dict[str, float] = {}
         terms: dict[str, tuple[float, str]] = {}
         for j in range(lo, hi + 1):
-            hit = find[tokens[j]]
-            if hit:
-                if hit[1] and hit[2] in _TECHNICAL and not _TECHNICAL[hit[2]].isdisjoint(words[max(0, j - lo - 4) : j - lo + 5]):
-                    continue
-                if hit[1] and terms.get(hit[2], (0,))[0] < hit[0]:
-                    terms[hit[2]] = (hit[0], hit[1])
-                for weight, kind, phrase, at in find.phrases.get(hit[2], ()):
-                    if _phrase_at(words, j - lo, phrase, at):
-                        terms[" ".join(phrase)] = (weight, kind)
+            for name, weight, kind in found.get(j, ()):
+                if terms.get(name, (0,))[0] < weight:
+                    terms[name] = (weight, kind)
         for weight, kind in terms.values():
             by_kind[kind] = by_kind.get(kind, 0.0) + weight
         total = sum(by_kind.values())
-        inside = set(words)
-        if total and terms:
-            total += 0.3 * bool(inside & ADDRESSED)
-            total -= 1.0 * min(2, len(inside & SPOKEN_OF))
-            quoted = sum(t[:1] in "\"'“„«‘" and t[1:] != "" for t in tokens[lo : hi + 1])
-            total -= 0.5 * (quoted > 0)
+        inside = {h[2] if (h := find[t]) and h[1] else fold(plain_spelling(t)) for t in tokens[lo : hi + 1]}
+        total += 0.3 * bool(inside & ADDRESSED)
+        total -= 1.0 * min(2, len(inside & SPOKEN_OF))
+        quoted = sum(t[:1] in "\"'“„«‘" and t[1:] != "" for t in tokens[lo : hi + 1])
+        total -= 0.5 * (quoted > 0)
         if total > best:
             best, best_kind = total, max(by_kind, key=by_kind.get)
         if total >= 1.0:

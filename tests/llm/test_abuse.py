@@ -24,6 +24,13 @@ def test_ordinary_text_is_not(text):
     assert A.score_text(text)[2] == 0
 
 
+@pytest.mark.parametrize("before", range(7, 15))
+def test_phrases_run_over_the_end_of_a_window(before):
+    plain = "the north relay holds its last value while power is off again and then".split()[:before]
+    assert A.score_text(" ".join(["such", *plain, "nobody would miss you"]))[2] > 0
+    assert A.score_text(" ".join(["such", *plain, "nobody would. Miss you"]))[2] == 0
+
+
 def test_automaton_equals_distances():
     def distance(a, b):
         d = [[max(i, j) if min(i, j) == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
