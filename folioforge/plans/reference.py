@@ -597,6 +597,49 @@ def dense_batch_top10(spark, sf_dir):
     return _best(S.dense_scores(e, q, "vec_id", "embedding"), 10).select("query_id", F.col("id").alias("vec_id"), "score", "rank")
 
 
+_SET_DENSE = f"""{_USABLE}, dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.dense::DOUBLE[], b.dense::DOUBLE[]), 6) AS score FROM v a, v b WHERE a.vec_id % 20 = 0))"""
+_SET_BM25 = f"""{_CHUNKS}, t AS (SELECT chunk_key AS id, {_TERMS % 'text'} AS ts FROM c), st AS (SELECT count(*) AS n, avg(len(ts)) AS av FROM t WHERE len(ts) > 0), po AS (SELECT id, len(ts) AS l, unnest(ts) AS term FROM t), tf AS (SELECT id, l, term, count(*) AS f FROM po GROUP BY ALL), df AS (SELECT term, count(*) AS d FROM tf GROUP BY term),
+br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM (SELECT w.id AS query_id, tf.id, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * tf.f * 2.2 / (tf.f + 1.2 * (1 - 0.75 + 0.75 * tf.l / av))), 6) AS score FROM tf JOIN df USING (term) JOIN tf w USING (term), st WHERE w.id % 20 = 0 GROUP BY w.id, tf.id))"""
+_SET_FUSED = f"""{_SET_DENSE}, {_SET_BM25}, fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM (SELECT query_id, id, sum(1.0 / (60 + r)) AS score FROM (SELECT query_id, id, r FROM dr WHERE r <= 30 UNION ALL SELECT query_id, id, r FROM br WHERE r <= 30) GROUP BY query_id, id))"""
+
+
+def _set_legs(spark, sf_dir, limit: int) -> list[DataFrame]:
+    """Queries: the rows of chunk_vectors and chunks whose id is divisible by 20, against all of them."""
+    v, c = _usable(spark, sf_dir), _chunks(spark, sf_dir)
+    dense = S.dense_top_of_set(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("dense").alias("vector")), limit)
+    return [dense, S.bm25_top_of_set(c, _set_queries(c), limit, "chunk_key")]
+
+
+def _set_queries(chunks: DataFrame) -> DataFrame:
+    return chunks.where("chunk_key % 20 = 0").select(F.col("chunk_key").alias("query_id"), F.col("text").alias("query"))
+
+
+@query(f"WITH {_SET_DENSE} SELECT query_id, id AS vec_id, score, CAST(r AS INT) AS rank FROM dr WHERE r <= 10")
+def dense_set_top10(spark, sf_dir):
+    v = _usable(spark, sf_dir)
+    return S.dense_top_of_set(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("dense").alias("vector")), 10).select("query_id", F.col("id").alias("vec_id"), "score", "rank")
+
+
+@query(f"WITH {_SET_BM25} SELECT query_id, id AS chunk_key, score, CAST(r AS INT) AS rank FROM br WHERE r <= 10")
+def bm25_set_top10(spark, sf_dir):
+    c = _chunks(spark, sf_dir)
+    return S.bm25_top_of_set(c, _set_queries(c), 10, "chunk_key").select("query_id", F.col("id").alias("chunk_key"), "score", "rank")
+
+
+@query(f"WITH {_SET_FUSED} SELECT query_id, id AS chunk_key, round(score, 6) AS score, CAST(r AS INT) AS rank FROM fu WHERE r <= 10")
+def hybrid_set_top10(spark, sf_dir):
+    return S.fuse(_set_legs(spark, sf_dir, 30), 10).select("query_id", F.col("id").alias("chunk_key"), F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH {_SET_FUSED}, re AS (SELECT query_id, fu.id, score, CAST(len(list_intersect(list_distinct(q.ts), coalesce(x.ts, []))) AS DOUBLE) / greatest(len(list_distinct(q.ts)), 1) AS relevance FROM fu JOIN t x ON x.id = fu.id JOIN (SELECT id AS query_id, ts FROM t) q USING (query_id) WHERE r <= 30 AND q.ts IS NOT NULL)
+  SELECT query_id, id AS chunk_key, relevance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, score DESC, id) AS INT) AS rank FROM re QUALIFY rank <= 10""")
+def reranked_set_top10(spark, sf_dir):
+    """Fused candidates of the query set, reranked; queries without a text have no row."""
+    c = _chunks(spark, sf_dir)
+    fused = S.fuse(_set_legs(spark, sf_dir, 30), 30)
+    return S.rerank(fused, c.select(F.col("chunk_key").alias("id"), "text"), _set_queries(c).where("query is not null"), 10).select("query_id", F.col("id").alias("chunk_key"), "relevance", "rank")
+
+
 # --- codec, sources, events -------------------------------------------------------------------------------------------
 
 

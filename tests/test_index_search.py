@@ -96,3 +96,19 @@ def test_bm25_against_formula(spark):
     idf = lambda d: np.log(1 + (n - d + 0.5) / (d + 0.5))
     w = lambda tf, length: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg))
     assert got == pytest.approx({1: idf(2) * w(2, 4), 2: idf(2) * w(1, 1), 3: idf(1) * w(1, 5)})
+
+
+def test_query_sets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(2)
+    texts = [(i, " ".join(rng.choice(list("abcdefghij"), 12)), rng.integers(-2, 3, 8).astype(float).tolist()) for i in range(300)] + [(300, None, [0.0] * 8), (301, "", None)]
+    df = spark.createDataFrame(texts + texts[:20], "doc_id bigint, text string, v array<double>")
+    some = df.where("doc_id % 20 = 0").dropDuplicates(["doc_id"])
+    asked, vectors = some.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), some.select(F.col("doc_id").alias("query_id"), F.col("v").alias("vector"))
+    rounded = lambda scores: S.top_per_query(scores.withColumn("score", F.round("score", 6)), 10)
+    for got, want in (
+        (S.bm25_top_of_set(df, asked, 10), rounded(S.bm25_scores(df, asked))),
+        (S.dense_top_of_set(df, vectors, 10, 8, "doc_id", "v"), rounded(S.dense_scores(df, vectors, "doc_id", "v"))),
+    ):
+        got, want = ({(r.query_id, r["rank"]): (r.id, round(r.score, 5)) for r in x.collect()} for x in (got, want))
+        assert got == want and len(got) >= 150
