@@ -32,7 +32,7 @@ SIGNS = {"\u00b5": "\u03bc", "\u2126": "\u03a9", "\u212a": "K", "\u212b": "\u00c
 LIGATURES = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFB00, 0xFB07)} | {c: unicodedata.normalize("NFKC", c) for c in "ĲĳǈǉǋǌǇǉǲǳ"}
 
 #: What can't need any change: ASCII, letters of the Latin blocks in their single form, and common signs of their own.
-PLAIN = "\\t\\n\\r\\x20-\\x7e\\u00a1-\\u00ac\\u00ae-\\u00b4\\u00b6-\\u0131\\u0134-\\u01c2\\u01cd-\\u01f0\\u01f4-\\u02af\\u2012-\\u2023\\u2025-\\u2027\\u2030-\\u2043\\u2190-\\u2205\\u2207-\\u220e\\u2500-\\u27bf"
+PLAIN = "\\t\\n\\r\\x20-\\x7e\\u00a1-\\u00ac\\u00ae-\\u00b4\\u00b6-\\u0131\\u0134-\\u01c2\\u01cd-\\u01f0\\u01f4-\\u0260\\u0262-\\u02af\\u2012-\\u2023\\u2025-\\u2027\\u2030-\\u2043\\u2190-\\u2205\\u2207-\\u220e\\u2500-\\u27bf"
 _TOKEN = re.compile(r"\w+")
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 _SPACE = re.compile(f"[{SPACES}]")

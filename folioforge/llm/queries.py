@@ -38,6 +38,12 @@ def p4_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.canonicalize(latest, "title")
 
 
+def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of the text of every block."""
+    blocks = read_table(spark, sf_dir, "blocks").where("block_key is not null").select("block_key", "text").dropDuplicates(["block_key"])
+    return K.canonicalize(blocks, "text")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks of 40 words or more whose sets of three words overlap by 0.6."""
     members, pairs = D.similar_contents(read_table(spark, sf_dir, "chunks"), "chunk_key", "text", n=3, least_words=40, bands=40, rows=4, weigh=False)
@@ -93,7 +99,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.source_rates(docs, A.score_documents(docs))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_titles, p5_found, p5_groups, p6_found, p7_ids, p8_found, p8_report, p8_cleaned, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_titles, p4_texts, p5_found, p5_groups, p6_found, p7_ids, p8_found, p8_report, p8_cleaned, p9_found, p9_scores, p9_rates)}
 
 _WORDS = r"regexp_extract_all(lower(%s), '[\p{L}\p{N}]+')"
 _UNSEEN = r"[\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{206f}\x{fe00}-\x{fe0f}\x{feff}]"

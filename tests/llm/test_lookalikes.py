@@ -1,9 +1,10 @@
+import re
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.llm.lookalikes import canonicalize, changed_rows, consistent_form
+from folioforge.llm.lookalikes import PLAIN, TWINS, canonicalize, changed_rows, consistent_form
 
 CASES = {
     "ｆｕｌｌ Ｗ４": "full W4", "e\u0301te\u0301": "été", "a\u200bb\u00adc\ufeff": "abc", "a\u00a0b\u2007c\u3000d": "a b c d", "ﬁne oﬀ": "fine off", "5 Ω, 290 K": "5 Ω, 290 K",
@@ -34,3 +35,12 @@ def test_frames(spark):
     got = {r.block_key: r.form for r in canonicalize(df, "text").where("block_key is not null").collect()}
     assert got[1] == "plain" and got[2] == "ab" and got[3] is None and got[4] == "" and got[5][:3] == "fix" and got[6] == "Ω"
     assert changed_rows(df.limit(0), "block_key", "text").count() == 0
+
+
+def test_plain_characters_have_no_other_form(spark):
+    plain = re.compile(f"[{PLAIN}]")
+    assert not [c for c in TWINS if plain.match(c)]
+    assert not [c for c in map(chr, range(0x20, 0x2800)) if plain.match(c) and consistent_form(f"a{c}b") != f"a{c}b"]
+    df = spark.createDataFrame([(1, "lo\u0261ic"), (2, "logic")], "k bigint, t string")
+    assert [r.key for r in changed_rows(df, "k", "t").collect()] == [1]
+    assert {r.k: r.form for r in canonicalize(df, "t").collect()} == {1: "logic", 2: "logic"}
