@@ -3,33 +3,37 @@
 A token's letters are resolved to the scripts they may belong to: a letter with a twin in another script counts for both. The
 intersection over the token says which scripts could have written it alone. Mixed tokens, and whole tokens in the wrong
 script, are respelled in the consistent one; other forms (full width, split accents, invisible characters, spaces, joined
-letters, twins of signs) are normalised.
+letters, twins of signs) are normalised. Which letters are twins is stated for Cyrillic and Greek, and follows the Unicode
+confusables data, as the JVM's ICU library has them, for the other alphabets. Other forms follow the Unicode decompositions.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Letters that a reader can't tell from Latin ones.
-CYRILLIC_TWINS = {"А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G", "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ӏ": "l", "Ӏ": "I", "ѵ": "v", "ɡ": "g"}
+# Letters that a reader can't tell from Latin ones; the first of several for a Latin letter is the usual one.
+CYRILLIC_TWINS = {"А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G", "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ӏ": "l", "Ӏ": "I", "ѵ": "v"}
 GREEK_TWINS = {"Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "Ϲ": "C", "ϳ": "j", "Ϳ": "J"}
+LATIN_TWINS = {"ɡ": "g"}
 # Greek letters that stand for quantities and units of their own.
 GREEK_SYMBOLS = frozenset("αβγδεζηθικλμνξπρςστυφχψωΓΔΘΛΞΠΣΦΨΩϕϑϵ")
-TWINS = CYRILLIC_TWINS | GREEK_TWINS
+#: Further alphabets, by the first word of their letters' names, whose letters may stand in for Latin ones.
+ALPHABETS = frozenset("ARMENIAN CHEROKEE LISU COPTIC DESERET CANADIAN GEORGIAN TIFINAGH OSAGE WARANG LYCIAN CARIAN ELBASAN RUNIC OLD".split())
 #: Characters that can't be seen. Joiners count as invisible, as none of the scripts handled here needs them.
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff"
 SPACES = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
 HYPHENS = {"\u2010": "-", "\u2011": "-", "\ufe63": "-", "\uff0d": "-", "\u02d7": "-"}
 #: Other twins of signs: compatibility forms that look the same.
 SIGNS = {"\u00b5": "\u03bc", "\u2126": "\u03a9", "\u212a": "K", "\u212b": "\u00c5", "\u2215": "/", "\u2044": "/", "\u2223": "|", "\u037e": ";", "\u0387": "\u00b7", "\u2024": ".", "\u2236": ":", "\u02bc": "'", "\u01c3": "!", "\u2206": "\u0394", "\u2211": "\u03a3", "\u220f": "\u03a0"}
-LIGATURES = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFB00, 0xFB07)} | {c: unicodedata.normalize("NFKC", c) for c in "ĲĳǈǉǋǌǇǉǲǳ"}
 
 #: What can't need any change: ASCII, letters of the Latin blocks in their single form, and common signs of their own.
 PLAIN = "\\t\\n\\r\\x20-\\x7e\\u00a1-\\u00ac\\u00ae-\\u00b4\\u00b6-\\u0131\\u0134-\\u01c2\\u01cd-\\u01f0\\u01f4-\\u0260\\u0262-\\u02af\\u2012-\\u2023\\u2025-\\u2027\\u2030-\\u2043\\u2190-\\u2205\\u2207-\\u220e\\u2500-\\u27bf"
@@ -39,80 +43,146 @@ _SPACE = re.compile(f"[{SPACES}]")
 
 
 @cache
-def scripts_of(ch: str) -> frozenset[str]:
-    """Scripts that could have written the letter; empty for signs and numerals (any script)."""
-    if not ch.isalpha():
-        return frozenset()
-    if ch in CYRILLIC_TWINS:
-        return frozenset(("Latin", "Cyrillic"))
-    if ch in GREEK_TWINS:
-        return frozenset(("Latin", "Greek"))
-    name = unicodedata.name(ch, "?").split(" ")[0].capitalize()
-    if ch in TWIN_OF_LATIN:
-        return frozenset(("Latin", *TWIN_OF_LATIN[ch]))
-    return frozenset((name,))
+def _name(ch: str) -> str:
+    return unicodedata.name(ch, "?")
 
 
-TWIN_OF_LATIN: dict[str, tuple[str, ...]] = {}
-for _script, _table in (("Cyrillic", CYRILLIC_TWINS), ("Greek", GREEK_TWINS)):
-    for _latin in set(_table.values()):
-        TWIN_OF_LATIN[_latin] = (*TWIN_OF_LATIN.get(_latin, ()), _script)
+@cache
+def own_script(ch: str) -> str:
+    """The first word of a letter's name, which is its script; '' for other characters."""
+    return _name(ch).split(" ")[0].capitalize() if ch.isalpha() else ""
+
+
+@cache
+def _compatible() -> tuple[dict[str, str], dict[str, str]]:
+    """(forms, styled), read off the Unicode decompositions: width forms, joined letters and Roman numerals, which always
+    have their plain form; letters in a mathematical style, which have it inside of words and are signs alone."""
+    forms, styled = {}, {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        kind = unicodedata.decomposition(c).split(" ")[0]
+        if kind in ("<wide>", "<narrow>") or kind == "<compat>" and re.search("LIGATURE F|LIGATURE I?J|LIGATURE LONG S T|ROMAN NUMERAL|^LATIN .*LETTER (LJ|NJ|DZ|L WITH SMALL LETTER J|N WITH SMALL LETTER J|D WITH SMALL LETTER Z)|LIGATURE ST", _name(c)):
+            plain = unicodedata.normalize("NFKC", c)
+            if not plain.isspace():
+                forms[c] = plain
+        elif kind == "<font>" and c.isalpha():
+            styled[c] = unicodedata.normalize("NFKC", c)
+    return forms, styled
+
+
+@dataclass(frozen=True)
+class Twins:
+    """latin: letter of another script -> the Latin letter it looks like. back: script -> Latin letter -> its usual twin there."""
+
+    latin: dict[str, str]
+    back: dict[str, dict[str, str]] = field(default_factory=dict)
+
+    @staticmethod
+    def of(latin: dict[str, str]) -> Twins:
+        back: dict[str, dict[str, str]] = {}
+        for letter, twin in latin.items():
+            if own_script(letter) != "Latin":
+                back.setdefault(own_script(letter), {}).setdefault(twin, letter)
+        return Twins(latin, back)
+
+    def scripts(self, ch: str) -> frozenset[str]:
+        """Scripts that could have written the letter; empty for signs and numerals (any script)."""
+        own = own_script(ch)
+        if not own:
+            return frozenset()
+        if own == "Latin":
+            return frozenset(("Latin", *(s for s, letters in self.back.items() if ch in letters)))
+        return frozenset((own, "Latin")) if ch in self.latin else frozenset((own,))
+
+    def spell(self, token: str, foreign_around: bool) -> str:
+        """The token in its consistent script.
+
+        Mixed tokens with a Latin solution become Latin, a symbol of its own (μ of μs, Δ of Δf) excepted. A token wholly of twins
+        becomes Latin if it has two letters or more and stands among Latin words; next to words truly of its script it stays.
+        Latin letters inside a word of another script get that script's usual twins.
+        """
+        letters = [c for c in token if c.isalpha()]
+        own = {own_script(c) for c in letters}
+        if own <= {"Latin"}:
+            return "".join(self.latin.get(c, c) for c in token)
+        symbols = any(c in GREEK_SYMBOLS for c in letters)
+        rest = [c for c in letters if c not in GREEK_SYMBOLS or c in self.latin and own_script(c) != "Greek"] if symbols else letters
+        possible = None
+        for c in rest or letters:
+            possible = self.scripts(c) if possible is None else possible & self.scripts(c)
+        to_latin = lambda: "".join(self.latin.get(c, c) for c in token)
+        if "Latin" in possible:
+            if len(own) == 1:
+                return to_latin() if len(letters) > 1 and not foreign_around else token
+            return to_latin() if any(c in self.latin for c in letters) else token
+        if len(possible) == 1:
+            back = self.back.get(next(iter(possible)), {})
+            return "".join(back.get(c, c) if own_script(c) == "Latin" else c for c in token)
+        # no single script fits: respell the twins beside Latin letters, leave letters without a twin as they are
+        return to_latin() if "Latin" in own else token
+
+    def form(self, text: str | None) -> str | None:
+        """The one form of a text; null stays null. Line breaks and visibly different signs stay as they are."""
+        if not text or text.isascii():
+            return text
+        forms, styled = _compatible()
+        out = _SPACE.sub(" ", _INVISIBLE.sub("", text))
+        if not out.isascii():
+            out = "".join(c if c < "\x80" else HYPHENS.get(c) or SIGNS.get(c) or forms.get(c) or c for c in out)
+            out = unicodedata.normalize("NFC", out)
+        if out.isascii() or not any(c in self.latin or c in styled or own_script(c) not in ("", "Latin") for c in out if c >= "\x80"):
+            return out
+        spans = [(m.start(), m.end()) for m in _TOKEN.finditer(out)]
+        words = []
+        for a, b in spans:
+            w = out[a:b]
+            words.append("".join(styled.get(c, c) for c in w) if sum(map(str.isalpha, w)) > 1 else w)
+        foreign = [any(own_script(c) not in ("", "Latin") and c not in self.latin and c not in GREEK_SYMBOLS for c in w) and not any(own_script(c) == "Latin" for c in w) for w in words]
+        parts, lo = [], 0
+        for i, (a, b) in enumerate(spans):
+            w = words[i]
+            parts += [out[lo:a], w if w.isascii() else self.spell(w, any(foreign[max(0, i - 3) : i + 4]))]
+            lo = b
+        return unicodedata.normalize("NFC", "".join(parts) + out[lo:])
 
 
-def _own_script(ch: str) -> str:
-    return unicodedata.name(ch, "?").split(" ")[0].capitalize() if ch.isalpha() else ""
+BASE = Twins.of(CYRILLIC_TWINS | GREEK_TWINS | LATIN_TWINS)
 
 
-def spell_token(token: str, foreign_around: bool) -> str:
-    """The token in its consistent script.
+def plain_letter(ch: str) -> str:
+    """The Latin letter that the letter looks like, or itself."""
+    return BASE.latin.get(ch, ch)
 
-    Mixed tokens with a Latin solution become Latin, a symbol of its own (µ of µs, Δ of Δf) excepted. A token wholly of twins
-    becomes Latin if it has two letters or more and stands among Latin words; next to words truly of its script it stays.
+
+_of_unicode: dict[str, Twins] = {}
+
+
+def unicode_twins(spark: SparkSession) -> Twins:
+    """The stated twins and those of the alphabets in ALPHABETS by the Unicode confusables data.
+
+    A letter's twin is the Latin letter of the same case (of any, where scripts have none) with the same skeleton. The table is built
+    once, in the driver, and has some hundred entries.
     """
-    letters = [c for c in token if c.isalpha()]
-    if all(c not in TWINS for c in letters):
-        if any(_own_script(c) == "Cyrillic" for c in letters) and any(c in TWIN_OF_LATIN and _own_script(c) == "Latin" for c in letters):
-            back = {v: k for k, v in CYRILLIC_TWINS.items()}
-            if all(_own_script(c) == "Cyrillic" or "Cyrillic" in TWIN_OF_LATIN.get(c, ()) for c in letters):
-                return "".join(back.get(c, c) for c in token)
-        return token
-    rest = [c for c in letters if c not in GREEK_SYMBOLS or c in TWINS and _own_script(c) != "Greek"] if any(c in GREEK_SYMBOLS for c in letters) else letters
-    solution = None
-    for c in rest or letters:
-        found = scripts_of(c)
-        solution = found if solution is None else solution & found
-    own = {_own_script(c) for c in letters}
-    if own == {"Greek"} or own == {"Cyrillic"}:
-        if "Latin" in (solution or ()) and len(letters) > 1 and not foreign_around:
-            return "".join(TWINS.get(c, c) for c in token)
-        return token
-    if "Latin" in (solution or ()):
-        return "".join(TWINS.get(c, c) for c in token)
-    if solution:  # consistent in another script: give it the Latin twins' places back
-        script = next(iter(solution))
-        back = {v: k for k, v in (CYRILLIC_TWINS if script == "Cyrillic" else GREEK_TWINS).items()} if script in ("Cyrillic", "Greek") else {}
-        return "".join(back.get(c, c) if _own_script(c) == "Latin" else c for c in token)
-    # no single script fits: respell the twins beside Latin letters, leave letters without a twin as they are
-    return "".join(TWINS.get(c, c) for c in token) if "Latin" in own else token
+    if "all" in _of_unicode:
+        return _of_unicode["all"]
+    wanted = [c for c in map(chr, range(0x80, 0x20000)) if c.isalpha() and _name(c).split(" ")[0] in ALPHABETS]
+    latin = [c for c in map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B)])]
+    checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    skeletons = checker.getSkeleton("\n".join(latin + wanted)).split("\n")  # line ends are their own skeleton
+    by: dict[str, list[str]] = {}
+    for c, s in zip(latin, skeletons):
+        by.setdefault(s, []).append(c)
+    more = {}
+    for c, s in zip(wanted, skeletons[len(latin) :]):
+        same = [x for x in by.get(s, ()) if x.isupper() == c.isupper() or not c.isupper() and not c.islower()]
+        if same:
+            more[c] = same[0]
+    twins = _of_unicode["all"] = Twins.of(BASE.latin | more)
+    return twins
 
 
 def consistent_form(text: str | None) -> str | None:
-    """The one form of a text; null stays null. Line breaks and visibly different signs stay as they are."""
-    if not text:
-        return text
-    out = _SPACE.sub(" ", _INVISIBLE.sub("", text))
-    out = "".join(chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else HYPHENS.get(c) or SIGNS.get(c) or LIGATURES.get(c) or c for c in out)
-    out = unicodedata.normalize("NFC", out)
-    if not out.isascii() and any(c in TWINS for c in out):
-        spans = [(m.start(), m.end()) for m in _TOKEN.finditer(out)]
-        words = [out[a:b] for a, b in spans]
-        foreign = [any(c.isalpha() and _own_script(c) in ("Cyrillic", "Greek") and c not in TWINS and c not in GREEK_SYMBOLS for c in w) and not any(_own_script(c) == "Latin" for c in w) for w in words]
-        parts, lo = [], 0
-        for i, (a, b) in enumerate(spans):
-            parts += [out[lo:a], spell_token(words[i], any(foreign[max(0, i - 3) : i + 4]))]
-            lo = b
-        out = "".join(parts) + out[lo:]
-    return out
+    """The one form of a text by the stated twins."""
+    return BASE.form(text)
 
 
 def canonicalize(frame: DataFrame, text_col: str, out_col: str = "form") -> DataFrame:
@@ -121,9 +191,10 @@ def canonicalize(frame: DataFrame, text_col: str, out_col: str = "form") -> Data
     Texts of plain characters only are their own form, which the JVM sees by one pattern; just the others go through Python.
     Null stays null, empty stays empty.
     """
+    twins = unicode_twins(frame.sparkSession)
 
     def run(forms: pa.Array) -> pa.Array:
-        return pa.array([consistent_form(t) for t in forms.to_pylist()], pa.string())
+        return pa.array([twins.form(t) for t in forms.to_pylist()], pa.string())
 
     form = F.arrow_udf(run, "string")
     return frame.withColumn(out_col, F.when(F.col(text_col).rlike(f"[^{PLAIN}]"), form(F.when(F.col(text_col).rlike(f"[^{PLAIN}]"), F.col(text_col)))).otherwise(F.col(text_col)))
@@ -132,10 +203,11 @@ def canonicalize(frame: DataFrame, text_col: str, out_col: str = "form") -> Data
 def changed_rows(frame: DataFrame, key_col: str, text_col: str) -> DataFrame:
     """(key) of the rows whose text isn't in its consistent form; redelivered rows count once, null keys give none."""
     odd = frame.select(F.col(key_col).cast("bigint").alias("key"), F.col(text_col).alias("text")).where(F.col("key").isNotNull() & F.col("text").rlike(f"[^{PLAIN}]"))
+    twins = unicode_twins(frame.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [k for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if consistent_form(t) != t]
+            keys = [k for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if twins.form(t) != t]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], names=["key"])
 
     return odd.mapInArrow(run, "key bigint").distinct()

@@ -4,7 +4,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.llm.lookalikes import PLAIN, TWINS, canonicalize, changed_rows, consistent_form
+from folioforge.llm.lookalikes import BASE, PLAIN, canonicalize, changed_rows, consistent_form, unicode_twins
 
 CASES = {
     "ｆｕｌｌ Ｗ４": "full W4", "e\u0301te\u0301": "été", "a\u200bb\u00adc\ufeff": "abc", "a\u00a0b\u2007c\u3000d": "a b c d", "ﬁne oﬀ": "fine off", "5 Ω, 290 K": "5 Ω, 290 K",
@@ -39,8 +39,22 @@ def test_frames(spark):
 
 def test_plain_characters_have_no_other_form(spark):
     plain = re.compile(f"[{PLAIN}]")
-    assert not [c for c in TWINS if plain.match(c)]
+    assert not [c for c in BASE.latin if plain.match(c)]
     assert not [c for c in map(chr, range(0x20, 0x2800)) if plain.match(c) and consistent_form(f"a{c}b") != f"a{c}b"]
     df = spark.createDataFrame([(1, "lo\u0261ic"), (2, "logic")], "k bigint, t string")
     assert [r.key for r in changed_rows(df, "k", "t").collect()] == [1]
     assert {r.k: r.form for r in canonicalize(df, "t").collect()} == {1: "logic", 2: "logic"}
+
+
+def test_latin_letters_take_the_usual_twin():
+    assert [consistent_form(t) for t in ("Yдар", "Iван", "зaдержкa")] == ["Удар", "Іван", "задержка"]
+
+
+def test_alphabets_and_styles_by_unicode_rules(spark):
+    twins = unicode_twins(spark)
+    wanted = {"Ꭺpple": "Apple", "\U0001d400pple": "Apple", "ꓮpple": "Apple", "ℋello": "Hello", "ﾊﾝｶｸ": "ハンカク", "ⅠX": "IX", "Bօx": "Box", "ｶﾞ": "ガ"}
+    assert {t: twins.form(t) for t in wanted} == wanted
+    kept = ["ℓ = 3", "x ∈ ℝ", "Ուրբաթ", "ᏣᎳᎩ", "თბილისი", "角 CPU工作"]
+    assert [twins.form(t) for t in kept] == kept
+    for letter, latin in twins.latin.items():
+        assert latin.isascii() and twins.form(f"ab{letter}cd") == f"ab{latin}cd", letter
