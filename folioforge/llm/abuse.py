@@ -154,7 +154,7 @@ _PEOPLE = re.compile(r"\A(?:[A-Z][a-z]{2,}|[A-Z]{3,})(?i:ians?|ans?|ish|ese|ites
 
 # Digits and signs written for letters.
 LEET = {"4": "a", "@": "a", "3": "e", "€": "e", "1": "il", "!": "il", "|": "il", "0": "o", "$": "s", "5": "s", "7": "t", "+": "t", "8": "b", "9": "g", "6": "g", "(": "c"}
-_WILD = frozenset("*#?%_")
+_WILD = frozenset("*#")
 _BETWEEN = frozenset("-._·*~'’")
 _VOWELS = frozenset("aeiouy")
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
@@ -199,13 +199,25 @@ def _single(word: str) -> str:
 
 def _readings(token: str) -> list[str]:
     """The token's letters, signs read as letters and marks between letters left out, runs as one; for the test before the walk."""
+    if token.isalpha():
+        return [_single(token)]
     out = [""]
     for c in token:
         of = LEET.get(c, c if c.isalpha() else "")
-        out = [x + o for x in out for o in of or ("",)][:8]
+        if len(of) > 1:
+            out = [x + o for x in out for o in of][:8]
+        else:
+            out = [x + of for x in out]
     return [_single(x) for x in out]
 
 
+def _fewer(one: str) -> Iterator[str]:
+    """The word, its runs as one, and what is left of it without one letter."""
+    yield one
+    for i in range(len(one)):
+        yield one[:i] + one[i + 2 :] if 0 < i < len(one) - 1 and one[i - 1] == one[i + 1] else one[:i] + one[i + 1 :]
+
+
 class Trie:
     """Lexicon trie with a weighted Levenshtein automaton over it.
 
@@ -223,25 +235,31 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = term
         self.longest = max(map(len, terms), default=0)
-        self.near: set[str] = set()
+        self.near: dict[str, set[str]] = {}  # what is left of a term without one letter -> beginnings of such terms
         for t in terms:
             one = _single(t)
-            self.near.add(one)
+            keys = {one}
             if len(t) > 3:
-                self.near |= {_single(w[:i] + w[i + 1 :]) for w in (t, one) for i in range(len(w))}
+                keys |= {*_fewer(one), *(_single(t[:i] + t[i + 1 :]) for i in range(len(t)))}
+            for key in keys:
+                self.near.setdefault(key, set()).add(t[:2])
 
-    def may_match(self, token: str) -> bool:
-        """Whether a walk may find anything: readings and terms agree after dropping one letter or none from each."""
+    def beginnings(self, token: str) -> set[str]:
+        """First two letters of all terms that a walk may find: readings and terms agree after dropping one letter or none from each."""
         near = self.near
+        out: set[str] = set()
         for r in _readings(token):
-            if len(r) > self.longest + 1:
-                continue
-            if r in near or any(_single(r[:i] + r[i + 1 :]) in near for i in range(len(r))):
-                return True
-        return False
+            if len(r) <= self.longest + 1:
+                for key in _fewer(r):
+                    if key in near:
+                        out |= near[key]
+        return out
+
+    def may_match(self, token: str) -> bool:
+        return bool(self.beginnings(token))
 
-    def matches(self, token: str, limit: float = FULL) -> list[tuple[float, str]]:
-        """(cost, term) of all terms within the cost that they bear and ``limit``."""
+    def matches(self, token: str, limit: float = FULL, beginnings: set[str] | None = None) -> list[tuple[float, str]]:
+        """(cost, term) of all terms within the cost that they bear and ``limit``; only of terms with these beginnings, if given."""
         n = len(token)
         free = [0.0] * (n + 1)  # cost of passing over the token's letter i (1-based)
         for i in range(1, n + 1):
@@ -253,7 +271,8 @@ class Trie:
         for i in range(1, n + 1):
             first[i] = first[i - 1] + (0.0 if token[i - 1] in _BETWEEN else FULL)
         found = []
-        stack = [(c, node, "", first, None) for c, node in self.root.items() if c]
+        letters = None if beginnings is None else {b[:1] for b in beginnings}
+        stack = [(c, node, "", first, None) for c, node in self.root.items() if c and (letters is None or c in letters)]
         while stack:
             c, node, before, row, above = stack.pop()
             gone = LIGHT if c in _VOWELS and before or c == before else FULL
@@ -273,7 +292,10 @@ class Trie:
             term = node.get("")
             if term is not None and now[n] <= min(limit, cost_limit(len(term))):
                 found.append((now[n], term))
-            stack.extend((d, below, c, now, row) for d, below in node.items() if d)
+            if above is None and beginnings is not None:
+                stack.extend((d, below, c, now, row) for d, below in node.items() if d and c + d in beginnings)
+            else:
+                stack.extend((d, below, c, now, row) for d, below in node.items() if d)
         return found
 
 
@@ -355,16 +377,19 @@ class Matcher(dict):
         signs = sum(c in LEET or c in _WILD for c in word)
         if letters < 2 or letters < signs or letters + signs < len(word) - sum(c in _BETWEEN for c in word):
             return ""
+        beginnings = None
         if word not in trie.terms:
-            if word in self.words or word in self.company:
+            if word in self.words or word in self.company or word.isdigit():
                 return ""
-            if word.isdigit() or _WILD.isdisjoint(word) and not trie.may_match(word):
+            if _WILD.isdisjoint(word) and not (beginnings := trie.beginnings(word)):
                 return ""
+        else:
+            beginnings = {word[:2]}
         if len(word) > 3 * trie.longest:  # shorten stretches before any walk
             word = re.sub(r"(.)\1{3,}", r"\1\1\1", word)
             if len(word) > 3 * trie.longest:
                 return ""
-        found = trie.matches(word, limit)
+        found = trie.matches(word, limit, beginnings)
         if not word.isalpha() or _WILD & set(word):  # a sign may stand for a letter, not for most of a term
             found = [(c, t) for c, t in found if sum(x.isalpha() for x in set(word)) >= 2 and (len(t) > 3 or c == 0 and word.isalpha())]
         exact = [(c, t) for c, t in found if t == word]
