@@ -154,12 +154,41 @@ def test_table_captions_against_walk(spark):
     assert [(r.doc_id, r.ord, r.table_data.caption if r.table_data else None) for r in run(R.attach_table_captions(df))] == want
 
 
+def merged(spark, *tables):
+    """merge_parts over lists of parts (headers, rows, caption)."""
+    rows = [(i, parts) for i, parts in enumerate(tables)]
+    df = spark.createDataFrame(rows, "id int, parts array<struct<headers array<string>, body_rows array<array<string>>, caption string>>")
+    found = {r.id: r.t for r in df.select("id", merge_parts(F.col("parts")).alias("t")).collect()}
+    return [(found[i].headers, found[i].body_rows, found[i].caption) for i in range(len(tables))]
+
+
 def test_table_merge(spark):
     long = "a cell whose text runs on over the page and"
-    first = {"headers": ["A", "B", "C"], "body_rows": [["1", long, long]], "caption": "Table 1 x"}
-    assert merge_parts([first, {"headers": ["0", "1", "2"], "body_rows": [["tail", "more"]], "caption": "NOTE: y"}]) == {"headers": ["A", "B", "C"], "body_rows": [["1", long + " tail", long + " more"]], "caption": "Table 1 x NOTE: y"}
-    drift = merge_parts([{"headers": ["Name long", "Value"], "body_rows": [["1", "2"]], "caption": None}, {"headers": ["Name", "Value"], "body_rows": [["", "3"], ["4", "5"], ["6", "7"]], "caption": None}])
-    assert drift == {"headers": ["Name", "Value"], "body_rows": [["1", "2"], ["1", "3"], ["4", "5"], ["6", "7"]], "caption": None}
+    cases = {
+        "pieces go on in open cells, notes go to the caption": ([(["A", "B", "C"], [["1", long, long]], "Table 1 x"), (["0", "1", "2"], [["tail", "more"]], "NOTE: y")], (["A", "B", "C"], [["1", long + " tail", long + " more"]], "Table 1 x NOTE: y")),
+        "a shortened header replaces the first; leading blanks take the row above": ([(["Name long", "Value"], [["1", "2"]], None), (["Name", "Value"], [["", "3"], ["4", "5"], ["6", "7"]], None)], (["Name", "Value"], [["1", "2"], ["1", "3"], ["4", "5"], ["6", "7"]], None)),
+        "another header is a row": ([(["A", "B"], [["1", "2"]], None), (["C", "D"], [["3", "4"]], None)], (["A", "B"], [["1", "2"], ["C", "D"], ["3", "4"]], None)),
+        "columns without names; rows padded and cut": ([(["", "1"], [["1", "2", "3"], ["4"]], None), (None, [["5"], ["6", "7", "8", "9"], ["x", "y", "z"]], "")], (["col0", "col1", "col2"], [["1", "2", "3"], ["4", "", ""], ["4", "", "5"], ["6", "7", "8"], ["x", "y", "z"]], None)),
+        "more pieces than open cells go to the last columns": ([(["A", "B", "C"], [["k", "s", long]], None), ([], [["", "p", "q"]], None)], (["A", "B", "C"], [["k", "s p", long + " q"]], None)),
+        "a closed row is followed by a row": ([(["A", "B"], [["k", long + "."]], None), (["A", "B"], [["A", "B"], ["", "q"]], None)], (["A", "B"], [["k", long + "."], ["k", "q"]], None)),
+        "nothing at all": ([(None, None, None), ([], [], None)], ([], [], None)),
+        "titles of later parts are left out": ([(["A"], [["1"]], "Table 1 x"), (["A"], [["2"]], "Table 2 y"), (["A"], [["3"]], "NOTE"), (["A"], [["4"]], "NOTE")], (["A"], [["1"], ["2"], ["3"], ["4"]], "Table 1 x NOTE")),
+        "null cells and rows": ([(["A", None], [[None, "x"], None], None), (["A", None], [["", "y"]], None)], (["A", ""], [["", "x"], ["", "x"], ["", "y"]], None)),
+    }
+    got = merged(spark, *[parts for parts, _ in cases.values()])
+    for (what, (_, want)), found in zip(cases.items(), got):
+        assert found == want, what
+
+
+def test_long_tables_merge_in_the_jvm(spark):
+    parts = [(["A", "B"], [[str(i), str(j)] for j in range(40)], None) for i in range(200)]
+    ((headers, rows, _),) = merged(spark, parts)
+    assert headers == ["A", "B"] and rows == [[str(i), str(j)] for i in range(200) for j in range(40)]
+    plan = spark.createDataFrame([([],)], "parts array<struct<headers array<string>, body_rows array<array<string>>, caption string>>").select(merge_parts(F.col("parts")))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_collapsed_tables(spark):
     rows = [block(0, "table", page=13, table=(["A", "B"], [["1", "2"]], None)), block(1, "table", page=14, table=(["A", "B"], [["A", "B"], ["3", "4"]], None)), block(2, "paragraph", "x", page=14)]
     got = run(collapse_tables(R.with_position(frame(spark, rows))))
     assert [(r.block_type, r.table_data.body_rows if r.table_data else None, r.metadata) for r in got] == [("table", [["1", "2"], ["3", "4"]], {"merged_parts": "2", "page_end": "14", "continued": "true"}), ("paragraph", None, {})]
