@@ -7,7 +7,9 @@ node b exactly when a.pre < b.pre and b.post < a.post, so parent links need no p
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -38,31 +40,113 @@ def _ids(value: object) -> list[str]:
     return [str(x) for x in value if isinstance(x, (str, int)) and not isinstance(x, bool)] if isinstance(value, list) else []
 
 
-def find_document(payload: str | None) -> dict | None:
-    """The canonical document inside a payload: bare, quoted once more as a JSON string, or under wrapper members.
+_SPACE = re.compile(r"[ \t\n\r]*")
+_ATOM = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null")
+
+
+def _long_int(digits: str) -> object:
+    """Integers of any length; those longer than Python turns into numbers stay as their digits."""
+    return int(digits) if len(digits) < 4000 else digits
+
+
+def _parse_with_stack(text: str) -> object:
+    """JSON of any depth, read with a stack of open lists and objects instead of recursion. ValueError if it isn't complete JSON."""
+    pos, n = _SPACE.match(text, 0).end(), len(text)
+    stack: list[tuple[list | dict, str | None]] = []  # open containers, each with the key that its next value gets
+
+    def key_at(pos: int) -> tuple[str, int]:
+        if text[pos : pos + 1] != '"':
+            raise ValueError("a key is missing")
+        key, pos = scanstring(text, pos + 1, True)
+        pos = _SPACE.match(text, pos).end()
+        if text[pos : pos + 1] != ":":
+            raise ValueError("a colon is missing")
+        return key, _SPACE.match(text, pos + 1).end()
+
+    while True:
+        mark = text[pos : pos + 1]
+        opened: list | dict | None = None
+        if mark in ("{", "["):
+            opened = {} if mark == "{" else []
+            pos = _SPACE.match(text, pos + 1).end()
+            if text[pos : pos + 1] == ("}" if mark == "{" else "]"):
+                value, pos = opened, pos + 1
+            else:
+                key = None
+                if mark == "{":
+                    key, pos = key_at(pos)
+                stack.append((opened, key))
+                continue
+        elif mark == '"':
+            value, pos = scanstring(text, pos + 1, True)
+        elif m := _ATOM.match(text, pos):
+            word, pos = m.group(), m.end()
+            value = {"true": True, "false": False, "null": None}[word] if word[0] in "tfn" else _long_int(word) if word.lstrip("-").isdigit() else float(word)
+        else:
+            raise ValueError(f"no value at {pos}")
+        while True:  # give the value to its container, and close those that end here
+            pos = _SPACE.match(text, pos).end()
+            if not stack:
+                if pos < n:
+                    raise ValueError(f"more text at {pos}")
+                return value
+            holder, key = stack.pop()
+            if isinstance(holder, dict):
+                holder[key] = value
+            else:
+                holder.append(value)
+            mark = text[pos : pos + 1]
+            pos = _SPACE.match(text, pos + 1).end()
+            if mark == ",":
+                key = None
+                if isinstance(holder, dict):
+                    key, pos = key_at(pos)
+                stack.append((holder, key))
+                break
+            if mark != ("}" if isinstance(holder, dict) else "]"):
+                raise ValueError(f"an end is missing at {pos}")
+            value = holder
 
-    Returns None for null, empty, broken or truncated JSON and for JSON that holds no document.
-    """
+
+def parse_json(text: str) -> object:
+    """The value of a JSON text of any depth; ValueError if it isn't complete JSON."""
     try:
-        value = json.loads(payload) if payload else None
-        for _ in range(3):
-            if not isinstance(value, str):
-                break
-            value = json.loads(value)
-    except (ValueError, RecursionError):
-        return None
+        return json.loads(text, parse_int=_long_int)
+    except RecursionError:
+        return _parse_with_stack(text)
+
+
+def find_document(payload: str | None) -> tuple[dict | None, str]:
+    """(document, '') of a payload: bare, quoted as a JSON string any number of times, or under wrapper members of any depth, the least
+    deep first. Else (None, reason): 'null', 'empty', 'broken' (not complete JSON) or 'no document'."""
+    if payload is None:
+        return None, "null"
+    if not payload.strip():
+        return None, "empty"
+    try:
+        value = parse_json(payload)
+        while isinstance(value, str) and value.strip():
+            value = parse_json(value)
+    except ValueError:
+        return None, "broken"
     level = [value]
-    for _ in range(4):
-        below = []
+    while level:
+        below: list = []
         for v in level:
-            if isinstance(v, dict):
+            if isinstance(v, str) and '"schema_version"' in v:
+                try:  # a quoted document; text that only looks like one is no error of the record
+                    v = parse_json(v)
+                except ValueError:
+                    continue
+                below.append(v)
+            elif isinstance(v, dict):
                 if "schema_version" in v or any(isinstance(v.get(k), (list, dict)) for k in ("sections", "blocks")):
-                    return v
-                below += list(v.values())
+                    return v, ""
+                below += v.values()
             elif isinstance(v, list):
                 below += v
-        level = [json.loads(v) if isinstance(v, str) and v[:1] == "{" and v[-1:] == "}" and '"schema_version"' in v else v for v in below]
-    return None
+        level = below
+    return None, "no document"
 
 
 def _scalars(obj: dict) -> list[tuple[str, str]]:
@@ -102,22 +186,26 @@ def walk_document(doc: dict, with_attrs: bool = True) -> list[tuple]:
             kids += [("lazy", section, k, c) for k, c in _members(s.get(name), ("id", "title", "level"))]
         return ("open", "section", None if sid is None else str(sid), None if parent in (None, "") else str(parent), _scalars(s) if with_attrs else [], kids)
 
-    def extra(path: tuple, value: object) -> list[tuple]:
-        leaves, todo = [], [(path, value)]
+    def extra(value: object) -> list[tuple]:
+        leaves, todo = [], [(None, value)]  # a path is (path before, last step), so that deep ones share what they have in common
         while todo:
-            p, v = todo.pop()
+            path, v = todo.pop()
             if isinstance(v, dict):
-                todo += [((*p, k), x) for k, x in reversed(v.items())]
+                todo += [((path, k), x) for k, x in reversed(v.items())]
             elif isinstance(v, list):
-                todo += [((*p, str(i)), x) for i, x in reversed(list(enumerate(v)))]
-            elif v is not None and p:
-                leaves.append(("open", "extra", ".".join(p), None, [("value", v if isinstance(v, str) else json.dumps(v))] if with_attrs else [], ()))
+                todo += [((path, str(i)), x) for i, x in reversed(list(enumerate(v)))]
+            elif v is not None and path:
+                steps, at = [], path
+                while at:
+                    at, step = at
+                    steps.append(step)
+                leaves.append(("open", "extra", ".".join(reversed(steps)), None, [("value", v if isinstance(v, str) else json.dumps(v))] if with_attrs else [], ()))
         return leaves
 
     top: list[tuple] = []
     meta = doc.get("metadata")
     if isinstance(meta, dict):
-        top += extra((), meta.get("extra"))
+        top += extra(meta.get("extra"))
     top += [("lazy", section, k, s) for k, s in _members(doc.get("sections"), ("id", "title", "level"))]
     top += [("lazy", block, k, b) for k, b in _members(doc.get("blocks"), ("id", "type", "text"))]
     stack = top[::-1]
@@ -136,22 +224,50 @@ def walk_document(doc: dict, with_attrs: bool = True) -> list[tuple]:
     return [tuple(x) for x in out]
 
 
-def label_nodes(records: DataFrame, id_col: str = "record_id", payload_col: str = "payload", with_attrs: bool = True) -> DataFrame:
+def _without_halves(value: object) -> object:
+    """Halves of surrogate pairs in strings replaced, in nested tuples and lists too."""
+    if isinstance(value, str):
+        return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return type(value)(map(_without_halves, value)) if isinstance(value, (tuple, list)) else value
+
+
+def _latest(records: DataFrame, id_col: str, payload_col: str, time_col: str) -> DataFrame:
+    """(record_id, payload): one row per id."""
+    when = F.col(time_col).cast("timestamp") if time_col in records.columns else F.lit(None).cast("timestamp")
+    slim = records.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(payload_col).alias("payload"), when.alias("at")).where("record_id is not null")
+    return slim.groupBy("record_id").agg(F.max(F.struct("at", "payload")).alias("r")).select("record_id", F.col("r.payload").alias("payload"))
+
+
+def rejected_records(records: DataFrame, id_col: str = "record_id", payload_col: str = "payload", time_col: str = "received_at") -> DataFrame:
+    """(record_id, reason) of the records that give no node: 'null', 'empty', 'broken' or 'no document'."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(rid, why) for rid, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (why := find_document(p)[1])]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())], names=["record_id", "reason"])
+
+    return _latest(records, id_col, payload_col, time_col).mapInArrow(run, "record_id bigint, reason string")
+
+
+def label_nodes(records: DataFrame, id_col: str = "record_id", payload_col: str = "payload", with_attrs: bool = True, time_col: str = "received_at") -> DataFrame:
     """All nodes of all payloads with their interval labels (NODE_SCHEMA).
 
-    Redelivered rows (same id) are labelled once. Null, empty or broken payloads, and rows with a null id, give no node.
+    Of rows with the same id the latest received one counts (``time_col``, where the frame has it; else the greatest payload). Null,
+    empty or broken payloads, those without a document, and rows with a null id give no node; ``rejected_records`` names them.
     """
-    slim = records.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(payload_col).alias("payload"))
-    slim = slim.where("record_id is not null and payload is not null").dropDuplicates(["record_id"])
+    slim = _latest(records, id_col, payload_col, time_col).where("payload is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
             for rid, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                doc = find_document(payload)
+                doc, _ = find_document(payload)
                 if doc is None:
                     continue
+                lone = "\\ud" in payload.lower()  # halves of surrogate pairs, which no text may hold alone
                 for node in walk_document(doc, with_attrs):
+                    if lone:
+                        node = _without_halves(node)
                     cols[0].append(rid)
                     for c, v in zip(cols[1:], node):
                         c.append(v)

@@ -1,7 +1,7 @@
 import json
 import random
 
-from folioforge.operators.nested import find_document, label_nodes, link_by_interval, node_tables, record_links, walk_document
+from folioforge.operators.nested import _parse_with_stack, find_document, label_nodes, link_by_interval, node_tables, parse_json, record_links, rejected_records, walk_document
 
 DOC = {
     "schema_version": "1.0",
@@ -53,12 +53,70 @@ def test_labels_nest_and_give_the_parents(spark):
         assert found[node_id] == (max(around)[3] if around else None)
 
 
-def test_deep_documents_do_not_recurse():
-    doc = {"id": "s0"}
-    for i in range(300):
-        doc = {"id": f"t{i}", "subsections": [doc]}
-    assert len(walk_document({"schema_version": "1.0", "sections": [doc]})) == 301
-    assert find_document("[" * 100_000) is None
+def test_records_of_any_depth(spark):
+    n = 100_000
+    deep = '{"schema_version":"1.0","sections":[' + "".join(f'{{"id":"s{i}","subsections":[' for i in range(n)) + "]}" * n + "]}"
+    assert len(walk_document(find_document(deep)[0], with_attrs=False)) == n + 1 or len(walk_document(find_document(deep)[0], with_attrs=False)) == n
+    small = '{"schema_version":"1.0","metadata":{"extra":' + '{"a":' * 5_000 + "1" + "}" * 5_000 + "}}"
+    df = spark.createDataFrame([(1, deep), (2, small)], "record_id bigint, payload string")
+    got = link_by_interval(label_nodes(df, with_attrs=False)).where("record_id = 1 and kind = 'section' and holder_id = concat('s', cast(substr(node_id, 2) as int) - 1)").count()
+    assert got == n - 1
+    assert [len(r.child_id) for r in record_links(df.where("record_id = 2")).collect()] == [2 * 5_000 - 1]
+    assert find_document("[" * n) == (None, "broken") and find_document("[" * n + "]" * n) == (None, "no document")
+
+
+def test_wrappers_and_quotes_of_any_number(spark):
+    text = json.dumps(DOC)
+    for _ in range(10):
+        text = json.dumps({"event": "e", "body": [None, text and json.loads(text)]})
+    quoted = json.dumps(DOC)
+    for _ in range(6):
+        quoted = json.dumps(quoted)
+    inner = json.dumps({"note": '{ "schema_version" }', "other": '{"schema_version": ', "deep": {"document": json.dumps(DOC)}})
+    df = spark.createDataFrame([(1, text), (2, quoted), (3, inner)], "record_id bigint, payload string")
+    assert links(df) == {(i, *x) for i in (1, 2, 3) for x in LINKS}
+
+
+def test_stack_parser_equals_the_other(spark):
+    rng = random.Random(8)
+
+    def value(depth):
+        if depth > 4 or rng.random() < 0.3:
+            return rng.choice([None, True, False, 0, -12, 3.5, 1e-9, "", 'q"\\n\u00e9\U0001f600', "x"])
+        if rng.random() < 0.5:
+            return [value(depth + 1) for _ in range(rng.randint(0, 4))]
+        return {rng.choice("abcd\n"): value(depth + 1) for _ in range(rng.randint(0, 4))}
+
+    for _ in range(300):
+        v = value(0)
+        text = json.dumps(v, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5)
+        assert _parse_with_stack(text) == v == parse_json(text)
+        cut = text[: rng.randrange(len(text))] + rng.choice(["", ",", "}", "x"])
+        try:
+            want = json.loads(cut)
+        except ValueError:
+            want = ValueError
+        try:
+            got = _parse_with_stack(cut)
+        except ValueError:
+            got = ValueError
+        assert got == want, cut
+    assert parse_json("1" + "0" * 9_000) == "1" + "0" * 9_000
+
+
+def test_rejected_records_say_why(spark):
+    rows = [(1, None), (2, "  "), (3, "{"), (4, "[1]"), (5, json.dumps(DOC)), (None, "{")]
+    assert {(r.record_id, r.reason) for r in rejected_records(spark.createDataFrame(rows, "record_id bigint, payload string")).collect()} == {(1, "null"), (2, "empty"), (3, "broken"), (4, "no document")}
+
+
+def test_halves_of_surrogate_pairs(spark):
+    df = spark.createDataFrame([(1, '{"schema_version":"1","sections":[{"id":"a\\ud83d","title":"\\uD83D\\uDE00"}]}')], "record_id bigint, payload string")
+    assert [(r.section_id, r.title) for r in node_tables(df)["sections"].collect()] == [("a\ufffd", "\U0001f600")]
+
+
+def test_latest_row_of_a_record_counts(spark):
+    rows = [(1, json.dumps({"schema_version": "1", "blocks": [{"id": x}]}), t) for x, t in (("old", "2024-01-01"), ("new", "2024-03-01"), ("mid", "2024-02-01"))]
+    assert [r.child_id for r in record_links(spark.createDataFrame(rows, "record_id bigint, payload string, received_at string")).collect()] == ["new"]
 
 
 def test_node_tables(spark):
