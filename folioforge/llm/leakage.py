@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,115 +9,153 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.lookalikes import INVISIBLE
+from folioforge.llm.lookalikes import Twins, seen_places, unicode_twins, without_invisible
 from folioforge.llm.words import WORD
-from folioforge.runtime import stage_table
+from folioforge.runtime import bounded_broadcast, stage_table
 
-#: Most item words in one broadcast; more items are scanned in further passes over the corpus.
+#: Most item words in one broadcast, some 20 bytes each; more items are scanned for in further passes over the corpus, one after another.
 SLICE_WORDS = 2_000_000
-_INVISIBLE = re.compile(f"[{INVISIBLE}]")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def plain_words(text: str) -> list[str]:
-    """Lower-case words after invisible characters are removed."""
-    return WORD.findall((text if text.isascii() else _INVISIBLE.sub("", text)).lower())
+def _lower(text: str) -> str:
+    """Lower case; letter by letter where that makes more letters of one."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() for c in text)
 
 
-def _window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(max(0, len(ids) - n + 1), np.uint64)
+def words_and_places(text: str, twins: Twins | None = None) -> tuple[list[str], list[tuple[int, int]]]:
+    """(words, places): lower-case words after invisible characters are removed, with the places in ``text`` where each begins and
+    ends. With ``twins``, words are those of the text's consistent form."""
+    if text.isascii():
+        found = list(WORD.finditer(text))
+        return [m.group().lower() for m in found], [m.span() for m in found]
+    seen, at = twins.aligned(text) if twins else seen_places(text)
+    low = _lower(seen)
+    if len(low) != len(seen):
+        at = [place for c, place in zip(seen, at) for _ in c.lower()]
+    found = list(WORD.finditer(low))
+    return [m.group() for m in found], [(at[m.start()], at[m.end() - 1] + 1) for m in found]
+
+
+def plain_words(text: str, twins: Twins | None = None) -> list[str]:
+    """The words alone."""
+    if text.isascii():
+        return WORD.findall(text.lower())
+    return WORD.findall(_lower(twins.aligned(text)[0] if twins else without_invisible(text)))
+
+
+def _hash_windows(ids: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the windows of n ids that begin at ``starts``."""
+    out = np.zeros(len(starts), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(n):
-            out = (out ^ ids[k : k + len(out)]) * _MULT
+            out = (out ^ ids[starts + k].astype(np.uint64)) * _MULT
             out ^= out >> np.uint64(29)
     return out
 
 
 class GramSet:
-    """The n-grams of the items by length: hashes for the scan, word tuples for the check.
+    """The n-grams of the items by length: sorted hashes for the scan, and where each gram begins in the items' words for the check.
 
     An item of n words or more gives all its n-grams; a shorter one gives itself whole. Items without a word give nothing.
     """
 
-    def __init__(self, items: list[tuple[int, str]], n: int) -> None:
+    def __init__(self, items: list[tuple[int, str]], n: int, twins: Twins | None = None) -> None:
+        self.twins = twins
         self.vocabulary: dict[str, int] = {}
-        self.grams: dict[int, dict[tuple, set[int]]] = {}
+        flat: list[int] = []
+        owners, starts, sizes = [], [], []
         for item, text in items:
-            words = plain_words(text)
-            for w in words:
-                self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
+            words = plain_words(text, twins)
             size = min(n, len(words))
             if size:
-                of = self.grams.setdefault(size, {})
-                for k in range(len(words) - size + 1):
-                    of.setdefault(tuple(words[k : k + size]), set()).add(item)
-        self.hashes = {size: np.sort(np.concatenate([_window_hashes(np.array([self.vocabulary[w] for w in g], np.uint64), size) for g in of])) for size, of in self.grams.items()}
+                grams = len(words) - size + 1
+                starts.append(np.arange(len(flat), len(flat) + grams, dtype=np.int64))
+                owners.append(np.full(grams, item, np.int64))
+                sizes.append(np.full(grams, size, np.int64))
+                flat.extend([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words])
+        self.words = np.array(flat, np.int32)
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        if flat:
+            owner, start, size = np.concatenate(owners), np.concatenate(starts), np.concatenate(sizes)
+            for k in np.unique(size).tolist():
+                at = np.flatnonzero(size == k)
+                value = _hash_windows(self.words, start[at], k)
+                order = np.argsort(value, kind="stable")
+                self.grams[k] = value[order], start[at][order].astype(np.int32), owner[at][order]
 
     def scan(self, texts: list[list[str]]) -> list[tuple[int, int, int, int]]:
         """(text index, item, first word, word after the last) of every window of the texts that is an n-gram of an item."""
-        get, gap = self.vocabulary.get, [0]
+        get = self.vocabulary.get
         flat: list[int] = []
         starts = []
         for words in texts:
             starts.append(len(flat))
             flat.extend([get(w, 0) for w in words])
-            flat.extend(gap)
-        ids = np.array(flat, np.uint64)
+            flat.append(0)
+        ids = np.array(flat, np.int32)
         bad = np.concatenate([[0], np.cumsum(ids == 0)])
-        found = []
-        for size, known in self.hashes.items():
+        found: list[tuple[int, int, int, int]] = []
+        for size, (known, begins, owner) in self.grams.items():
             if len(ids) < size:
                 continue
             whole = np.flatnonzero(bad[size:] == bad[:-size])  # windows of item words only
             if not len(whole):
                 continue
-            # hash only the windows that can match
-            value = np.zeros(len(whole), np.uint64)
-            with np.errstate(over="ignore"):
-                for k in range(size):
-                    value = (value ^ ids[whole + k]) * _MULT
-                    value ^= value >> np.uint64(29)
-            at = np.minimum(np.searchsorted(known, value), len(known) - 1)
-            for pos in whole[known[at] == value].tolist():
-                text = int(np.searchsorted(starts, pos, side="right")) - 1
-                lo = pos - starts[text]
-                for item in self.grams[size].get(tuple(texts[text][lo : lo + size]), ()):
-                    found.append((text, item, lo, lo + size))
+            value = _hash_windows(ids, whole, size)
+            lo, hi = np.searchsorted(known, value), np.searchsorted(known, value, side="right")
+            times = hi - lo
+            window = np.repeat(whole, times)
+            gram = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            same = np.ones(len(window), bool)
+            for k in range(size):  # every hash hit is checked on the words
+                same &= ids[window + k] == self.words[begins[gram] + k]
+            window, items = window[same], owner[gram[same]]
+            text = np.searchsorted(starts, window, side="right") - 1
+            first = window - np.array(starts)[text]
+            found += zip(text.tolist(), items.tolist(), first.tolist(), (first + size).tolist())
         return found
 
 
-def _slices(items: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    """The distinct items in lists of at most SLICE_WORDS words."""
+def _slices(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """(items, whether they are the last) in lists of at most SLICE_WORDS words; the driver holds two lists at a time."""
     table = items.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null").distinct()
-    out: list[list[tuple[int, str]]] = [[]]
-    held = 0
+    held, words, before = [], 0, None
     for row in table.orderBy("item_id", "text").toLocalIterator():
-        held += len(row["text"].split()) + 1
-        if held > SLICE_WORDS and out[-1]:
-            out.append([])
-            held = 0
-        out[-1].append((row["item_id"], row["text"]))
-    return out
-
-
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 13) -> DataFrame:
+        size = len(row["text"].split()) + 1
+        if words + size > SLICE_WORDS and held:
+            if before is not None:
+                yield before, False
+            before, held, words = held, [], 0
+        held.append((row["item_id"], row["text"]))
+        words += size
+    if before is not None:
+        yield before, False
+    yield held, True
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 13, lookalikes: bool = False) -> DataFrame:
     """(doc_id, item_id, first_word, last_word, n_windows): the documents that hold n consecutive words of an item.
 
     Items shorter than n words must occur whole. The words compared are runs of letters or numerals, lower case, after
-    invisible characters are removed. Every hash hit is checked on the words. Null and empty texts hold nothing; rows without
-    an id are left out; repeated rows count once. first_word and last_word give the range that the windows found span.
+    invisible characters are removed; with ``lookalikes``, of the texts' consistent forms. Every hash hit is checked on the words.
+    Null and empty texts hold nothing; rows without an id are left out; repeated rows count once. first_word and last_word give
+    the range that the windows found span. Items beyond SLICE_WORDS words are scanned for slice by slice, each slice's findings
+    being written before the next is broadcast.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text <> ''")
+    twins = unicode_twins(spark) if lookalikes else None
     parts = []
-    for items_ in _slices(items, item_id, item_text):
-        shared = spark.sparkContext.broadcast(GramSet(items_, n))
+    for items_, last in _slices(items, item_id, item_text):
+        shared = spark.sparkContext.broadcast(GramSet(items_, n, twins))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 keys = b.column(0).to_pylist()
                 spans: dict[tuple[int, int], list[int]] = {}
-                texts = [plain_words(t) for t in b.column(1).to_pylist()]
+                texts = [plain_words(t, shared.value.twins) for t in b.column(1).to_pylist()]
                 for at, item, lo, hi in shared.value.scan(texts):
                     s = spans.setdefault((keys[at], item), [lo, hi, 0])
                     s[0], s[1], s[2] = min(s[0], lo), max(s[1], hi), s[2] + 1
@@ -126,44 +163,84 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                 cols = list(zip(*rows)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "first_word", "last_word", "n_windows"])
 
-        parts.append(slim.mapInArrow(run, "doc_id bigint, item_id bigint, first_word int, last_word int, n_windows int"))
+        found = slim.mapInArrow(run, "doc_id bigint, item_id bigint, first_word int, last_word int, n_windows int")
+        if not last or parts:
+            found = stage_table(found, "leaks")
+            shared.destroy()
+        parts.append(found)
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
     return every.groupBy("doc_id", "item_id").agg(F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.max("n_windows").alias("n_windows"))
 
 
-def _remove(text: str, gram_set: GramSet) -> str:
-    """The text without the words of the windows found, from the first letter to the last of each run of windows."""
-    hits = gram_set.scan([plain_words(text)])
-    if not hits:
-        return text
-    kept = [i for i, c in enumerate(text) if not _INVISIBLE.match(c)]
-    seen = "".join(text[i] for i in kept)
-    spans = [(m.start(), m.end()) for m in WORD.finditer(seen)]
-    doomed = np.zeros(len(text), bool)
-    for _, _, lo, hi in hits:
-        if hi <= len(spans):
-            doomed[kept[spans[lo][0]] : kept[spans[hi - 1][1] - 1] + 1] = True
-    return "".join(c for c, d in zip(text, doomed) if not d)
+def leaked_spans(text: str, grams: GramSet) -> list[tuple[int, int]]:
+    """Places of the text, from the first letter to behind the last of each window found; overlapping and touching ones as one."""
+    words, places = words_and_places(text, grams.twins)
+    return joined_spans([(places[lo][0], places[hi - 1][1]) for _, _, lo, hi in grams.scan([words])])
+
+
+def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the spans."""
+    parts, at = [], 0
+    for a, b in joined_spans(spans):
+        parts.append(text[at:a])
+        at = b
+    return "".join(parts) + text[at:]
 
 
-def remove_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 13, drop_documents: bool = False) -> DataFrame:
+_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+
+def remove_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 13, drop_documents: bool = False, lookalikes: bool = False) -> DataFrame:
     """The documents with leaked spans removed from ``text``; with ``drop_documents``, without the documents that leak.
 
-    Documents without a leak, null and empty texts come out as they are.
+    Spans are looked for in the stored text only, whatever the number of slices, and cut once all are known. Documents without a
+    leak, null and empty texts come out as they are, repeated rows and rows without an id too.
     """
+    spark = docs.sparkSession
     if drop_documents:
-        return docs.join(find_leaks(docs, items, doc_id, text, item_id, item_text, n).select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_anti")
-    spark, out = docs.sparkSession, docs
-    for items_ in _slices(items, item_id, item_text):
-        out = out.withColumn(text, _remover(spark.sparkContext.broadcast(GramSet(items_, n)))(F.col(text)))
-    return out
+        leaking = find_leaks(docs, items, doc_id, text, item_id, item_text, n, lookalikes).select(F.col("doc_id").alias(doc_id)).distinct()
+        return docs.join(leaking, doc_id, "left_anti").select(*docs.columns)
+    twins = unicode_twins(spark) if lookalikes else None
+    parts = []
+    for items_, last in _slices(items, item_id, item_text):
+        shared = spark.sparkContext.broadcast(GramSet(items_, n, twins))
+        if last and not parts:  # all items at once: no need to bring spans and texts together
+            return docs.withColumn(text, _remover(shared)(F.col(text)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = [(d, s) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (s := leaked_spans(t, shared.value))]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.string()), pa.array([[{"a": a, "b": b_} for a, b_ in s] for _, s in rows], _SPANS)], names=["_digest", "_spans"])
+
+        texts = docs.where(F.col(text) != "").select(F.sha2(text, 256).alias("_digest"), F.col(text).alias("text"))
+        parts.append(stage_table(texts.mapInArrow(run, "_digest string, _spans array<struct<a:int,b:int>>"), "spans"))
+        shared.destroy()
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    # copies of a text find the same spans; spans of other slices are added
+    spans = stage_table(every.distinct().groupBy("_digest").agg(F.flatten(F.collect_list("_spans")).alias("_spans")), "spans")
+    cut = F.arrow_udf(lambda t, s: pa.array([cut_spans(x, [(y["a"], y["b"]) for y in z]) for x, z in zip(t.to_pylist(), s.to_pylist())], pa.string()), "string")
+    joined = docs.withColumn("_digest", F.sha2(text, 256)).join(bounded_broadcast(spans), "_digest", "left")
+    known = F.col("_spans").isNotNull()
+    return joined.withColumn(text, F.when(known, cut(F.when(known, F.col(text)).otherwise(F.lit("")), F.coalesce("_spans", F.array().cast("array<struct<a:int,b:int>>")))).otherwise(F.col(text))).select(*docs.columns)
 
 
 def _remover(shared):
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([_remove(t, shared.value) if t else t for t in texts.to_pylist()], pa.string())
+        return pa.array([cut_spans(t, leaked_spans(t, shared.value)) if t else t for t in texts.to_pylist()], pa.string())
 
     return F.arrow_udf(run, "string")
 

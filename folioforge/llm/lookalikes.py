@@ -40,6 +40,8 @@ PLAIN = "\\t\\n\\r\\x20-\\x7e\\u00a1-\\u00ac\\u00ae-\\u00b4\\u00b6-\\u0131\\u013
 _TOKEN = re.compile(r"\w+")
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 _SPACE = re.compile(f"[{SPACES}]")
+#: A character with the accents and invisible characters behind it; half-width voice marks count as accents.
+_CLUSTER = re.compile(rf"(?s).[\u0300-\u036f\uff9e\uff9f{INVISIBLE}]*")
 
 
 @cache
@@ -120,29 +122,57 @@ class Twins:
         # no single script fits: respell the twins beside Latin letters, leave letters without a twin as they are
         return to_latin() if "Latin" in own else token
 
-    def form(self, text: str | None) -> str | None:
-        """The one form of a text; null stays null. Line breaks and visibly different signs stay as they are."""
-        if not text or text.isascii():
+    def _respell(self, text: str) -> str:
+        """The text with each token in its consistent script; of the same length."""
+        styled = _compatible()[1]
+        if text.isascii() or not any(c in self.latin or c in styled or own_script(c) not in ("", "Latin") for c in text if c >= "\x80"):
             return text
-        forms, styled = _compatible()
-        out = _SPACE.sub(" ", _INVISIBLE.sub("", text))
-        if not out.isascii():
-            out = "".join(c if c < "\x80" else HYPHENS.get(c) or SIGNS.get(c) or forms.get(c) or c for c in out)
-            out = unicodedata.normalize("NFC", out)
-        if out.isascii() or not any(c in self.latin or c in styled or own_script(c) not in ("", "Latin") for c in out if c >= "\x80"):
-            return out
-        spans = [(m.start(), m.end()) for m in _TOKEN.finditer(out)]
+        spans = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
         words = []
         for a, b in spans:
-            w = out[a:b]
+            w = text[a:b]
             words.append("".join(styled.get(c, c) for c in w) if sum(map(str.isalpha, w)) > 1 else w)
         foreign = [any(own_script(c) not in ("", "Latin") and c not in self.latin and c not in GREEK_SYMBOLS for c in w) and not any(own_script(c) == "Latin" for c in w) for w in words]
         parts, lo = [], 0
         for i, (a, b) in enumerate(spans):
             w = words[i]
-            parts += [out[lo:a], w if w.isascii() else self.spell(w, any(foreign[max(0, i - 3) : i + 4]))]
+            parts += [text[lo:a], w if w.isascii() else self.spell(w, any(foreign[max(0, i - 3) : i + 4]))]
             lo = b
-        return unicodedata.normalize("NFC", "".join(parts) + out[lo:])
+        return "".join(parts) + text[lo:]
+
+    def form(self, text: str | None) -> str | None:
+        """The one form of a text; null stays null. Line breaks and visibly different signs stay as they are."""
+        if not text or text.isascii():
+            return text
+        out = _plain_forms(_SPACE.sub(" ", _INVISIBLE.sub("", text)))
+        return unicodedata.normalize("NFC", self._respell(out))
+
+    def aligned(self, text: str) -> tuple[str, list[int]]:
+        """(form, places): the form, and for each of its characters the place in the text that it comes from."""
+        out, places = [], []
+        for m in _CLUSTER.finditer(text):
+            part = _plain_forms(_SPACE.sub(" ", _INVISIBLE.sub("", m.group())))
+            out.append(part)
+            places += [m.start()] * len(part)
+        return self._respell("".join(out)), places
+
+
+def _plain_forms(text: str) -> str:
+    """Width forms, joined letters, hyphens and signs in their plain form, accents composed."""
+    if text.isascii():
+        return text
+    forms = _compatible()[0]
+    return unicodedata.normalize("NFC", "".join(c if c < "\x80" else HYPHENS.get(c) or SIGNS.get(c) or forms.get(c) or c for c in text))
+
+
+def without_invisible(text: str) -> str:
+    return _INVISIBLE.sub("", text)
+
+
+def seen_places(text: str) -> tuple[str, list[int]]:
+    """(text, places): the text without invisible characters, and for each character that is left its place."""
+    places = [i for i, c in enumerate(text) if not _INVISIBLE.match(c)]
+    return "".join(text[i] for i in places), places
 
 
 BASE = Twins.of(CYRILLIC_TWINS | GREEK_TWINS | LATIN_TWINS)

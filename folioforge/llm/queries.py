@@ -78,9 +78,9 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the leaked spans removed."""
+    """Every document with the leaked spans removed, those in look-alike letters included."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return L.remove_leaks(docs, read_table(spark, sf_dir, "eval_items"))
+    return L.remove_leaks(docs, read_table(spark, sf_dir, "eval_items"), lookalikes=True)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,3 +37,38 @@ def test_removal(spark):
     assert got == {1: "Before. ! After", 2: "clean", 3: None, 4: "a  b"}
     assert sorted(r.doc_id for r in L.remove_leaks(docs, items, drop_documents=True).collect()) == [2, 3]
     assert [(r.item_id, r.n_documents) for r in L.leak_report(docs, items).collect()] == [(1, 2)]
+
+
+def test_removal_looks_at_the_stored_text_only(spark, monkeypatch):
+    """Words that meet only after a cut are no leak, and overlapping leaks of different slices go whole."""
+    a, b = [" ".join(f"{x}{k}" for k in range(20)) for x in "ab"]
+    half = lambda t, i, j: " ".join(t.split()[i:j])
+    docs, items = frames(spark, [(1, f"x {half(b, 0, 7)} {a} {half(b, 7, 20)} y"), (2, f"x {a} {half(b, 0, 13)} y"), (None, f"p {b} q"), (3, "clean"), (3, "clean"), (4, None)], [(1, a), (2, b), (3, f"{half(a, 10, 20)} {half(b, 0, 8)}")])
+    whole = sorted((r.doc_id or 0, r.text or "") for r in L.remove_leaks(docs, items).collect())
+    assert whole == [(0, "p  q"), (1, f"x {half(b, 0, 7)}   y"), (2, "x  y"), (3, "clean"), (3, "clean"), (4, "")]
+    monkeypatch.setattr(L, "SLICE_WORDS", 25)
+    assert sorted((r.doc_id or 0, r.text or "") for r in L.remove_leaks(docs, items).collect()) == whole
+
+
+def test_lookalikes_are_found_on_demand(spark):
+    twin = LONG.replace("o", "\u043e").replace("fif", "\uff46\uff49\uff46")
+    docs, items = frames(spark, [(1, f"A. {twin}! B"), (2, f"\u0130 x {LONG} y")], [(1, LONG)])
+    assert sorted(r.doc_id for r in L.find_leaks(docs, items).collect()) == [2]
+    assert sorted(r.doc_id for r in L.find_leaks(docs, items, lookalikes=True).collect()) == [1, 2]
+    assert {r.doc_id: r.text for r in L.remove_leaks(docs, items, lookalikes=True).collect()} == {1: "A. ! B", 2: "\u0130 x  y"}
+
+
+def test_scan_equals_brute_force():
+    import random
+
+    rng = random.Random(2)
+    words = list("abcdefg")
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))) for i in range(12)]
+    texts = [[rng.choice(words) for _ in range(rng.randint(0, 40))] for _ in range(40)]
+    want = set()
+    for i, t in items:
+        w = t.split()
+        size = min(4, len(w))
+        grams = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)}
+        want |= {(d, i, k, k + size) for d, x in enumerate(texts) for k in range(len(x) - size + 1) if tuple(x[k : k + size]) in grams}
+    assert set(L.GramSet(items, 4).scan(texts)) == want
