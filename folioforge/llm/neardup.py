@@ -1,17 +1,24 @@
 """Near-duplicate texts: improved consistent weighted sampling over TF-IDF shingles, banded, then verified.
 
-* A shingle's weight is (1 + ln tf) * idf. For sampling, the idf comes from row counts over 2^18 hashed slots, so that the table
-  that is broadcast has a fixed size at any corpus size. Weights are rounded to steps of 2^(1/8).
+* A shingle's weight is (1 + ln tf) * idf, and idf = ln((N + 1) / (df + 1)), at least 0.5; shingles in fewer than one of RARE texts count
+  as being in one of RARE. So a table of document counts in 2^22 hashed slots tells the idf of nearly every shingle exactly at
+  any corpus size: a slot's other shingles add some RARE / 2^22 of the texts times their mean length, far below one in RARE.
+  The table has a fixed size and comes together as compressed blocks of slots. Weights are rounded to steps of 2^(1/8) for sampling.
 * A sample is the shingle of least ln a = ln c - r (floor(ln w / r + b) + 1 - b), r, c ~ Gamma(2, 1), b ~ U(0, 1): two texts
   share it with the probability of their weighted Jaccard similarity. The variables come from a fixed pool, indexed by a
   hash of shingle and sample number, with ln a tabulated per pool entry and weight step.
 * Texts that share all samples of a band are candidates. Copies of a text are one content from the start on, so a group of
-  copies of any size is one row here. Candidates are verified on their texts, with the exact document frequencies of their
-  shingles: a slot's count only bounds them, and where a bound settles a pair against a threshold no frequency is asked.
+  copies of any size is one row here. A band with many contents is split by salt on its way and compared in parts of a bounded
+  number of contents; where groups are asked, its contents are linked to one of them, and only those that aren't similar to it are
+  compared with the others.
+* Candidates are verified on their texts by weighted Jaccard similarity, with the exact document frequencies of their shingles: a
+  slot's count bounds them, and where the bounds settle a pair against a threshold no frequency is asked.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -24,7 +31,14 @@ from pyspark.sql import functions as F
 from folioforge.llm.words import hash_words, shingle_hashes, words_of
 from folioforge.runtime import bounded_broadcast, stage_table
 
-IDF_SLOTS = 1 << 18
+IDF_SLOTS = 1 << 22
+_BLOCK = 1 << 16  # slots of a block
+#: Shingles of fewer than one text in so many weigh as if they were in one of so many.
+RARE = 2_000
+#: Contents of a part of a large band; a task compares two parts.
+PART_ROWS = 512
+#: Salts of a band that one task alone holds more than so many contents of.
+_SALTS, _LOCAL_ROWS = 256, 64
 #: Bits of the filter that keeps the shingles whose document frequency is asked.
 ASKED_BITS = 1 << 27
 _POOL_BITS = 14
@@ -90,9 +104,9 @@ def content_id(hashes: np.ndarray) -> int:
 
 
 def _profile(batches: Iterator[pa.RecordBatch], n: int, least_words: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, content) per text, then rows (slot, texts) with the document counts of this task."""
-    counts, seen = np.zeros(IDF_SLOTS, np.int64), 0
-    names = ["key", "content", "slot", "texts"]
+    """Rows (key, content) per text, then rows (block, counts) with this task's document counts of the slots of a block, compressed."""
+    counts = np.zeros(IDF_SLOTS, np.int32)
+    names = ["key", "content", "block", "counts"]
     for batch in batches:
         keys, contents = [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -102,23 +116,61 @@ def _profile(batches: Iterator[pa.RecordBatch], n: int, least_words: int) -> Ite
             keys.append(key)
             contents.append(content_id(h))
             counts[np.unique(shingle_hashes(h, n) & np.uint64(IDF_SLOTS - 1)).view(np.int64)] += 1
-            seen += 1
-        none = pa.nulls(len(keys), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(contents, pa.int64()), pa.nulls(len(keys), pa.int32()), none], names=names)
-    used = np.flatnonzero(counts)
-    for k in range(0, len(used), 50_000):
-        part = used[k : k + 50_000]
-        none = pa.nulls(len(part), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(part.astype(np.int32)), pa.array(counts[part])], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(contents, pa.int64()), pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.binary())], names=names)
+    for block in range(IDF_SLOTS // _BLOCK):
+        part = counts[block * _BLOCK : (block + 1) * _BLOCK]
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([block], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names)
 
 
-def idf_table(counts: np.ndarray, texts: int) -> np.ndarray:
-    return np.log((texts + 1) / (counts + 1)).astype(np.float32).clip(0.5, 24.0)
+def _counts_of(blobs: list[bytes]) -> np.ndarray:
+    total = np.zeros(_BLOCK, np.int64)
+    for blob in blobs:
+        total += np.frombuffer(zlib.decompress(blob), np.int32)
+    return np.minimum(total, 2**31 - 1).astype(np.int32)
 
 
-def _bands(batches: Iterator[pa.RecordBatch], idf, n: int, least_words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    table = idf.value
+def _summed(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(_BLOCK, np.int64)
+    for batch in parts:
+        total += _counts_of(batch.column("counts").to_pylist())
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)], pa.binary())], names=["block", "counts"])
+
+
+def slot_counts(profile: DataFrame) -> np.ndarray:
+    """Document counts of all slots. The blocks of all tasks are summed first in salted groups, so each group holds few of them."""
+    blocks = profile.where("block is not null").select("block", "counts", F.pmod(F.xxhash64("counts"), F.lit(16)).alias("salt"))
+    partial = blocks.groupBy("block", "salt").applyInArrow(_summed, "block int, counts binary")
+    whole = np.zeros(IDF_SLOTS, np.int32)
+    for batch in partial.groupBy("block").applyInArrow(_summed, "block int, counts binary").toArrow().to_batches():  # one row per block
+        for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            whole[block * _BLOCK : (block + 1) * _BLOCK] = _counts_of([blob])
+    return whole
+
+
+def exact_idf(counts: np.ndarray | int, texts: int) -> np.ndarray:
+    """idf by document frequency; with a slot's count instead, the least that it can be."""
+    return np.log((texts + 1) / (np.maximum(np.asarray(counts, np.float64), texts / RARE) + 1)).clip(0.5)
+
+
+_table: dict[str, np.ndarray] = {}
+
+
+def _idf_of(slots, texts: int) -> np.ndarray:
+    """The worker's table of idf by slot, made once per broadcast."""
+    name = slots.value[2]
+    if name not in _table:
+        _table.clear()
+        _table[name] = exact_idf(slots.value[1], texts).astype(np.float32)
+    return _table[name]
+
+
+def _bands(batches: Iterator[pa.RecordBatch], slots, n: int, least_words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows (band, salt, content). Bands that this task holds much of are spread over salts; then a row with salt 0 says that there are more."""
+    table = _idf_of(slots, slots.value[0])
     seen: set[int] = set()  # contents of this task, so that copies don't meet in the shuffle
+    held: dict[int, int] = {}  # contents by band, of bands met again in this task
+    once: np.ndarray = np.empty(0, np.uint64)
     for batch in batches:
         contents, parts, sizes, tfs = [], [], [], []
         if len(seen) > _SEEN_ROWS:
@@ -146,22 +198,40 @@ def _bands(batches: Iterator[pa.RecordBatch], idf, n: int, least_words: int, ban
             starts = np.concatenate([[0], np.cumsum(sizes[lo:hi])[:-1]]).astype(np.int64)
             w = weights(tf, table[(shingles & np.uint64(IDF_SLOTS - 1)).view(np.int64)])
             keys = band_keys(weighted_samples(shingles, w, starts, bands * rows), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(contents[lo:hi], np.int64), bands)), pa.array(keys.view(np.int64).reshape(-1))], names=["content", "band"])
+            flat, owner = keys.reshape(-1), np.repeat(np.array(contents[lo:hi], np.int64), bands)
+            large = [k for k in _again(flat, once, held) if held[k] > _LOCAL_ROWS]
+            if len(once) < _SEEN_ROWS:
+                once = np.union1d(once, flat)
+            salt = np.zeros(len(flat), np.int32)
+            if large:
+                at = np.isin(flat, np.array(large, np.uint64))
+                salt[at] = 1 + (owner[at].view(np.uint64) % np.uint64(_SALTS)).astype(np.int32)
+                _, first = np.unique(flat[at], return_index=True)
+                flat, owner, salt = np.concatenate([flat, flat[at][first]]), np.concatenate([owner, owner[at][first]]), np.concatenate([salt, np.zeros(len(first), np.int32)])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(flat.view(np.int64)), pa.array(salt)], names=["content", "band", "salt"])
             lo = hi
 
 
-def _shingles(text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(shingle_hashes(hash_words(words_of(text)), n), return_counts=True)
+def _again(flat: np.ndarray, once: np.ndarray, held: dict[int, int]) -> list[int]:
+    """The bands of ``flat`` met before or more than once, counted up in ``held``."""
+    keys, counts = np.unique(flat, return_counts=True)
+    known = np.isin(keys, once, assume_unique=True)
+    more = np.flatnonzero(known | (counts > 1))
+    if len(held) > _SEEN_ROWS:
+        held.clear()
+    for k, c in zip(keys[more].tolist(), counts[more].tolist()):
+        held[k] = held.get(k, 0) + c
+    return keys[more].tolist()
 
 
-def exact_idf(counts: np.ndarray | int, texts: int) -> np.ndarray:
-    return np.log((texts + 1) / (np.asarray(counts, np.float64) + 1)).clip(0.5, 24.0)
+def _shingles(text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(shingle_hashes(hash_words(words_of(text)), n), return_counts=True)
 
 
-def _measure(batches: Iterator[pa.RecordBatch], counts, texts: int, n: int) -> Iterator[pa.RecordBatch]:
+def _measure(batches: Iterator[pa.RecordBatch], slots, texts: int, n: int) -> Iterator[pa.RecordBatch]:
     """Plain similarity, and what the weighted one is at least and at most: a shingle is in its slot's count of texts at most, a
-    shared one in two at least."""
-    table, one, two = exact_idf(counts.value, texts), exact_idf(1, texts), exact_idf(2, texts)
+    shared one in two at least, and what is rare by its slot is rare."""
+    one, two = exact_idf(1, texts), exact_idf(2, texts)
     for batch in batches:
         a, b, ta, tb = (batch.column(k).to_pylist() for k in range(4))
         memo: dict[str, tuple] = {}
@@ -172,20 +242,20 @@ def _measure(batches: Iterator[pa.RecordBatch], counts, texts: int, n: int) -> I
                 got = memo.get(text)
                 if got is None:
                     values, tf = _shingles(text, n)
-                    factor = 1 + np.log(tf)
-                    got = memo[text] = (values, factor, np.minimum(table[(values & np.uint64(IDF_SLOTS - 1)).view(np.int64)], one))
+                    count = slots.value[1][(values & np.uint64(IDF_SLOTS - 1)).view(np.int64)]
+                    got = memo[text] = (values, 1 + np.log(tf), exact_idf(count, texts), np.where(count <= texts / RARE, exact_idf(count, texts), one))
                 sides.append(got)
-            (va, fa, la), (vb, fb, lb) = sides
+            (va, fa, la, ha), (vb, fb, lb, hb) = sides
             both, ia, ib = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
             plain.append(len(both) / max(1, len(va) + len(vb) - len(both)))
             least, more = np.minimum(fa[ia], fb[ib]), np.abs(fa[ia] - fb[ib])
             alone_a, alone_b = np.ones(len(va), bool), np.ones(len(vb), bool)
             alone_a[ia] = alone_b[ib] = False
             rest_low = (fa * la)[alone_a].sum() + (fb * lb)[alone_b].sum()
-            rest_high = one * (fa[alone_a].sum() + fb[alone_b].sum())
-            few = np.minimum(la[ia], two)
-            low.append(float((least * few).sum() / max(1e-9, (least * few).sum() + two * more.sum() + rest_high)))
-            high.append(float(two * least.sum() / max(1e-9, two * least.sum() + (more * few).sum() + rest_low)))
+            rest_high = (fa * ha)[alone_a].sum() + (fb * hb)[alone_b].sum()
+            few, many = np.minimum(la[ia], two), np.minimum(ha[ia], two)
+            low.append(float((least * few).sum() / max(1e-9, (least * few).sum() + (more * many).sum() + rest_high)))
+            high.append(float((least * many).sum() / max(1e-9, (least * many).sum() + (more * few).sum() + rest_low)))
         columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.array(c, pa.float64()) for c in (plain, low, high))]
         yield pa.RecordBatch.from_arrays(columns, names=["content_a", "content_b", "jaccard", "low", "high"])
 
@@ -260,53 +330,99 @@ def _exact_weights(slim: DataFrame, members: DataFrame, found: DataFrame, pairs:
     return both.mapInArrow(lambda it: _weigh(it, texts), "content_a bigint, content_b bigint, exact double")
 
 
-def similar_contents(texts: DataFrame, key_col: str, text_col: str, n: int = 5, least_words: int = 0, bands: int = 40, rows: int = 3, weigh: bool = True, least: float | None = None) -> tuple[DataFrame, DataFrame]:
+def band_pairs(shared: DataFrame) -> DataFrame:
+    """(content_a, content_b): every pair of contents that share a band, of (band, content) rows.
+
+    Bands of up to PART_ROWS contents are joined with themselves. Larger ones are cut into parts of about as many; each content goes
+    to every part once, so a task holds a part and the contents that ask it, whatever the band's size.
+    """
+    sizes = shared.groupBy("band").agg(F.count("*").alias("n"))
+    sized = shared.join(sizes.where(f"n > {PART_ROWS}"), "band", "left")
+    parts = F.coalesce(F.ceil(F.col("n") / PART_ROWS), F.lit(1)).cast("int")
+    placed = sized.select("band", "content", parts.alias("parts"), F.when(parts > 1, F.pmod(F.xxhash64("content"), parts)).otherwise(0).cast("int").alias("part"))
+    right = placed.select("band", "part", F.col("content").alias("content_b"))
+    left = placed.select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("content").alias("content_a"))
+    return left.join(right, ["band", "part"]).where("content_a < content_b").select("content_a", "content_b").distinct()
+
+
+def similar_contents(texts: DataFrame, key_col: str, text_col: str, n: int = 5, least_words: int = 0, bands: int = 40, rows: int = 3, weigh: bool = True, least: float | None = None, grouped: bool = False) -> tuple[DataFrame, DataFrame]:
     """(members, pairs) of the texts with at least ``least_words`` words and one shingle of n words.
 
     members(key, content): one row per key; keys with the same words have the same content id. Null texts, empty texts
     and shorter ones have no row. pairs(content_a, content_b, jaccard, weighted): candidate pairs of different contents with
     their similarities over sets and over TF-IDF weights; redelivered rows count once, also in document frequencies. With
     ``least``, only pairs of that weighted similarity are given; ``weighted`` is then a lower bound of at least ``least`` where
-    that was enough to tell. Without ``weigh`` the column is left out.
+    that was enough to tell. Without ``weigh``, ``weighted`` is the bound from above that the slots give, and pairs whose bound is
+    below ``least`` are left out. With ``grouped`` (and ``least``), pairs that can't change the groups may be missing: of a
+    large band the pairs of contents that are both similar to its first one.
     """
     spark = texts.sparkSession
     slim = texts.select(F.col(key_col).cast("bigint").alias("key"), F.col(text_col).alias("text")).where("key is not null and text is not null")
-    profile = stage_table(slim.mapInArrow(lambda it: _profile(it, n, least_words), "key bigint, content bigint, slot int, texts bigint"), "profile")
-    members = profile.where("slot is null").select("key", "content").distinct()
-    total = profile.where("slot is null").count()
-    counts = np.zeros(IDF_SLOTS, np.int64)
-    for row in profile.where("slot is not null").groupBy("slot").agg(F.sum("texts").alias("texts")).toArrow().to_batches():  # IDF_SLOTS rows at most
-        counts[row.column(0).to_numpy()] = row.column(1).to_numpy()
-    idf = spark.sparkContext.broadcast(idf_table(counts, total))
-
-    banded = slim.select("text").mapInArrow(lambda it: _bands(it, idf, n, least_words, bands, rows), "content bigint, band bigint")
-    along = Window.partitionBy("band")
-    shared = banded.withColumn("lo", F.min("content").over(along)).withColumn("hi", F.max("content").over(along)).where("lo < hi")
+    profile = stage_table(slim.mapInArrow(lambda it: _profile(it, n, least_words), "key bigint, content bigint, block int, counts binary"), "profile")
+    members = profile.where("block is null").select("key", "content").distinct()
+    documents = members.count()
+    slots = spark.sparkContext.broadcast((documents, slot_counts(profile), uuid.uuid4().hex))
+
+    banded = slim.select("text").mapInArrow(lambda it: _bands(it, slots, n, least_words, bands, rows), "content bigint, band bigint, salt int")
+    along = Window.partitionBy("band", "salt")
+    shared = banded.withColumn("lo", F.min("content").over(along)).withColumn("hi", F.max("content").over(along)).where("lo < hi or salt > 0")
     shared = stage_table(shared.select("band", "content").distinct(), "bands")
-    right = shared.select("band", F.col("content").alias("content_b"))
-    pairs = shared.join(right, "band").where("content < content_b").select(F.col("content").alias("content_a"), "content_b").distinct()
-    pairs = stage_table(pairs, "pairs")
-
     firsts = members.groupBy("content").agg(F.min("key").alias("key"))
-    wanted = pairs.select(F.explode(F.array("content_a", "content_b")).alias("content")).distinct()
-    known = stage_table(firsts.join(wanted, "content", "left_semi"), "wanted")
-    found = slim.join(bounded_broadcast(known), "key").groupBy("content").agg(F.first("text").alias("text"))
-    found = stage_table(found, "texts")
-    a = found.select(F.col("content").alias("content_a"), F.col("text").alias("text_a"))
-    b = found.select(F.col("content").alias("content_b"), F.col("text").alias("text_b"))
-    both = pairs.join(a, "content_a").join(b, "content_b").select("content_a", "content_b", "text_a", "text_b")
-    documents, slots = members.count(), spark.sparkContext.broadcast(counts)
-    measured = both.mapInArrow(lambda it: _measure(it, slots, documents, n), "content_a bigint, content_b bigint, jaccard double, low double, high double")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("content_a", "content_b")).alias("content")).distinct()
+        known = stage_table(firsts.join(wanted, "content", "left_semi"), "wanted")
+        return stage_table(slim.join(bounded_broadcast(known), "key").groupBy("content").agg(F.first("text").alias("text")), "texts")
+
+    def measured(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        a = found.select(F.col("content").alias("content_a"), F.col("text").alias("text_a"))
+        b = found.select(F.col("content").alias("content_b"), F.col("text").alias("text_b"))
+        both = pairs.join(a, "content_a").join(b, "content_b").select("content_a", "content_b", "text_a", "text_b")
+        return both.mapInArrow(lambda it: _measure(it, slots, documents, n), "content_a bigint, content_b bigint, jaccard double, low double, high double")
+
+    def weighed(pairs: DataFrame, found: DataFrame) -> DataFrame:
+        """(content_a, content_b, jaccard, weighted)."""
+        table = stage_table(measured(pairs, found), "measured")
+        exact_already = F.col("high") - F.col("low") < 1e-9
+        settled = exact_already if least is None else exact_already | (F.col("low") >= least + 1e-6) | (F.col("high") < least - 1e-6)
+        open_ = stage_table(table.where(~settled), "unsettled")
+        by_bounds = table.where(settled).select("content_a", "content_b", "jaccard", F.col("low").alias("weighted"))
+        if not open_.isEmpty():
+            exact = _exact_weights(slim, members, found, open_, documents, n, least_words)
+            by_bounds = by_bounds.unionByName(open_.join(exact, ["content_a", "content_b"]).select("content_a", "content_b", "jaccard", F.col("exact").alias("weighted")))
+        return by_bounds if least is None else by_bounds.where(F.col("weighted") >= least - 1e-9)
+
+    if grouped and least is not None:
+        return members, _grouped_pairs(shared, weighed, texts_of)
+    pairs = stage_table(band_pairs(shared), "pairs")
+    found = texts_of(pairs)
     if not weigh:
-        return members, measured.drop("low", "high")
-    measured = stage_table(measured, "measured")
-    settled = F.lit(False) if least is None else (F.col("low") >= least + 1e-6) | (F.col("high") < least - 1e-6)
-    unsettled = stage_table(measured.where(~settled), "unsettled")
-    exact = _exact_weights(slim, members, found, unsettled, documents, n, least_words)
-    weighed = unsettled.join(exact, ["content_a", "content_b"]).select("content_a", "content_b", "jaccard", F.col("exact").alias("weighted"))
-    if least is None:
-        return members, weighed
-    return members, weighed.where(F.col("weighted") >= least).unionByName(measured.where(F.col("low") >= least + 1e-6).select("content_a", "content_b", "jaccard", F.col("low").alias("weighted")))
+        known = measured(pairs, found).withColumnRenamed("high", "weighted").drop("low")
+        return members, known if least is None else known.where(F.col("weighted") >= least)
+    return members, weighed(pairs, found)
+
+
+def _grouped_pairs(shared: DataFrame, weighed, texts_of) -> DataFrame:
+    """Similar pairs enough for the groups.
+
+    The contents of a large band are first compared with its least one. Those similar to it are one group by that; the others
+    are compared with all contents of the band, in parts.
+    """
+    sizes = stage_table(shared.groupBy("band").agg(F.count("*").alias("n"), F.min("content").alias("head")).where(f"n > {PART_ROWS}"), "large")
+    small = band_pairs(shared.join(bounded_broadcast(sizes.select("band")), "band", "left_anti"))
+    large = stage_table(shared.join(bounded_broadcast(sizes), "band").where("content > head"), "large")
+    heads = stage_table(small.unionByName(large.select(F.col("head").alias("content_a"), F.col("content").alias("content_b")).distinct()).distinct(), "pairs")
+    near = stage_table(weighed(heads, texts_of(heads)), "near")
+    linked = near.select(F.col("content_a").alias("head"), F.col("content_b").alias("content"))
+    rest = stage_table(large.join(linked, ["head", "content"], "left_anti").select("band", "content", "n"), "rest")
+    if rest.isEmpty():
+        return near
+    parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
+    asking = rest.select("band", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("content").alias("x"))
+    asked = large.select("band", F.pmod(F.xxhash64("content"), parts).cast("int").alias("part"), F.col("content").alias("y"))
+    more = asking.join(asked, ["band", "part"]).where("x <> y").select(F.least("x", "y").alias("content_a"), F.greatest("x", "y").alias("content_b")).distinct()
+    more = stage_table(more.join(heads, ["content_a", "content_b"], "left_anti"), "pairs")
+    return near.unionByName(stage_table(weighed(more, texts_of(more)), "near"))
 
 
 def spread_pairs(members: DataFrame, pairs: DataFrame, near: int = 8) -> DataFrame:
@@ -348,19 +464,21 @@ def spread_pairs(members: DataFrame, pairs: DataFrame, near: int = 8) -> DataFra
 def duplicate_groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(key, content, group_id, n_links): one row per key; group_id is the least content id linked to it, over any number of links.
 
-    Connected components by alternating large-star and small-star rounds over contents, which shuffle the links that are
-    left and keep no component in one task. n_links counts the other contents that the row's content is linked with.
+    Connected components by alternating large-star and small-star rounds over contents. The joins that bring a node's least
+    neighbour to its links are salted, so the links of a head with many are spread. n_links counts the pairs given with the content.
     """
     links = stage_table(pairs.select(F.col("content_a").alias("u"), F.col("content_b").alias("v")).distinct(), "links")
     degree = links.select(F.explode(F.array("u", "v")).alias("content")).groupBy("content").agg(F.count("*").alias("n_links"))
     edges, before = links, None
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(16)).cast("int").alias("salt")
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select("u", "m", every_salt)
+        large = both.select("u", "v", salt("v")).join(low, ["u", "salt"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e")).select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m")).select("u", "m", every_salt)
+        small = large.select("u", "v", salt("v")).join(least, ["u", "salt"]).select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e")).select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).where("u <> v").distinct()
         edges = stage_table(small, "stars")
         state = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if state == before:

@@ -44,18 +44,39 @@ def p4_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.canonicalize(blocks, "text")
 
 
+#: p5_found verifies by weighted similarity before the plain one decides. Of the 3,218 pairs of contents of a plain similarity of 0.6 or more
+#: at sf0.1 and in check_s none is below 0.6.
+P5_WEIGHTED = 0.5
+
+
+def _p5(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    members, pairs = D.similar_contents(read_table(spark, sf_dir, "chunks"), "chunk_key", "text", n=3, least_words=40, bands=40, rows=4, weigh=False, least=P5_WEIGHTED)
+    return members, stage_table(pairs.where("jaccard >= 0.6"), "near")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of chunks of 40 words or more whose sets of three words overlap by 0.6."""
-    members, pairs = D.similar_contents(read_table(spark, sf_dir, "chunks"), "chunk_key", "text", n=3, least_words=40, bands=40, rows=4, weigh=False)
-    near = stage_table(pairs.where("jaccard >= 0.6"), "near")
+    """Pairs of chunks of 40 words or more whose sets of three words overlap by 0.6: candidates by sampling, verified by weighted
+    similarity, cut at the plain one that the query is defined by."""
+    members, near = _p5(spark, sf_dir)
     return D.spread_pairs(members, near).select(F.col("key_a").alias("chunk_a"), F.col("key_b").alias("chunk_b"))
 
 
+def p5_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk of p5_found's setting with its class of equal contents (class_id: the least key) and n_links, the other classes it
+    is linked with. With p5_found, which links every chunk to the first one of each class, this gives all pairs."""
+    members, near = _p5(spark, sf_dir)
+    first = members.groupBy("content").agg(F.min("key").alias("class_id"))
+    links = near.select(F.explode(F.array("content_a", "content_b")).alias("content")).groupBy("content").agg(F.count("*").alias("n_links"))
+    both = members.join(first, "content").join(links, "content", "left")
+    return both.select(F.col("key").alias("chunk_key"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of near-duplicate chunks by the general setting: five words, weighted similarity of 0.8."""
-    members, pairs = D.similar_contents(read_table(spark, sf_dir, "chunks"), "chunk_key", "text", n=5, bands=30, rows=5, least=0.8)
-    near = stage_table(pairs.where("weighted >= 0.8"), "near")
-    return D.duplicate_groups(members, near).select(F.col("key").alias("chunk_key"), "group_id", "n_links")
+    """Groups of near-duplicate chunks by the general setting: five words, weighted similarity of 0.8. group_id is the least key."""
+    members, pairs = D.similar_contents(read_table(spark, sf_dir, "chunks"), "chunk_key", "text", n=5, bands=30, rows=5, least=0.8, grouped=True)
+    groups = stage_table(D.duplicate_groups(members, stage_table(pairs, "near")).select("key", "group_id"), "groups")
+    heads = groups.groupBy("group_id").agg(F.min("key").alias("head"))
+    return groups.join(heads, "group_id").select(F.col("key").alias("chunk_key"), F.col("head").alias("group_id"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +120,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.source_rates(docs, A.score_documents(docs))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_titles, p4_texts, p5_found, p5_groups, p6_found, p7_ids, p8_found, p8_report, p8_cleaned, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_titles, p4_texts, p5_found, p5_members, p5_groups, p6_found, p7_ids, p8_found, p8_report, p8_cleaned, p9_found, p9_scores, p9_rates)}
 
 _WORDS = r"regexp_extract_all(lower(%s), '[\p{L}\p{N}]+')"
 _UNSEEN = r"[\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{206f}\x{fe00}-\x{fe0f}\x{feff}]"
@@ -111,6 +132,16 @@ ORACLE: dict[str, str] = {
     "p5_found": f"""WITH c AS (SELECT DISTINCT chunk_key, {_WORDS % 'text'} AS w FROM chunks WHERE text IS NOT NULL), g AS (SELECT chunk_key, list_distinct(list_transform(range(len(w) - 2), lambda i: array_to_string(w[i + 1 : i + 3], ' '))) AS s FROM c WHERE len(w) >= 40),
         u AS (SELECT chunk_key, len(s) AS n, unnest(s) AS x FROM g), p AS (SELECT a.chunk_key AS chunk_a, b.chunk_key AS chunk_b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.x = b.x AND a.chunk_key < b.chunk_key GROUP BY a.chunk_key, b.chunk_key)
         SELECT chunk_a, chunk_b FROM p WHERE k >= 0.6 * (na + nb - k)""",
+    "p5_members": f"""WITH RECURSIVE c AS (SELECT DISTINCT chunk_key, {_WORDS % 'text'} AS w FROM chunks WHERE chunk_key IS NOT NULL AND text IS NOT NULL), m AS (SELECT chunk_key, w, min(chunk_key) OVER (PARTITION BY w) AS class_id FROM c WHERE len(w) >= 40),
+        g AS (SELECT class_id, list_distinct(list_transform(range(len(w) - 2), lambda i: array_to_string(w[i + 1 : i + 3], ' '))) AS s FROM m WHERE chunk_key = class_id), u AS (SELECT class_id, len(s) AS n, unnest(s) AS x FROM g),
+        p AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.x = b.x AND a.class_id <> b.class_id GROUP BY 1, 2), l AS (SELECT a, count(*) AS n FROM p WHERE k >= 0.6 * (na + nb - k) GROUP BY a)
+        SELECT chunk_key, class_id, coalesce(l.n, 0) AS n_links FROM m LEFT JOIN l ON l.a = m.class_id""",
+    "p5_groups": f"""WITH RECURSIVE c AS (SELECT DISTINCT chunk_key, {_WORDS % 'text'} AS w FROM chunks WHERE chunk_key IS NOT NULL AND text IS NOT NULL), m AS (SELECT chunk_key, w, min(chunk_key) OVER (PARTITION BY w) AS k FROM c WHERE len(w) >= 5),
+        o AS (SELECT chunk_key, k, unnest(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS x FROM m), df AS (SELECT x, count(DISTINCT chunk_key) AS df FROM o GROUP BY x),
+        t AS (SELECT k, x, (1 + ln(count(*))) * greatest(0.5, ln(((SELECT count(*) FROM m) + 1) / (greatest(any_value(df), (SELECT count(*) FROM m) / 2000) + 1))) AS wt FROM o JOIN df USING (x) WHERE chunk_key = k GROUP BY k, x), s AS (SELECT k, sum(wt) AS total FROM t GROUP BY k),
+        p AS (SELECT a.k AS a, b.k AS b, sum(least(a.wt, b.wt)) AS low FROM t a JOIN t b ON a.x = b.x AND a.k <> b.k GROUP BY 1, 2), l AS (SELECT a, b FROM p JOIN s sa ON sa.k = a JOIN s sb ON sb.k = b WHERE low >= 0.8 * (sa.total + sb.total - low)),
+        r AS (SELECT k, k AS head FROM s UNION SELECT l.b, r.head FROM r JOIN l ON l.a = r.k), h AS (SELECT k, min(head) AS head FROM r GROUP BY k)
+        SELECT chunk_key, head AS group_id FROM m JOIN h USING (k)""",
     "p6_found": """WITH v AS (SELECT DISTINCT ON (vec_id) vec_id, dense::DOUBLE[] AS d FROM chunk_vectors WHERE len(dense) = 64 AND len(list_filter(dense, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(dense, lambda x: x <> 0)) > 0),
         p AS (SELECT a.vec_id, b.vec_id AS neighbor_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.d, b.d), 9) DESC, b.vec_id) AS r FROM v a JOIN v b ON a.vec_id <> b.vec_id) SELECT vec_id, neighbor_id FROM p WHERE r <= 10""",
     "p8_found": f"""WITH i AS (SELECT DISTINCT item_id, {_WORDS % _SEEN} AS w FROM eval_items), d AS (SELECT DISTINCT doc_id, {_WORDS % _SEEN} AS w FROM documents WHERE text <> ''),

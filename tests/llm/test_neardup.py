@@ -5,7 +5,8 @@ from collections import Counter
 
 import numpy as np
 
-from folioforge.llm.neardup import duplicate_groups, similar_contents, spread_pairs, weighted_samples
+from folioforge.llm import neardup
+from folioforge.llm.neardup import RARE, band_pairs, duplicate_groups, slot_counts, similar_contents, spread_pairs, weighted_samples
 from folioforge.llm.words import words_of
 
 SCHEMA = "key bigint, body string, content string, band int"
@@ -88,7 +89,7 @@ def test_weights_take_exact_document_frequencies(spark):
     rows = corpus(seed=5) + [(5000 + k, t, "c", 1) for k, t, *_ in corpus(seed=5)[:6]]  # copies count, redelivered rows don't
     grams = {k: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for k, t, *_ in rows if (w := words_of(t))}
     df = Counter(g for c in grams.values() for g in c)
-    idf = {g: min(24.0, max(0.5, math.log((len(grams) + 1) / (n + 1)))) for g, n in df.items()}
+    idf = {g: max(0.5, math.log((len(grams) + 1) / (max(n, len(grams) / RARE) + 1))) for g, n in df.items()}
 
     def weighted(a, b):
         wa, wb = ({g: (1 + math.log(n)) * idf[g] for g, n in grams[k].items()} for k in (a, b))
@@ -102,3 +103,52 @@ def test_weights_take_exact_document_frequencies(spark):
     assert len(got) > 20 and all(abs(w - weighted(*pair)) < 1e-9 for pair, w in got.items())
     _, near = similar_contents(frame, "key", "body", n=5, bands=30, rows=5, least=0.8)
     assert {frozenset((key[r.content_a], key[r.content_b])) for r in near.where("weighted >= 0.8").collect()} == {p for p, w in got.items() if w >= 0.8}
+
+
+def test_large_bands_are_compared_in_parts(spark, monkeypatch):
+    rows = [(b, c) for b, n in ((1, 3), (2, 90), (3, 1), (4, 40)) for c in range(n)]
+    want = {(x, y) for b, n in ((1, 3), (2, 90), (4, 40)) for x, y in itertools.combinations(range(n), 2)}
+    monkeypatch.setattr(neardup, "PART_ROWS", 16)
+    got = [(r.content_a, r.content_b) for r in band_pairs(spark.createDataFrame(rows, "band bigint, content bigint")).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_many_variants_of_a_template_give_linear_work(spark, monkeypatch):
+    """The pairs measured stay near the number of contents, and the group is whole."""
+    monkeypatch.setattr(neardup, "PART_ROWS", 32)
+    monkeypatch.setattr(neardup, "_LOCAL_ROWS", 8)
+    base, n = [f"t{i}" for i in range(250)], 1500
+    rows = []
+    for k in range(n):
+        rows.append((k, " ".join([*base, f"x{k}"]), None, 0))
+    rows += [(5000 + k, " ".join(f"{k}u{i}" for i in range(60)), None, 0) for k in range(40)]
+    members, pairs = similar_contents(spark.createDataFrame(rows, SCHEMA), "key", "body", n=5, bands=30, rows=5, least=0.8, grouped=True)
+    assert pairs.count() < 40 * n
+    groups = {r.key: r.group_id for r in duplicate_groups(members, pairs).collect()}
+    assert len({groups[k] for k in range(n)}) == 1 and len(set(groups.values())) == 41
+
+
+def test_grouped_pairs_give_the_groups_of_all_pairs(spark, monkeypatch):
+    frame = spark.createDataFrame(corpus(seed=9, n=80), SCHEMA)
+    setting = dict(n=5, bands=30, rows=5, least=0.5)
+
+    def groups(**more):
+        members, pairs = similar_contents(frame, "key", "body", **setting, **more)
+        of = {}
+        for r in duplicate_groups(members, pairs).collect():
+            of.setdefault(r.group_id, set()).add(r.key)
+        return sorted(map(sorted, of.values()))
+
+    want = groups()
+    monkeypatch.setattr(neardup, "PART_ROWS", 1)
+    assert groups(grouped=True) == want and any(len(g) > 2 for g in want)
+
+
+def test_slot_counts_are_those_of_the_texts(spark):
+    rows = corpus(seed=2, n=20)
+    slim = spark.createDataFrame(rows, SCHEMA).selectExpr("key", "body as text").repartition(5)
+    counts = slot_counts(slim.mapInArrow(lambda it: neardup._profile(it, 3, 0), "key bigint, content bigint, block int, counts binary"))
+    want = Counter()
+    for _, t, *_ in rows:
+        want.update(set((neardup.shingle_hashes(neardup.hash_words(words_of(t)), 3) & np.uint64(neardup.IDF_SLOTS - 1)).tolist()))
+    assert {int(i): int(counts[i]) for i in np.flatnonzero(counts)} == dict(want)
