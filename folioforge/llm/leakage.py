@@ -174,10 +174,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     return every.groupBy("doc_id", "item_id").agg(F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.max("n_windows").alias("n_windows"))
 
 
-def leaked_spans(text: str, grams: GramSet) -> list[tuple[int, int]]:
-    """Places of the text, from the first letter to behind the last of each window found; overlapping and touching ones as one."""
-    words, places = words_and_places(text, grams.twins)
-    return joined_spans([(places[lo][0], places[hi - 1][1]) for _, _, lo, hi in grams.scan([words])])
+def leaked_spans(texts: list[str | None], grams: GramSet) -> dict[int, list[tuple[int, int]]]:
+    """By the number of a text that leaks: its places from the first letter to behind the last of each window found; overlapping and
+    touching ones as one."""
+    hits: dict[int, list[tuple[int, int]]] = {}
+    for at, _, lo, hi in grams.scan([plain_words(t, grams.twins) if t else [] for t in texts]):
+        hits.setdefault(at, []).append((lo, hi))
+    out = {}
+    for at, windows in hits.items():
+        _, places = words_and_places(texts[at], grams.twins)
+        out[at] = joined_spans([(places[lo][0], places[hi - 1][1]) for lo, hi in windows])
+    return out
 
 
 def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -221,7 +228,8 @@ def remove_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = [(d, s) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (s := leaked_spans(t, shared.value))]
+                digests = b.column(0).to_pylist()
+                rows = [(digests[at], s) for at, s in leaked_spans(b.column(1).to_pylist(), shared.value).items()]
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.string()), pa.array([[{"a": a, "b": b_} for a, b_ in s] for _, s in rows], _SPANS)], names=["_digest", "_spans"])
 
         texts = docs.where(F.col(text) != "").select(F.sha2(text, 256).alias("_digest"), F.col(text).alias("text"))
@@ -240,7 +248,10 @@ def remove_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
 def _remover(shared):
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([cut_spans(t, leaked_spans(t, shared.value)) if t else t for t in texts.to_pylist()], pa.string())
+        stored = texts.to_pylist()
+        for at, spans in leaked_spans(stored, shared.value).items():
+            stored[at] = cut_spans(stored[at], spans)
+        return pa.array(stored, pa.string())
 
     return F.arrow_udf(run, "string")
 

@@ -12,7 +12,8 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -38,10 +39,12 @@ SIGNS = {"\u00b5": "\u03bc", "\u2126": "\u03a9", "\u212a": "K", "\u212b": "\u00c
 #: What can't need any change: ASCII, letters of the Latin blocks in their single form, and common signs of their own.
 PLAIN = "\\t\\n\\r\\x20-\\x7e\\u00a1-\\u00ac\\u00ae-\\u00b4\\u00b6-\\u0131\\u0134-\\u01c2\\u01cd-\\u01f0\\u01f4-\\u0260\\u0262-\\u02af\\u2012-\\u2023\\u2025-\\u2027\\u2030-\\u2043\\u2190-\\u2205\\u2207-\\u220e\\u2500-\\u27bf"
 _TOKEN = re.compile(r"\w+")
+#: Tokens with a letter outside of the Latin blocks.
+_FOREIGN = re.compile("\\w*[^\\W\x00-\u024f\u1e00-\u1eff]\\w*")
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 _SPACE = re.compile(f"[{SPACES}]")
-#: A character with the accents and invisible characters behind it; half-width voice marks count as accents.
-_CLUSTER = re.compile(rf"(?s).[\u0300-\u036f\uff9e\uff9f{INVISIBLE}]*")
+#: A character with the accents and invisible characters behind it (half-width voice marks count as accents), or one that isn't plain.
+_CLUSTER = re.compile(rf"(?s).[\u0300-\u036f\uff9e\uff9f{INVISIBLE}]+|[^{PLAIN}]")
 
 
 @cache
@@ -95,7 +98,7 @@ class Twins:
             return frozenset(("Latin", *(s for s, letters in self.back.items() if ch in letters)))
         return frozenset((own, "Latin")) if ch in self.latin else frozenset((own,))
 
-    def spell(self, token: str, foreign_around: bool) -> str:
+    def spell(self, token: str, foreign_around: Callable[[], bool]) -> str:
         """The token in its consistent script.
 
         Mixed tokens with a Latin solution become Latin, a symbol of its own (μ of μs, Δ of Δf) excepted. A token wholly of twins
@@ -114,7 +117,7 @@ class Twins:
         to_latin = lambda: "".join(self.latin.get(c, c) for c in token)
         if "Latin" in possible:
             if len(own) == 1:
-                return to_latin() if len(letters) > 1 and not foreign_around else token
+                return to_latin() if len(letters) > 1 and not foreign_around() else token
             return to_latin() if any(c in self.latin for c in letters) else token
         if len(possible) == 1:
             back = self.back.get(next(iter(possible)), {})
@@ -124,20 +127,29 @@ class Twins:
 
     def _respell(self, text: str) -> str:
         """The text with each token in its consistent script; of the same length."""
-        styled = _compatible()[1]
-        if text.isascii() or not any(c in self.latin or c in styled or own_script(c) not in ("", "Latin") for c in text if c >= "\x80"):
+        if text.isascii():
             return text
-        spans = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
-        words = []
-        for a, b in spans:
-            w = text[a:b]
-            words.append("".join(styled.get(c, c) for c in w) if sum(map(str.isalpha, w)) > 1 else w)
-        foreign = [any(own_script(c) not in ("", "Latin") and c not in self.latin and c not in GREEK_SYMBOLS for c in w) and not any(own_script(c) == "Latin" for c in w) for w in words]
-        parts, lo = [], 0
-        for i, (a, b) in enumerate(spans):
-            w = words[i]
-            parts += [text[lo:a], w if w.isascii() else self.spell(w, any(foreign[max(0, i - 3) : i + 4]))]
-            lo = b
+        styled = _compatible()[1]
+        parts, lo, spans = [], 0, None
+        plain_style = lambda w: "".join(styled.get(c, c) for c in w) if sum(map(str.isalpha, w)) > 1 else w
+
+        def foreign(w: str) -> bool:
+            w = plain_style(w)
+            return any(own_script(c) not in ("", "Latin") and c not in self.latin and c not in GREEK_SYMBOLS for c in w) and not any(own_script(c) == "Latin" for c in w)
+
+        for m in _FOREIGN.finditer(text):
+            w, at = plain_style(m.group()), m.start()
+
+            def around(at: int = at) -> bool:
+                """Whether one of the three tokens on either side is truly of another script."""
+                nonlocal spans
+                if spans is None:
+                    spans = [x.span() for x in _TOKEN.finditer(text)]
+                i = bisect_left(spans, (at, 0))
+                return any(foreign(text[a:b]) for a, b in spans[max(0, i - 3) : i + 4])
+
+            parts += [text[lo:at], w if w.isascii() else self.spell(w, around)]
+            lo = m.end()
         return "".join(parts) + text[lo:]
 
     def form(self, text: str | None) -> str | None:
@@ -149,11 +161,17 @@ class Twins:
 
     def aligned(self, text: str) -> tuple[str, list[int]]:
         """(form, places): the form, and for each of its characters the place in the text that it comes from."""
-        out, places = [], []
-        for m in _CLUSTER.finditer(text):
+        out: list[str] = []
+        places: list[int] = []
+        at = 0
+        for m in _CLUSTER.finditer(text):  # what lies between is plain
             part = _plain_forms(_SPACE.sub(" ", _INVISIBLE.sub("", m.group())))
-            out.append(part)
-            places += [m.start()] * len(part)
+            out += [text[at : m.start()], part]
+            places.extend(range(at, m.start()))
+            places.extend([m.start()] * len(part))
+            at = m.end()
+        out.append(text[at:])
+        places.extend(range(at, len(text)))
         return self._respell("".join(out)), places
 
 

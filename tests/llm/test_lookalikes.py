@@ -58,3 +58,10 @@ def test_alphabets_and_styles_by_unicode_rules(spark):
     assert [twins.form(t) for t in kept] == kept
     for letter, latin in twins.latin.items():
         assert latin.isascii() and twins.form(f"ab{letter}cd") == f"ab{latin}cd", letter
+
+
+@pytest.mark.parametrize("text", [*CASES, *SAME, "á​­b ｶﾞ é ﬁx", "​x"])
+def test_aligned_form_and_places(text):
+    form, places = BASE.aligned(text)
+    assert form == consistent_form(text) or unicodedata.normalize("NFC", form) == consistent_form(text)
+    assert len(places) == len(form) and places == sorted(places) and all(text[p] == c for c, p in zip(form, places) if c.isascii() and c in text and text.isascii())
