@@ -1,15 +1,18 @@
 """The k most similar vectors of every vector by additive quantisation.
 
-* Codebooks are fitted on a bounded sample; all of them are full-dimensional and act on residuals. A beam search encodes each
+* Codebooks are fitted on bounded samples; all of them are full-dimensional and act on residuals. A beam search encodes each
   vector; the norm of the decoded vector is stored with the code.
-* The first code is the cell of a vector. A vector asks its own cell and those whose centroid is nearly as close.
+* Cells are found in two levels. The first is fitted in the driver. Where cells of the first would hold more than CELL_GOAL vectors, each is
+  divided by a fit on a sample of its own, in the tasks, so the number of cells follows the number of vectors, up to FIRST * SECOND.
+* A vector asks its own cell and those whose centroid is nearly as close.
 * Inside a cell, lookup tables (query times codebook) give approximate cosines of all its vectors; the best of them are
   ranked again by exact cosine, and so is every other one that its quantisation error leaves in question. The lists of the
   cells asked are merged.
 * Vectors with more near cells than they asked, or with too short a list, ask on: all cells but those that centroid distance
-  and cell radius rule out against the last cosine of the list. Those cells are compared exactly, in blocks of cells.
+  and cell radius rule out against the last cosine of the list. Those cells are compared exactly, in blocks of cells. In exact mode all
+  vectors do.
 * Equal vectors count once in the index: their ids travel with the first of them, so no group of copies is compared with
-  itself. Cells above a fixed number of rows are split by salt and asked in parts.
+  itself. Cells above a fixed number of rows are cut into parts, and so are the vectors that ask them; a task meets one part of both.
 """
 
 from __future__ import annotations
@@ -25,7 +28,10 @@ from pyspark.sql import functions as F
 
 from folioforge.runtime import bounded_broadcast, stage_table
 
-SAMPLE_ROWS = 65_536
+#: Vectors that the driver fits the first level and the residual codebooks on, and those that a first-level cell is divided by.
+SAMPLE_ROWS, CELL_SAMPLE = 16_384, 4_096
+#: Cells of either level at most, and vectors that a cell should hold.
+FIRST, SECOND, CELL_GOAL = 512, 128, 512
 CELL_ROWS = 4_096
 #: Vectors per task of the search.
 TASK_ROWS = 8_192
@@ -37,11 +43,46 @@ _ROUNDING = 1e-5
 
 @dataclass
 class Codebooks:
-    """cells: (C, dim) centroids of unit vectors; residual: (M, 256, dim) codebooks of what is left."""
+    """first: centroids of the first level of cells; cells: (C, dim) centroids of unit vectors, those of first-level cell f being
+    starts[f] to starts[f + 1]; residual: (M, 256, dim) codebooks of what is left."""
 
+    first: np.ndarray
     cells: np.ndarray
+    starts: np.ndarray
     residual: np.ndarray
 
+    @property
+    def half(self) -> np.ndarray:
+        return 0.5 * (self.cells * self.cells).sum(1)
+
+    def near(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, cells, scores) of the cells whose score is within ``margin`` of the row's best, the best first. Scores order as
+        distances do. Of two levels only the cells under near first-level cells are looked at."""
+        if len(self.first) == len(self.cells):
+            score = x @ self.cells.T - self.half
+            rows, cells = np.nonzero(score >= score.max(1, initial=-np.inf)[:, None] - margin)
+            values = score[rows, cells]
+        else:
+            top = x @ self.first.T - 0.5 * (self.first * self.first).sum(1)
+            who, under = np.nonzero(top >= top.max(1, initial=-np.inf)[:, None] - margin)
+            parts = []
+            for f in np.unique(under).tolist():
+                at, lo, hi = who[under == f], self.starts[f], self.starts[f + 1]
+                parts.append((np.repeat(at, hi - lo), np.tile(np.arange(lo, hi), len(at)), (x[at] @ self.cells[lo:hi].T - self.half[lo:hi]).reshape(-1)))
+            rows, cells, values = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in range(3))
+            best = np.full(len(x), -np.inf)
+            np.maximum.at(best, rows, values)
+            keep = values >= best[rows] - margin
+            rows, cells, values = rows[keep], cells[keep], values[keep]
+        order = np.lexsort((cells, -values, rows))
+        return rows[order], cells[order], values[order]
+
+    def own(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each row."""
+        rows, cells, _ = self.near(x, 0.0)
+        _, at = np.unique(rows, return_index=True)
+        return cells[at]
+
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     half = 0.5 * (centres * centres).sum(1)
@@ -63,15 +104,48 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 def fit(sample: np.ndarray, books: int = 4, seed: int = 5) -> Codebooks:
     """Codebooks of unit vectors: one cell per 32 sample rows, then ``books`` residual codebooks of 256 entries."""
-    cells = _kmeans(sample, max(1, len(sample) // 32), 5, seed)
-    left = sample - cells[_nearest(sample, cells)]
-    part = left[:: max(1, len(left) // 16_384)]
+    cells = _kmeans(sample, min(FIRST, max(1, len(sample) // 32)), 5, seed).astype(np.float32)
+    part = sample - cells[_nearest(sample, cells)]
     residual = []
     for m in range(books):
         book = _kmeans(part, 256, 6, seed + m + 1)
         part = part - book[_nearest(part, book)]
         residual.append(book)
-    return Codebooks(cells.astype(np.float32), np.stack(residual).astype(np.float32))
+    return Codebooks(cells, cells, np.arange(len(cells) + 1), np.stack(residual).astype(np.float32))
+
+
+def divide(books: Codebooks, rows: DataFrame, count: int, dim: int) -> Codebooks:
+    """The codebooks with a second level of cells, so that a cell holds about CELL_GOAL of ``count`` rows.
+
+    A row's part in its cell's sample is decided by a hash of its id, with a rate that gives CELL_SAMPLE rows of a cell of even size; a
+    cell's group is cut at twice as many. What comes to the driver is at most FIRST * SECOND centroids.
+    """
+    wide = min(SECOND, -(-count // (len(books.first) * CELL_GOAL)))
+    if wide <= 1:
+        return books
+    rate = min(1.0, CELL_SAMPLE * len(books.first) / count)
+    shared = rows.sparkSession.sparkContext.broadcast(books)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, unit, at = _usable(batch, dim)
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value.own(unit).astype(np.int32)), batch.column(2).take(pa.array(at)), pa.array([u.tobytes() for u in unit], pa.binary())], names=["cell", "lot", "unit"])
+
+    def split(key: tuple, table: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float32).reshape(-1, dim)
+        centres = _kmeans(x, min(wide, max(1, len(x) // 16)), 5, 17).astype(np.float32)
+        return pa.table({"cell": pa.array([key[0].as_py()] * len(centres), pa.int32()), "centre": pa.array([c.tobytes() for c in centres], pa.binary())})
+
+    drawn = rows.withColumn("lot", F.xxhash64("vec_id", F.lit(9))).where(F.pmod("lot", F.lit(1 << 20)) < int(rate * (1 << 20)) + 1)
+    spread = drawn.mapInArrow(place, "cell int, lot bigint, unit binary")
+    few = spread.withColumn("n", F.row_number().over(Window.partitionBy("cell", F.pmod("lot", F.lit(8))).orderBy("lot"))).where(F.col("n") <= CELL_SAMPLE // 4).select("cell", "unit")
+    found = few.groupBy("cell").applyInArrow(split, "cell int, centre binary").toArrow()  # at most FIRST * SECOND centroids
+    own = found.column("cell").to_numpy()
+    centres = np.frombuffer(b"".join(found.column("centre").to_pylist()), np.float32).reshape(-1, dim)
+    missing = np.setdiff1d(np.arange(len(books.first)), own)
+    own, centres = np.concatenate([own, missing]), np.concatenate([centres, books.first[missing]])
+    order = np.argsort(own, kind="stable")
+    return Codebooks(books.first, np.ascontiguousarray(centres[order]), np.searchsorted(own[order], np.arange(len(books.first) + 1)), books.residual)
 
 
 def encode(x: np.ndarray, cell: np.ndarray, books: Codebooks, beam: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -144,35 +218,43 @@ def _rows(frame: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame
     return frame.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")).where((F.size("v") == dim) & F.col("vec_id").isNotNull())
 
 
-def all_neighbours(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "dense", k: int = 10, dim: int = 64, margin: float = 0.08, most_cells: int = 6, shortlist: int = 64) -> DataFrame:
+def all_neighbours(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "dense", k: int = 10, dim: int = 64, margin: float = 0.08, most_cells: int = 6, shortlist: int = 64, exact: bool = False) -> DataFrame:
     """(vec_id, neighbor_id, cosine, rank): for every usable vector its k nearest by cosine, itself excluded.
 
     Usable are vectors with exactly ``dim`` finite components that aren't all zero; others, nulls and rows without id are
     neither asked nor found. Redelivered rows count once; equal cosines go by smaller id. A vector asks the cells whose
     centroid's cosine is within ``margin`` of the nearest one's, the nearest ``most_cells`` first; if there are more, or the
-    list stays short, it asks every further cell that may hold a vector of the list. Recall is measured in the tests.
+    list stays short, it asks every further cell that may hold a vector of the list. Recall is measured in the tests. With
+    ``exact`` all vectors ask on, and nothing rests on the quantisation.
     """
     spark = frame.sparkSession
     rows = _rows(frame, id_col, vector_col, dim)
-    lot = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toArrow().combine_chunks()
+    count = rows.count()
+    # a hash of the id draws the sample, so that each task sends its share only
+    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(min(1.0, 1.2 * SAMPLE_ROWS / max(1, count)) * (1 << 20)) + 1)
+    lot = drawn.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toArrow().combine_chunks()
     units = [_usable(b, dim)[1] for b in lot.to_batches()]
     sample = np.concatenate(units) if units else np.empty((0, dim), np.float32)
+    if not len(sample):  # all drawn are unusable, or there are none
+        units = [_usable(b, dim)[1] for b in rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)).limit(SAMPLE_ROWS).toArrow().to_batches()]
+        sample = np.concatenate(units) if units else np.empty((0, dim), np.float32)
     if not len(sample):
         return spark.createDataFrame([], "vec_id bigint, neighbor_id bigint, cosine double, rank int")
-    books = spark.sparkContext.broadcast(fit(sample))
+    books = spark.sparkContext.broadcast(divide(fit(sample), rows, count, dim))
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, unit, at = _usable(batch, dim)
             raw = np.ascontiguousarray(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)[at])
             pair = np.frombuffer(b"".join(xxhash.xxh3_128_digest(v) for v in raw), np.int64).reshape(-1, 2)
-            score = unit @ books.value.cells.T - half
-            cell = score.argmax(1)
-            many = (score >= score.max(1, initial=-np.inf)[:, None] - margin).sum(1) > most_cells
+            at_row, cells, _ = books.value.near(unit, margin)
+            first = np.searchsorted(at_row, np.arange(len(unit)))
+            cell = cells[first] if len(cells) else np.empty(0, np.int64)
+            many = (np.bincount(at_row, minlength=len(unit)) > most_cells) | exact
             away = np.linalg.norm(unit - books.value.cells[cell], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(cell.astype(np.int32)), pa.array(away.astype(np.float32)), pa.array(many)], names=["vec_id", "h1", "h2", "cell", "away", "many"])
 
-    half = 0.5 * (books.value.cells * books.value.cells).sum(1)
+    half = books.value.half
     known = stage_table(rows.mapInArrow(survey, "vec_id bigint, h1 bigint, h2 bigint, cell int, away float, many boolean"), "survey")
     counts = known.groupBy("cell").agg(F.count("*").alias("count"), F.max("away").alias("radius")).toArrow()  # at most one row per centroid
     sizes, radius = np.zeros(len(books.value.cells), np.int64), np.full(len(books.value.cells), -np.inf)
@@ -194,31 +276,38 @@ def all_neighbours(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "
             _, unit, at = _usable(batch, dim)
             if not len(at):
                 continue
-            score = unit @ own.cells.T - 0.5 * (own.cells * own.cells).sum(1)
-            cell = score.argmax(1)
+            rows_, cells_, _ = own.near(unit, margin)
+            first_ = np.searchsorted(rows_, np.arange(len(unit)))
+            cell = cells_[first_]
             codes, norms = encode(unit, cell, own)
-            rows_, cells_ = np.nonzero(score >= score.max(1)[:, None] - margin)
-            rank = score[rows_, cells_]
-            order = np.lexsort((-rank, rows_))
-            rows_, cells_ = rows_[order], cells_[order]
-            nth = np.arange(len(rows_)) - np.searchsorted(rows_, rows_)
-            asks = nth < most_cells
+            asks = np.arange(len(rows_)) - first_[rows_] < most_cells
             rows_, cells_ = rows_[asks], cells_[asks]
             ids = batch.column(0).to_numpy()[at]
-            # a split cell holds a vector in one part and is asked in all parts
+            # of a split cell, a part of the vectors meets a part of those that ask: each goes to all parts of the others
+            mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
             times = split.value[cells_]
-            rows_, cells_ = np.repeat(rows_, times), np.repeat(cells_, times)
-            part = np.arange(len(rows_)) - np.repeat(np.cumsum(times) - times, times)
-            home_part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % split.value[cell]
-            home = (cells_ == cell[rows_]) & (part == home_part[rows_])
-            key = cells_.astype(np.int64) << 20 | part
-            blob = [u.tobytes() for u in unit]
-            code = [c.tobytes() for c in codes]
-            lists = batch.column(2).take(pa.array(at[rows_], mask=~home))
+            ask_rows, ask_cells = np.repeat(rows_, times), np.repeat(cells_, times)
+            ask_home = np.arange(len(ask_rows)) - np.repeat(np.cumsum(times) - times, times)
+            ask_part = (mixed[ask_rows] >> 11) % split.value[ask_cells]
+            whole = split.value[cell]
+            home_rows = np.repeat(np.arange(len(unit)), whole)
+            home_part = np.arange(len(home_rows)) - np.repeat(np.cumsum(whole) - whole, whole)
+            home_home = mixed[home_rows] % whole[home_rows]
+            key_of = lambda c, home, part: c.astype(np.int64) << 40 | home << 20 | part
+            ask_key, home_key = key_of(ask_cells, ask_home, ask_part), key_of(cell[home_rows], home_home, home_part)
+            # a vector that asks where it lives is sent once
+            rows_, key = np.concatenate([ask_rows, home_rows]), np.concatenate([ask_key, home_key])
+            role = np.concatenate([np.ones(len(ask_rows), np.int8), np.full(len(home_rows), 2, np.int8)])
+            order = np.lexsort((key, rows_))
+            rows_, key = rows_[order], key[order]
+            begins = np.flatnonzero(np.concatenate([[True], (rows_[1:] != rows_[:-1]) | (key[1:] != key[:-1])]))
+            role = np.bitwise_or.reduceat(role[order], begins)
+            rows_, key, ask_flag, home_flag = rows_[begins], key[begins], role & 1 > 0, role & 2 > 0
+            blob, code = [u.tobytes() for u in unit], [c.tobytes() for c in codes]
             yield pa.RecordBatch.from_arrays([
-                pa.array(key), pa.array(ids[rows_]), pa.array([blob[i] for i in rows_], pa.binary()), pa.array([code[i] if h else None for i, h in zip(rows_, home)], pa.binary()),
-                pa.array(np.where(home, norms[rows_], 0).astype(np.float32)), lists,
-            ], names=["key", "vec_id", "unit", "code", "norm", "ids"])
+                pa.array(key), pa.array(ids[rows_]), pa.array([blob[i] for i in rows_], pa.binary()), pa.array([code[i] if h else None for i, h in zip(rows_, home_flag)], pa.binary()),
+                pa.array(np.where(home_flag, norms[rows_], 0).astype(np.float32)), batch.column(2).take(pa.array(at[rows_], mask=~home_flag)), pa.array(ask_flag),
+            ], names=["key", "vec_id", "unit", "code", "norm", "ids", "asks"])
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
         own = books.value
@@ -228,15 +317,16 @@ def all_neighbours(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "
         here = np.array([i for i, c in enumerate(code) if c is not None], np.int64)
         _, once = np.unique(ids[here], return_index=True)
         here = here[once]
-        _, ask = np.unique(ids, return_index=True)
-        if not len(here):
+        ask = np.flatnonzero(table.column("asks").to_numpy(zero_copy_only=False))
+        ask = ask[np.unique(ids[ask], return_index=True)[1]]
+        if not len(here) or not len(ask):
             return _listed([], [], [])
         codes = np.frombuffer(b"".join(code[i] for i in here), np.uint8).reshape(len(here), -1)
         norm, base = table.column("norm").to_numpy()[here], unit[here]
         groups = table.column("ids").combine_chunks().take(pa.array(here)).to_pylist()
         wide, single = base.astype(np.float64), all(len(g) == 1 for g in groups)
         heads = np.array([g[0] for g in groups], np.int64)
-        centre = own.cells[key[0].as_py() >> 20]
+        centre = own.cells[key[0].as_py() >> 40]
         out_ids, out_found, out_cos = [], [], []
         decoded = centre + sum(book[codes[:, m]] for m, book in enumerate(own.residual))
         error = np.linalg.norm(base - decoded, axis=1) + _ROUNDING
@@ -274,7 +364,7 @@ def all_neighbours(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 out_cos.append(cos)
         return _listed(out_ids, out_found, out_cos)
 
-    placed = indexed.mapInArrow(place, "key bigint, vec_id bigint, unit binary, code binary, norm float, ids array<bigint>")
+    placed = indexed.mapInArrow(place, "key bigint, vec_id bigint, unit binary, code binary, norm float, ids array<bigint>, asks boolean")
     tasks = max(8, sum(counts.column("count").to_pylist()) // TASK_ROWS)
     lists = placed.repartition(tasks, "key").groupBy("key").applyInArrow(search, "vec_id bigint, found array<bigint>, cosine array<double>")
 
@@ -318,7 +408,7 @@ def all_neighbours(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "
             ids, unit, at = _usable(batch, dim)
             if not len(at):
                 continue
-            cell = (unit @ books.value.cells.T - half).argmax(1)
+            cell = books.value.own(unit)
             block = first[cell] + (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % split.value[cell]
             here = np.flatnonzero(wanted[block])
             yield pa.RecordBatch.from_arrays([pa.array(block[here]), pa.array(ids[here]), pa.array([unit[i].tobytes() for i in here], pa.binary()), batch.column(2).take(pa.array(at[here]))], names=["block", "vec_id", "unit", "ids"])

@@ -80,6 +80,34 @@ def test_recall_in_a_hot_tight_group(spark, monkeypatch):
 
 def test_shortlist_of_a_large_cell_is_completed(spark, monkeypatch):
     monkeypatch.setattr(N, "fit", lambda sample, f=N.fit: f(sample[:40]))
+    monkeypatch.setattr(N, "CELL_GOAL", 4096)
     vectors = {i: v for i, v in enumerate(np.random.default_rng(4).normal(size=(600, 64)).astype(np.float32).tolist())}
     got, want = found(spark.createDataFrame([(i, v, 1, "x") for i, v in vectors.items()], SCHEMA), shortlist=12), brute(vectors)
     assert got == want
+
+
+def test_two_levels_of_cells(spark, monkeypatch):
+    monkeypatch.setattr(N, "FIRST", 5)
+    monkeypatch.setattr(N, "CELL_GOAL", 40)
+    monkeypatch.setattr(N, "CELL_SAMPLE", 200)
+    fitted = []
+    monkeypatch.setattr(N, "divide", lambda *a, f=N.divide: fitted.append(f(*a)) or fitted[-1])
+    vectors = clusters(1500, seed=2)
+    frame = spark.createDataFrame([(i, v, 1, "x") for i, v in vectors.items()], SCHEMA)
+    got, want = found(frame), brute(vectors)
+    assert len(fitted[0].first) == 5 and 15 <= len(fitted[0].cells) <= 40
+    assert np.mean([len(set(got[i]) & set(want[i])) / 10 for i in want]) > 0.97
+    assert found(frame, exact=True) == want
+
+
+def test_cells_of_codebooks():
+    x = np.random.default_rng(1).normal(size=(400, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    one = N.fit(x)
+    rows, cells, scores = one.near(x, 0.05)
+    whole = x @ one.cells.T - one.half
+    assert set(zip(rows.tolist(), cells.tolist())) == set(zip(*map(np.ndarray.tolist, np.nonzero(whole >= whole.max(1)[:, None] - 0.05))))
+    assert (one.own(x) == N._nearest(x, one.cells)).all()
+    two = N.Codebooks(one.cells[:3], one.cells, np.array([0, 4, 8, len(one.cells)]), one.residual)
+    rows, cells, scores = two.near(x, 9.0)
+    assert len(rows) == len(x) * len(one.cells) and (two.own(x)[:50] >= 0).all()
