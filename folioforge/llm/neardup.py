@@ -38,7 +38,7 @@ RARE = 2_000
 #: Contents of a part of a large band; a task compares two parts.
 PART_ROWS = 512
 #: Salts of a band that one task alone holds more than so many contents of.
-_SALTS, _LOCAL_ROWS = 256, 64
+_SALTS, _LOCAL_ROWS, _COUNTERS = 256, 64, 1 << 20
 #: Bits of the filter that keeps the shingles whose document frequency is asked.
 ASKED_BITS = 1 << 27
 _POOL_BITS = 14
@@ -74,14 +74,15 @@ def weighted_samples(shingles: np.ndarray, weight: np.ndarray, starts: np.ndarra
     step = np.clip(np.rint((np.log2(np.maximum(weight, 1e-6)) - _STEP_BASE) * 8), 0, _STEPS - 1).astype(np.int64) << _POOL_BITS
     low = (shingles & np.uint64(0xFFFFFFFF)).astype(np.int64)
     pool, out = _pool(), np.empty((samples, len(starts)), np.int64)
-    shift = np.uint64(64 - _POOL_BITS)
-    with np.errstate(over="ignore"):
-        for k, m in enumerate(_multipliers(samples)):
-            at = ((shingles * m) >> shift).view(np.int64)
-            at += step
-            value = pool[at]
-            value |= low
-            out[k] = np.minimum.reduceat(value, starts)
+    shift, hashed, value = np.uint64(64 - _POOL_BITS), np.empty(len(shingles), np.uint64), np.empty(len(shingles), np.int64)
+    at = hashed.view(np.int64)
+    for k, m in enumerate(_multipliers(samples)):
+        np.multiply(shingles, m, out=hashed)
+        np.right_shift(hashed, shift, out=hashed)
+        np.add(at, step, out=at)
+        np.take(pool, at, out=value, mode="clip")
+        np.bitwise_or(value, low, out=value)
+        np.minimum.reduceat(value, starts, out=out[k])
     return out.T
 
 
@@ -137,14 +138,21 @@ def _summed(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)], pa.binary())], names=["block", "counts"])
 
 
+def _summed_plain(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same, not compressed."""
+    for batch in _summed(key, parts):
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.decompress(batch.column(1)[0].as_py())], pa.binary())], names=["block", "counts"])
+
+
 def slot_counts(profile: DataFrame) -> np.ndarray:
     """Document counts of all slots. The blocks of all tasks are summed first in salted groups, so each group holds few of them."""
     blocks = profile.where("block is not null").select("block", "counts", F.pmod(F.xxhash64("counts"), F.lit(16)).alias("salt"))
     partial = blocks.groupBy("block", "salt").applyInArrow(_summed, "block int, counts binary")
     whole = np.zeros(IDF_SLOTS, np.int32)
-    for batch in partial.groupBy("block").applyInArrow(_summed, "block int, counts binary").toArrow().to_batches():  # one row per block
+    total = partial.groupBy("block").applyInArrow(_summed_plain, "block int, counts binary")
+    for batch in total.toArrow().to_batches():  # one row per block, 16 MB in all
         for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            whole[block * _BLOCK : (block + 1) * _BLOCK] = _counts_of([blob])
+            whole[block * _BLOCK : (block + 1) * _BLOCK] = np.frombuffer(blob, np.int32)
     return whole
 
 
@@ -169,8 +177,7 @@ def _bands(batches: Iterator[pa.RecordBatch], slots, n: int, least_words: int, b
     """Rows (band, salt, content). Bands that this task holds much of are spread over salts; then a row with salt 0 says that there are more."""
     table = _idf_of(slots, slots.value[0])
     seen: set[int] = set()  # contents of this task, so that copies don't meet in the shuffle
-    held: dict[int, int] = {}  # contents by band, of bands met again in this task
-    once: np.ndarray = np.empty(0, np.uint64)
+    held = np.zeros(_COUNTERS, np.uint32)  # contents by slot of the band's hash, in this task
     for batch in batches:
         contents, parts, sizes, tfs = [], [], [], []
         if len(seen) > _SEEN_ROWS:
@@ -191,20 +198,19 @@ def _bands(batches: Iterator[pa.RecordBatch], slots, n: int, least_words: int, b
         if not contents:
             continue
         ends, lo = np.cumsum(sizes), 0
-        while lo < len(contents):  # at most some 200,000 shingles at a time, so the arrays stay in the cache and small
+        while lo < len(contents):  # at most some 50,000 shingles at a time, so the arrays stay in the cache and small
             first = ends[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(ends, first + 200_000)))
+            hi = max(lo + 1, int(np.searchsorted(ends, first + 50_000)))
             shingles, tf = np.concatenate(parts[lo:hi]), np.concatenate(tfs[lo:hi])
             starts = np.concatenate([[0], np.cumsum(sizes[lo:hi])[:-1]]).astype(np.int64)
             w = weights(tf, table[(shingles & np.uint64(IDF_SLOTS - 1)).view(np.int64)])
             keys = band_keys(weighted_samples(shingles, w, starts, bands * rows), bands)
             flat, owner = keys.reshape(-1), np.repeat(np.array(contents[lo:hi], np.int64), bands)
-            large = [k for k in _again(flat, once, held) if held[k] > _LOCAL_ROWS]
-            if len(once) < _SEEN_ROWS:
-                once = np.union1d(once, flat)
+            slot = (flat & np.uint64(_COUNTERS - 1)).view(np.int64)
+            np.add.at(held, slot, 1)
+            at = np.flatnonzero(held[slot] > max(_LOCAL_ROWS, 16 * len(seen) * bands // _COUNTERS))
             salt = np.zeros(len(flat), np.int32)
-            if large:
-                at = np.isin(flat, np.array(large, np.uint64))
+            if len(at):
                 salt[at] = 1 + (owner[at].view(np.uint64) % np.uint64(_SALTS)).astype(np.int32)
                 _, first = np.unique(flat[at], return_index=True)
                 flat, owner, salt = np.concatenate([flat, flat[at][first]]), np.concatenate([owner, owner[at][first]]), np.concatenate([salt, np.zeros(len(first), np.int32)])
@@ -212,18 +218,6 @@ def _bands(batches: Iterator[pa.RecordBatch], slots, n: int, least_words: int, b
             lo = hi
 
 
-def _again(flat: np.ndarray, once: np.ndarray, held: dict[int, int]) -> list[int]:
-    """The bands of ``flat`` met before or more than once, counted up in ``held``."""
-    keys, counts = np.unique(flat, return_counts=True)
-    known = np.isin(keys, once, assume_unique=True)
-    more = np.flatnonzero(known | (counts > 1))
-    if len(held) > _SEEN_ROWS:
-        held.clear()
-    for k, c in zip(keys[more].tolist(), counts[more].tolist()):
-        held[k] = held.get(k, 0) + c
-    return keys[more].tolist()
-
-
 def _shingles(text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingle_hashes(hash_words(words_of(text)), n), return_counts=True)
 
