@@ -1,16 +1,25 @@
 """Parent-child rows to full hierarchies: peeling, Euler tours and parallel list ranking.
 
-Every step is a join on row keys, so neither a deep chain nor a huge family ends up in one task. The number of rounds is
-the logarithm of the depth (peeling) or of the longest tour (ranking).
+Pointers are contracted first: rows are cut into stretches of keys of bounded size, and inside a stretch every pointer is followed
+until it leaves it. Only what other stretches point at is ranked by shuffles, in rounds that double the distance, so their number
+is the logarithm of the stretches that a chain passes, and their size that of the crossings. Neither a deep chain nor a huge
+family ends up in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.runtime import drop_staged, stage_table
 
+#: Rows of a stretch, and steps of an interval that are unrolled in one go.
+STRETCH, SPAN = 200_000, 4_096
+
 
 def section_links(sections: DataFrame) -> DataFrame:
     """(key, parent): one row per section_key with the valid parent's key or null.
@@ -25,15 +34,78 @@ def section_links(sections: DataFrame) -> DataFrame:
     return rows.join(named, ["doc_id", "parent_id"], "left").select("key", "parent")
 
 
+def _follow(at: np.ndarray, to: np.ndarray, known: np.ndarray, sums: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(stop, sums, ends) of the pointers of a stretch: the row where following ends, as what it points at lies outside or nowhere, the
+    sums over the rows passed, that one included, and whether it ends at all."""
+    order = np.argsort(at)
+    place = np.minimum(np.searchsorted(at, to, sorter=order), len(at) - 1)
+    inside = known & (at[order[place]] == to)
+    jump = np.where(inside, order[place], np.arange(len(at)))
+    passed = [np.where(inside, x, 0) for x in sums]
+    for _ in range(len(at).bit_length() + 1):
+        far = jump[jump]
+        if (far == jump).all():
+            break
+        passed = [x + x[jump] for x in passed]
+        jump = far
+    return jump, [x + own[jump] for x, own in zip(passed, sums)], ~inside[jump]
+
+
+def contract(lists: DataFrame, sums: list[str]) -> DataFrame:
+    """(at, next, *sums, last, turns) of linked lists (at, next, *sums), ``at`` being unique: every pointer followed inside its stretch.
+
+    last is the row where following ended, next what that points at (null at a list's end), and the sums those of all rows from ``at`` to
+    ``last``. Pointers that turn in a circle inside the stretch are marked by ``turns``, with themselves as next.
+    """
+    stretches = max(1, -(-lists.count() // STRETCH))
+    cut = lists.select("at", "next", *sums)
+    cut = cut.coalesce(1) if stretches == 1 else cut.repartitionByRange(stretches, "at")
+    names = ["at", "next", *sums, "last", "turns"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if table is None or not table.num_rows:
+            return
+        at, pointer = table.column(0).to_numpy(), table.column(1).combine_chunks()
+        known = pointer.is_valid().to_numpy(zero_copy_only=False)
+        to = pointer.fill_null(0).to_numpy()
+        stop, totals, ends = _follow(at, to, known, [table.column(2 + k).to_numpy() for k in range(len(sums))])
+        beyond = np.where(ends, to[stop], at)
+        columns = [pa.array(at), pa.array(beyond, mask=ends & ~known[stop]), *map(pa.array, totals), pa.array(at[stop]), pa.array(~ends)]
+        yield from pa.Table.from_arrays(columns, names=names).to_batches(65_536)
+
+    kinds = ", ".join(["at bigint", "next bigint", *[f"{c} bigint" for c in sums], "last bigint", "turns boolean"])
+    return cut.mapInArrow(run, kinds)
+
+
+def endless(links: DataFrame) -> DataFrame:
+    """(key) of the nodes that reach no root: those on loops and those that lead into one."""
+    short = stage_table(contract(links.select(F.col("key").alias("at"), F.col("parent").alias("next")), []), "contracted")
+    going = short.where("next is not null")
+    asked = going.select(F.col("next").alias("at")).distinct()
+    jump = stage_table(short.join(asked, "at", "left_semi").where("next is not null").select("at", "next"), "crossings")
+    left = jump.count()
+    while left:
+        after = stage_table(jump.join(jump.select(F.col("at").alias("next"), F.col("next").alias("far")), "next").select("at", F.col("far").alias("next")), "crossings")
+        count = after.count()
+        drop_staged(links.sparkSession, jump)
+        jump = after
+        if count == left:  # as nodes of every smaller depth exist, a round that removes nothing has removed all that end
+            break
+        left = count
+    held = going.select(F.col("at").alias("key"), "next", "turns").join(jump.select(F.col("at").alias("next"), F.lit(True).alias("lost")), "next", "left")
+    return held.where("turns or lost").select("key")
+
+
 def peel(links: DataFrame) -> DataFrame:
     """(key) of the nodes on loops, by peeling leaves until only loops are left.
 
-    Round k removes the 2^k lowest layers of leaves at once: the images of the 2^k-fold parent step are just the nodes with
-    a descendant chain that long. As every such node has descendants of each smaller height, a round that removes nothing
-    ends the peeling. Trees end in a root (null) and vanish, loops map onto themselves.
+    Nodes that reach a root are on none and are left out first. Of the rest, round k removes the 2^k lowest layers of leaves at
+    once: the images of the 2^k-fold parent step are just the nodes with a descendant chain that long. As every such node has
+    descendants of each smaller height, a round that removes nothing ends the peeling; loops map onto themselves.
     """
     spark = links.sparkSession
-    jump = stage_table(links.where("parent is not null").select("key", F.col("parent").alias("to")), "peel")
+    jump = stage_table(links.join(endless(links), "key", "left_semi").select("key", F.col("parent").alias("to")), "peel")
     live = jump.select(F.col("to").alias("key")).distinct().count()
     while live:
         far = jump.select(F.col("key").alias("to"), F.col("to").alias("far"))
@@ -85,18 +157,25 @@ def euler_tour(forest: DataFrame) -> DataFrame:
 def rank_lists(tour: DataFrame) -> DataFrame:
     """(at, last, enters, step): sums from each element to the end of its list, and the list's last element.
 
-    Parallel list ranking by pointer jumping. Elements whose pointer has reached the end leave the working set; what is
-    staged per round is the rest and the newly finished.
+    Parallel list ranking: lists are contracted inside stretches, the elements that other stretches point at are ranked by pointer
+    jumping, and their ranks are added to those that point at them.
     """
     spark = tour.sparkSession
-    work = stage_table(tour.withColumn("last", F.col("at")), "tour")
+    short = stage_table(contract(tour, ["enters", "step"]).drop("turns"), "contracted")
+    going = short.where("next is not null")
+    done = short.where("next is null").select("at", "last", "enters", "step")
+    if going.isEmpty():
+        return done
+    work = stage_table(short.join(going.select(F.col("next").alias("at")).distinct(), "at", "left_semi"), "ranks")
     while not work.where("next is not null").isEmpty():
         ahead = work.select(F.col("at").alias("next"), F.col("next").alias("next2"), F.col("enters").alias("enters2"), F.col("step").alias("step2"), F.col("last").alias("last2"))
         moved = work.where("next is not null").join(ahead, "next").select("at", F.col("next2").alias("next"), (F.col("enters") + F.col("enters2")).alias("enters"), (F.col("step") + F.col("step2")).alias("step"), F.col("last2").alias("last"))
-        after = stage_table(work.where("next is null").select("at", "next", "enters", "step", "last").unionByName(moved), "tour")
+        after = stage_table(work.where("next is null").select("at", "next", "enters", "step", "last").unionByName(moved), "ranks")
         drop_staged(spark, work)
         work = after
-    return work.select("at", "last", "enters", "step")
+    ahead = work.select(F.col("at").alias("next"), F.col("enters").alias("enters2"), F.col("step").alias("step2"), F.col("last").alias("last2"))
+    joined = going.join(ahead, "next").select("at", F.col("last2").alias("last"), (F.col("enters") + F.col("enters2")).alias("enters"), (F.col("step") + F.col("step2")).alias("step"))
+    return done.unionByName(joined)
 
 
 def hierarchy_labels(links: DataFrame) -> DataFrame:
@@ -109,10 +188,10 @@ def hierarchy_labels(links: DataFrame) -> DataFrame:
     links = stage_table(links, "links")
     heads = stage_table(loop_heads(links, peel(links)), "loop-heads")
     forest = links.join(heads, "key", "left").select("key", F.when(F.col("head") == F.col("key"), None).otherwise(F.col("parent")).alias("parent"))
-    ranked = rank_lists(euler_tour(forest))
-    ends = ranked.groupBy(F.expr("at div 2").alias("key")).agg(F.max("last").alias("last"), F.max("enters").alias("enters"), F.min("enters").alias("below"), F.max(F.when(F.col("at") % 2 == 0, F.col("step"))).alias("step"))
-    total = ends.where("key = last div 2").select("last", F.col("enters").alias("total"))
-    labels = ends.join(total, "last").select("key", F.expr("last div 2").alias("root"), (-F.col("step")).cast("int").alias("depth"), (F.col("total") - F.col("enters")).alias("pre"), (F.col("enters") - F.col("below")).alias("size"))
+    ranked = rank_lists(stage_table(euler_tour(forest), "tour"))
+    ends = ranked.groupBy(F.shiftright("at", 1).alias("key")).agg(F.max("last").alias("last"), F.max("enters").alias("enters"), F.min("enters").alias("below"), F.max(F.when(F.col("at").bitwiseAND(1) == 0, F.col("step"))).alias("step"))
+    total = ends.where("key = shiftright(last, 1)").select("last", F.col("enters").alias("total"))
+    labels = ends.join(total, "last").select("key", F.shiftright("last", 1).alias("root"), (-F.col("step")).cast("int").alias("depth"), (F.col("total") - F.col("enters")).alias("pre"), (F.col("enters") - F.col("below")).alias("size"))
     labels = labels.join(heads.select("key", F.lit(True).alias("on_loop")), "key", "left").withColumn("on_loop", F.coalesce("on_loop", F.lit(False)))
     return stage_table(labels, "labels")
 
@@ -129,7 +208,9 @@ def closure(labels: DataFrame) -> DataFrame:
         F.when(F.col("on_loop"), F.lit(0)).otherwise(F.col("pre") + 1).alias("lo"),
         F.when(F.col("on_loop"), F.col("loop_size") - 1).otherwise(F.col("pre") + F.col("size") - 1).alias("hi"),
     ).where("lo <= hi")
-    steps = spans.select("ancestor", "root", F.explode(F.sequence("lo", "hi")).alias("pre"))
+    # long intervals are cut into bounded ones and spread, so that no row or task unrolls a whole tree
+    ranges = spans.select("ancestor", "root", "hi", F.explode(F.when(F.col("hi") - F.col("lo") < SPAN, F.array("lo")).otherwise(F.sequence("lo", "hi", F.lit(SPAN).cast("bigint")))).alias("lo"))
+    steps = ranges.select("ancestor", "root", F.explode(F.sequence("lo", F.least("hi", F.col("lo") + SPAN - 1))).alias("pre"))
     return steps.join(labels.select("root", "pre", "key"), ["root", "pre"]).select("ancestor", "key")
 
 

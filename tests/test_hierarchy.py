@@ -3,6 +3,7 @@ from datetime import datetime
 
 import pytest
 
+from folioforge.operators import hierarchy as H
 from folioforge.operators.hierarchy import closure, hierarchy, hierarchy_labels, peel, section_links
 
 LINKS = "key bigint, parent bigint"
@@ -55,3 +56,30 @@ def test_sections_latest_row_and_dirty_parents(spark):
     full = {r.section_key: (r.root_key, r.depth, r.path, r.n_descendants) for r in hierarchy(df).collect()}
     assert full[2] == (1, 2, [1, 3, 2], 0) and full[1] == (1, 0, [1], 2)
     assert hierarchy(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("stretch", [3, 17])
+def test_many_stretches_give_the_same(spark, monkeypatch, stretch):
+    monkeypatch.setattr(H, "STRETCH", stretch)
+    monkeypatch.setattr(H, "SPAN", 4)
+    rng = random.Random(stretch)
+    n = 50
+    names = rng.sample(range(-500, 500), n)
+    parent = {names[k]: None if rng.random() < 0.1 else names[rng.randrange(n) if rng.random() < 0.15 else max(0, k - 1)] for k in range(n)}
+    parent |= {1000: 1001, 1001: 1002, 1002: 1000, 1003: 1001, 1004: 1004}
+    labels = hierarchy_labels(spark.createDataFrame(list(parent.items()), LINKS))
+    want = brute(parent)
+    assert {(r.ancestor, r.key) for r in closure(labels).collect()} == want
+    assert {r.key for r in labels.where("on_loop").collect()} == {k for k in parent if (k, k) in want}
+
+
+def test_contraction_adds_up(spark, monkeypatch):
+    monkeypatch.setattr(H, "STRETCH", 5)
+    rows = [(k, k + 2 if k < 18 else None, k) for k in range(20)] + [(100, 101, 1), (101, 100, 1)]
+    got = {r.at: r for r in H.contract(spark.createDataFrame(rows, "at bigint, next bigint, w bigint"), ["w"]).collect()}
+    for k in range(20):
+        r = got[k]
+        steps = list(range(k, r.last + 1, 2))
+        assert r.w == sum(steps) and r.next == (r.last + 2 if r.last < 18 else None) and not r.turns
+    assert got[100].turns == got[101].turns
+    assert H.contract(spark.createDataFrame([], "at bigint, next bigint, w bigint"), ["w"]).count() == 0
