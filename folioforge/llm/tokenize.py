@@ -25,8 +25,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.runtime import plan_bytes
-
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 #: The word pattern that the vocabulary was made with.
@@ -37,8 +35,7 @@ HUMP_PATTERN = r"(?<=\p{Ll})(?=\p{Lu})"
 _MARKS = tuple(",.;:!?)")
 _GROUPS = 16_384
 _NO_RANK = 2**31 - 1
-_BUCKET_BYTES = 4 << 20
-_UNKNOWN_BYTES = 1 << 55
+_BUCKET_BYTES = 8 << 20
 _FLUSH_WORDS = 300_000
 
 
@@ -278,22 +275,21 @@ def encode_corpus(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col:
 
     Null and empty texts get an empty list. Redelivered rows (same id) count once; rows whose id is null are kept each.
     The strings of special tokens inside a text are ordinary text. ``buckets`` is the number of document groups; by default
-    one per 4 MB of input files, so a group's texts fit a worker at any corpus size.
+    one per 8 MB of text, so a group's texts fit a worker at any corpus size. Rows without an id are spread by their text.
     """
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if buckets is None:
-        size = plan_bytes(docs)
-        if size > _UNKNOWN_BYTES:  # a source without sizes: measure the texts
-            size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = max(8, -(-size // _BUCKET_BYTES))
     across = spanning_pieces(vocabulary)  # goes to the workers with the functions, so only the driver reads the file
-    grouped = slim.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    grouped = slim.withColumn("bucket", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(buckets)).cast("int"))
     seen = grouped.where("text <> ''").select("bucket", "text").mapInArrow(lambda it: _distinct_words(it, across), "word string, wide int, mask bigint")
     words = seen.groupBy("word", "wide").agg(F.bit_or("mask").alias("mask"))
     encoded = words.withColumn("ids", merge_word(F.encode("word", "UTF-8"), rank_literal(vocabulary)))
     bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit("mask", b) == 1)
     per_bucket = encoded.select("word", "ids", F.explode(F.transform(bits, lambda b: F.col("wide") * 64 + b)).alias("bucket"))
-    texts, lookup = grouped.repartition(buckets, "bucket"), per_bucket.repartition(buckets, "bucket")  # tasks of one size at any corpus size
+    # a task per group, without hashing the groups' numbers once more; tasks are of one size at any corpus size
+    texts, lookup = grouped.repartitionById(buckets, F.col("bucket")), per_bucket.repartitionById(buckets, F.col("bucket"))
     return texts.groupBy("bucket").cogroup(lookup.groupBy("bucket")).applyInArrow(lambda d, w: _lay_down(d, w, across, vocabulary), "doc_id bigint, ids array<int>")
 
 
