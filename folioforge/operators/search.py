@@ -76,17 +76,6 @@ def top_per_query(scores: DataFrame, limit: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
 
 
-def dense_scores(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "dense") -> DataFrame:
-    """(query_id, id, score): cosines of all vectors with all queries (query_id, vector), a stated query set of small size.
-
-    The queries are gathered into one row of arrays that every vector is scored against; so they must fit one row.
-    """
-    packed = queries.agg(F.collect_list(F.struct("query_id", F.col("vector").cast("array<double>").alias("vector"))).alias("qs"))
-    rows = index.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("v is not null").dropDuplicates(["id"])
-    scored = rows.join(F.broadcast(packed)).select("id", F.explode(F.transform(F.filter("qs", lambda q: F.size(q["vector"]) == F.size("v")), lambda q: F.struct(q["query_id"].alias("query_id"), cosine(F.col("v"), q["vector"]).alias("score")))).alias("x"))
-    return scored.select("x.query_id", "id", "x.score")
-
-
 class _Best:
     """The best ``limit`` rows of each query of a block, by score rounded to 6 digits, ties by id."""
 

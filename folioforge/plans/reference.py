@@ -530,8 +530,9 @@ def _usable(spark, sf_dir) -> DataFrame:
     return v.where(finite & F.exists("dense", lambda x: x != 0)).dropDuplicates(["vec_id"])
 
 
-def _first_vector(spark, sf_dir) -> list[float]:
-    return _usable(spark, sf_dir).orderBy("vec_id").select("dense").first()["dense"]
+def _first_query(spark, sf_dir) -> DataFrame:
+    """The usable vector of least id as the query."""
+    return _usable(spark, sf_dir).orderBy("vec_id").limit(1).select(F.lit(1).cast("bigint").alias("query_id"), F.col("dense").alias("vector"))
 
 
 def _best(scores: DataFrame, limit: int) -> DataFrame:
@@ -551,8 +552,7 @@ def term_statistics(spark, sf_dir):
 
 @query(f"WITH {_DENSE} SELECT id AS vec_id, round(score, 6) AS score FROM dn ORDER BY round(score, 6) DESC, id LIMIT 10")
 def dense_top10(spark, sf_dir):
-    q = spark.createDataFrame([(1, _first_vector(spark, sf_dir))], "query_id int, vector array<double>")
-    return _best(S.dense_scores(_usable(spark, sf_dir), q), 10).select(F.col("id").alias("vec_id"), "score")
+    return S.dense_top_of_set(_usable(spark, sf_dir), _first_query(spark, sf_dir), 10).select(F.col("id").alias("vec_id"), "score")
 
 
 @query(f"WITH {_DENSE}, {_CHUNKS} SELECT id AS vec_id, round(score, 6) AS score FROM dn JOIN c ON c.chunk_key = dn.id WHERE c.doc_id = (SELECT min(doc_id) FROM c) ORDER BY round(score, 6) DESC, id LIMIT 10")
@@ -560,8 +560,7 @@ def dense_top10_of_document(spark, sf_dir):
     chunks = _chunks(spark, sf_dir)
     doc = chunks.agg(F.min("doc_id")).first()[0]
     rows = _usable(spark, sf_dir).join(chunks.where(F.col("doc_id") == doc).select(F.col("chunk_key").alias("vec_id"), "doc_id"), "vec_id")
-    q = spark.createDataFrame([(1, _first_vector(spark, sf_dir))], "query_id int, vector array<double>")
-    return _best(S.dense_scores(rows, q), 10).select(F.col("id").alias("vec_id"), "score")
+    return S.dense_top_of_set(rows, _first_query(spark, sf_dir), 10).select(F.col("id").alias("vec_id"), "score")
 
 
 _LEGS = f"""{_DENSE}, {_BM25}, legs AS (SELECT * FROM (SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS r FROM dn) WHERE r <= 30 UNION ALL SELECT * FROM (SELECT id, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS r FROM bm) WHERE r <= 30)"""
@@ -573,8 +572,7 @@ def hybrid_rrf(spark, sf_dir):
 
 
 def _hybrid(spark, sf_dir, limit: int) -> DataFrame:
-    q = spark.createDataFrame([(1, _first_vector(spark, sf_dir))], "query_id int, vector array<double>")
-    dense = _best(S.dense_scores(_usable(spark, sf_dir), q), 30)
+    dense = S.dense_top_of_set(_usable(spark, sf_dir), _first_query(spark, sf_dir), 30)
     sparse = _best(S.bm25_scores(_chunks(spark, sf_dir), _question(spark), "chunk_key"), 30)
     return S.fuse([dense, sparse], limit)
 
@@ -594,7 +592,8 @@ def dense_batch_top10(spark, sf_dir):
     """Queries: the vectors of the fixed embeddings table whose id is divisible by 20, against all of it."""
     e = read_table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector")).dropDuplicates(["query_id"])
-    return _best(S.dense_scores(e, q, "vec_id", "embedding"), 10).select("query_id", F.col("id").alias("vec_id"), "score", "rank")
+    dim = e.agg(F.max(F.size("embedding"))).first()[0] or 1
+    return S.dense_top_of_set(e, q, 10, dim, "vec_id", "embedding").select("query_id", F.col("id").alias("vec_id"), "score", "rank")
 
 
 _SET_DENSE = f"""{_USABLE}, dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.dense::DOUBLE[], b.dense::DOUBLE[]), 6) AS score FROM v a, v b WHERE a.vec_id % 20 = 0))"""

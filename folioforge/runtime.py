@@ -45,11 +45,14 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, laptops), a temporary one for this process."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one of this process, if all executors run inside of it
+    (tests, laptops); on a cluster, whose executors would not see such a folder, RuntimeError."""
     global _own_dir
     said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if said:
         return said.rstrip("/")
+    if not _inside_one_process(spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_dir is None:
         folder = tempfile.mkdtemp(prefix="folioforge-")
         atexit.register(shutil.rmtree, folder, True)
@@ -57,6 +60,10 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+def _inside_one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 _written: list[str] = []
 
 
