@@ -31,7 +31,7 @@ from folioforge.runtime import bounded_broadcast, stage_table
 #: Vectors that the driver fits the first level and the residual codebooks on, and those that a first-level cell is divided by.
 SAMPLE_ROWS, CELL_SAMPLE = 16_384, 4_096
 #: Cells of either level at most, and vectors that a cell should hold.
-FIRST, SECOND, CELL_GOAL = 512, 128, 512
+FIRST, SECOND, CELL_GOAL = 512, 128, 64
 CELL_ROWS = 4_096
 #: Vectors per task of the search.
 TASK_ROWS = 8_192
