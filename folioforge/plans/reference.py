@@ -324,22 +324,105 @@ def table_runs_found(spark, sf_dir):
     return table_runs(R.with_position(synthetic_blocks(spark, sf_dir))).where("block_type = 'table'").select("block_key", "head")
 
 
-@query(f"""WITH {SYNTHETIC}, {_RUNS}, n AS (SELECT * EXCLUDE (head), CASE WHEN tb THEN head END AS head, lead(CASE WHEN cp THEN text END) OVER w AS nx, lag(CASE WHEN cp THEN text END) OVER w AS pv FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+_CAPTIONS = f"""n AS (SELECT * EXCLUDE (head), CASE WHEN tb THEN head END AS head, lead(CASE WHEN cp THEN text END) OVER w AS nx, lag(CASE WHEN cp THEN text END) OVER w AS pv FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
   g AS (SELECT doc_id, head, max(ord) AS last, arg_max(coalesce(nx, ''), ord) AS cl, arg_min(coalesce(nx, ''), ord) AS cf, arg_min(tkind, ord) <> 3 AS bare FROM n WHERE head IS NOT NULL GROUP BY doc_id, head),
   x AS (SELECT n.*, g.last, g.cl, g.cf, g.bare, coalesce(g.bare AND (n.head = n.ord OR (g.last = n.ord AND g.cf = '')), false) AS takes FROM n LEFT JOIN g ON g.doc_id = n.doc_id AND g.head = n.head),
   y AS (SELECT *, coalesce(lag(takes, 2) OVER w, false) AS lft FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
-  z AS (SELECT *, CASE WHEN head = ord AND bare THEN CASE WHEN cf <> '' THEN ord + 1 WHEN cl <> '' THEN last + 1 WHEN pv IS NOT NULL AND NOT lft THEN ord - 1 END END AS place, CASE WHEN cf <> '' THEN cf WHEN cl <> '' THEN cl ELSE pv END AS txt FROM y)
-  SELECT block_key, block_type, CASE WHEN place IS NOT NULL THEN txt WHEN tkind = 3 THEN 'Table 9.1-1 Own' END AS caption FROM z WHERE NOT EXISTS (SELECT 1 FROM z o WHERE o.doc_id = z.doc_id AND o.place = z.ord)""")
+  z AS (SELECT *, CASE WHEN head = ord AND bare THEN CASE WHEN cf <> '' THEN ord + 1 WHEN cl <> '' THEN last + 1 WHEN pv IS NOT NULL AND NOT lft THEN ord - 1 END END AS place, CASE WHEN cf <> '' THEN cf WHEN cl <> '' THEN cl ELSE pv END AS txt FROM y)"""
+
+
+@query(f"""WITH {SYNTHETIC}, {_RUNS}, {_CAPTIONS}
+  SELECT block_key, block_type, CASE WHEN place IS NOT NULL THEN txt WHEN tkind = 3 THEN 'Table 9.1-1 Own' END AS caption FROM z LEFT JOIN (SELECT DISTINCT doc_id, place AS gone FROM z WHERE place IS NOT NULL) o ON o.doc_id = z.doc_id AND o.gone = z.ord WHERE o.gone IS NULL""")
 def table_captions_attached(spark, sf_dir):
     return R.attach_table_captions(synthetic_blocks(spark, sf_dir)).select("block_key", "block_type", F.col("table_data.caption").alias("caption"))
 
 
-@query()
+def _merge_sql(parts: str) -> str:
+    """SQL that merges tables: ``parts`` is a relation part(grp, n, headers, body_rows, caption), n counting the parts of a table from 1.
+
+    A recursive step per part; cells are filled down by a window over unrolled cells.
+    """
+    cells = lambda x: f"list_transform(coalesce({x}, []), lambda c: coalesce(c, ''))"
+    label = lambda x: f"lower({_strip(x)})"
+    both = lambda a, b: f"list_filter(list_transform(range(len({a})), lambda i: [{label(f'{a}[i + 1]')}, {label(f'{b}[i + 1]')}]), lambda p: p[1] <> '' AND p[2] <> '')"
+    drift = lambda a, b: f"(len({a}) > 0 AND len({a}) = len({b}) AND len({both(a, b)}) >= greatest(1, len({a}) // 2) AND coalesce(list_bool_and(list_transform({both(a, b)}, lambda p: starts_with(p[1], p[2]) OR starts_with(p[2], p[1]))), true))"
+    held = r"(CASE WHEN len(h) = 0 THEN true ELSE list_bool_and(list_transform(h, lambda x, i: %s = '' OR coalesce(TRY_CAST(regexp_extract(%s, '^[0-9]+$') AS INT) = i - 1, false) OR regexp_matches(lower(%s), '^col[0-9]+$'))) END)" % ((_strip("x"),) * 3)
+    running = f"list_filter(range(1, len(last) + 1), lambda i: length({_strip('last[i]')}) >= 20 AND NOT contains('.!?;:', right({_strip('last[i]')}, 1)))"
+    pieces = f"list_filter(list_transform(coalesce(given[1], []), lambda c: {_strip('c')}), lambda c: c <> '')"
+    return f"""{parts}, clean AS (SELECT grp, n, {cells('headers')} AS h, list_transform(coalesce(body_rows, []), lambda r: {cells('r')}) AS r, caption FROM part),
+  real_ AS (SELECT *, NOT {held} AS real FROM clean),
+  merged AS (
+    SELECT grp, n, w, head, list_transform(r, lambda x: list_resize(x, w, '')) AS rows, caption AS cap FROM (SELECT *, CASE WHEN real THEN h ELSE list_transform(range(w), lambda i: concat('col', i)) END AS head FROM (SELECT *, CASE WHEN real OR len(r) = 0 THEN len(h) ELSE list_max(list_transform(r, lambda x: len(x))) END AS w FROM real_ WHERE n = 1))
+    UNION ALL
+    SELECT grp, n, w, CASE WHEN drifted THEN h ELSE head END, CASE WHEN goes_on THEN rows[1:len(rows) - 1] || [list_transform(last, lambda c, i: CASE WHEN list_position(slots, i) > 0 THEN {_strip("concat(rtrim(c), ' ', pieces[list_position(slots, i)])")} ELSE c END)] || given[2:] ELSE rows || given END,
+      CASE WHEN coalesce(note, '') = '' THEN cap WHEN coalesce(cap, '') = '' THEN note WHEN NOT regexp_matches({_strip('note')}, '(?i)^table[{W}]+[\\p{{Nd}}.]+') AND NOT contains(cap, note) THEN {_strip(f"concat(cap, ' ', {_strip('note')})")} ELSE cap END
+    FROM (SELECT *, CASE WHEN len(open_) >= len(pieces) THEN open_[len(open_) - len(pieces) + 1:] ELSE range(w - len(pieces) + 1, w + 1) END AS slots,
+        last IS NOT NULL AND len(given) BETWEEN 1 AND 2 AND len(pieces) > 0 AND len(pieces) < w AND len(open_) > 0 AS goes_on
+      FROM (SELECT *, {pieces} AS pieces, coalesce({running}, []) AS open_
+        FROM (SELECT *, CASE WHEN list_bool_or(list_transform(data, lambda x: len(x) < w)) THEN list_transform(data, lambda x: (list_transform(range(greatest(w - len(x), 0)), lambda i: '') || x)[1:w]) ELSE list_transform(data, lambda x: list_resize(x, w, '')) END AS given
+          FROM (SELECT m.grp, p.n, m.w, m.head, m.rows, m.cap, m.rows[len(m.rows)] AS last, p.h, p.caption AS note, {drift('m.head', 'p.h')} AS drifted,
+              CASE WHEN NOT p.real THEN p.r WHEN p.h = m.head THEN CASE WHEN p.r[1] = p.h THEN p.r[2:] ELSE p.r END WHEN {drift('m.head', 'p.h')} THEN p.r ELSE [p.h] || p.r END AS data
+            FROM merged m JOIN real_ p ON p.grp = m.grp AND p.n = m.n + 1))))),
+  whole AS (SELECT * FROM merged WHERE n = (SELECT max(n) FROM real_ x WHERE x.grp = merged.grp)),
+  lines AS (SELECT grp, unnest(rows) AS row_, generate_subscripts(rows, 1) AS i FROM whole),
+  own AS (SELECT grp, i, unnest(row_) AS c, generate_subscripts(row_, 1) AS j, coalesce(list_position(list_transform(row_, lambda x: {_strip('x')} <> ''), true), len(row_) + 1) AS first_ FROM lines),
+  full_ AS (SELECT grp, i, j, coalesce(last_value(CASE WHEN j >= first_ THEN c END IGNORE NULLS) OVER (PARTITION BY grp, j ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS c FROM own),
+  texts AS (SELECT grp, string_agg(coalesce(line, ''), chr(10) ORDER BY i) AS body FROM lines LEFT JOIN (SELECT grp, i, string_agg(c, '|' ORDER BY j) AS line FROM full_ GROUP BY grp, i) USING (grp, i) GROUP BY grp)"""
+
+
+def _table_text(table: str) -> list:
+    """A table's members as text: headers, rows line by line, caption."""
+    rows = F.array_join(F.transform(F.col(f"{table}.body_rows"), lambda r: F.array_join(r, "|")), "\n")
+    return [F.array_join(F.col(f"{table}.headers"), "|").alias("headers"), rows.alias("body"), F.col(f"{table}.caption").alias("caption")]
+
+
+#: Parts of tables made from order lines, with every kind of header, row and caption, in SQL that both engines read.
+PARTS = """
+lined AS (SELECT l_orderkey AS grp, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, l_partkey % 11 AS h, l_suppkey % 7 AS r, l_partkey % 5 AS c, l_suppkey % 3 AS k FROM lineitem),
+part_src AS (SELECT grp, n, h, r, c, k, CASE h WHEN 0 THEN 'A|B|C' WHEN 1 THEN 'A|B|C' WHEN 2 THEN 'a|B' WHEN 3 THEN '0|1|2' WHEN 4 THEN 'col0||x' WHEN 6 THEN 'Name long|Value|Unit' WHEN 7 THEN 'Name|Value|Unit' WHEN 8 THEN 'A|B|Cell' WHEN 9 THEN 'X|Y|Z' WHEN 10 THEN ' a | B |c' END AS heads,
+    CASE r WHEN 0 THEN '1|2|3' WHEN 1 THEN '|4|5;6|7' WHEN 2 THEN 'A|B|C;8|9|0' WHEN 3 THEN 'a cell whose text runs on over the page and|x|another cell that runs on over the page' WHEN 4 THEN '|tail' WHEN 5 THEN 'p;q|r|s|t' END AS lines,
+    CASE c WHEN 0 THEN 'Table 1 x' WHEN 1 THEN 'NOTE: y' WHEN 2 THEN ' NOTE: z ' WHEN 3 THEN '' END AS caption FROM lined)
+"""
+
+
+@query(f"""WITH RECURSIVE {PARTS}, {_merge_sql("part AS (SELECT grp, n, string_split(heads, '|') AS headers, list_transform(string_split(lines, ';'), lambda x: string_split(x, '|')) AS body_rows, caption FROM part_src)")}
+  SELECT w.grp AS order_key, array_to_string(head, '|') AS headers, coalesce(body, '') AS body, cap AS caption FROM whole w LEFT JOIN texts USING (grp)""")
+def table_parts_merged(spark, sf_dir):
+    """Tables put together from parts of every kind."""
+    from folioforge.operators.tables import merge_parts
+
+    read_table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    flat = spark.sql(f"WITH {PARTS} SELECT * FROM part_src")
+    rows = F.transform(F.split("lines", ";"), lambda x: F.split(x, "[|]"))
+    part = F.struct("n", F.struct(F.split("heads", "[|]").alias("headers"), rows.alias("body_rows"), "caption").alias("t"))
+    parts = flat.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["t"]).alias("parts"))
+    return parts.select(F.col("grp").alias("order_key"), merge_parts(F.col("parts")).alias("t")).select("order_key", *_table_text("t"))
+
+
+#: Captions of the tables after captions have been attached, and whether a block is gone by that (see table_captions_attached).
+_CAPTIONED = """, cz AS (SELECT z.*, CASE WHEN place IS NOT NULL THEN txt WHEN tkind = 3 THEN 'Table 9.1-1 Own' END AS caption FROM z LEFT JOIN (SELECT DISTINCT doc_id, place AS gone FROM z WHERE place IS NOT NULL) o ON o.doc_id = z.doc_id AND o.gone = z.ord WHERE o.gone IS NULL)"""
+
+
+@query(f"""WITH RECURSIVE {SYNTHETIC}, {_RUNS}, {_CAPTIONS}{_CAPTIONED},
+  f2 AS (SELECT doc_id, block_key, ord, tkind, x0, x1, page, caption, tb, block_type IN ('paragraph', 'heading') AND coalesce(regexp_matches(text, {_TABLE}), false) AS cp, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS pos, CASE WHEN tkind = 2 THEN 2 ELSE 3 END AS nc FROM cz),
+  p2 AS (SELECT *, last_value(CASE WHEN NOT cp THEN pos END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS po FROM f2),
+  j2 AS (SELECT a.*, o.tb AS ptb, o.tkind AS pk, o.nc AS pn, o.page AS pp, o.x0 AS px0, o.x1 AS px1, o.caption AS pc FROM p2 a LEFT JOIN p2 o ON o.doc_id = a.doc_id AND o.pos = a.po),
+  r2 AS (SELECT *, coalesce(tb AND ptb AND NOT (po < pos - 1 AND coalesce(regexp_matches(pc, {_TABLE}), false)) AND NOT coalesce(regexp_matches(caption, {_TABLE}), false) AND
+    CASE WHEN tkind <> 1 AND pk <> 1 AND nc = pn THEN page = pp + 1 OR (px0 < x1 AND x0 < px1) ELSE page = pp + 1 AND px0 < x1 AND x0 < px1 AND nc <= pn END, false) AS part FROM j2),
+  h2 AS (SELECT *, max(CASE WHEN NOT part THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) AS head FROM r2 WHERE tb),
+  g2 AS (SELECT *, min(block_key) OVER (PARTITION BY doc_id, head) AS grp, row_number() OVER (PARTITION BY doc_id, head ORDER BY pos) AS n FROM h2),
+  {_merge_sql("part AS (SELECT grp, n, CASE WHEN tkind IN (0, 3) THEN ['A', 'B', 'C'] WHEN tkind = 1 THEN ['0', '1', '2'] ELSE ['A', 'B'] END AS headers, CASE WHEN tkind = 2 THEN [['1', '2']] ELSE [['1', '2', '3']] END AS body_rows, caption FROM g2)")},
+  ends AS (SELECT grp, count(*) AS np, arg_min(page, n) AS first_, arg_max(page, n) AS last_ FROM g2 GROUP BY grp),
+  alone AS (SELECT grp, array_to_string(headers, '|') AS headers, array_to_string(list_transform(body_rows, lambda x: array_to_string(x, '|')), chr(10)) AS body, caption FROM part WHERE n = 1)
+  SELECT e.grp AS block_key, CASE WHEN np = 1 THEN a.headers ELSE array_to_string(w.head, '|') END AS headers, CASE WHEN np = 1 THEN a.body ELSE coalesce(t.body, '') END AS body, CASE WHEN np = 1 THEN a.caption ELSE w.cap END AS caption,
+    CASE WHEN np > 1 THEN CAST(np AS VARCHAR) END AS merged_parts, CASE WHEN np > 1 THEN CAST(last_ AS VARCHAR) END AS page_end, CASE WHEN np > 1 AND first_ <> last_ THEN 'true' END AS continued, CASE WHEN np > 1 THEN np ELSE 0 END AS n_spans
+  FROM ends e JOIN whole w ON w.grp = e.grp JOIN alone a ON a.grp = e.grp LEFT JOIN texts t ON t.grp = e.grp""")
 def tables_collapsed(spark, sf_dir):
     from folioforge.operators.tables import collapse_tables
 
     merged = collapse_tables(R.with_position(R.attach_table_captions(synthetic_blocks(spark, sf_dir))))
-    return merged.where("block_type = 'table'").select("block_key", F.to_json("table_data").alias("table"), F.to_json("metadata").alias("metadata"), F.size("layout_spans").alias("n_spans"))
+    said = [F.col("metadata")[k].alias(k) for k in ("merged_parts", "page_end", "continued")]
+    return merged.where("block_type = 'table'").select("block_key", *_table_text("table_data"), *said, F.size("layout_spans").cast("bigint").alias("n_spans"))
 
 
 @query(f"WITH {_BLOCKS} SELECT block_key, CAST(row_number() OVER w - 1 AS INT) AS ord, concat('block_', row_number() OVER w - 1) AS block_id FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY ord, block_id)")

@@ -114,5 +114,5 @@ def test_query_sets_in_blocks(spark, monkeypatch):
     want = {}
     for q in [i for i in held if i % 20 == 0]:
         ranked = sorted((-np.floor(float(unit(held[q]) @ unit(v)) * 1e6 + 0.5) / 1e6, i) for i, v in held.items())[:10]
-        want |= {(q, n + 1): (i, round(-s, 5)) for n, (s, i) in enumerate(ranked)}
-    assert {(r.query_id, r["rank"]): (r.id, round(r.score, 5)) for r in S.dense_top_of_set(df, vectors, 10, 8, "doc_id", "v").collect()} == want
+        want |= {(q, n + 1): (i, round(float(-s), 6)) for n, (s, i) in enumerate(ranked)}
+    assert {(r.query_id, r["rank"]): (r.id, round(r.score, 6)) for r in S.dense_top_of_set(df, vectors, 10, 8, "doc_id", "v").collect()} == want
