@@ -7,11 +7,12 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.functions import blocks as B
 from folioforge.functions import text as T
+from folioforge.runtime import stage_table
 
 _PARTS = ("block_type", "text", "heading_level", "table_data", "image", "metadata")
 ATOMIC = ("table", "code", "formula", "image", "heading")
@@ -70,54 +71,97 @@ def hashing_encoder(texts: list[str], dim: int = 256) -> np.ndarray:
     return out / np.where(norm == 0, 1, norm)
 
 
-def group_units(texts: list[str], encoder: Encoder, threshold: float = 0.7, least: int = 64, most: int = 128) -> list[int]:
-    """Group number of each unit. A unit joins the group before it while the joined text has fewer than ``least`` tokens, or at
-    most ``most`` and the group's text is similar to it; else it opens a group. A unit above ``most`` stays whole."""
-    numbers, group, length = [], [], 0
-    for t in texts:
-        n = len(t.split())
+def opening_units(texts: list[str], encoder: Encoder, threshold: float = 0.7, least: int = 64, most: int = 128, agreed: list[bool] | None = None) -> list[bool]:
+    """Which units open a group. A unit joins the group before it while the joined text has fewer than ``least`` tokens, or at most
+    ``most`` and the group's text is similar to it; else it opens a group. A unit above ``most`` stays whole.
+
+    The units are encoded in one call; only group texts are encoded one after another, as each depends on the cuts before. With
+    ``agreed``, flags known from elsewhere, grouping ends at the first unit that opens a group there and here, since from there on
+    both are the same.
+    """
+    lengths, vectors = [len(t.split()) for t in texts], None
+    flags: list[bool] = []
+    group, length = [], 0
+    for i, t in enumerate(texts):
         if group:
-            joined_length = length + n
+            joined_length = length + lengths[i]
             if joined_length > most:
                 group = []
             elif joined_length >= least:
-                a, b = encoder([" ".join(group), t])
+                if vectors is None:
+                    vectors = np.asarray(encoder(texts))
+                a, b = np.asarray(encoder([" ".join(group)]))[0], vectors[i]
                 norm = float(np.linalg.norm(a) * np.linalg.norm(b))
                 if (float(np.dot(a, b)) / norm if norm else 0.0) < threshold:
                     group = []
         opened = not group
-        numbers.append(numbers[-1] + opened if numbers else 0)
-        group, length = ([t], n) if opened else ([*group, t], length + n)
-    return numbers
+        flags.append(opened)
+        if agreed is not None and opened and agreed[i]:
+            return flags + agreed[i + 1 :]
+        group, length = ([t], lengths[i]) if opened else ([*group, t], length + lengths[i])
+    return flags
+
+
+def _cut_units(cut: DataFrame, encoder: Encoder, threshold: float, least: int, most: int) -> DataFrame:
+    """The units (doc_id, stretch, seq, unit, block_id, page) with ``opens``, as if each document were grouped in one go.
+
+    Every stretch is grouped on its own first. Then the last group of each stretch is carried on into the next one, until a unit opens a
+    group either way; that is repeated until nothing changes, so in the end every stretch follows from the one before.
+    """
+    fields = "doc_id string, stretch bigint, seq int, unit string, block_id string, page int, opens boolean"
+
+    def alone(key: tuple, table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("ord", "ascending"), ("block_id", "ascending"), ("nth", "ascending")])
+        opens = opening_units(rows.column("unit").to_pylist(), encoder, threshold, least, most)
+        return pa.table({"doc_id": rows.column("doc_id"), "stretch": rows.column("stretch"), "seq": pa.array(range(len(opens)), pa.int32()), "unit": rows.column("unit"), "block_id": rows.column("block_id"), "page": rows.column("page"), "opens": pa.array(opens)})
+
+    def carry(key: tuple, table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("stretch", "ascending"), ("seq", "ascending")])
+        stretch, old = rows.column("stretch").to_pylist(), rows.column("opens").to_pylist()
+        first = next((i for i, s in enumerate(stretch) if s == key[1].as_py()), len(stretch))
+        new = opening_units(rows.column("unit").to_pylist(), encoder, threshold, least, most, [False] * first + old[first:])
+        other = [i for i in range(first, len(old)) if new[i] != old[i]]
+        seq = rows.column("seq").to_pylist()
+        return pa.table({"doc_id": pa.array([key[0].as_py()] * len(other), pa.string()), "stretch": pa.array([key[1].as_py()] * len(other), pa.int64()), "seq": pa.array([seq[i] for i in other], pa.int32()), "now": pa.array([new[i] for i in other], pa.bool_())})
+
+    flags = stage_table(cut.groupBy("doc_id", "stretch").applyInArrow(alone, fields), "units")
+    while True:
+        # the last unit before a stretch that opens a group; as groups have few units, it lies in the stretch before or soon before that
+        ends = flags.groupBy("doc_id", "stretch").agg(F.max(F.when(F.col("opens"), F.col("seq"))).alias("tail"))
+        earlier = Window.partitionBy("doc_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+        start = F.last(F.when(F.col("tail").isNotNull(), F.struct("stretch", "tail")), ignorenulls=True).over(earlier)
+        borders = stage_table(ends.select("doc_id", F.col("stretch").alias("border"), start.alias("start")).where("start is not null"), "borders")
+        if borders.isEmpty():
+            return flags
+        asked = borders.select("doc_id", "border", "start", F.explode(F.sequence("start.stretch", F.col("border") - 1)).alias("stretch"))
+        columns = ["doc_id", "border", "stretch", "seq", "unit", "opens"]
+        tails = flags.join(asked, ["doc_id", "stretch"]).where("stretch > start.stretch or seq >= start.tail").select(*columns)
+        heads = flags.join(borders.select("doc_id", F.col("border").alias("stretch")), ["doc_id", "stretch"], "left_semi").withColumn("border", F.col("stretch")).select(*columns)
+        changed = stage_table(tails.unionByName(heads).groupBy("doc_id", "border").applyInArrow(carry, "doc_id string, stretch bigint, seq int, now boolean"), "changed")
+        if changed.isEmpty():
+            return flags
+        flags = stage_table(flags.join(changed, ["doc_id", "stretch", "seq"], "left").withColumn("opens", F.coalesce("now", "opens")).drop("now"), "units")
 
 
 def semantic_chunks(blocks: DataFrame, encoder: Encoder = hashing_encoder, threshold: float = 0.7, least: int = 64, most: int = 128, stretch: int = 4096) -> DataFrame:
     """(chunk_id, doc_id, chunk_index, text, block_ids, page_start, page_end, n_units): units grouped by similarity.
 
-    The grouping is sequential, so a document is cut into stretches of that many blocks of the reading order, and each is
-    grouped on its own: no task holds a whole document of unbounded size. Documents up to that size are grouped as a whole.
+    The result is that of grouping each document in one go, though no task holds more than two stretches of ``stretch`` blocks.
+    Blank units make no chunk of their own.
     """
     if not 1 <= least <= most:
         raise ValueError("1 <= least <= most is required")
     from folioforge.operators.ordered import dense
 
-    cut = units(blocks).withColumn("stretch", F.expr(f"ord div {stretch}"))
-
-    def fold(key: tuple, table: pa.Table) -> pa.Table:
-        rows = table.sort_by([("ord", "ascending"), ("block_id", "ascending"), ("nth", "ascending")])
-        numbers = group_units(rows.column("unit").to_pylist(), encoder, threshold, least, most)
-        made: dict[int, list] = {}
-        for n, unit, block, page in zip(numbers, *(rows.column(c).to_pylist() for c in ("unit", "block_id", "page"))):
-            made.setdefault(n, []).append((unit, block, page))
-        pages = [[p for _, _, p in g if p is not None] for g in made.values()]
-        return pa.table({
-            "doc_id": pa.array([key[0].as_py()] * len(made), pa.string()), "stretch": pa.array([key[1].as_py()] * len(made), pa.int64()), "n": pa.array(list(made), pa.int32()),
-            "text": pa.array([" ".join(u for u, _, _ in g).strip() for g in made.values()], pa.string()), "block_ids": pa.array([list(dict.fromkeys(b for _, b, _ in g)) for g in made.values()], pa.list_(pa.string())),
-            "page_start": pa.array([min(p) if p else None for p in pages], pa.int32()), "page_end": pa.array([max(p) if p else None for p in pages], pa.int32()), "n_units": pa.array([len(g) for g in made.values()], pa.int32()),
-        })
-
-    made = cut.groupBy("doc_id", "stretch").applyInArrow(fold, "doc_id string, stretch bigint, n int, text string, block_ids array<string>, page_start int, page_end int, n_units int")
-    placed = dense(made.where("text <> ''").withColumn("at", F.col("stretch") * 1_000_000 + F.col("n")), ["doc_id"], ["at"], "chunk_index")
+    flags = _cut_units(units(blocks).withColumn("stretch", F.expr(f"coalesce(ord, -1) div {stretch}").cast("bigint")), encoder, threshold, least, most)
+    own = Window.partitionBy("doc_id", "stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    counts = flags.groupBy("doc_id", "stretch").agg(F.sum(F.col("opens").cast("bigint")).alias("c"))
+    base = counts.select("doc_id", "stretch", F.coalesce(F.sum("c").over(Window.partitionBy("doc_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    numbered = flags.withColumn("n", F.sum(F.col("opens").cast("bigint")).over(own)).join(base, ["doc_id", "stretch"]).withColumn("group", F.col("n") + F.col("base"))
+    parts = F.array_sort(F.collect_list(F.struct("stretch", "seq", "unit", "block_id")))
+    made = numbered.groupBy("doc_id", "group").agg(parts.alias("parts"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.count("*").cast("int").alias("n_units"))
+    made = made.withColumn("text", T.strip(F.array_join(F.transform("parts", lambda p: p["unit"]), " "))).where("text <> ''").withColumn("block_ids", F.array_distinct(F.transform("parts", lambda p: p["block_id"])))
+    placed = dense(made.drop("parts"), ["doc_id"], ["group"], "chunk_index")
     return placed.select(F.concat("doc_id", F.lit(":sem_"), F.lpad(F.col("chunk_index").cast("string"), 4, "0")).alias("chunk_id"), "doc_id", "chunk_index", "text", "block_ids", "page_start", "page_end", "n_units")
 
 

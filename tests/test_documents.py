@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,7 +79,7 @@ def test_semantic_chunks(spark):
     assert len(got) >= 2 and all(len(r.text.split()) <= 60 for r in got)
     assert not any("Alpha" in r.text and "Beta" in r.text and len(r.text.split()) > 30 for r in got)
     assert got[0].chunk_id == "d:sem_0000" and got[0].page_start == 4 and got[0].block_ids == ["b0"]
-    assert C.group_units(["a " * 200, "b"], topics) == [0, 1] and C.group_units([], topics) == []
+    assert C.opening_units(["a " * 200, "b"], topics) == [True, True] and C.opening_units([], topics) == []
     with pytest.raises(ValueError):
         C.semantic_chunks(frame(spark, []), least=5, most=2)
     with pytest.raises(ValueError):
@@ -144,3 +145,20 @@ def test_navigation_and_settings(spark):
     assert load_settings(spark).top_n == 7 and load_settings().top_n == 10
     with pytest.raises(ValueError):
         Settings(prefetch=0)
+
+
+def test_semantic_chunks_do_not_depend_on_stretches(spark):
+    """The same chunks as by one pass over the whole document, wherever it is cut."""
+    rng = random.Random(6)
+    words = ["radio", "cell", "beam", "slot", "tax", "law", "court", "rule"]
+    rows = [block(i, "paragraph", " ".join(rng.choice(words[:4] if rng.random() < 0.5 else words[4:]) for _ in range(rng.choice([1, 1, 2, 9, 30])))) for i in range(60)]
+    df = frame(spark, rows)
+    units = [r.unit for r in C.units(df).orderBy("ord", "nth").collect()]
+    for least, most in ((5, 40), (20, 25)):
+        want, flags = [], C.opening_units(units, C.hashing_encoder, 0.6, least, most)
+        for unit, opens in zip(units, flags):
+            want = [*want, unit] if opens else [*want[:-1], f"{want[-1]} {unit}"]
+        for stretch in (1, 4, 4096):
+            got = C.semantic_chunks(df, threshold=0.6, least=least, most=most, stretch=stretch).orderBy("chunk_index").collect()
+            assert [r.text for r in got] == want and [r.chunk_index for r in got] == list(range(len(want)))
+            assert sum(r.n_units for r in got) == len(units)
