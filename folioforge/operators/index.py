@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -72,15 +74,85 @@ def hybrid(dense: DataFrame, sparse: DataFrame, id_col: str = "id") -> DataFrame
     return dense.join(sparse, id_col, "left")
 
 
-def doc_bucket(c: Column, buckets: int) -> Column:
-    """The directory of the index that holds a document; many documents share one, so there is no directory per document."""
-    return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+#: Generations after which a write first puts the live points together anew.
+COMPACT_AFTER = 16
 
 
-def create_index(spark: SparkSession, path: str, points: DataFrame, buckets: int = 64) -> None:
-    """Write a new index table, partitioned by document bucket. Points need doc_id, point_id and a uniform vector length."""
+class _Log:
+    """The generations of an index folder.
+
+    Points of a generation lie in ``points/<id>``, the documents that it replaces or deletes in ``gone/<id>``. It counts once its
+    marker ``log/<number>`` exists, which is created by one exclusive call when both are complete. So a write that fails leaves
+    the index as it was, and of two writers with the same number one has to begin anew.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        p = self._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self._conf), p
+
+    def exists(self) -> bool:
+        fs, p = self._at(f"{self.path}/log")
+        return fs.exists(p)
+
+    def generations(self) -> list[tuple[int, str]]:
+        """(number, id) of the generations that count, those before the last compaction left out."""
+        fs, p = self._at(f"{self.path}/log")
+        names = sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+        known = [(int(n.split(".")[0]), n) for n in names if n[:1].isdigit()]
+        marks = [(n, self._read(f"{self.path}/log/{name}")) for n, name in known]
+        base = max((n for n, text in marks if text.startswith("whole ")), default=0)
+        return [(n, text.split(" ")[1]) for n, text in marks if n >= base]
+
+    def _read(self, path: str) -> str:
+        fs, p = self._at(path)
+        stream = fs.open(p)
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def commit(self, number: int, name: str, whole: bool) -> None:
+        fs, p = self._at(f"{self.path}/log/{number:012d}")
+        stream = fs.create(p, False)  # fails if another writer was first
+        try:
+            stream.write(bytearray(f"{'whole' if whole else 'part'} {name}".encode()))
+        finally:
+            stream.close()
+
+    def write(self, points: DataFrame, gone: DataFrame, whole: bool = False) -> None:
+        number, name = max((n for n, _ in self.generations()), default=0) + 1, uuid.uuid4().hex
+        points.write.parquet(f"{self.path}/points/{name}")
+        gone.select("doc_id").write.parquet(f"{self.path}/gone/{name}")
+        self.commit(number, name, whole)
+
+    def table(self, kind: str) -> DataFrame:
+        parts = [self.spark.read.parquet(f"{self.path}/{kind}/{name}").withColumn("_generation", F.lit(n)) for n, name in self.generations()]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    def remove(self) -> None:
+        fs, p = self._at(self.path)
+        fs.delete(p, True)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The live points: those whose document no later generation replaces or deletes."""
+    log = _Log(spark, path)
+    gone = log.table("gone").groupBy("doc_id").agg(F.max("_generation").alias("_last"))
+    joined = log.table("points").join(gone, "doc_id", "left")
+    points = log.table("points").columns
+    return joined.where("_last is null or _generation >= _last").select(*[c for c in points if c != "_generation"])
+
+
+def create_index(spark: SparkSession, path: str, points: DataFrame) -> None:
+    """Write a new index. Points need doc_id, point_id and a uniform vector length. Files follow the frame's partitions."""
     _check_dimension(points)
-    points.withColumn("bucket", doc_bucket(F.col("doc_id"), buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    log = _Log(spark, path)
+    log.remove()
+    log.write(points.where("doc_id is not null"), points.select("doc_id").limit(0), whole=True)
 
 
 def _check_dimension(points: DataFrame) -> None:
@@ -90,46 +162,39 @@ def _check_dimension(points: DataFrame) -> None:
             raise ValueError(f"vectors must have one length; found {sizes['lo']} to {sizes['hi']}")
 
 
-def upsert(spark: SparkSession, path: str, points: DataFrame, documents: DataFrame, order: list[str], buckets: int = 64) -> None:
+def upsert(spark: SparkSession, path: str, points: DataFrame, documents: DataFrame, order: list[str]) -> None:
     """Replace the points of the given documents (doc_id) by ``points``, the last of each point_id by ``order``.
 
-    Documents without new points lose their old ones. The touched buckets are rewritten beside the table, then exchanged, so
-    nothing is deleted before its replacement is complete; a repeated delivery gives the same table.
+    Documents without new points lose their old ones; points of other documents are left out. Only what is new is written, beside what
+    is there, and it counts from one moment on; a repeated delivery gives the same index.
     """
-    from folioforge.runtime import stage_table
+    from folioforge.runtime import bounded_broadcast, stage_table
 
     _check_dimension(points)
-    old = spark.read.parquet(path)
-    docs = stage_table(documents.select("doc_id").where("doc_id is not null").distinct().withColumn("bucket", doc_bucket(F.col("doc_id"), buckets)), "docs")
-    touched = docs.select("bucket").distinct()  # at most ``buckets`` rows
-    fresh = latest_points(points.join(docs.select("doc_id"), "doc_id", "left_semi"), ["point_id"], order).withColumn("bucket", doc_bucket(F.col("doc_id"), buckets))
-    kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(docs.select("doc_id"), "doc_id", "left_anti")
-    after = stage_table(kept.select(*old.columns).unionByName(fresh.select(*old.columns)), "upsert")
-    _exchange(spark, path, after, [r["bucket"] for r in touched.collect()])
-
-
-def _exchange(spark: SparkSession, path: str, after: DataFrame, touched: list[int]) -> None:
-    """Overwrite the buckets that ``after`` has rows of, and drop the touched ones that are empty now."""
-    after.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    filled = {r["bucket"] for r in after.select("bucket").distinct().collect()}  # bounded by the number of buckets
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    for bucket in set(touched) - filled:
-        gone = fs_path(f"{path}/bucket={bucket}")
-        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
-
-
-def delete_documents(spark: SparkSession, path: str, doc_ids: list[str], buckets: int = 64) -> int:
+    log = _Log(spark, path)
+    if len(log.generations()) >= COMPACT_AFTER:
+        compact(spark, path)
+    docs = stage_table(documents.select("doc_id").where("doc_id is not null").distinct(), "docs")
+    log.write(latest_points(points.join(bounded_broadcast(docs), "doc_id", "left_semi"), ["point_id"], order), docs)
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Write the live points as one generation; earlier ones no longer count. Their files stay for readers that have begun."""
+    live = read_index(spark, path)
+    _Log(spark, path).write(live, live.select("doc_id").limit(0), whole=True)
+
+
+def delete_documents(spark: SparkSession, path: str, doc_ids: list[str]) -> int:
     """Delete all points of the documents and return how many there were; 0 if the index doesn't exist."""
     if not doc_ids or any(not d for d in doc_ids):
         raise ValueError("document ids must not be empty")
-    here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(here):
+    log = _Log(spark, path)
+    if not log.exists():
         return 0
-    old = spark.read.parquet(path)
     docs = spark.createDataFrame([(d,) for d in set(doc_ids)], "doc_id string")
-    count = old.join(F.broadcast(docs), "doc_id", "left_semi").count()
+    count = read_index(spark, path).join(docs, "doc_id", "left_semi").count()
     if count:
-        upsert(spark, path, old.drop("bucket").limit(0), docs, ["point_id"], buckets)
+        log.write(read_index(spark, path).limit(0), docs)
     return count
 
 

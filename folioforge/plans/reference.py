@@ -585,11 +585,24 @@ def index_after_delete(spark, sf_dir):
 
     points = I.with_point_ids(_chunks(spark, sf_dir)).select("point_id", "doc_id", "chunk_id", "text", "indexed_at")
     path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    I.create_index(spark, path, I.latest_points(points, ["point_id"], ["indexed_at"]), buckets=16)
-    I.upsert(spark, path, points, points.select("doc_id").distinct(), ["indexed_at"], buckets=16)
+    I.create_index(spark, path, I.latest_points(points, ["point_id"], ["indexed_at"]))
+    I.upsert(spark, path, points, points.select("doc_id").distinct(), ["indexed_at"])
     gone = _chunks(spark, sf_dir).where("doc_version >= '05.00'").select("doc_id").distinct()
-    I.upsert(spark, path, points.limit(0), gone, ["indexed_at"], buckets=16)
-    return spark.read.parquet(path).groupBy("doc_id").agg(F.count("*").alias("n_points"))
+    I.upsert(spark, path, points.limit(0), gone, ["indexed_at"])
+    return I.read_index(spark, path).groupBy("doc_id").agg(F.count("*").alias("n_points"))
+
+
+@query(f"WITH {_CHUNKS}, p AS (SELECT doc_id, count(DISTINCT chunk_id) AS n FROM c WHERE doc_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY doc_id), d AS (SELECT doc_id FROM p ORDER BY doc_id LIMIT 3) SELECT doc_id, n AS n_points, CAST(0 AS BIGINT) AS n_deleted FROM p WHERE doc_id NOT IN (SELECT doc_id FROM d) UNION ALL SELECT doc_id, 0, n FROM p JOIN d USING (doc_id) UNION ALL SELECT 'no such document', 0, 0")
+def documents_deleted(spark, sf_dir):
+    """The three least documents deleted from an index one by one, with the number of points that each deletion reports."""
+    import uuid
+
+    points = I.latest_points(I.with_point_ids(_chunks(spark, sf_dir)).select("point_id", "doc_id", "chunk_id", "text", "indexed_at").where("doc_id is not null"), ["point_id"], ["indexed_at"])
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    I.create_index(spark, path, points)
+    gone = [r.doc_id for r in points.select("doc_id").distinct().orderBy("doc_id").limit(3).collect()]
+    told = spark.createDataFrame([(d, 0, I.delete_documents(spark, path, [d])) for d in [*gone, "no such document"]], "doc_id string, n_points bigint, n_deleted bigint")
+    return I.read_index(spark, path).groupBy("doc_id").agg(F.count("*").alias("n_points")).withColumn("n_deleted", F.lit(0).cast("bigint")).unionByName(told)
 
 
 # --- retrieval --------------------------------------------------------------------------------------------------------
@@ -669,6 +682,19 @@ def search_reranked(spark, sf_dir):
     return S.rerank(_hybrid(spark, sf_dir, 30), texts, _question(spark), 10).select(F.col("id").alias("chunk_key"), "relevance", "rank")
 
 
+@query(f"""WITH {_LEGS}, {_SECTIONS}, fu AS (SELECT id, round(sum(1.0 / (60 + r)), 6) AS score, row_number() OVER (ORDER BY sum(1.0 / (60 + r)) DESC, id) AS rank FROM legs GROUP BY id QUALIFY rank <= 10),
+  sect AS (SELECT doc_id, section_id, min(title) AS title FROM s GROUP BY doc_id, section_id)
+  SELECT CAST(rank AS INT) AS rank, c.chunk_id, coalesce(c.text, '') AS text, score, coalesce(c.doc_id, '') AS doc_id, coalesce(sect.title, '') AS section_path FROM fu JOIN c ON c.chunk_key = fu.id LEFT JOIN sect ON sect.doc_id = c.doc_id AND sect.section_id = c.section_id""")
+def search_hits(spark, sf_dir):
+    """The hits of the hybrid search as JSON with texts and sections, read back."""
+    titles = _sections(spark, sf_dir).groupBy("doc_id", "section_id").agg(F.min("title").alias("section_path"))
+    c = _chunks(spark, sf_dir).select(F.col("chunk_key").alias("id"), "chunk_id", "doc_id", "section_id", "text").join(titles, ["doc_id", "section_id"], "left")
+    hits = _hybrid(spark, sf_dir, 10).withColumn("score", F.round("score", 6)).join(c, "id")
+    shown = F.from_json("hits", "results array<struct<text:string,score:double,doc_id:string,section_path:string>>")["results"]
+    read = S.hits_json(hits).select("query_id", F.posexplode(shown).alias("at", "h")).withColumn("rank", F.col("at") + 1)
+    return read.join(hits.select("query_id", "rank", "chunk_id"), ["query_id", "rank"]).select("rank", "chunk_id", "h.text", "h.score", "h.doc_id", "h.section_path")
+
+
 @query("""WITH e AS (SELECT DISTINCT vec_id, embedding FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM e a, e b WHERE a.vec_id % 20 = 0)
   SELECT query_id, vec_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM p) WHERE rank <= 10""")
 def dense_batch_top10(spark, sf_dir):
@@ -739,6 +765,61 @@ def canonical_round_trip(spark, sf_dir):
     return doc.select("doc_id", F.col("doc.metadata.source_path").alias("source_path"), F.size("doc.blocks").cast("bigint").alias("n_blocks"), F.size("doc.sections").cast("bigint").alias("n_sections"))
 
 
+def _read_back(spark, sf_dir) -> DataFrame:
+    """Documents written as JSON and read again, without those refused."""
+    return J.from_json(_codec(spark, sf_dir)).where("problem is null")
+
+
+_MAP = lambda m: f"nullif(array_to_string(list_sort(list_transform(map_entries({m}), lambda e: concat(e.key, '=', e.value))), ';'), '')"
+
+
+def _map_text(c):
+    """A map as sorted text, null if it is empty."""
+    lines = F.array_join(F.sort_array(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"].cast("string"), F.lit(""))))), ";")
+    return F.when(lines != "", lines)
+
+
+@query(f"""WITH {_BLOCKS} SELECT block_key, doc_id, block_id, block_type, ord, page, text, heading_level, array_to_string(table_data.headers, '|') AS headers, array_to_string(list_transform(table_data.body_rows, lambda r: array_to_string(r, '|')), chr(10)) AS body, table_data.caption AS caption,
+  image.uri AS uri, image.alt AS alt, image.caption AS image_caption, bbox.x0 AS x0, bbox.y0 AS y0, bbox.x1 AS x1, bbox.y1 AS y1, bbox.coord_origin AS coord_origin, source_ref, {_MAP('metadata')} AS metadata FROM b WHERE doc_id IN (SELECT doc_id FROM doc_registry WHERE source_path <> '')""")
+def canonical_blocks_read(spark, sf_dir):
+    """Every field of every block after a round trip through JSON."""
+    x = _read_back(spark, sf_dir).select("doc_id", F.explode("doc.blocks").alias("x"))
+    keys = _blocks(spark, sf_dir).select("block_key", "doc_id", "block_id")
+    read = x.select(
+        "doc_id", F.col("x.id").alias("block_id"), F.col("x.type").alias("block_type"), F.col("x.order").alias("ord"), "x.page", "x.text", F.col("x.level").alias("heading_level"), F.array_join("x.table.headers", "|").alias("headers"),
+        F.array_join(F.transform("x.table.rows", lambda r: F.array_join(r, "|")), "\n").alias("body"), F.col("x.table.caption").alias("caption"), "x.image.uri", "x.image.alt", F.col("x.image.caption").alias("image_caption"), "x.bbox.x0", "x.bbox.y0", "x.bbox.x1", "x.bbox.y1", "x.bbox.coord_origin", "x.source_ref", _map_text(F.col("x.metadata")).alias("metadata"),
+    )
+    return read.join(keys, ["doc_id", "block_id"])
+
+
+@query(f"""WITH {_BLOCKS}, u AS (SELECT doc_id, block_id, page AS bp, bbox AS bb, source_ref AS br, len(layout_spans) AS n, unnest(layout_spans) AS x, generate_subscripts(layout_spans, 1) - 1 AS span_no FROM b)
+  SELECT doc_id, block_id, CAST(span_no AS INT) AS span_no, x.page AS page, x.bbox.x0 AS x0, x.bbox.y0 AS y0, x.bbox.x1 AS x1, x.bbox.y1 AS y1, x.bbox.coord_origin AS coord_origin, x.source_ref AS source_ref FROM u
+  WHERE doc_id IN (SELECT doc_id FROM doc_registry WHERE source_path <> '') AND NOT (n = 1 AND x.page IS NOT DISTINCT FROM bp AND x.bbox IS NOT DISTINCT FROM bb AND x.source_ref IS NOT DISTINCT FROM br)""")
+def canonical_spans_read(spark, sf_dir):
+    """Every layout span after a round trip through JSON; a single one that says no more than its block is not written."""
+    x = _read_back(spark, sf_dir).select("doc_id", F.explode("doc.blocks").alias("b")).select("doc_id", F.col("b.id").alias("block_id"), F.posexplode("b.layout_spans").alias("span_no", "x"))
+    return x.select("doc_id", "block_id", "span_no", "x.page", "x.bbox.x0", "x.bbox.y0", "x.bbox.x1", "x.bbox.y1", "x.bbox.coord_origin", "x.source_ref")
+
+
+@query(f"""WITH {_SECTIONS} SELECT doc_id, section_id, coalesce(title, '') AS title, section_level AS level, ord, parent_id, nullif(array_to_string(block_ids, ','), '') AS block_ids, page_start, page_end, {_MAP('metadata')} AS metadata FROM s WHERE doc_id IN (SELECT doc_id FROM doc_registry WHERE source_path <> '')""")
+def canonical_sections_read(spark, sf_dir):
+    """Every field of every section after a round trip through JSON."""
+    x = _read_back(spark, sf_dir).select("doc_id", F.explode("doc.sections").alias("x"))
+    ids = F.array_join("x.block_ids", ",")
+    return x.select("doc_id", F.col("x.id").alias("section_id"), "x.title", "x.level", F.col("x.order").alias("ord"), "x.parent_id", F.when(ids != "", ids).alias("block_ids"), "x.page_start", "x.page_end", _map_text(F.col("x.metadata")).alias("metadata"))
+
+
+_PICK = lambda names, inside: f"map_from_entries(list_filter(map_entries(extra), lambda e: {'' if inside else 'NOT '}list_contains([{', '.join(repr(n) for n in names)}], e.key) AND coalesce(e.value, '') <> ''))"
+
+
+@query(f"""SELECT doc_id, source_path, nullif(title, '') AS title, parser, profile_id, extra['docling_version'] AS docling_version, extra['family'] AS family, {_MAP(_PICK(J.IDENTITY, True))} AS identity,
+  {_MAP(_PICK(J.STATS, True))} AS stats, {_MAP(_PICK(J.INGEST, True))} AS ingest, {_MAP(_PICK(('family', 'docling_version', *J.STATS, *J.IDENTITY, *J.INGEST), False))} AS extra FROM doc_registry WHERE source_path <> ''""")
+def canonical_metadata_read(spark, sf_dir):
+    """The metadata of every document after a round trip through JSON."""
+    m = _read_back(spark, sf_dir).select("doc_id", "doc.metadata.*")
+    return m.select("doc_id", "source_path", "title", "parser", "profile_id", "docling_version", "family", *[_map_text(F.col(c)).alias(c) for c in ("identity", "stats", "ingest", "extra")])
+
+
 @query()
 def canonical_json(spark, sf_dir):
     return _codec(spark, sf_dir)

@@ -13,7 +13,7 @@ def point(i, doc, text, seq=0, dense=(1.0, 0.0, 0.0)):
 
 
 def rows(spark, path):
-    return sorted((r.point_id, r.doc_id, r.text) for r in spark.read.parquet(path).collect())
+    return sorted((r.point_id, r.doc_id, r.text) for r in I.read_index(spark, path).collect())
 
 
 def docs(spark, *ids):
@@ -23,18 +23,43 @@ def docs(spark, *ids):
 def test_upsert_delete_and_redelivery(spark, tmp_path):
     path = str(tmp_path / "index")
     first = spark.createDataFrame([point(1, "a", "x"), point(2, "a", "y"), point(3, "b", "z")], POINT)
-    I.create_index(spark, path, first, 4)
+    I.create_index(spark, path, first)
     new = spark.createDataFrame([point(1, "a", "old", 1), point(1, "a", "new", 2), point(9, "c", "other doc")], POINT)
     for _ in range(2):
-        I.upsert(spark, path, new, docs(spark, "a"), ["seq"], 4)
+        I.upsert(spark, path, new, docs(spark, "a"), ["seq"])
         assert rows(spark, path) == [("p1", "a", "new"), ("p3", "b", "z")]
-    I.upsert(spark, path, new.limit(0), docs(spark, "a"), ["seq"], 4)
+    I.upsert(spark, path, new.limit(0), docs(spark, "a"), ["seq"])
     assert rows(spark, path) == [("p3", "b", "z")]
-    assert I.delete_documents(spark, path, ["b", "nope"], 4) == 1 and I.delete_documents(spark, str(tmp_path / "none"), ["b"]) == 0
+    assert I.delete_documents(spark, path, ["b", "nope"]) == 1 and I.delete_documents(spark, str(tmp_path / "none"), ["b"]) == 0
     with pytest.raises(ValueError):
         I.delete_documents(spark, path, [""])
     with pytest.raises(ValueError):
-        I.upsert(spark, path, spark.createDataFrame([point(1, "a", "x"), point(2, "a", "x", 0, (1.0, 2.0))], POINT), docs(spark, "a"), ["seq"], 4)
+        I.upsert(spark, path, spark.createDataFrame([point(1, "a", "x"), point(2, "a", "x", 0, (1.0, 2.0))], POINT), docs(spark, "a"), ["seq"])
+
+
+def test_a_write_that_fails_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    I.create_index(spark, path, spark.createDataFrame([point(1, "a", "x"), point(2, "b", "y")], POINT))
+    before = rows(spark, path)
+    with monkeypatch.context() as m:
+        m.setattr(I._Log, "commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            I.upsert(spark, path, spark.createDataFrame([point(1, "a", "new")], POINT), docs(spark, "a"), ["seq"])
+    assert rows(spark, path) == before
+    log = I._Log(spark, path)
+    with pytest.raises(Exception):
+        log.commit(1, "other", False)  # the number is taken
+
+
+def test_compaction_keeps_the_live_points(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "COMPACT_AFTER", 3)
+    path = str(tmp_path / "index")
+    I.create_index(spark, path, spark.createDataFrame([point(k, "abc"[k % 3], "old") for k in range(9)], POINT))
+    for n in range(5):
+        I.upsert(spark, path, spark.createDataFrame([point(0, "a", f"v{n}"), point(50, "zz", "of no document given")], POINT), docs(spark, "a"), ["seq"])
+        assert [r for r in rows(spark, path) if r[1] == "a"] == [("p0", "a", f"v{n}")] and len(rows(spark, path)) == 7
+    assert len(I._Log(spark, path).generations()) <= 3
+    assert I.delete_documents(spark, path, ["b"]) == 3 and len(rows(spark, path)) == 4
 
 
 def test_embedding_batches_and_retry(spark, tmp_path):
