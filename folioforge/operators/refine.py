@@ -218,11 +218,10 @@ def refine_sequence(blocks: DataFrame, names: tuple[str, ...] = T.REMOVABLE_SECT
     return renumber(collapse_tables(with_position(attach_table_captions(attach_figure_captions(out)))).select(*blocks.columns))
 
 
-def merge_shards(blocks: DataFrame, names: tuple[str, ...] = T.REMOVABLE_SECTIONS) -> DataFrame:
-    """Blocks of page-range shards (columns shard, page_offset) as one refined sequence per document.
+def join_shards(blocks: DataFrame) -> DataFrame:
+    """Blocks of page-range shards (columns shard, page_offset) as one sequence per document, not yet refined.
 
-    Pages, page_end and span pages are shifted by the offset; shards follow one another. The raw shards are joined first and
-    refined once, so front matter that runs on into the next shard is still removed.
+    Pages, page_end and span pages are shifted by the offset; shards follow one another, each in its own order.
     """
     shift = F.coalesce("page_offset", F.lit(0))
     span = F.transform("layout_spans", lambda s: F.struct((s["page"] + shift).alias("page"), s["bbox"].alias("bbox"), s["source_ref"].alias("source_ref")))
@@ -230,5 +229,9 @@ def merge_shards(blocks: DataFrame, names: tuple[str, ...] = T.REMOVABLE_SECTION
     meta = F.when(end.isNotNull(), F.map_concat(F.map_filter("metadata", lambda k, _: k != "page_end"), F.create_map(F.lit("page_end"), (end + shift).cast("string")))).otherwise(F.col("metadata"))
     shifted = blocks.withColumns({"page": F.col("page") + shift, "layout_spans": span, "metadata": meta})
     placed = O.dense(shifted, KEYS, ["shard", "ord", "block_id"])
-    joined = placed.withColumn("ord", F.col("pos").cast("int")).drop("pos", "shard", "page_offset")
-    return refine_sequence(joined, names)
+    return placed.withColumn("ord", F.col("pos").cast("int")).drop("pos", "shard", "page_offset")
+
+
+def merge_shards(blocks: DataFrame, names: tuple[str, ...] = T.REMOVABLE_SECTIONS) -> DataFrame:
+    """The joined shards, refined once, so front matter that runs on into the next shard is still removed."""
+    return refine_sequence(join_shards(blocks), names)

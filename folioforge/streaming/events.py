@@ -71,3 +71,17 @@ def final_responses(turns: DataFrame) -> DataFrame:
     """(session_id, response): the text of each session's last final turn (session_id, turn, is_final, parts), parts line by line."""
     text = F.array_join(F.filter("parts", lambda p: F.coalesce(p, F.lit("")) != ""), "\n")
     return turns.where("is_final").withColumn("text", text).where("text <> ''").groupBy("session_id").agg(F.max_by("text", "turn").alias("response"))
+
+
+def chat_turns(requests: DataFrame, sessions: DataFrame, answer: Callable[[Column], Column], keys: tuple[str, ...] = ("app", "user_id", "session_id")) -> tuple[DataFrame, DataFrame]:
+    """(turns, sessions): requests (keys, turn, message) with ``response`` and ``problem``, and the sessions with those that are new.
+
+    A blank message is refused before anything else and makes no session. ``answer`` gives the reply as a Column of the message
+    (any model behind a Pandas or Arrow UDF); a blank reply is a problem, and the session stays.
+    """
+    blank = lambda c: T.strip(F.coalesce(c, F.lit(""))) == ""
+    asked = requests.withColumn("_ok", ~blank(F.col("message")))
+    replied = asked.withColumn("response", F.when(F.col("_ok"), answer(F.col("message"))))
+    problem = F.when(~F.col("_ok"), "blank message").when(blank(F.col("response")), "empty answer")
+    turns = replied.withColumn("problem", problem).withColumn("response", F.when(problem.isNull(), F.col("response"))).drop("_ok")
+    return turns, get_or_create_sessions(sessions, asked.where("_ok"), keys)
