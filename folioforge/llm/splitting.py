@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.functions import blocks as B
+
 #: Places where a unit ends, from the strongest on. A separator belongs to the unit before it.
 _SEPARATORS = (
     ("section", re.compile(r"\n+(?=#{1,6} )")),
@@ -126,31 +128,51 @@ def oversized_kinds(frame: DataFrame, key_col: str, text_col: str = "text", limi
     return slim.where(F.char_length("text") > limit).mapInArrow(run, "key bigint, cut_kind string").distinct()
 
 
+_BLANK = re.compile(r"\n[ \t\r]*\n\s*")
+_CLOSED = re.compile(r"[ \t\r]*(?:\n[ \t\r]*\n|\s*\Z)")
+
+
+def block_marks(text: str, blocks: list[dict], page: int | None) -> list[tuple[int, int | None]]:
+    """(place, page) from which on a page holds: the start with ``page``, then every block (page, markdown, plain) of known page.
+
+    A block stands between blank lines, whole. One that isn't found is taken to begin at the next paragraph.
+    """
+    starts = [0, *(m.end() for m in _BLANK.finditer(text))]
+    marks, nth, at = [(0, page)], 0, 0
+    for block in blocks:
+        shapes = [x for x in dict.fromkeys(((block["markdown"] or "").strip(), (block["plain"] or "").strip())) if x]
+        if not shapes:
+            continue
+        while nth < len(starts) and starts[nth] < at:
+            nth += 1
+        found = next(((k, starts[k] + len(x)) for k in range(nth, len(starts)) for x in shapes if text.startswith(x, starts[k]) and _CLOSED.match(text, starts[k] + len(x))), None)
+        if found is None and nth >= len(starts):
+            break
+        k, at = found or (nth, starts[nth] + 1)
+        nth = k + 1
+        if block["page"] is not None:
+            marks.append((starts[k], block["page"]))
+    return marks
+
+
 def pieces_with_pages(chunks: DataFrame, blocks: DataFrame, limit: int = 1500, overlap: int = 150) -> DataFrame:
     """(chunk_key, piece_no, text, start, end, cut, page_start, page_end) of every chunk above the limit.
 
-    The pages of a piece are those of the blocks in which it starts, the repeated text included, and ends: the chunk's blocks are looked up by (doc_id, block_id), their
-    texts are found in the chunk's text one behind the other, and the last block found at or before the piece with a known
-    page counts. Before the first, and for chunks whose blocks are unknown, it is the chunk's page_start (null if that is).
+    The pages of a piece are those of the blocks in which it starts, the repeated text included, and ends: the chunk's blocks are looked
+    up by (doc_id, block_id) and found in the chunk's text as they are rendered (Markdown or plain), each whole and behind the one
+    before. A block that was edited since is taken to begin behind the next blank line. The last block at or before the piece with
+    a known page counts. Before the first, and for chunks whose blocks are unknown, it is the chunk's page_start (null if that is).
     """
     big = chunks.where(F.col("chunk_key").isNotNull() & (F.char_length("text") > limit)).dropDuplicates(["chunk_key"]).select("chunk_key", "doc_id", "text", "page_start", "block_ids")
     listed = big.select("chunk_key", "doc_id", F.posexplode("block_ids").alias("nth", "block_id"))
-    known = blocks.groupBy("doc_id", "block_id").agg(F.first("page", ignorenulls=True).alias("page"), F.first(F.substring(F.coalesce("text", F.element_at("table_data.headers", 1), "image.caption", "image.alt"), 1, 60), ignorenulls=True).alias("head"))
-    order = listed.join(known, ["doc_id", "block_id"]).groupBy("chunk_key").agg(F.sort_array(F.collect_list(F.struct("nth", "page", "head"))).alias("order"))
+    shown = lambda fmt: B.render(*[F.col(c) for c in ("block_type", "text", "heading_level", "table_data", "image", "metadata")], fmt=fmt)
+    drawn = blocks.where("doc_id is not null and block_id is not null").select("doc_id", "block_id", "page", shown("markdown").alias("markdown"), shown("plain").alias("plain"))
+    known = drawn.groupBy("doc_id", "block_id").agg(F.max(F.struct("page", "markdown", "plain")).alias("b")).select("doc_id", "block_id", "b.*")
+    order = listed.join(known, ["doc_id", "block_id"]).groupBy("chunk_key").agg(F.sort_array(F.collect_list(F.struct("nth", "page", "markdown", "plain"))).alias("order"))
     ready = big.drop("doc_id", "block_ids").join(order, "chunk_key", "left")
 
     def pages(texts: pa.Array, orders: pa.Array, first: pa.Array) -> pa.Array:
-        out = []
-        for text, order_, page in zip(texts.to_pylist(), orders.to_pylist(), first.to_pylist()):
-            marks, at = [(0, page)], 0
-            for block in order_ or []:
-                head = (block["head"] or "").strip()
-                found = text.find(head, at) if head else -1
-                if found >= 0:
-                    at = found + len(head)
-                    if block["page"] is not None:
-                        marks.append((found, block["page"]))
-            out.append([{"from": a, "page": p} for a, p in marks])
+        out = [[{"from": a, "page": p} for a, p in block_marks(t, o or [], page)] for t, o, page in zip(texts.to_pylist(), orders.to_pylist(), first.to_pylist())]
         return pa.array(out, pa.list_(pa.struct([("from", pa.int32()), ("page", pa.int32())])))
 
     marks = F.arrow_udf(pages, "array<struct<from:int,page:int>>")
