@@ -751,11 +751,24 @@ def reranked_set_top10(spark, sf_dir):
 # --- codec, sources, events -------------------------------------------------------------------------------------------
 
 
-def _codec(spark, sf_dir) -> DataFrame:
+def _codec_tables(spark, sf_dir) -> tuple:
     blocks = _blocks(spark, sf_dir)
     sections = read_table(spark, sf_dir, "sections").where("section_key is not null").dropDuplicates(["section_key", "updated_at"])
     last = _sections(spark, sf_dir).select("section_key", "updated_at")
-    return J.to_json(read_table(spark, sf_dir, "doc_registry"), blocks, sections.join(last, ["section_key", "updated_at"]), D.page_index(blocks))
+    return read_table(spark, sf_dir, "doc_registry"), blocks, sections.join(last, ["section_key", "updated_at"]), D.page_index(blocks)
+
+
+def _codec(spark, sf_dir) -> DataFrame:
+    return J.to_json(*_codec_tables(spark, sf_dir))
+
+
+@query(f"""WITH {_BLOCKS}, {_SECTIONS}, r AS (SELECT doc_id FROM doc_registry), pg AS ({ORACLE['page_index'].replace('WITH ' + _BLOCKS + ',', 'WITH ')}), c AS (SELECT doc_id, 1 AS part, count(*) AS n FROM pg GROUP BY doc_id UNION ALL SELECT doc_id, 3, count(*) FROM s GROUP BY doc_id UNION ALL SELECT doc_id, 5, count(*) FROM b GROUP BY doc_id UNION ALL SELECT doc_id, unnest([0, 2, 4, 6]), 1 FROM r)
+  SELECT doc_id, CAST(part AS INT) AS part, n AS n_pieces, n - 1 AS last_pos, CASE WHEN part % 2 = 1 THEN n - 1 ELSE 0 END AS n_commas FROM c SEMI JOIN r USING (doc_id)""")
+def canonical_parts(spark, sf_dir):
+    """The pieces of every document's JSON: how many a part has, and that all but the first begin with a comma."""
+    parts = J.document_parts(*_codec_tables(spark, sf_dir))
+    comma = F.count_if((F.col("part") % 2 == 1) & F.col("piece").startswith(","))
+    return parts.groupBy("doc_id", "part").agg(F.count("*").alias("n_pieces"), F.max("pos").alias("last_pos"), comma.alias("n_commas"))
 
 
 @query(f"WITH {_BLOCKS}, {_SECTIONS} SELECT r.doc_id, r.source_path, (SELECT count(*) FROM b WHERE b.doc_id = r.doc_id) AS n_blocks, (SELECT count(*) FROM s WHERE s.doc_id = r.doc_id) AS n_sections FROM doc_registry r")

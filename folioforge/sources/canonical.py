@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from folioforge.functions import blocks as B
 from folioforge.functions import text as T
+from folioforge.operators.ordered import dense
+from folioforge.runtime import stage_table
 
 _BOX = "struct<x0:double,y0:double,x1:double,y1:double,coord_origin:string>"
 _SPAN = f"struct<page:int,bbox:{_BOX},source_ref:string>"
@@ -28,11 +30,12 @@ def _kept(names: tuple[str, ...], reserved: bool = True):
     return F.when(F.size(chosen) > 0, chosen)
 
 
-def to_json(registry: DataFrame, blocks: DataFrame, sections: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, payload): one JSON document of schema 1.0 per registered document, blocks and sections in order.
+def document_parts(registry: DataFrame, blocks: DataFrame, sections: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, part, pos, piece): JSON documents of schema 1.0 in pieces, to be joined in order of part and pos.
 
-    Nulls are omitted, and so is a single span that says no more than its block; a section's parent_id is always written.
-    Statistics are numbers here and strings in ``extra``.
+    A piece holds one page, section or block, so no row grows with its document. Nulls are omitted, and so is a single span that says
+    no more than its block; a section's parent_id is always written. Statistics are numbers here and strings in ``extra``. Line
+    breaks between pieces do no harm, so ``write_documents`` can stream them.
     """
     only = F.get("layout_spans", F.lit(0))
     own = only["page"].eqNullSafe(F.col("page")) & only["bbox"].eqNullSafe(F.col("bbox")) & only["source_ref"].eqNullSafe(F.col("source_ref"))
@@ -41,23 +44,40 @@ def to_json(registry: DataFrame, blocks: DataFrame, sections: DataFrame, pages:
     block = F.struct(F.col("block_id").alias("id"), F.col("block_type").alias("type"), F.col("ord").alias("order"), "page", "text", F.col("heading_level").alias("level"),
         F.when(F.col("table_data").isNotNull(), F.struct(F.col("table_data.headers").alias("headers"), F.col("table_data.body_rows").alias("rows"), F.col("table_data.caption").alias("caption"))).alias("table"),
         F.when(shown, F.col("image")).alias("image"), "bbox", "source_ref", F.when(F.size("metadata") > 0, F.col("metadata")).alias("metadata"), box.alias("layout_spans"))
-    in_order = lambda c: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", c.alias("j")))), lambda x: x["j"]), ","), F.lit("]"))
-    listed = blocks.select("doc_id", "ord", F.to_json(block).alias("j")).groupBy("doc_id").agg(in_order(F.col("j")).alias("blocks"))
     head = F.to_json(F.struct(F.col("section_id").alias("id"), F.coalesce("title", F.lit("")).alias("title"), F.col("section_level").alias("level"), F.col("ord").alias("order")))
     tail = F.to_json(F.struct("block_ids", "page_start", "page_end", F.when(F.size("metadata") > 0, F.col("metadata")).alias("metadata")))
     parent = F.coalesce(F.to_json(F.array(F.col("parent_id"))), F.lit("[null]"))
-    whole = F.concat(F.expr("substring(j_head, 1, length(j_head) - 1)"), F.lit(',"parent_id":'), F.expr("substring(j_parent, 2, length(j_parent) - 2)"), F.when(F.col("j_tail") != "{}", F.concat(F.lit(","), F.expr("substring(j_tail, 2)"))).otherwise("}"))
-    parts = sections.select("doc_id", "ord", head.alias("j_head"), tail.alias("j_tail"), parent.alias("j_parent"))
-    listed_sections = parts.select("doc_id", "ord", whole.alias("j")).groupBy("doc_id").agg(in_order(F.col("j")).alias("sections"))
+    parts = sections.select("doc_id", "ord", F.col("section_id").alias("name"), head.alias("h"), tail.alias("t"), parent.alias("p"))
+    section = F.concat(F.expr("substring(h, 1, length(h) - 1)"), F.lit(',"parent_id":'), F.expr("substring(p, 2, length(p) - 2)"), F.when(F.col("t") != "{}", F.concat(F.lit(","), F.expr("substring(t, 2)"))).otherwise("}"))
     page = F.to_json(F.struct("number", "block_ids", *[c for c in ("width", "height") if c in pages.columns]))
-    listed_pages = pages.select("doc_id", F.col("number").alias("ord"), page.alias("j")).groupBy("doc_id").agg(in_order(F.col("j")).alias("pages"))
+    lists = (
+        ("pages", pages.select("doc_id", F.col("number").alias("ord"), F.lit("").alias("name"), page.alias("j"))),
+        ("sections", parts.select("doc_id", "ord", "name", section.alias("j"))),
+        ("blocks", blocks.select("doc_id", "ord", F.col("block_id").alias("name"), F.to_json(block).alias("j"))),
+    )
     stats = _kept(STATS)
     reserved = ("family", "docling_version", *STATS, *IDENTITY, *INGEST)
     meta = F.struct("source_path", F.when(F.col("title") != "", F.col("title")).alias("title"), "parser", F.col("extra")["docling_version"].alias("docling_version"), "profile_id", F.col("extra")["family"].alias("family"),
         _kept(IDENTITY).alias("identity"), F.transform_values(stats, lambda _, v: v.try_cast("int")).alias("stats"), _kept(INGEST).alias("ingest"), _kept(reserved, False).alias("extra"))
-    empty = F.lit("[]")
-    joined = registry.select("doc_id", F.to_json(meta).alias("meta")).join(listed_pages, "doc_id", "left").join(listed_sections, "doc_id", "left").join(listed, "doc_id", "left")
-    return joined.select("doc_id", F.concat(F.lit('{"schema_version":"1.0","metadata":'), "meta", F.lit(',"pages":'), F.coalesce("pages", empty), F.lit(',"sections":'), F.coalesce("sections", empty), F.lit(',"blocks":'), F.coalesce("blocks", empty), F.lit("}")).alias("payload"))
+    frame = [F.concat(F.lit('{"schema_version":"1.0","metadata":'), F.to_json(meta), F.lit(',"pages":[')), F.lit('],"sections":['), F.lit('],"blocks":['), F.lit("]}")]
+    out = registry.select("doc_id", F.explode(F.array(*[F.struct(F.lit(2 * k).alias("part"), F.lit(0).cast("bigint").alias("pos"), x.alias("piece")) for k, x in enumerate(frame)])).alias("x")).select("doc_id", "x.*")
+    known = registry.select("doc_id").distinct()
+    for k, (_, items) in enumerate(lists):
+        placed = dense(stage_table(items.join(known, "doc_id", "left_semi"), "pieces"), ["doc_id"], ["ord", "name", "j"])
+        out = out.unionByName(placed.select("doc_id", F.lit(2 * k + 1).alias("part"), "pos", F.concat(F.when(F.col("pos") > 0, ",").otherwise(""), F.col("j")).alias("piece")))
+    return out
+
+
+def to_json(registry: DataFrame, blocks: DataFrame, sections: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, payload): the pieces of each document put together in one row; for documents that fit a row."""
+    pieces = F.array_sort(F.collect_list(F.struct("part", "pos", "piece")))
+    return document_parts(registry, blocks, sections, pages).groupBy("doc_id").agg(F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("payload"))
+
+
+def write_documents(parts: DataFrame, path: str) -> None:
+    """One folder per document with its JSON, a piece a line. A document's pieces are sorted by spilling and written as a stream."""
+    ordered = parts.repartition("doc_id").sortWithinPartitions("doc_id", "part", "pos")
+    ordered.select("doc_id", "piece").write.mode("overwrite").partitionBy("doc_id").text(path)
 
 
 def from_json(payloads: DataFrame, payload_col: str = "payload") -> DataFrame:

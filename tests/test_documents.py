@@ -162,3 +162,14 @@ def test_semantic_chunks_do_not_depend_on_stretches(spark):
             got = C.semantic_chunks(df, threshold=0.6, least=least, most=most, stretch=stretch).orderBy("chunk_index").collect()
             assert [r.text for r in got] == want and [r.chunk_index for r in got] == list(range(len(want)))
             assert sum(r.n_units for r in got) == len(units)
+
+
+def test_documents_are_written_in_pieces(spark, tmp_path):
+    blocks = frame(spark, [block(i, "paragraph", f'line "{i}"\n,', page=1 + i // 3) for i in range(9)])
+    registry = spark.createDataFrame([("d", "a.pdf", "T", "p", "x", {"group": "WG1"})], "doc_id string, source_path string, title string, profile_id string, parser string, extra map<string,string>")
+    sections = spark.createDataFrame([("d", "s1", "One", 1, 0, None, ["block_0"], 1, 1, {})], "doc_id string, section_id string, title string, section_level int, ord int, parent_id string, block_ids array<string>, page_start int, page_end int, metadata map<string,string>")
+    tables = (registry, blocks, sections, D.page_index(blocks))
+    J.write_documents(J.document_parts(*tables), str(tmp_path / "out"))
+    (written,) = (tmp_path / "out" / "doc_id=d").glob("*.txt")
+    assert json.loads(written.read_text()) == json.loads(J.to_json(*tables).first().payload)
+    assert [b["text"] for b in json.loads(written.read_text())["blocks"]] == [f'line "{i}"\n,' for i in range(9)]
