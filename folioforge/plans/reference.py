@@ -435,10 +435,49 @@ def refined_sequence(spark, sf_dir):
     return R.refine_sequence(_blocks(spark, sf_dir)).select("doc_id", "block_id", "ord", "block_type", "heading_level", "page", "text")
 
 
-@query()
+def _refine_sql(base: str) -> str:
+    """The whole refinement as relations s1 to s9 over ``base``, which has the columns of syn. Every step numbers the blocks anew."""
+    columns = "doc_id, block_key, block_type, text, heading_level, page, x0, y0, x1, y1, tkind"
+    place = "CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INT) AS ord"
+    at = lambda k: f"{{'t': block_type = 'table', 'page': page, 'x0': x0, 'x1': x1, 'y0': y0, 'y1': y1}}" if k else ""
+    removable = f"block_type = 'heading' AND {_named(_title("coalesce(text, '')"), T.REMOVABLE_SECTIONS)}"
+    return f"""s1 AS (WITH {_TYPED % base} SELECT {columns}, {place} FROM refined),
+  s2 AS (WITH r AS (SELECT *, sum(CASE WHEN block_type = 'list_item' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ord) AS run FROM s1), m AS (SELECT *, min(CASE WHEN block_type = 'list_item' THEN x0 END) OVER (PARTITION BY doc_id, run) AS x FROM r)
+    SELECT * EXCLUDE (run, x, heading_level), CASE WHEN block_type <> 'list_item' THEN heading_level WHEN coalesce({_label("coalesce(text, '')")}, false) OR x0 IS NULL OR x0 <= x + 10 THEN 1 WHEN x0 <= x + 35 THEN 2 ELSE 3 END AS heading_level FROM m),
+  s3 AS (WITH f AS (SELECT *, block_type = 'heading' AS h, coalesce(heading_level, 1) AS lv, {removable} AS rm FROM s2),
+    g AS (SELECT *, sum(CASE WHEN rm THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS grp, last_value(CASE WHEN rm THEN lv END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rl FROM f),
+    e AS (SELECT *, max(CASE WHEN h AND NOT rm AND lv <= rl THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, grp ORDER BY ord) AS ended FROM g) SELECT {columns}, {place} FROM e WHERE grp = 0 OR ended = 1),
+  s4 AS (SELECT {columns}, {place} FROM s3 WHERE NOT coalesce(page = 1 AND text <> '' AND regexp_matches(lower(text), '{T.BOILERPLATE}'), false)),
+  s5 AS (WITH n AS (SELECT *, lag({at(1)}) OVER w AS p, lead({at(1)}) OVER w AS q FROM s4 WINDOW w AS (PARTITION BY doc_id ORDER BY ord)) SELECT {columns}, {place} FROM n WHERE NOT (block_type = 'image' AND ({_iou('p')} OR {_iou('q')}))),
+  s6 AS (WITH f AS (SELECT *, block_type IN ('code', 'paragraph') AND (text IN ('@startuml', '@enduml', 'UE -> RIC: report', 'participant RIC')) AS part, block_type = 'code' AND text = '@startuml' AS st, block_type = 'code' AND text = '@enduml' AS en FROM s5),
+    m AS (SELECT *, max(CASE WHEN st THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord) AS s, max(CASE WHEN NOT coalesce(part, false) THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord) AS x, max(CASE WHEN en THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e,
+      first_value(CASE WHEN NOT coalesce(part AND NOT st AND NOT en, false) THEN coalesce(st, false) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nx FROM f),
+    c AS (SELECT *, (s IS NOT NULL AND s > coalesce(e, -1) AND s > coalesce(x, -1)) OR coalesce(part AND NOT st AND NOT en AND nx, false) AS covered FROM m), i AS (SELECT *, sum(CASE WHEN covered THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ord) AS island FROM c),
+    u AS (SELECT {columns}, ord FROM i WHERE NOT covered UNION ALL BY NAME SELECT doc_id, min(ord) AS ord, arg_min(block_key, ord) AS block_key, 'code' AS block_type, string_agg(text, chr(10) ORDER BY ord) AS text, arg_min(heading_level, ord) AS heading_level, arg_min(page, ord) AS page, arg_min(x0, ord) AS x0, arg_min(y0, ord) AS y0, arg_min(x1, ord) AS x1, arg_min(y1, ord) AS y1, NULL AS tkind FROM i WHERE covered GROUP BY doc_id, island)
+    SELECT {columns}, {place} FROM u),
+  s7 AS (WITH f AS (SELECT *, block_type = 'image' AS im, block_type IN ('paragraph', 'heading') AND coalesce(regexp_matches(text, {_FIGURE}), false) AS cp FROM s6),
+    n AS (SELECT *, coalesce(lead(cp) OVER w, false) AS c1, coalesce(lag(cp) OVER w, false) AS cm1, coalesce(lag(cp, 3) OVER w, false) AS cm3, coalesce(lead(im, 2) OVER w, false) AS i2, coalesce(lag(im, 2) OVER w, false) AS im2, coalesce(lag(im, 4) OVER w, false) AS im4 FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+    c AS (SELECT *, CASE WHEN im THEN CASE WHEN c1 AND NOT i2 THEN 1 WHEN cm1 AND NOT im2 THEN -1 WHEN c1 THEN 1 WHEN cm1 AND cm3 AND NOT im4 THEN -1 END END AS choice FROM n),
+    t AS (SELECT *, coalesce(lag(choice) OVER w, 0) = 1 OR coalesce(lead(choice) OVER w, 0) = -1 AS taken FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY ord)) SELECT {columns}, {place} FROM t WHERE NOT (cp AND taken)),
+  s8 AS (WITH syn AS (SELECT * FROM s7), {_RUNS}, {_CAPTIONS}{_CAPTIONED} SELECT {columns}, caption, {place} FROM cz),
+  s9 AS (WITH f AS (SELECT *, block_type = 'table' AS tb, block_type IN ('paragraph', 'heading') AND coalesce(regexp_matches(text, {_TABLE}), false) AS cp, CASE WHEN tkind = 2 THEN 2 ELSE 3 END AS nc FROM s8),
+    p AS (SELECT *, last_value(CASE WHEN NOT cp THEN ord END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS po FROM f),
+    j AS (SELECT a.*, o.tb AS ptb, o.tkind AS pk, o.nc AS pn, o.page AS pp, o.x0 AS px0, o.x1 AS px1, o.caption AS pc FROM p a LEFT JOIN p o ON o.doc_id = a.doc_id AND o.ord = a.po)
+    SELECT {columns}, {place} FROM j WHERE NOT coalesce(tb AND ptb AND NOT (po < ord - 1 AND coalesce(regexp_matches(pc, {_TABLE}), false)) AND NOT coalesce(regexp_matches(caption, {_TABLE}), false) AND
+      CASE WHEN tkind <> 1 AND pk <> 1 AND nc = pn THEN page = pp + 1 OR (px0 < x1 AND x0 < px1) ELSE page = pp + 1 AND px0 < x1 AND x0 < px1 AND nc <= pn END, false))"""
+
+
+@query(f"WITH {SYNTHETIC}, {_refine_sql('syn')} SELECT block_key, doc_id, concat('block_', ord) AS block_id, ord, block_type, heading_level, page, text FROM s9")
+def refined_sequence_synthetic(spark, sf_dir):
+    """All refinements on blocks of every kind."""
+    return R.refine_sequence(synthetic_blocks(spark, sf_dir)).select("block_key", "doc_id", "block_id", "ord", "block_type", "heading_level", "page", "text")
+
+
+@query(f"WITH {SYNTHETIC}, moved AS (SELECT * REPLACE (CAST(page + (ord // 10) * 3 AS INT) AS page) FROM syn), {_refine_sql('moved')} SELECT block_key, doc_id, concat('block_', ord) AS block_id, ord, block_type, heading_level, page, text FROM s9")
 def shards_merged(spark, sf_dir):
-    syn = synthetic_blocks(spark, sf_dir).withColumn("shard", F.expr("cast(ord div 10 as int)")).withColumn("page_offset", F.lit(0))
-    return R.merge_shards(syn).select("doc_id", "block_id", "ord", "block_type", "heading_level", "page", "text")
+    """Shards of ten blocks, each shifted by three pages more than the one before, joined and refined."""
+    shards = synthetic_blocks(spark, sf_dir).withColumn("shard", F.expr("cast(ord div 10 as int)")).withColumn("page_offset", F.expr("cast((ord div 10) * 3 as int)"))
+    return R.merge_shards(shards).select("block_key", "doc_id", "block_id", "ord", "block_type", "heading_level", "page", "text")
 
 
 # --- documents --------------------------------------------------------------------------------------------------------
@@ -529,7 +568,7 @@ def section_chunks(spark, sf_dir):
     return made.withColumn("block_ids", F.array_join("block_ids", ","))
 
 
-@query()
+@query(f"""SELECT doc_id, string_agg(concat('<!-- ', chunk_id, ' pages ', coalesce(CAST(page_start AS VARCHAR), '?'), '-', coalesce(CAST(page_end AS VARCHAR), '?'), ' -->', chr(10), chr(10), text), chr(10) || chr(10) ORDER BY chunk_index, chunk_id) AS markdown FROM ({ORACLE['section_chunks']}) GROUP BY doc_id""")
 def chunk_exports(spark, sf_dir):
     """The chunks of every document as Markdown."""
     chunks = section_chunks(spark, sf_dir)
@@ -570,9 +609,12 @@ def point_ids(spark, sf_dir):
     return I.with_point_ids(_chunks(spark, sf_dir)).select("chunk_key", "point_id")
 
 
-@query()
+@query(f"""WITH {_CHUNKS}, t AS (SELECT chunk_key, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '') AS ts FROM c), tf AS (SELECT chunk_key, len(ts) AS l, unnest(ts) AS term FROM t), f AS (SELECT chunk_key, l, term, count(*) AS n FROM tf GROUP BY ALL)
+  SELECT chunk_key, CAST(count(*) AS INT) AS n_terms, round(sum(CAST(CAST(n * 2.2 / (n + 1.2 * (0.25 + 0.75 * l / 100.0)) AS FLOAT) AS DOUBLE)), 3) AS total FROM f GROUP BY chunk_key""")
 def sparse_embeddings(spark, sf_dir):
-    return I.sparse_weights(_chunks(spark, sf_dir), "chunk_key", "text").select(F.col("id").alias("chunk_key"), F.size("sparse.indices").alias("n_terms"), F.round(F.aggregate("sparse.weights", F.lit(0.0), lambda a, w: a + w.cast("double")), 3).alias("total"))
+    """Sparse vectors of all chunks: terms and total weight, with so many slots that terms don't meet."""
+    made = I.sparse_weights(_chunks(spark, sf_dir), "chunk_key", "text", dim=1 << 30)
+    return made.select(F.col("id").alias("chunk_key"), F.size("sparse.indices").alias("n_terms"), F.round(F.aggregate("sparse.weights", F.lit(0.0), lambda a, w: a + w.cast("double")), 3).alias("total"))
 
 
 _SYNC = f"{_CHUNKS}, d AS (SELECT DISTINCT doc_id FROM c WHERE doc_version >= '05.00'), p AS (SELECT doc_id, count(DISTINCT chunk_id) AS n FROM c GROUP BY doc_id)"
