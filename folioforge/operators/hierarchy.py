@@ -51,14 +51,14 @@ def _follow(at: np.ndarray, to: np.ndarray, known: np.ndarray, sums: list[np.nda
     return jump, [x + own[jump] for x, own in zip(passed, sums)], ~inside[jump]
 
 
-def contract(lists: DataFrame, sums: list[str]) -> DataFrame:
+def contract(lists: DataFrame, sums: list[str], end: str = "at") -> DataFrame:
     """(at, next, *sums, last, turns) of linked lists (at, next, *sums), ``at`` being unique: every pointer followed inside its stretch.
 
-    last is the row where following ended, next what that points at (null at a list's end), and the sums those of all rows from ``at`` to
-    ``last``. Pointers that turn in a circle inside the stretch are marked by ``turns``, with themselves as next.
+    last is the value of ``end`` in the row where following ended, next what that points at (null at a list's end), and the sums those of
+    all rows from ``at`` to that one. Pointers that turn in a circle inside the stretch are marked by ``turns``, with themselves as next.
     """
     stretches = max(1, -(-lists.count() // STRETCH))
-    cut = lists.select("at", "next", *sums)
+    cut = lists.select("at", "next", *sums, F.col(end).alias("last"))
     cut = cut.coalesce(1) if stretches == 1 else cut.repartitionByRange(stretches, "at")
     names = ["at", "next", *sums, "last", "turns"]
 
@@ -71,7 +71,7 @@ def contract(lists: DataFrame, sums: list[str]) -> DataFrame:
         to = pointer.fill_null(0).to_numpy()
         stop, totals, ends = _follow(at, to, known, [table.column(2 + k).to_numpy() for k in range(len(sums))])
         beyond = np.where(ends, to[stop], at)
-        columns = [pa.array(at), pa.array(beyond, mask=ends & ~known[stop]), *map(pa.array, totals), pa.array(at[stop]), pa.array(~ends)]
+        columns = [pa.array(at), pa.array(beyond, mask=ends & ~known[stop]), *map(pa.array, totals), pa.array(table.column(2 + len(sums)).to_numpy()[stop]), pa.array(~ends)]
         yield from pa.Table.from_arrays(columns, names=names).to_batches(65_536)
 
     kinds = ", ".join(["at bigint", "next bigint", *[f"{c} bigint" for c in sums], "last bigint", "turns boolean"])
@@ -83,7 +83,8 @@ def endless(links: DataFrame) -> DataFrame:
     short = stage_table(contract(links.select(F.col("key").alias("at"), F.col("parent").alias("next")), []), "contracted")
     going = short.where("next is not null")
     asked = going.select(F.col("next").alias("at")).distinct()
-    jump = stage_table(short.join(asked, "at", "left_semi").where("next is not null").select("at", "next"), "crossings")
+    crossing = stage_table(short.join(asked, "at", "left_semi").where("next is not null").select("at", "next"), "crossings")
+    jump = stage_table(contract(crossing, []).where("next is not null").select("at", "next"), "crossings")  # if few, this ends them all
     left = jump.count()
     while left:
         after = stage_table(jump.join(jump.select(F.col("at").alias("next"), F.col("next").alias("far")), "next").select("at", F.col("far").alias("next")), "crossings")
@@ -166,7 +167,8 @@ def rank_lists(tour: DataFrame) -> DataFrame:
     done = short.where("next is null").select("at", "last", "enters", "step")
     if going.isEmpty():
         return done
-    work = stage_table(short.join(going.select(F.col("next").alias("at")).distinct(), "at", "left_semi"), "ranks")
+    crossing = stage_table(short.join(going.select(F.col("next").alias("at")).distinct(), "at", "left_semi"), "crossings")
+    work = stage_table(contract(crossing, ["enters", "step"], "last").drop("turns"), "ranks")  # if few, this ranks them all
     while not work.where("next is not null").isEmpty():
         ahead = work.select(F.col("at").alias("next"), F.col("next").alias("next2"), F.col("enters").alias("enters2"), F.col("step").alias("step2"), F.col("last").alias("last2"))
         moved = work.where("next is not null").join(ahead, "next").select("at", F.col("next2").alias("next"), (F.col("enters") + F.col("enters2")).alias("enters"), (F.col("step") + F.col("step2")).alias("step"), F.col("last2").alias("last"))
@@ -178,6 +180,33 @@ def rank_lists(tour: DataFrame) -> DataFrame:
     return done.unionByName(joined)
 
 
+def loops(links: DataFrame) -> DataFrame:
+    """(key, head) for the nodes on loops: head is the loop's smallest key.
+
+    What reaches no root is peeled and its loops are walked round, in one task if that is at most a stretch, else by shuffled rounds.
+    """
+    left = stage_table(links.join(endless(links), "key", "left_semi").select("key", "parent"), "endless")
+    if left.count() > STRETCH:
+        return loop_heads(links, peel(links))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        if not sum(b.num_rows for b in batches):
+            return
+        table = pa.Table.from_batches(batches)
+        key, parent = table.column(0).to_numpy(), table.column(1).to_numpy()
+        order = np.argsort(key)
+        up = order[np.searchsorted(key, parent, sorter=order)]  # parents of such nodes are such nodes
+        far, least, jump = up, np.minimum(key, key[up]), up
+        for _ in range(len(key).bit_length() + 1):
+            least = np.minimum(least, least[jump])
+            far, jump = far[far], jump[jump]
+        on = np.unique(far)  # all leaves are peeled when the step is longer than any chain
+        yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(least[on])], names=["key", "head"])
+
+    return left.coalesce(1).mapInArrow(run, "key bigint, head bigint")
+
+
 def hierarchy_labels(links: DataFrame) -> DataFrame:
     """(key, root, depth, pre, size, on_loop) for every node of (key, parent) links.
 
@@ -186,7 +215,7 @@ def hierarchy_labels(links: DataFrame) -> DataFrame:
     the loop itself.
     """
     links = stage_table(links, "links")
-    heads = stage_table(loop_heads(links, peel(links)), "loop-heads")
+    heads = stage_table(loops(links), "loop-heads")
     forest = links.join(heads, "key", "left").select("key", F.when(F.col("head") == F.col("key"), None).otherwise(F.col("parent")).alias("parent"))
     ranked = rank_lists(stage_table(euler_tour(forest), "tour"))
     ends = ranked.groupBy(F.shiftright("at", 1).alias("key")).agg(F.max("last").alias("last"), F.max("enters").alias("enters"), F.min("enters").alias("below"), F.max(F.when(F.col("at").bitwiseAND(1) == 0, F.col("step"))).alias("step"))

@@ -13,8 +13,9 @@ from folioforge.functions import blocks as B
 from folioforge.functions import text as T
 from folioforge.operators import clean as P
 from folioforge.operators import document as D
+from folioforge.operators import index as I
 from folioforge.operators import refine as R
-from folioforge.plans.reference import _BLOCKS, _REPEATED, _SECTIONS, _blocks, _level, _sections, _strip
+from folioforge.plans.reference import _BLOCKS, _CHUNKS, _MAP, _REPEATED, _SECTIONS, _blocks, _chunks, _level, _map_text, _sections, _strip
 from folioforge.runtime import read_table
 from folioforge.sources import elements as L
 from folioforge.sources import files as X
@@ -201,3 +202,33 @@ def sessions_reset(spark, sf_dir):
     asked, old = spark.sql(f"WITH {_ASKED} SELECT * FROM asked"), spark.sql(f"WITH {_ASKED} SELECT * FROM old")
     reset = E.reset_sessions(old.withColumn("state", F.lit("old")), asked.where("turn % 10 = 0"))
     return reset.select("user_id", "session_id", F.when(F.col("state").isNotNull(), 1).otherwise(0).cast("bigint").alias("kept"))
+
+
+# --- points -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_CHUNKS}, t AS (SELECT chunk_key, coalesce(text, '') AS x, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS ts FROM c)
+  SELECT CAST(chunk_key AS VARCHAR) AS id, CAST(length(x) AS DOUBLE) AS first_, CAST(length(x) - length(replace(x, 'a', '')) AS DOUBLE) AS second_, CASE WHEN len(ts) > 0 THEN CAST(len(ts) AS INT) END AS n_terms FROM t""")
+def hybrid_points(spark, sf_dir):
+    """Dense vectors of a stand-in encoder, in batches, with the sparse vectors beside them; chunks without a word have none."""
+    chunks = _chunks(spark, sf_dir)
+
+    def encoder(texts: list[str]) -> list[list[float]]:
+        if len(texts) > 8:
+            raise AssertionError("the batch is larger than said")
+        return [[float(len(t)), float(t.count("a"))] for t in texts]
+
+    dense = I.embed_texts(chunks, encoder, batch=8, id_col="chunk_key")
+    sparse = I.sparse_weights(chunks, "chunk_key", "text", dim=1 << 30).withColumn("id", F.col("id").cast("string"))
+    at = lambda i: F.get("dense", F.lit(i)).cast("double")
+    return I.hybrid(dense, sparse).select("id", at(0).alias("first_"), at(1).alias("second_"), F.when(F.col("sparse").isNotNull(), F.size("sparse.indices")).alias("n_terms"))
+
+
+@query(f"WITH {_CHUNKS} SELECT chunk_key, chunk_id, doc_id, text, nullif(array_to_string(block_ids, ','), '') AS block_ids, {_MAP('metadata')} AS metadata, page_start, page_end, section_id FROM c")
+def point_payloads(spark, sf_dir):
+    """The JSON payloads of all chunks, read back."""
+    names = ("chunk_id", "doc_id", "text", "block_ids", "metadata", "page_start", "page_end", "section_id")
+    shape = "chunk_id string, doc_id string, text string, block_ids array<string>, metadata map<string,string>, page_start int, page_end int, section_id string"
+    read = _chunks(spark, sf_dir).select("chunk_key", F.from_json(I.payload({n: F.col(n) for n in names}), shape).alias("p")).select("chunk_key", "p.*")
+    ids = F.array_join("block_ids", ",")
+    return read.withColumn("block_ids", F.when(ids != "", ids)).withColumn("metadata", _map_text(F.col("metadata")))
