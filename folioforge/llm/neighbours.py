@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from folioforge.runtime import bounded_broadcast, stage_table
 
-#: Vectors that the driver fits the first level and the residual codebooks on, and those that a first-level cell is divided by.
-SAMPLE_ROWS, CELL_SAMPLE = 16_384, 4_096
+#: Vectors that the driver fits the first level and the residual codebooks on, and those that a first-level cell is divided by at most.
+SAMPLE_ROWS, CELL_SAMPLE = 16_384, 8_192
 #: Cells of either level at most, and vectors that a cell should hold.
 FIRST, SECOND, CELL_GOAL = 512, 128, 64
 CELL_ROWS = 4_096
@@ -37,6 +37,8 @@ CELL_ROWS = 4_096
 TASK_ROWS = 8_192
 #: Vectors of a block of cells, and about as many askers it meets at once.
 BLOCK_ROWS = 8_192
+#: How much lower than the best a first-level cell may score for the cells under it to be looked at.
+_FIRST_MARGIN = 0.12
 #: More than the rounding of cosines and distances in single precision.
 _ROUNDING = 1e-5
 
@@ -64,7 +66,7 @@ class Codebooks:
             values = score[rows, cells]
         else:
             top = x @ self.first.T - 0.5 * (self.first * self.first).sum(1)
-            who, under = np.nonzero(top >= top.max(1, initial=-np.inf)[:, None] - margin)
+            who, under = np.nonzero(top >= top.max(1, initial=-np.inf)[:, None] - _FIRST_MARGIN)
             parts = []
             for f in np.unique(under).tolist():
                 at, lo, hi = who[under == f], self.starts[f], self.starts[f + 1]
@@ -117,13 +119,13 @@ def fit(sample: np.ndarray, books: int = 4, seed: int = 5) -> Codebooks:
 def divide(books: Codebooks, rows: DataFrame, count: int, dim: int) -> Codebooks:
     """The codebooks with a second level of cells, so that a cell holds about CELL_GOAL of ``count`` rows.
 
-    A row's part in its cell's sample is decided by a hash of its id, with a rate that gives CELL_SAMPLE rows of a cell of even size; a
-    cell's group is cut at twice as many. What comes to the driver is at most FIRST * SECOND centroids.
+    A hash of the id draws the sample, 32 rows for each centroid to be made, so it has at most 32 * FIRST * SECOND rows in all; of one cell
+    the CELL_SAMPLE of least hash are used. What comes to the driver is at most FIRST * SECOND centroids.
     """
     wide = min(SECOND, -(-count // (len(books.first) * CELL_GOAL)))
     if wide <= 1:
         return books
-    rate = min(1.0, CELL_SAMPLE * len(books.first) / count)
+    rate = min(1.0, 32 * wide * len(books.first) / count)
     shared = rows.sparkSession.sparkContext.broadcast(books)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,14 +134,14 @@ def divide(books: Codebooks, rows: DataFrame, count: int, dim: int) -> Codebooks
             yield pa.RecordBatch.from_arrays([pa.array(shared.value.own(unit).astype(np.int32)), batch.column(2).take(pa.array(at)), pa.array([u.tobytes() for u in unit], pa.binary())], names=["cell", "lot", "unit"])
 
     def split(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("lot").slice(0, CELL_SAMPLE)
         x = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float32).reshape(-1, dim)
         centres = _kmeans(x, min(wide, max(1, len(x) // 16)), 5, 17).astype(np.float32)
         return pa.table({"cell": pa.array([key[0].as_py()] * len(centres), pa.int32()), "centre": pa.array([c.tobytes() for c in centres], pa.binary())})
 
     drawn = rows.withColumn("lot", F.xxhash64("vec_id", F.lit(9))).where(F.pmod("lot", F.lit(1 << 20)) < int(rate * (1 << 20)) + 1)
     spread = drawn.mapInArrow(place, "cell int, lot bigint, unit binary")
-    few = spread.withColumn("n", F.row_number().over(Window.partitionBy("cell", F.pmod("lot", F.lit(8))).orderBy("lot"))).where(F.col("n") <= CELL_SAMPLE // 4).select("cell", "unit")
-    found = few.groupBy("cell").applyInArrow(split, "cell int, centre binary").toArrow()  # at most FIRST * SECOND centroids
+    found = spread.groupBy("cell").applyInArrow(split, "cell int, centre binary").toArrow()  # at most FIRST * SECOND centroids
     own = found.column("cell").to_numpy()
     centres = np.frombuffer(b"".join(found.column("centre").to_pylist()), np.float32).reshape(-1, dim)
     missing = np.setdiff1d(np.arange(len(books.first)), own)
@@ -390,9 +392,15 @@ def all_neighbours(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "
             if not len(at):
                 continue
             floor = batch.column(2).to_numpy()[at]
-            far = np.sqrt(np.maximum(0, 1 + 2 * half - 2 * (unit @ own.cells.T)))
-            gap = np.maximum(0, far - radius - 1e-3)
-            who, cell = np.nonzero(np.isfinite(radius) & (1 - 0.5 * gap * gap >= floor[:, None] - _ROUNDING))
+            asked_rows, asked_cells = [], []
+            some = max(1, 4_000_000 // len(half))  # rows at a time, so that the distances to all cells stay small
+            for lo in range(0, len(unit), some):
+                far = np.sqrt(np.maximum(0, 1 + 2 * half - 2 * (unit[lo : lo + some] @ own.cells.T)))
+                gap = np.maximum(0, far - radius - 1e-3)
+                r, c = np.nonzero(np.isfinite(radius) & (1 - 0.5 * gap * gap >= floor[lo : lo + some, None] - _ROUNDING))
+                asked_rows.append(r + lo)
+                asked_cells.append(c)
+            who, cell = np.concatenate(asked_rows), np.concatenate(asked_cells)
             times = split.value[cell]
             who, block = np.repeat(who, times), np.repeat(first[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             who, block = np.divmod(np.unique(who * n_blocks + block), n_blocks)
