@@ -2,8 +2,10 @@
 
 * Codebooks are fitted on bounded samples; all of them are full-dimensional and act on residuals. A beam search encodes each
   vector; the norm of the decoded vector is stored with the code.
-* Cells are found in two levels. The first is fitted in the driver. Where cells of the first would hold more than CELL_GOAL vectors, each is
-  divided by a fit on a sample of its own, in the tasks, so the number of cells follows the number of vectors, up to FIRST * SECOND.
+* Cells are found in two levels. The first is fitted in the driver, on FIRST centroids, more of them (the square root of the number of
+  vectors) in large tables. Where cells of the first would hold more than CELL_GOAL vectors, each is divided by a fit on a sample of its
+  own, in the tasks, so the number of cells follows the number of vectors, up to GROWTH * FIRST * SECOND.
+* No step holds all cells near all vectors of a batch: scores are taken in slices, and of each vector only the best cells are kept.
 * A vector asks its own cell and those whose centroid is nearly as close.
 * Inside a cell, lookup tables (query times codebook) give approximate cosines of all its vectors; the best of them are
   ranked again by exact cosine, and so is every other one that its quantisation error leaves in question. The lists of the
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +33,13 @@ from folioforge.runtime import bounded_broadcast, stage_table
 
 #: Vectors that the driver fits the first level and the residual codebooks on, and those that a first-level cell is divided by at most.
 SAMPLE_ROWS, CELL_SAMPLE = 16_384, 8_192
-#: Cells of either level at most, and vectors that a cell should hold.
+#: Cells of the first level while that is enough, of the second in one of them at most, and vectors that a cell should hold.
 FIRST, SECOND, CELL_GOAL = 512, 128, 64
+#: How many times FIRST and SAMPLE_ROWS large tables take at most.
+GROWTH = 8
 CELL_ROWS = 4_096
+#: Scores, pairs or rows to send that a worker holds at a time.
+HELD_SCORES, HELD_PAIRS, HELD_ROWS = 2_000_000, 2_000_000, 20_000
 #: Vectors per task of the search.
 TASK_ROWS = 8_192
 #: Vectors of a block of cells, and about as many askers it meets at once.
@@ -43,6 +50,32 @@ _FIRST_MARGIN = 0.12
 _ROUNDING = 1e-5
 
 
+class _Kept:
+    """(row, cell, score) so far: those within ``margin`` of the row's best, the best ``most`` of each row."""
+
+    def __init__(self, n: int, margin: float, most: int | None) -> None:
+        self.best, self.margin, self.most = np.full(n, -np.inf, np.float32), np.float32(margin), most
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
+        self.held, self.room = 0, HELD_PAIRS
+
+    def add(self, rows: np.ndarray, cells: np.ndarray, scores: np.ndarray) -> None:
+        np.maximum.at(self.best, rows, scores)
+        self.parts.append((rows, cells, scores))
+        self.held += len(rows)
+        if self.held > self.room:
+            self.held = len(self.listed()[0])
+            self.room = max(HELD_PAIRS, 2 * self.held)
+
+    def listed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, cells, scores = (np.concatenate([p[k] for p in self.parts]) for k in range(3))
+        keep = np.flatnonzero(scores >= self.best[rows] - self.margin)
+        keep = keep[np.lexsort((cells[keep], -scores[keep], rows[keep]))]
+        if self.most is not None:
+            keep = keep[np.arange(len(keep)) - np.searchsorted(rows[keep], rows[keep]) < self.most]
+        self.parts = [(rows[keep].astype(np.int64), cells[keep].astype(np.int64), scores[keep])]
+        return self.parts[0]
+
+
 @dataclass
 class Codebooks:
     """first: centroids of the first level of cells; cells: (C, dim) centroids of unit vectors, those of first-level cell f being
@@ -53,42 +86,63 @@ class Codebooks:
     starts: np.ndarray
     residual: np.ndarray
 
-    @property
+    @cached_property
     def half(self) -> np.ndarray:
-        return 0.5 * (self.cells * self.cells).sum(1)
-
-    def near(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(rows, cells, scores) of the cells whose score is within ``margin`` of the row's best, the best first. Scores order as
-        distances do. Of two levels only the cells under near first-level cells are looked at."""
-        if len(self.first) == len(self.cells):
-            score = x @ self.cells.T - self.half
-            rows, cells = np.nonzero(score >= score.max(1, initial=-np.inf)[:, None] - margin)
-            values = score[rows, cells]
-        else:
-            top = x @ self.first.T - 0.5 * (self.first * self.first).sum(1)
-            who, under = np.nonzero(top >= top.max(1, initial=-np.inf)[:, None] - _FIRST_MARGIN)
-            parts = []
-            for f in np.unique(under).tolist():
-                at, lo, hi = who[under == f], self.starts[f], self.starts[f + 1]
-                parts.append((np.repeat(at, hi - lo), np.tile(np.arange(lo, hi), len(at)), (x[at] @ self.cells[lo:hi].T - self.half[lo:hi]).reshape(-1)))
-            rows, cells, values = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in range(3))
-            best = np.full(len(x), -np.inf)
-            np.maximum.at(best, rows, values)
-            keep = values >= best[rows] - margin
-            rows, cells, values = rows[keep], cells[keep], values[keep]
-        order = np.lexsort((cells, -values, rows))
-        return rows[order], cells[order], values[order]
+        return 0.5 * np.einsum("nd,nd->n", self.cells, self.cells)
+
+    def near(self, x: np.ndarray, margin: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, cells, scores) of the cells whose score is within ``margin`` of the row's best, the best first, at most ``most`` of
+        each row. Scores order as distances do. Of two levels only the cells under near first-level cells are looked at."""
+        kept = _Kept(len(x), margin, most)
+        flat, half_first = len(self.first) == len(self.cells), 0.5 * (self.first * self.first).sum(1)
+        who, under, held = [], [], 0
+        step = max(1, HELD_SCORES // max(1, len(self.first)))
+        for lo in range(0, len(x), step):
+            top = x[lo : lo + step] @ self.first.T
+            top -= half_first
+            best = top.max(1, initial=-np.inf)
+            if flat:
+                r, c = np.nonzero(top >= (best - margin)[:, None])
+                kept.add(r + lo, c, top[r, c])
+                continue
+            # the cells under the best first-level cell set a floor, so that few of the others are listed
+            r, f = np.nonzero(top >= (best - _FIRST_MARGIN)[:, None])
+            who.append((r + lo).astype(np.int32))
+            under.append(f.astype(np.int32))
+            held += len(r)
+            self._under(x, np.arange(lo, lo + len(top)), top.argmax(1), kept, floors_only=True)
+            if held > HELD_PAIRS or lo + step >= len(x):
+                self._under(x, np.concatenate(who), np.concatenate(under), kept)
+                who, under, held = [], [], 0
+        return kept.listed()
+
+    def _under(self, x: np.ndarray, who: np.ndarray, under: np.ndarray, kept: _Kept, floors_only: bool = False) -> None:
+        """Scores of the cells under the first-level cells of (row, first-level cell)."""
+        order = np.argsort(under, kind="stable")
+        who, (firsts, begins) = who[order], np.unique(under[order], return_index=True)
+        for f, at in zip(firsts.tolist(), np.split(who, begins[1:])):
+            lo, hi = self.starts[f], self.starts[f + 1]
+            step = max(1, HELD_SCORES // max(1, hi - lo))
+            for part in (at[i : i + step] for i in range(0, len(at), step)):
+                score = x[part] @ self.cells[lo:hi].T
+                score -= self.half[lo:hi]
+                if floors_only:  # the same score may be rounded otherwise when it is taken again
+                    kept.best[part] = np.maximum(kept.best[part], score.max(1, initial=-np.inf) - _ROUNDING)
+                else:
+                    r, c = np.divmod(np.flatnonzero(score >= (kept.best[part] - kept.margin)[:, None]), hi - lo)
+                    kept.add(part[r], c + lo, score[r, c])
 
     def own(self, x: np.ndarray) -> np.ndarray:
         """The cell of each row."""
-        rows, cells, _ = self.near(x, 0.0)
+        rows, cells, _ = self.near(x, 0.0, 1)
         _, at = np.unique(rows, return_index=True)
         return cells[at]
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     half = 0.5 * (centres * centres).sum(1)
-    return np.concatenate([np.argmax(part @ centres.T - half, axis=1) for part in np.array_split(x, max(1, len(x) // 8192))])
+    some = max(1, HELD_SCORES // len(centres))
+    return np.concatenate([np.argmax(x[lo : lo + some] @ centres.T - half, axis=1) for lo in range(0, max(1, len(x)), some)])
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -105,8 +159,9 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 
 def fit(sample: np.ndarray, books: int = 4, seed: int = 5) -> Codebooks:
-    """Codebooks of unit vectors: one cell per 32 sample rows, then ``books`` residual codebooks of 256 entries."""
-    cells = _kmeans(sample, min(FIRST, max(1, len(sample) // 32)), 5, seed).astype(np.float32)
+    """Codebooks of unit vectors: one cell per 32 sample rows, then ``books`` residual codebooks of 256 entries, fitted on SAMPLE_ROWS."""
+    cells = _kmeans(sample, min(max(FIRST, FIRST * len(sample) // SAMPLE_ROWS), max(1, len(sample) // 32)), 5, seed).astype(np.float32)
+    sample = sample[:SAMPLE_ROWS]
     part = sample - cells[_nearest(sample, cells)]
     residual = []
     for m in range(books):
@@ -119,8 +174,8 @@ def fit(sample: np.ndarray, books: int = 4, seed: int = 5) -> Codebooks:
 def divide(books: Codebooks, rows: DataFrame, count: int, dim: int) -> Codebooks:
     """The codebooks with a second level of cells, so that a cell holds about CELL_GOAL of ``count`` rows.
 
-    A hash of the id draws the sample, 32 rows for each centroid to be made, so it has at most 32 * FIRST * SECOND rows in all; of one cell
-    the CELL_SAMPLE of least hash are used. What comes to the driver is at most FIRST * SECOND centroids.
+    A hash of the id draws the sample, 32 rows for each centroid to be made; of one cell the CELL_SAMPLE of least hash are used, and no
+    task meets more. What comes to the driver is at most GROWTH * FIRST * SECOND centroids.
     """
     wide = min(SECOND, -(-count // (len(books.first) * CELL_GOAL)))
     if wide <= 1:
@@ -134,14 +189,15 @@ def divide(books: Codebooks, rows: DataFrame, count: int, dim: int) -> Codebooks
             yield pa.RecordBatch.from_arrays([pa.array(shared.value.own(unit).astype(np.int32)), batch.column(2).take(pa.array(at)), pa.array([u.tobytes() for u in unit], pa.binary())], names=["cell", "lot", "unit"])
 
     def split(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("lot").slice(0, CELL_SAMPLE)
+        table = table.sort_by("lot")
         x = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float32).reshape(-1, dim)
         centres = _kmeans(x, min(wide, max(1, len(x) // 16)), 5, 17).astype(np.float32)
         return pa.table({"cell": pa.array([key[0].as_py()] * len(centres), pa.int32()), "centre": pa.array([c.tobytes() for c in centres], pa.binary())})
 
     drawn = rows.withColumn("lot", F.xxhash64("vec_id", F.lit(9))).where(F.pmod("lot", F.lit(1 << 20)) < int(rate * (1 << 20)) + 1)
     spread = drawn.mapInArrow(place, "cell int, lot bigint, unit binary")
-    found = spread.groupBy("cell").applyInArrow(split, "cell int, centre binary").toArrow()  # at most FIRST * SECOND centroids
+    least = spread.withColumn("n", F.row_number().over(Window.partitionBy("cell").orderBy("lot"))).where(F.col("n") <= CELL_SAMPLE).drop("n")
+    found = least.groupBy("cell").applyInArrow(split, "cell int, centre binary").toArrow()  # at most GROWTH * FIRST * SECOND centroids
     own = found.column("cell").to_numpy()
     centres = np.frombuffer(b"".join(found.column("centre").to_pylist()), np.float32).reshape(-1, dim)
     missing = np.setdiff1d(np.arange(len(books.first)), own)
@@ -233,8 +289,9 @@ def all_neighbours(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = _rows(frame, id_col, vector_col, dim)
     count = rows.count()
     # a hash of the id draws the sample, so that each task sends its share only
-    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(min(1.0, 1.2 * SAMPLE_ROWS / max(1, count)) * (1 << 20)) + 1)
-    lot = drawn.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toArrow().combine_chunks()
+    wanted_rows = int(SAMPLE_ROWS * min(GROWTH, max(1.0, count**0.5 / FIRST)))
+    drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(min(1.0, 1.2 * wanted_rows / max(1, count)) * (1 << 20)) + 1)
+    lot = drawn.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted_rows).toArrow().combine_chunks()
     units = [_usable(b, dim)[1] for b in lot.to_batches()]
     sample = np.concatenate(units) if units else np.empty((0, dim), np.float32)
     if not len(sample):  # all drawn are unusable, or there are none
@@ -249,7 +306,7 @@ def all_neighbours(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "
             ids, unit, at = _usable(batch, dim)
             raw = np.ascontiguousarray(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)[at])
             pair = np.frombuffer(b"".join(xxhash.xxh3_128_digest(v) for v in raw), np.int64).reshape(-1, 2)
-            at_row, cells, _ = books.value.near(unit, margin)
+            at_row, cells, _ = books.value.near(unit, margin, most_cells + 1)
             first = np.searchsorted(at_row, np.arange(len(unit)))
             cell = cells[first] if len(cells) else np.empty(0, np.int64)
             many = (np.bincount(at_row, minlength=len(unit)) > most_cells) | exact
@@ -278,38 +335,40 @@ def all_neighbours(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "
             _, unit, at = _usable(batch, dim)
             if not len(at):
                 continue
-            rows_, cells_, _ = own.near(unit, margin)
-            first_ = np.searchsorted(rows_, np.arange(len(unit)))
-            cell = cells_[first_]
-            codes, norms = encode(unit, cell, own)
-            asks = np.arange(len(rows_)) - first_[rows_] < most_cells
-            rows_, cells_ = rows_[asks], cells_[asks]
+            all_rows, all_cells, _ = own.near(unit, margin, most_cells)
+            bounds = np.searchsorted(all_rows, np.arange(len(unit) + 1))
+            cell = all_cells[bounds[:-1]]
+            codes, norms = (np.concatenate(c) for c in zip(*(encode(unit[lo : lo + 2_048], cell[lo : lo + 2_048], own) for lo in range(0, len(unit), 2_048))))
             ids = batch.column(0).to_numpy()[at]
             # of a split cell, a part of the vectors meets a part of those that ask: each goes to all parts of the others
             mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            times = split.value[cells_]
-            ask_rows, ask_cells = np.repeat(rows_, times), np.repeat(cells_, times)
-            ask_home = np.arange(len(ask_rows)) - np.repeat(np.cumsum(times) - times, times)
-            ask_part = (mixed[ask_rows] >> 11) % split.value[ask_cells]
-            whole = split.value[cell]
-            home_rows = np.repeat(np.arange(len(unit)), whole)
-            home_part = np.arange(len(home_rows)) - np.repeat(np.cumsum(whole) - whole, whole)
-            home_home = mixed[home_rows] % whole[home_rows]
-            key_of = lambda c, home, part: c.astype(np.int64) << 40 | home << 20 | part
-            ask_key, home_key = key_of(ask_cells, ask_home, ask_part), key_of(cell[home_rows], home_home, home_part)
-            # a vector that asks where it lives is sent once
-            rows_, key = np.concatenate([ask_rows, home_rows]), np.concatenate([ask_key, home_key])
-            role = np.concatenate([np.ones(len(ask_rows), np.int8), np.full(len(home_rows), 2, np.int8)])
-            order = np.lexsort((key, rows_))
-            rows_, key = rows_[order], key[order]
-            begins = np.flatnonzero(np.concatenate([[True], (rows_[1:] != rows_[:-1]) | (key[1:] != key[:-1])]))
-            role = np.bitwise_or.reduceat(role[order], begins)
-            rows_, key, ask_flag, home_flag = rows_[begins], key[begins], role & 1 > 0, role & 2 > 0
             blob, code = [u.tobytes() for u in unit], [c.tobytes() for c in codes]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(key), pa.array(ids[rows_]), pa.array([blob[i] for i in rows_], pa.binary()), pa.array([code[i] if h else None for i, h in zip(rows_, home_flag)], pa.binary()),
-                pa.array(np.where(home_flag, norms[rows_], 0).astype(np.float32)), batch.column(2).take(pa.array(at[rows_], mask=~home_flag)), pa.array(ask_flag),
-            ], names=["key", "vec_id", "unit", "code", "norm", "ids", "asks"])
+            key_of = lambda c, home, part: c.astype(np.int64) << 40 | home << 20 | part
+            sent = np.cumsum(np.add.reduceat(split.value[all_cells].astype(np.int64), bounds[:-1]) + split.value[cell])
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(sent // HELD_ROWS)) + 1, [len(unit)]])
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                rows_, cells_ = all_rows[bounds[lo] : bounds[hi]], all_cells[bounds[lo] : bounds[hi]]
+                times = split.value[cells_]
+                ask_rows, ask_cells = np.repeat(rows_, times), np.repeat(cells_, times)
+                ask_home = np.arange(len(ask_rows)) - np.repeat(np.cumsum(times) - times, times)
+                ask_part = (mixed[ask_rows] >> 11) % split.value[ask_cells]
+                whole = split.value[cell[lo:hi]]
+                home_rows = np.repeat(np.arange(lo, hi), whole)
+                home_part = np.arange(len(home_rows)) - np.repeat(np.cumsum(whole) - whole, whole)
+                home_home = mixed[home_rows] % split.value[cell[home_rows]]
+                ask_key, home_key = key_of(ask_cells, ask_home, ask_part), key_of(cell[home_rows], home_home, home_part)
+                # a vector that asks where it lives is sent once
+                rows_, key = np.concatenate([ask_rows, home_rows]), np.concatenate([ask_key, home_key])
+                role = np.concatenate([np.ones(len(ask_rows), np.int8), np.full(len(home_rows), 2, np.int8)])
+                order = np.lexsort((key, rows_))
+                rows_, key = rows_[order], key[order]
+                begins = np.flatnonzero(np.concatenate([[True], (rows_[1:] != rows_[:-1]) | (key[1:] != key[:-1])]))
+                role = np.bitwise_or.reduceat(role[order], begins)
+                rows_, key, ask_flag, home_flag = rows_[begins], key[begins], role & 1 > 0, role & 2 > 0
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(key), pa.array(ids[rows_]), pa.array([blob[i] for i in rows_], pa.binary()), pa.array([code[i] if h else None for i, h in zip(rows_, home_flag)], pa.binary()),
+                    pa.array(np.where(home_flag, norms[rows_], 0).astype(np.float32)), batch.column(2).take(pa.array(at[rows_], mask=~home_flag)), pa.array(ask_flag),
+                ], names=["key", "vec_id", "unit", "code", "norm", "ids", "asks"])
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
         own = books.value
@@ -377,8 +436,8 @@ def all_neighbours(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "
     best = stage_table(best_of(lists), "best")
     many = known.where("many").select("vec_id", "many").distinct()
     short = F.size("best") <= k
-    floors = best.join(many, "vec_id", "left").where(F.col("many") | short).select("vec_id", F.when(short, -2.0).otherwise(-F.element_at("best", -1)["far"]).alias("floor"))
-    askers = stage_table(rows.join(floors, "vec_id").dropDuplicates(["vec_id"]), "askers")
+    floors = stage_table(best.join(many, "vec_id", "left").where(F.col("many") | short).select("vec_id", F.when(short, -2.0).otherwise(-F.element_at("best", -1)["far"]).alias("floor")), "floors")
+    askers = stage_table(rows.join(bounded_broadcast(floors), "vec_id").dropDuplicates(["vec_id"]), "askers")
     n_askers = askers.count()
     if not n_askers:
         return _ranked(best, members, k)
@@ -392,20 +451,22 @@ def all_neighbours(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "
             if not len(at):
                 continue
             floor = batch.column(2).to_numpy()[at]
-            asked_rows, asked_cells = [], []
-            some = max(1, 4_000_000 // len(half))  # rows at a time, so that the distances to all cells stay small
+            some = max(1, HELD_SCORES // len(half))  # rows at a time, so that the distances to all cells stay small
+            few, held = [], 0
             for lo in range(0, len(unit), some):
                 far = np.sqrt(np.maximum(0, 1 + 2 * half - 2 * (unit[lo : lo + some] @ own.cells.T)))
                 gap = np.maximum(0, far - radius - 1e-3)
-                r, c = np.nonzero(np.isfinite(radius) & (1 - 0.5 * gap * gap >= floor[lo : lo + some, None] - _ROUNDING))
-                asked_rows.append(r + lo)
-                asked_cells.append(c)
-            who, cell = np.concatenate(asked_rows), np.concatenate(asked_cells)
-            times = split.value[cell]
-            who, block = np.repeat(who, times), np.repeat(first[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            who, block = np.divmod(np.unique(who * n_blocks + block), n_blocks)
-            blocks = pa.ListArray.from_arrays(pa.array(np.searchsorted(who, np.arange(len(ids) + 1)), pa.int32()), pa.array(block))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([u.tobytes() for u in unit], pa.binary()), pa.array(floor), blocks], names=["vec_id", "unit", "floor", "blocks"])
+                who, cell = np.nonzero(np.isfinite(radius) & (1 - 0.5 * gap * gap >= floor[lo : lo + some, None] - _ROUNDING))
+                times = split.value[cell]
+                who, block = np.repeat(who, times), np.repeat(first[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                few.append(np.unique((who + lo) * n_blocks + block))
+                held += len(few[-1])
+                if held > HELD_PAIRS or lo + some >= len(unit):
+                    who, block = np.divmod(np.concatenate(few), n_blocks)
+                    begin, end = lo + some - some * len(few), min(lo + some, len(unit))
+                    blocks = pa.ListArray.from_arrays(pa.array(np.searchsorted(who, np.arange(begin, end + 1)), pa.int32()), pa.array(block))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[begin:end]), pa.array([u.tobytes() for u in unit[begin:end]], pa.binary()), pa.array(floor[begin:end]), blocks], names=["vec_id", "unit", "floor", "blocks"])
+                    few, held = [], 0
 
     asked = stage_table(askers.mapInArrow(ask, "vec_id bigint, unit binary, floor double, blocks array<bigint>"), "asked")
     wanted = np.zeros(n_blocks, bool)

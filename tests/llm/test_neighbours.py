@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from folioforge.llm import neighbours as N
@@ -113,3 +115,36 @@ def test_cells_of_codebooks():
         rows, cells, scores = two.near(x, margin)
         first = np.searchsorted(rows, np.arange(len(x)))
         assert (cells[first] == two.own(x)).all()
+
+
+def test_near_cells_of_a_batch_take_bounded_memory():
+    # at 6 GB a vector has some 14,000 cells under near first-level cells, and a batch 10,000 vectors
+    rng = np.random.default_rng(6)
+    first = (0.3 * rng.normal(size=(256, 64)) / 8).astype(np.float32)
+    cells = (np.repeat(first, 64, axis=0) + rng.normal(size=(256 * 64, 64)) / 16).astype(np.float32)
+    books = N.Codebooks(first, cells, np.arange(257) * 64, np.zeros((4, 256, 64), np.float32))
+    x = rng.normal(size=(4000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tracemalloc.start()
+    rows, found_, _ = books.near(x, 0.02)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6
+    top = x[:300] @ first.T - 0.5 * (first * first).sum(1)
+    whole = np.where(np.repeat(top >= top.max(1)[:, None] - N._FIRST_MARGIN, 64, axis=1), x[:300] @ cells.T - 0.5 * (cells * cells).sum(1), -np.inf)
+    for i in range(300):
+        want = np.flatnonzero(whole[i] >= whole[i].max() - 0.02)
+        assert found_[rows == i].tolist() == want[np.argsort(-whole[i][want])].tolist()
+
+
+def test_slices_and_a_first_level_that_grows(spark, monkeypatch):
+    for name, value in {"FIRST": 4, "SAMPLE_ROWS": 128, "SECOND": 4, "CELL_GOAL": 16, "CELL_SAMPLE": 64, "HELD_PAIRS": 50, "HELD_SCORES": 200, "HELD_ROWS": 10}.items():
+        monkeypatch.setattr(N, name, value, raising=False)
+    fitted = []
+    monkeypatch.setattr(N, "divide", lambda *a, f=N.divide: fitted.append(f(*a)) or fitted[-1])
+    vectors = clusters(1500, seed=5)
+    frame = spark.createDataFrame([(i, v, 1, "x") for i, v in vectors.items()], SCHEMA)
+    got, want = found(frame), brute(vectors)
+    assert len(fitted[0].first) == 32 and 60 <= len(fitted[0].cells) <= 128
+    assert np.mean([len(set(got[i]) & set(want[i])) / 10 for i in want]) > 0.97
+    assert found(frame, exact=True) == want
