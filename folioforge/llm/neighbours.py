@@ -451,17 +451,17 @@ def all_neighbours(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "
             if not len(at):
                 continue
             floor = batch.column(2).to_numpy()[at]
-            some = max(1, HELD_SCORES // len(half))  # rows at a time, so that the distances to all cells stay small
-            few, held = [], 0
+            some = max(1, HELD_SCORES // 8 // len(half))  # rows at a time, so that the distances to all cells stay small
+            few, held, reach = [], 0, radius.astype(np.float32)
             for lo in range(0, len(unit), some):
                 far = np.sqrt(np.maximum(0, 1 + 2 * half - 2 * (unit[lo : lo + some] @ own.cells.T)))
-                gap = np.maximum(0, far - radius - 1e-3)
-                who, cell = np.nonzero(np.isfinite(radius) & (1 - 0.5 * gap * gap >= floor[lo : lo + some, None] - _ROUNDING))
+                gap = np.maximum(0, far - reach - 1e-3)
+                who, cell = np.nonzero(np.isfinite(reach) & (1 - 0.5 * gap * gap >= floor[lo : lo + some, None] - _ROUNDING))
                 times = split.value[cell]
                 who, block = np.repeat(who, times), np.repeat(first[cell], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 few.append(np.unique((who + lo) * n_blocks + block))
                 held += len(few[-1])
-                if held > HELD_PAIRS or lo + some >= len(unit):
+                if held > HELD_PAIRS // 8 or lo + some >= len(unit):
                     who, block = np.divmod(np.concatenate(few), n_blocks)
                     begin, end = lo + some - some * len(few), min(lo + some, len(unit))
                     blocks = pa.ListArray.from_arrays(pa.array(np.searchsorted(who, np.arange(begin, end + 1)), pa.int32()), pa.array(block))
@@ -494,8 +494,9 @@ def all_neighbours(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "
         groups, base = lists_.take(pa.array(here)).to_pylist(), np.ascontiguousarray(unit[here])
         heads, single = np.array([g[0] for g in groups], np.int64), all(len(g) == 1 for g in groups)
         out_ids, out_found, out_cos = [], [], []
-        for lo in range(0, len(asks), 512):
-            part = asks[lo : lo + 512]
+        some = min(512, max(1, HELD_SCORES // len(here)))
+        for lo in range(0, len(asks), some):
+            part = asks[lo : lo + some]
             at, to, cos = _above(unit[part], base, who[part], heads, k + 1)
             cut = np.searchsorted(at, np.arange(len(part) + 1))
             for n in np.flatnonzero(np.diff(cut)):
