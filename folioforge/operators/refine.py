@@ -6,14 +6,17 @@ returns a frame of the same columns and may be used alone; ``refine_sequence`` a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions import blocks as B
 from folioforge.functions import text as T
+from folioforge.operators import onepass as P
 from folioforge.operators import ordered as O
-from folioforge.operators.tables import collapse_tables, table_runs
-from folioforge.runtime import stage_table
+from folioforge.operators.tables import collapse_tables, part_pages, table_block, table_pages, table_runs, table_spans, with_extent
+from folioforge.runtime import bounded_broadcast, stage_table
 
 KEYS = ["doc_id"]
 ORDER = ["ord", "block_id"]
@@ -103,7 +106,7 @@ def is_diagram_fragment(c: Column) -> Column:
     starts = line.rlike(rf"(?iU)^(?:{_DIAGRAM_START})\b") & ((token != "end") | line.rlike(f"(?i)^{end}"))
     two = F.slice(F.filter(F.split(F.regexp_replace(F.lower(body), "['\"]", " "), f"[{ws}]+"), lambda t: t != ""), 1, 2)
     strong = F.arrays_overlap(two, F.array(*[F.lit(w) for w in _DIAGRAM_STRONG]))
-    return (body != "") & (F.lower(body).rlike("@startuml|@enduml") | body.rlike(rf"(?U)[\w.\"']+[{ws}]*[\-.]{{1,2}}>{{1,2}}[{ws}]*[\w.\"']+") | body.rlike(rf"(?iU)\b{end}") | starts | strong)
+    return (body != "") & (F.lower(body).rlike("@startuml|@enduml") | (body.contains(">") & body.rlike(rf"(?U)[\w.\"'][{ws}]*[\-.]{{1,2}}>{{1,2}}[{ws}]*[\w.\"']")) | body.rlike(rf"(?iU)\b{end}") | starts | strong)
 
 
 def diagram_spans(blocks: DataFrame) -> DataFrame:
@@ -117,7 +120,7 @@ def diagram_spans(blocks: DataFrame) -> DataFrame:
     marks = {"_s": F.when(start, F.col("pos")), "_x": F.when(~part, F.col("pos"))}
     ahead = O.running_last(flagged, KEYS, marks, ahead={"_n": F.when(~plain, start)}, before={"_e": F.when(end, F.col("pos"))})
     forward = F.col("_s").isNotNull() & (F.col("_s") > F.coalesce("_e", F.lit(-1))) & (F.col("_s") > F.coalesce("_x", F.lit(-1)))
-    covered = ahead.withColumn("covered", forward | (plain & F.coalesce("_n", F.lit(False)))).drop("_s", "_x", "_e", "_n")
+    covered = ahead.withColumn("covered", forward | (F.coalesce(plain, F.lit(False)) & F.coalesce("_n", F.lit(False)))).drop("_s", "_x", "_e", "_n")
     return O.running_sum(stage_table(covered, "covered"), KEYS, {"island": F.when(F.col("covered"), 0).otherwise(1)})
 
 
@@ -128,18 +131,28 @@ def merge_diagrams(blocks: DataFrame) -> DataFrame:
     rest = spans.where(~F.col("covered")).select(*blocks.columns)
     part = F.struct("pos", F.struct(*blocks.columns).alias("b"))
     runs = spans.where("covered").groupBy(*KEYS, "island").agg(O.by_position(F.collect_list(part)).alias("parts"))
-    runs = runs.withColumn("parts", F.transform("parts", lambda p: p["b"])).withColumn("first", F.element_at("parts", 1)).withColumn("n", F.size("parts"))
-    pages = F.filter(F.transform("parts", lambda p: p["page"]), lambda p: p.isNotNull())
-    runs = runs.withColumn("from", F.coalesce(F.get(pages, F.lit(0)), F.col("first.page"))).withColumn("to", F.coalesce(F.when(F.size(pages) > 0, F.element_at(pages, -1)), F.col("first.page")))
-    lines = F.filter(F.transform("parts", lambda p: T.strip(F.coalesce(p["text"], F.lit("")))), lambda t: t != "")
-    own = F.flatten(F.transform("parts", lambda p: F.when(F.size(p["layout_spans"]) > 0, p["layout_spans"]).when(F.col("n") > 1, F.array(F.struct(p["page"].alias("page"), p["bbox"].alias("bbox"), p["source_ref"].alias("source_ref")))).otherwise(F.array().cast(dict(blocks.dtypes)["layout_spans"]))))
-    merged = runs.select(*[{
-        "block_type": F.lit("code"), "page": F.col("from"), "text": F.array_join(lines, "\n"), "layout_spans": own,
-        "metadata": span_metadata(F.map_concat(F.map_filter(F.coalesce("first.metadata", _no_map()), lambda k, _: ~k.isin("language")), F.create_map(F.lit("language"), F.lit("plantuml"))), F.col("from"), F.col("to"), F.when(F.col("n") > 1, F.col("n").cast("string"))),
-    }.get(c, F.col(f"first.{c}")).alias(c) for c in blocks.columns])
+    parts = F.col("parts")
+    runs = with_extent(runs.withColumn("parts", F.transform("parts", lambda p: p["b"])), parts, part_spans(parts, dict(blocks.dtypes)["layout_spans"]), part_pages(parts))
+    changed = diagram_block(parts)
+    merged = runs.select(*[changed.get(c, F.element_at(parts, 1)[c]).alias(c) for c in blocks.columns])
     return rest.unionByName(merged)
 
 
+def part_spans(parts: Column, spans: str) -> Column:
+    """The spans of all diagram parts; spans: the type of layout_spans."""
+    own = lambda p: F.array(F.struct(p["page"].alias("page"), p["bbox"].alias("bbox"), p["source_ref"].alias("source_ref")))
+    return F.flatten(F.transform(parts, lambda p: F.when(F.size(p["layout_spans"]) > 0, p["layout_spans"]).when(F.size(parts) > 1, own(p)).otherwise(F.array().cast(spans))))
+
+
+def diagram_block(parts: Column) -> dict[str, Column]:
+    """What a code block made of diagram parts (blocks, in order) has other than the first of them, in a frame of with_extent."""
+    n = F.size(parts)
+    lines = F.filter(F.transform(parts, lambda p: T.strip(F.coalesce(p["text"], F.lit("")))), lambda t: t != "")
+    base = F.map_concat(F.map_filter(F.coalesce(F.element_at(parts, 1)["metadata"], _no_map()), lambda k, _: ~k.isin("language")), F.create_map(F.lit("language"), F.lit("plantuml")))
+    metadata = span_metadata(base, F.col("_from"), F.col("_to"), F.when(n > 1, n.cast("string")))
+    return {"block_type": F.lit("code"), "page": F.col("_from"), "text": F.array_join(lines, "\n"), "layout_spans": F.col("_spans"), "metadata": metadata}
+
+
 def _no_map() -> Column:
     return F.create_map().cast("map<string,string>")
 
@@ -211,14 +224,68 @@ def renumber(blocks: DataFrame) -> DataFrame:
 
 
 def refine_sequence(blocks: DataFrame, names: tuple[str, ...] = T.REMOVABLE_SECTIONS, cover: int = 1) -> DataFrame:
-    """All refinements in order, renumbered once at the end."""
+    """All refinements in order, renumbered once at the end: in one pass for documents of up to ordered.SEGMENT blocks, else by the steps."""
+    return _by_size(blocks, lambda b: refine_in_one_pass(b, names, cover), lambda b: refine_by_steps(b, names, cover))
+
+
+def _by_size(blocks: DataFrame, usual: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``usual`` of the documents of up to ordered.SEGMENT blocks, with ``large`` of the others, if there are any."""
+    known = blocks.where("doc_id is not null")
+    over = stage_table(known.groupBy(*KEYS).agg(F.count("*").alias("_n")).where(F.col("_n") > O.SEGMENT).select(*KEYS), "large")
+    if over.isEmpty():
+        return usual(known)
+    over = bounded_broadcast(over)
+    some, others = (known.join(over, KEYS, how).select(*blocks.columns) for how in ("left_anti", "left_semi"))
+    return usual(some).unionByName(large(others))
+
+
+def refine_by_steps(blocks: DataFrame, names: tuple[str, ...] = T.REMOVABLE_SECTIONS, cover: int = 1) -> DataFrame:
+    """All refinements, one operator after the other, for documents of any size."""
     out = assign_list_levels(refine_types(blocks))
     out = drop_cover_boilerplate(drop_removable_sections(out, names), cover)
     out = merge_diagrams(drop_images_on_tables(out))
     return renumber(collapse_tables(with_position(attach_table_captions(attach_figure_captions(out)))).select(*blocks.columns))
 
 
-def join_shards(blocks: DataFrame) -> DataFrame:
+def refine_in_one_pass(blocks: DataFrame, names: tuple[str, ...] = T.REMOVABLE_SECTIONS, cover: int = 1) -> DataFrame:
+    """The same for documents that fit a task: one shuffle by document, and all that depends on other rows in one pass (onepass)."""
+    typed = refine_types(P.placed(blocks, KEYS, ORDER))
+    kind, text, table = F.col("block_type"), F.col("text"), F.col("table_data")
+    body = F.coalesce("text", F.lit(""))
+    textual = kind.isin("code", "paragraph")
+    part = textual & F.when(F.coalesce(textual, F.lit(True)), is_diagram_fragment(body)).otherwise(False)
+    start, end = textual & F.lower(body).contains("@startuml"), textual & F.lower(body).contains("@enduml")
+    plain = part & ~start & ~end
+    figure, title = (F.when(kind.isin("paragraph", "heading"), rule(body)) for rule in (T.is_figure_caption, T.is_table_caption))
+    tabled = (kind == "table") & table.isNotNull()
+    flags = {
+        "item": kind == "list_item", "label": F.when(kind == "list_item", T.is_list_label(body)), "heading": kind == "heading", "removable": F.when(kind == "heading", T.is_removable_section(body, names)),
+        "boilerplate": F.when((F.col("page") == cover) & (text != ""), T.is_boilerplate(text)), "image": kind == "image", "table": kind == "table",
+        "not_part": ~part, "start": start, "end": end, "plain": plain, "not_plain": ~plain & start.isNotNull(), "figure_caption": figure, "table_caption": title,
+        "tabled": tabled, "titled": F.when(tabled, T.is_table_caption(table["caption"])), "bare": F.when(tabled, F.coalesce(table["caption"], F.lit("")) == ""),
+        "unknown": kind.isNull(), "real": F.when(tabled, (F.size(table["headers"]) > 0) & ~B.placeholder_headers(table["headers"])),
+    }
+    out = P.grouped(P.with_facts(typed, flags, F.when(figure | title, T.strip(text))), blocks.columns)
+
+    said, own = F.col("_caption"), F.col("image.caption")
+    image = F.when(F.col("image").isNotNull(), F.struct(F.col("image.uri").alias("uri"), F.col("image.alt").alias("alt"), F.when((F.coalesce(own, F.lit("")) == "") & said.isNotNull() & (kind == "image"), said).otherwise(own).alias("caption")))
+    titled = lambda t, said: F.when(said.isNotNull(), F.struct(t["headers"].alias("headers"), t["body_rows"].alias("body_rows"), said.alias("caption"))).otherwise(t)
+    parts, made = F.col("_parts"), F.col("_kind")
+    of_kind = lambda a, b: F.when(made == P.DIAGRAM, a).when(made == P.TABLE, b)
+    out = with_extent(out, parts, of_kind(part_spans(parts, dict(blocks.dtypes)["layout_spans"]), table_spans(parts)), of_kind(part_pages(parts), table_pages(parts)))
+    diagram, whole = diagram_block(parts), table_block(parts, lambda p: titled(p["table_data"], p["_caption"]))
+    single = {"image": image, "table_data": F.when(tabled, titled(table, said)).otherwise(table), "ord": F.col("_ord"), "block_id": F.concat(F.lit("block_"), F.col("_ord"))}
+
+    def value(c: str) -> Column:
+        x = single.get(c, F.col(c))
+        for code, changed in ((P.DIAGRAM, diagram), (P.TABLE, whole)):
+            x = F.when(made == code, changed[c]).otherwise(x) if c in changed else x
+        return x.alias(c)
+
+    return out.select(*[value(c) for c in blocks.columns])
+
+
+def join_shards(blocks: DataFrame, number: Callable[[DataFrame, list[str], list[str]], DataFrame] = O.dense) -> DataFrame:
     """Blocks of page-range shards (columns shard, page_offset) as one sequence per document, not yet refined.
 
     Pages, page_end and span pages are shifted by the offset; shards follow one another, each in its own order.
@@ -228,10 +295,10 @@ def join_shards(blocks: DataFrame) -> DataFrame:
     end = F.element_at(F.coalesce("metadata", _no_map()), "page_end").try_cast("int")
     meta = F.when(end.isNotNull(), F.map_concat(F.map_filter("metadata", lambda k, _: k != "page_end"), F.create_map(F.lit("page_end"), (end + shift).cast("string")))).otherwise(F.col("metadata"))
     shifted = blocks.withColumns({"page": F.col("page") + shift, "layout_spans": span, "metadata": meta})
-    placed = O.dense(shifted, KEYS, ["shard", "ord", "block_id"])
+    placed = number(shifted, KEYS, ["shard", "ord", "block_id"])
     return placed.withColumn("ord", F.col("pos").cast("int")).drop("pos", "shard", "page_offset")
 
 
 def merge_shards(blocks: DataFrame, names: tuple[str, ...] = T.REMOVABLE_SECTIONS) -> DataFrame:
     """The joined shards, refined once, so front matter that runs on into the next shard is still removed."""
-    return refine_sequence(join_shards(blocks), names)
+    return _by_size(blocks, lambda b: refine_in_one_pass(join_shards(b, O.dense_whole), names), lambda b: refine_by_steps(join_shards(b), names))

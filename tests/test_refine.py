@@ -208,3 +208,40 @@ def test_shards_are_refined_once(spark):
     a, b = (frame(spark, r).withColumn("shard", F.lit(i)).withColumn("page_offset", F.lit(i)) for i, r in enumerate(rows))
     assert [(r.text, r.page) for r in run(R.merge_shards(a.unionByName(b)))] == [("1 Scope", 2)]
     assert table_runs(R.with_position(frame(spark, rows[0]))).where("head is not null").count() == 0
+
+
+def odd_blocks(n_docs, rng):
+    """Blocks of every kind with gaps in every column, for documents of up to 40 rows."""
+    texts = ["1 Scope", "Contents", "Foreword", "Annex B (informative)", "Figure 4.1 x", "Table 5.1-2 Values", " Table 6 y\n", "@startuml", "@enduml", "UE -> RIC: report", "participant RIC", "Parts:", "1) Part:", "plain words", "All rights reserved", "", None]
+    kinds = ["heading", "paragraph", "paragraph", "code", "table", "table", "table", "image", "image", "list_item", "list_item", None]
+    number = lambda *own: rng.choice([*own, *own, None, float("nan")])
+    for d in range(n_docs):
+        for i in range(rng.randrange(1, 40)):
+            kind = rng.choice(kinds)
+            box = rng.choice([None, *[(number(50.0, 70.0, 310.0), number(100.0), number(300.0, 320.0), number(200.0, 210.0), None)] * 3])
+            table = rng.choice([None, *[(rng.choice([None, [], ["A", "B"], ["A", "B", "C"], ["0", "1"], ["A", None]]), rng.choice([None, [], [["1", "2"]], [["1", "2", "3"], None]]), rng.choice([None, "", "Table 9 Own", "note"]))] * 4]) if kind == "table" else None
+            image = rng.choice([None, (None, "alt", rng.choice([None, "", "own"]))]) if kind == "image" else None
+            page = rng.choice([None, 1 + i // 4, 1 + i // 4, 2 + i // 4])
+            spans = rng.choice([[], [], None, [(page, box, "ref")]])
+            meta = rng.choice([{}, {}, None, {"language": "x", "page_end": "4"}, {"merged_parts": "3", "page_end": "z"}])
+            yield (d * 1000 + i, f"d{d}", f"b{i}", kind, rng.choice([i, i, None]) if i == 0 else i, page, rng.choice(texts), rng.choice([None, 0, 1, 2, 3]), table, image, box, None, meta, spans)
+
+
+def test_one_pass_gives_what_the_steps_give(spark):
+    blocks = frame(spark, odd_blocks(120, random.Random(11))).localCheckpoint()
+    want = [str(r) for r in run(R.refine_by_steps(blocks))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert [str(r) for r in run(R.refine_in_one_pass(blocks))] == want
+        assert [str(r) for r in run(R.refine_sequence(blocks))] == want  # documents of up to SEGMENT rows and others
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_documents_that_fit_a_task_take_one_shuffle_and_no_table(spark, monkeypatch):
+    monkeypatch.setattr(O, "SEGMENT", 1000)
+    staged = []
+    stage = R.stage_table
+    monkeypatch.setattr(R, "stage_table", lambda df, label: staged.append(label) or stage(df, label))
+    plan = R.refine_sequence(frame(spark, odd_blocks(5, random.Random(3))))._jdf.queryExecution().executedPlan().toString()
+    assert staged == ["large"] and plan.count("Exchange") == 1
