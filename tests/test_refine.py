@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -245,3 +246,12 @@ def test_documents_that_fit_a_task_take_one_shuffle_and_no_table(spark, monkeypa
     monkeypatch.setattr(R, "stage_table", lambda df, label: staged.append(label) or stage(df, label))
     plan = R.refine_sequence(frame(spark, odd_blocks(5, random.Random(3))))._jdf.queryExecution().executedPlan().toString()
     assert staged == ["large"] and plan.count("Exchange") == 1
+
+
+def test_long_texts_are_read_once_for_arrows(spark):
+    """The arrow pattern took a time quadratic in the length of a text."""
+    long = "a" * 100_000
+    df = spark.createDataFrame([(0, long), (1, long + " > "), (2, long + " -> " + long), (3, "x -->> 'y'"), (4, "-> y"), (5, "é.->_")], "i int, t string").localCheckpoint()
+    began = time.monotonic()
+    assert [r.part for r in df.orderBy("i").select(R.is_diagram_fragment(F.col("t")).alias("part")).collect()] == [False, False, True, True, False, True]
+    assert time.monotonic() - began < 20
