@@ -255,3 +255,10 @@ def test_long_texts_are_read_once_for_arrows(spark):
     began = time.monotonic()
     assert [r.part for r in df.orderBy("i").select(R.is_diagram_fragment(F.col("t")).alias("part")).collect()] == [False, False, True, True, False, True]
     assert time.monotonic() - began < 20
+
+
+def test_shards_that_fit_a_task_take_one_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(O, "SEGMENT", 1000)
+    shards = frame(spark, odd_blocks(5, random.Random(4))).withColumn("shard", F.expr("int(ord div 10)")).withColumn("page_offset", F.expr("int(ord div 10) * 3"))
+    plan = R.merge_shards(shards)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
